@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.byte_bpe import op5_byte_bpe
+from tessera.llm.jpeg_media import op8_jpeg_media
 from tessera.llm.language_id import op1_language_id
+from tessera.llm.license_scan import op10_license_scan
 from tessera.llm.packing import op6_packing
 from tessera.llm.toxicity import op2_toxicity
 
@@ -16,6 +18,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_packing": op6_packing,
+    "op8_jpeg_media": op8_jpeg_media,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {}
