@@ -10,12 +10,14 @@ from tessera.llm.byte_bpe import op5_byte_bpe
 from tessera.llm.jpeg_media import op8_jpeg_media
 from tessera.llm.language_id import op1_language_id
 from tessera.llm.license_scan import op10_license_scan
+from tessera.llm.ngram_join import op3_ngram_join
 from tessera.llm.packing import op6_packing
 from tessera.llm.toxicity import op2_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
+    "op3_ngram_join": op3_ngram_join,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_packing": op6_packing,
     "op8_jpeg_media": op8_jpeg_media,
