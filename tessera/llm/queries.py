@@ -12,15 +12,21 @@ from tessera.llm.language_id import op1_language_id
 from tessera.llm.license_scan import op10_license_scan
 from tessera.llm.ngram_join import op3_ngram_join
 from tessera.llm.packing import op6_packing
+from tessera.llm.token_counts import op4_token_counts
 from tessera.llm.toxicity import op2_toxicity
+from tessera.llm.url_filter import op7_url_filter
+from tessera.llm.vector_search import op9_vector_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
     "op3_ngram_join": op3_ngram_join,
+    "op4_token_counts": op4_token_counts,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_packing": op6_packing,
+    "op7_url_filter": op7_url_filter,
     "op8_jpeg_media": op8_jpeg_media,
+    "op9_vector_search": op9_vector_search,
     "op10_license_scan": op10_license_scan,
 }
 
