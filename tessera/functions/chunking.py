@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 SENTENCE_SIZE, SENTENCE_OVERLAP = 1500, 200
 CODE_SIZE, CODE_OVERLAP = 2000, 200
@@ -141,7 +142,7 @@ def chunked(df: DataFrame, splitter: str, text: str = "text", key: str = "doc_id
     return df.select(key, text, own.alias("__extension")).mapInArrow(run, f"`{key}` {kind}, chunk_index int, chunk_text string")
 
 
-@udtf(returnType="chunk_index int, chunk_text string")
+@udtf(returnType=StructType([StructField("chunk_index", IntegerType()), StructField("chunk_text", StringType())]))
 class SentenceChunks:
     """The sentence chunker as a table function, for SQL: SELECT ... FROM t, LATERAL sentence_chunks(t.text)."""
 

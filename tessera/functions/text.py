@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tessera.schemas import choice
 
@@ -121,7 +122,7 @@ def log_line(ts: Column, level: Column, pod: Column, message: Column) -> Column:
     return F.concat_ws(" ", F.substring(ts.cast("string"), 1, 23), F.concat(F.lit("["), F.coalesce(level, F.lit("")), F.lit("]")), pod, message)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def rich_text(trees: pd.Series) -> pd.Series:
     """Plain text of a rich-document tree in JSON; a tree that is no JSON object gives an empty text."""
     return trees.map(_rendered)
