@@ -34,7 +34,7 @@ def customer_scoped(df: DataFrame, context: TenantContext, customer: str) -> Dat
 
 
 def role_array(roles: Column) -> Column:
-    return F.filter(F.transform(F.split(roles, ","), F.trim), lambda r: r != "")
+    return F.filter(F.transform(F.split(roles, ","), lambda r: F.trim(r)), lambda r: r != "")
 
 
 def role_gate(df: DataFrame, *allowed: str) -> DataFrame:
