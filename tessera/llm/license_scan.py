@@ -3,8 +3,8 @@
 Rolling hashes of all k consecutive words of every whole text meet the k-grams of the templates in one Spark join
 (k = 2 for the base phrases, ``GRAM`` for the longer notices). A hit at word w of a text and word t of a template votes
 for the diagonal w - t; votes are gathered as a bit for each template position. Neighbouring diagonals of a template
-(at most ``DRIFT`` apart: words were inserted or left out) are merged, and a span is kept if the union of their bits
-covers enough of the template. A base phrase counts only on a single complete diagonal.
+(at most ``DRIFT`` apart: words were inserted or left out) are merged, and a span is kept if the grams of their bits
+cover enough words of the template. A base phrase counts only on a single complete diagonal.
 
 Only the templates are broadcast; their size is that of the template list. Votes are keyed by id and a hash of the text,
 so a phrase that stands in every document deals its votes over all documents, and repeated rows share the votes of
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tessera.llm.columnar import documents, text_slices
 from tessera.llm.words import rolling, word_hashes
 
-GRAM, DRIFT, COVERAGE = 4, 3, 0.6
+GRAM, DRIFT, COVERAGE = 3, 3, 0.75
 
 # The base phrases with their labels, and wording of public license notices.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -45,14 +45,14 @@ NOTICES = {
 
 
 def template_rows(base: dict[str, str], notices: dict[str, str]) -> list[tuple[int, int, int, int, str, bool]]:
-    """(gram, template, position, number of grams, label, whether base) of all grams of all templates."""
+    """(gram, template, position, number of words, label, whether base) of all grams of all templates."""
     rows = []
     for number, (phrase, label, is_base) in enumerate([(p, x, True) for p, x in base.items()] + [(p, x, False) for p, x in notices.items()]):
         k = 2 if is_base else GRAM
         grams, _ = rolling(*word_hashes([phrase]), k, salt=k)
-        if not 1 <= len(grams) <= 62:
-            raise ValueError(f"a template has {k} words at least and {61 + k} at most: {phrase!r}")
-        rows += [(int(g), number, position, len(grams), label, is_base) for position, g in enumerate(grams.view(np.int64).tolist())]
+        if not 1 <= len(grams) <= 63 - k:
+            raise ValueError(f"a template has {k} words at least and 62 at most: {phrase!r}")
+        rows += [(int(g), number, position, len(grams) + k - 1, label, is_base) for position, g in enumerate(grams.view(np.int64).tolist())]
     return rows
 
 
@@ -73,6 +73,11 @@ def grams(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, "doc_id long, key long, place long, gram long")
 
 
+def covered(k: int) -> str:
+    """The template words under the hits: each hit of a k-gram covers k of them."""
+    return "(" + " | ".join(f"shiftleft(bits, {j})" for j in range(k)) + ")"
+
+
 def scan(docs: DataFrame, base: dict[str, str] = BASE, notices: dict[str, str] = NOTICES) -> tuple[DataFrame, DataFrame]:
     """(spans, documents): every verified span with its template's label and coverage, and one row for each document."""
     spark = docs.sparkSession
@@ -96,7 +101,7 @@ def scan(docs: DataFrame, base: dict[str, str] = BASE, notices: dict[str, str] =
         .withColumn("span", F.sum(F.when(apart, 1).otherwise(0)).over(own))
         .groupBy("doc_id", "key", "template", "span", "size", "is_base")
         .agg(F.bit_or("bits").alias("bits"), F.min("diagonal").alias("first"), F.max("n_words").alias("n_words"), F.max("rows").alias("rows"), F.max("label").alias("label"))
-        .withColumn("coverage", F.expr("bit_count(bits) / size"))
+        .withColumn("coverage", F.expr(f"bit_count(CASE WHEN is_base THEN {covered(2)} ELSE {covered(GRAM)} END) / size"))
         .filter(f"template IS NULL OR coverage = 1 OR (NOT is_base AND coverage >= {COVERAGE})")
     )
     spans = merged.filter("template IS NOT NULL").select("doc_id", "key", "template", "label", "is_base", "first", "coverage")

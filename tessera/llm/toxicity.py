@@ -1,7 +1,7 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained: one on the windows of ordinary text, one on the spans that toxic texts share
-and ordinary texts do not explain (words whose document frequency is significantly higher among the toxic texts of the
+and ordinary texts do not explain (words and beginnings of words whose document frequency is significantly higher among the toxic texts of the
 sample, by a likelihood-ratio test). The toxic compressor gets the ordinary dictionary behind its own, so both price
 ordinary wording alike and a window is shorter under the toxic one only if it holds a toxic span. Every text is cut
 into windows of ``WINDOW`` words; its features are the largest and second largest differences of compressed length. A
@@ -40,6 +40,8 @@ SAMPLE = {0: 5000, 1: 2000}
 MAX_TRAINING_CHARS = 200_000
 #: Likelihood ratio and share of the toxic texts from which a word counts as a toxic span.
 LEAST_RATIO, LEAST_SHARE = 15.0, 0.006
+#: Lengths of word beginnings that may be toxic spans of their own: endings vary.
+STEMS = (6,)
 
 
 def windows(text: str) -> list[bytes]:
@@ -52,7 +54,7 @@ def windows(text: str) -> list[bytes]:
     if len(data) < 3:
         return []
     pairs = ((data[:-1] << 8 | data[1:]) * np.uint32(PAIR_FACTOR)).astype("<u2").tobytes()
-    cuts = [*(2 * np.flatnonzero(data == 32)[:-1:WINDOW]).tolist(), len(pairs)]
+    cuts = [*(2 * np.flatnonzero(data[:-1] == 32)[::WINDOW]).tolist(), len(pairs)]
     return [pairs[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
@@ -108,26 +110,32 @@ def without_copies(texts: list[str]) -> list[str]:
     return list(kept.values())
 
 
+def spans_of(text: str) -> set[str]:
+    """Words between spaces, and the beginnings of longer words behind a space."""
+    words = set(text.split())
+    return {f" {w} " for w in words} | {f" {w[:n]}" for n in STEMS for w in words if len(w) > n}
+
+
 def toxic_spans(toxic: list[str], ordinary: list[str]) -> list[str]:
-    """Words that mark toxic texts, the most telling last."""
+    """Spans that mark toxic texts, the most telling last."""
     inside, outside = Counter(), Counter()
     for texts, counter in ((toxic, inside), (ordinary, outside)):
         for text in texts:
-            counter.update(set(text.split()))
+            counter.update(spans_of(text))
     n, m = len(toxic), len(ordinary)
 
     def part(k: int, total: int, q: float) -> float:
         return (k * math.log(q) if k else 0.0) + ((total - k) * math.log(1 - q) if total > k else 0.0)
 
     found = []
-    for word, a in inside.items():
-        b = outside[word]
+    for span, a in inside.items():
+        b = outside[span]
         if a >= max(2, LEAST_SHARE * n) and a * m > 4 * b * n:
             p = (a + b) / (n + m)
             ratio = 2 * (part(a, n, a / n) + part(b, m, b / m) - part(a, n, p) - part(b, m, p))
             if ratio > min(LEAST_RATIO, 0.2 * n + 2):
-                found.append((ratio, word))
-    return [word for _, word in sorted(found)]
+                found.append((ratio, span))
+    return [span for _, span in sorted(found)]
 
 
 def calibrate(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 0.05) -> np.ndarray:
@@ -154,7 +162,7 @@ def train(toxic: list[str], ordinary: list[str]) -> ToxicityModel:
         plain = b"".join(samples)[-ORDINARY_BYTES:]
 
     def dictionary(toxic: list[str], ordinary: list[str]) -> bytes:
-        return b"".join(w for span in toxic_spans(toxic, ordinary) for w in windows(f" {span} "))
+        return b"".join(w for span in toxic_spans(toxic, ordinary) for w in windows(span))
 
     model = ToxicityModel(plain, dictionary(fit1, fit0), np.zeros(4)).open()
     x = np.array([(*model.features(t), 1.0) for t in held1 + held0])
