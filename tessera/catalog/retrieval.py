@@ -38,9 +38,7 @@ def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("bm25_corpus_stats", f"WITH {BM25} SELECT term, df, (SELECT n FROM fig) AS n, round((SELECT avgdl FROM fig), 6) AS avgdl FROM freq")
 def bm25_corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = bm25.corpus(docs(spark, sf_dir), TERMS)
-    frequency = own.postings.groupBy("term").agg(F.count("*").alias("df"))
-    return frequency.crossJoin(F.broadcast(own.figures)).select("term", "df", "n", F.round("avgdl", 6).alias("avgdl"))  # one row of figures
+    return bm25.corpus_figures(docs(spark, sf_dir), TERMS).withColumn("avgdl", F.round("avgdl", 6))
 
 
 FUZZY_TERMS = ["idiott", "licence", "vershion", "pathetik"]

@@ -2,58 +2,70 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import tokens
+from tessera.functions.text import TOKEN, tokens
 
 K1, B = 1.2, 0.75
 DECAY_SCALE_MS, DECAY = 2_592_000_000, 0.5
 FUZZY_EXPANSIONS = 50
 
 
-@dataclass(frozen=True)
-class Corpus:
-    """Postings of the terms a query can reach, and the corpus figures of one scan."""
+def _word(term: str) -> str:
+    return rf"(?<![\p{{L}}\p{{N}}]){term}(?![\p{{L}}\p{{N}}])"
 
-    postings: DataFrame  # id, term, tf, dl
-    figures: DataFrame  # one row: n, avgdl
 
+def counted(docs: DataFrame, terms: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, dl, tf): words of each text and how often each term stands in it. One pass for words, one for terms; no word leaves the scan.
 
-def corpus(docs: DataFrame, query_terms: list[str], key: str = "doc_id", text: str = "text", fuzzy: bool = False) -> Corpus:
-    """Only postings of query terms leave the scan; the figures are partial sums, so nothing large is shuffled."""
-    sized = docs.select(F.col(key), tokens(F.col(text)).alias("tokens")).withColumn("dl", F.size("tokens"))
-    wanted = F.array(*map(F.lit, query_terms)) if query_terms else F.array().cast("array<string>")
-    if fuzzy:
-        near = lambda t: F.exists(wanted, lambda q: F.levenshtein(t, q, 2) >= 0)  # noqa: E731  bounded by edits; narrowed to each term's own bound below
-        kept = F.filter("tokens", near)
+    The result is dealt by key so that what reads it twice (figures and scores) shares one exchange of a few bytes a text.
+    """
+    lower = F.lower(F.coalesce(F.col(text), F.lit("")))
+    if terms:
+        hits = F.regexp_extract_all(lower, F.lit(_word("(" + "|".join(terms) + ")")), F.lit(1))
+        tf = F.transform(F.array(hits), lambda own: F.array(*(F.size(F.filter(own, _is(w))) for w in terms)))[0]  # bound, so that the texts are read once
     else:
-        kept = F.filter("tokens", lambda t: F.array_contains(wanted, t))
-    postings = sized.select(key, "dl", F.explode(kept).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    figures = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    return Corpus(postings, figures)
+        tf = F.array().cast("array<int>")
+    return docs.select(F.col(key), F.regexp_count(lower, F.lit(TOKEN)).alias("dl"), tf.alias("tf")).repartition(F.col(key))
+
+
+def _is(term: str):
+    return lambda t: t == term
+
+
+def figures(counts: DataFrame, n_terms: int) -> DataFrame:
+    """One row: n, avgdl and the document frequency of each term."""
+    df = F.array(*(F.count_if(F.col("tf")[i] > 0) for i in range(n_terms))) if n_terms else F.array().cast("array<long>")
+    return counts.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), df.alias("df"))
+
+
+def corpus_figures(docs: DataFrame, query_terms: list[str], text: str = "text") -> DataFrame:
+    """(term, df, n, avgdl) of the terms that occur."""
+    terms = sorted(set(query_terms))
+    row = figures(counted(docs, terms, docs.columns[0], text), len(terms))
+    named = F.arrays_zip(F.array(*map(F.lit, terms)).alias("term"), F.col("df").alias("df"))
+    return row.select(F.explode(named).alias("t"), "n", "avgdl").select(F.col("t")["term"].alias("term"), F.col("t")["df"].alias("df"), "n", "avgdl").filter("df > 0")
 
 
 def idf(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
-def scores(docs: DataFrame, query_terms: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, score) of the documents that hold a query term; a term named twice counts twice."""
-    own = corpus(docs, sorted(set(query_terms)), key, text)
-    weight = F.lit(0)
-    for term in set(query_terms):
-        weight = F.when(F.col("term") == term, F.lit(query_terms.count(term))).otherwise(weight)
-    return _scored(own, weight, key)
+def _score(weights: Column, tf: Column, df: Column, n: Column, dl: Column, avgdl: Column) -> Column:
+    """Sum over the terms; all arrays have one entry a term."""
+    share = lambda t: t / (t + K1 * (1 - B + B * dl / avgdl))
+    part = lambda x: x["w"] * idf(n, x["df"]) * share(x["tf"])
+    return F.aggregate(F.arrays_zip(weights.alias("w"), tf.alias("tf"), df.alias("df")), F.lit(0.0), lambda s, x: s + part(x))
 
 
-def _scored(own: Corpus, weight: Column, key: str) -> DataFrame:
-    frequency = own.postings.groupBy("term").agg(F.count("*").alias("df"))  # a row for each query term
-    rows = own.postings.join(F.broadcast(frequency), "term").crossJoin(F.broadcast(own.figures))  # one row of figures
-    part = weight * idf(F.col("n"), F.col("df")) * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return rows.groupBy(key).agg(F.sum(part).alias("score"))
+def scores(docs: DataFrame, query_terms: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, score) of the documents that hold a query term; a term named twice counts twice."""
+    terms = sorted(set(query_terms))
+    counts = counted(docs, terms, key, text)
+    weights = F.array(*(F.lit(float(query_terms.count(t))) for t in terms)) if terms else F.array().cast("array<double>")
+    rows = counts.crossJoin(F.broadcast(figures(counts, len(terms))))  # one row of figures
+    return rows.select(key, _score(weights, F.col("tf"), F.col("df"), F.col("n"), F.col("dl"), F.col("avgdl")).alias("score")).filter("score > 0")
 
 
 def edits(term: str) -> int:
@@ -72,10 +84,8 @@ def expansions(docs: DataFrame, query_terms: list[str], text: str = "text") -> D
 
 def fuzzy_scores(docs: DataFrame, query_terms: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
     """As :func:`scores`, where each near term of the vocabulary counts like the query term it is near to."""
-    near = expansions(docs, query_terms, text).groupBy("term").agg(F.count("*").alias("weight"))  # bounded: terms x FUZZY_EXPANSIONS
-    sized = docs.select(F.col(key), tokens(F.col(text)).alias("tokens")).withColumn("dl", F.size("tokens"))
-    postings = sized.select(key, "dl", F.explode("tokens").alias("term")).join(F.broadcast(near), "term").groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.first("weight").alias("weight"))
-    return _scored(Corpus(postings, sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))), F.col("weight"), key)
+    near = [r["term"] for r in expansions(docs, query_terms, text).select("term").collect()]  # at most FUZZY_EXPANSIONS a query term
+    return scores(docs, near, key, text)
 
 
 def decayed(score: Column, created_at: Column, as_of: Column) -> Column:

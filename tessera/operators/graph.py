@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import pull_request, relation, tickets
 from tessera.operators.upsert import first_wins, merged
+from tessera.sources.scratch import stored
 
 ENTITY_KEY = ["entity_type", "entity_id", "tenant_id"]
 EDGE_KEY = ["from_type", "from_id", "relation", "to_type", "to_id", "tenant_id"]
@@ -37,7 +38,8 @@ def neighbours(edges: DataFrame, entities: DataFrame, tenant: str, entity_type:
 def traverse(edges: DataFrame, entities: DataFrame, tenant: str, entity_type: str, entity_id: str, depth: int = 3) -> DataFrame:
     """(entity_type, entity_id, name, depth): what outward edges reach, each level once; nodes without a row are passed but not shown.
 
-    A level is an equi-join of the distinct frontier, so paths do not multiply; depth is clamped, so the plan is bounded.
+    A level is an equi-join of the distinct frontier, so paths do not multiply. Each frontier is stored, so a level reads
+    the edges once and does not make the levels before it again.
     """
     depth = max(LEAST_DEPTH, min(depth, MOST_DEPTH))
     own = edges.filter(F.col("tenant_id") == tenant).select("from_type", "from_id", "to_type", "to_id")
@@ -46,7 +48,7 @@ def traverse(edges: DataFrame, entities: DataFrame, tenant: str, entity_type: st
     reached = frontier.withColumn("depth", F.lit(0))
     for level in range(1, depth + 1):
         step = own.join(frontier.withColumnsRenamed({"entity_type": "from_type", "entity_id": "from_id"}), ["from_type", "from_id"], "left_semi")
-        frontier = step.select(F.col("to_type").alias("entity_type"), F.col("to_id").alias("entity_id")).distinct()
+        frontier = stored(step.select(F.col("to_type").alias("entity_type"), F.col("to_id").alias("entity_id")).distinct(), "frontier")
         reached = reached.unionByName(frontier.withColumn("depth", F.lit(level)))
     names = entities.filter(F.col("tenant_id") == tenant).select("entity_type", "entity_id", "name")
     return reached.join(names, ["entity_type", "entity_id"]).select("entity_type", "entity_id", "name", "depth")
