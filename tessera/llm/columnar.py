@@ -1,14 +1,14 @@
-"""Arrow plumbing shared by the operators: bounded slices of text and tables in the shared scratch folder."""
+"""Arrow plumbing shared by the operators: bounded slices of text; tables in the shared scratch folder."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.sources.scratch import stored  # noqa: F401  the operators take it from here
+
 #: Characters of text that one slice of a batch holds, unless a single text is longer.
 SLICE_CHARS = 1 << 20
 
@@ -29,28 +29,5 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_
         yield batch.slice(start), texts[start:]
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` where set, else a local one (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = getattr(scratch_root, "local", None) or "file://" + tempfile.mkdtemp(prefix="tessera-")
-        scratch_root.local = root
-    return root.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet under the shared folder and read it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/tessera/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def clear_scratch(spark: SparkSession) -> None:
-    """Delete every table that :func:`stored` has written; call when no DataFrame over them is used any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/tessera")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
