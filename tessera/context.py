@@ -86,3 +86,11 @@ def valid_tenants(requests: DataFrame, tiers: list[str]) -> DataFrame:
     """Requests with ``valid``: the id has the admitted form, the name is not blank and the tier exists."""
     fits = F.col("id").rlike(ID_PATTERN) & (F.trim(F.col("name")) != "") & F.upper("tier").isin(tiers)
     return requests.withColumn("valid", F.coalesce(fits, F.lit(False)))
+
+
+def create_tenants(tenants: DataFrame, requests: DataFrame, tiers: list[str], now: Column) -> tuple[DataFrame, DataFrame]:
+    """(tenants with the valid new ones, refused requests); an id that exists is refused."""
+    marked = valid_tenants(requests, tiers).join(tenants.select("id").withColumn("taken", F.lit(True)), "id", "left")
+    fits = F.col("valid") & F.col("taken").isNull()
+    added = marked.filter(fits).select("id", "name", F.upper("tier").alias("tier"), F.coalesce("quota_docs", F.lit(100_000)).cast("long").alias("quota_docs"), now.alias("created_at"))
+    return tenants.unionByName(added), marked.filter(~fits).drop("valid", "taken")

@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.metrics import counted_mean, dropped, keyword_rate, recall_at, reciprocal_rank, source_recall
+from tessera.schemas import EVAL_ITEM
 
 TRACKED = ["source_recall", "recall_at_20", "keyword_hit", "judge_score", "pass_rate"]
 
 
+def read_items(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(EVAL_ITEM).option("multiLine", "true").json(path)
+
+
+def write_results(metrics: DataFrame, folder: str, run: str) -> None:
+    """One folder a run: results of earlier runs stay for comparison."""
+    metrics.write.mode("overwrite").json(f"{folder}/run={run}")
+
+
 def item_metrics(items: DataFrame) -> DataFrame:
     """Per item: expected_sources, actual_sources, keywords, answer and judge_score give the metrics."""
     return items.select(

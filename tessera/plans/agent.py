@@ -6,11 +6,12 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.context import TenantContext, scoped
 from tessera.functions import extract
-from tessera.operators import resolve
+from tessera.operators import bm25, graph, logs, resolve
 
 MOST_TOOLS, MOST_FINDINGS, TTL_SECONDS = 5, 5, 30 * 60
 Tool = Callable[..., DataFrame]
@@ -36,6 +37,20 @@ class Registry:
         return self
 
 
+def standard_tools(chunks: DataFrame, context: TenantContext, log_table: DataFrame, pod_lines: DataFrame, deployment_lines: DataFrame, edges: DataFrame, entities: DataFrame, customers: DataFrame, as_of: Column) -> Registry:
+    """The six tools over tables: knowledge search, logs, pods, deployments, graph, customers."""
+    words = lambda q: [w for w in q.lower().split() if w.isalnum()]
+    return (
+        Registry()
+        .add("search", lambda question, **_: bm25.scores(scoped(chunks, context), words(question), "chunk_id", "chunk_text").orderBy(F.desc("score"), "chunk_id").limit(20))
+        .add("logs", lambda env, **_: logs.newest(logs.relaxed(log_table, as_of, env or "", minutes=60)))
+        .add("pods", lambda **_: logs.unhealthy(logs.pods(pod_lines)))
+        .add("deployments", lambda customer, env, **_: logs.deployments(deployment_lines).filter((F.col("customer") == customer) & (F.lit(env).isNull() | (F.col("env") == env))))
+        .add("graph", lambda customer, **_: graph.traverse(edges, entities, context.tenant_id, "customer", customer or ""))
+        .add("customers", lambda customer, **_: customers.filter(F.col("id") == customer))
+    )
+
+
 @dataclass
 class Session:
     """What a conversation knows; kept by the caller between turns."""

@@ -35,6 +35,28 @@ def wanted_files(files: DataFrame) -> DataFrame:
     return files.filter(extension(F.col("path")).isin(EXTENSIONS) & (F.col("length") <= MOST_BYTES) & ~skipped)
 
 
+def read_archives(spark: SparkSession, pattern: str) -> DataFrame:
+    """(archive, path, length, text) of wanted files in .tar.gz archives. An archive is read once, member by member; unwanted members are not decoded."""
+    import io
+    import tarfile
+    from collections.abc import Iterable, Iterator
+
+    import pyarrow as pa
+
+    def members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with tarfile.open(fileobj=io.BytesIO(content), mode="r|*") as archive:
+                    for member in archive:
+                        path = member.name
+                        if member.isfile() and member.size <= MOST_BYTES and "." + path.rsplit(".", 1)[-1].lower() in EXTENSIONS and not set(path.split("/")) & set(SKIPPED_FOLDERS):
+                            text = archive.extractfile(member).read().decode("utf-8", "replace")
+                            yield pa.RecordBatch.from_pylist([{"archive": name, "path": path, "length": member.size, "text": text}])
+
+    files = spark.read.format("binaryFile").load(pattern).select("path", "content")
+    return files.mapInArrow(members, "archive string, path string, length long, text string")
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
@@ -93,6 +115,13 @@ def custom_fields(issues: DataFrame, names: DataFrame, skipped: tuple[str, ...]
     return rows.join(names, "field_id").select("issue_key", F.col("name").alias("field"), "values").orderBy("issue_key", "field")
 
 
+def field_values(value: Column) -> Column:
+    """The texts of a custom field's JSON: options, users and lists of them by their value or name, scalars as they are."""
+    many = F.when(value.startswith("["), F.from_json(value, "array<string>")).when(value.isNotNull() & (value != "null"), F.array(value))
+    named = lambda e: F.coalesce(*(F.get_json_object(e, f"$.{k}") for k in ("value", "name", "displayName")), F.regexp_replace(e, '^"|"$', ""))
+    return F.filter(F.transform(F.coalesce(many, F.array().cast("array<string>")), named), lambda v: F.coalesce(v, F.lit("")) != "")
+
+
 def issue_documents(issues: DataFrame) -> DataFrame:
     """One document an issue: key and state as lines, then the rendered description."""
     title = F.concat(F.lit("["), "issue_key", F.lit("] "), "summary")

@@ -1,17 +1,19 @@
 import json
+import tarfile
 
 from conftest import DATA
 from pyspark.sql import functions as F
 
 from tessera.catalog.base import docs
 from tessera.catalog.records import logs
-from tessera.context import TenantContext
+from tessera.context import TenantContext, create_tenants
 from tessera.functions.chunking import chunked
 from tessera.functions.embedding import BATCH, embedded, hashed_words
+from tessera.operators import evaluate
 from tessera.operators import logs as L
 from tessera.plans import agent, answer, sync
-from tessera.schemas import INDEXING_EVENT
-from tessera.sources import connectors, documents
+from tessera.schemas import INDEXING_EVENT, TENANT, TIERS
+from tessera.sources import config, connectors, documents
 from tessera.streaming import indexing, retries, stateful
 
 
@@ -110,6 +112,47 @@ def test_files(spark, tmp_path):
         (tmp_path / name).write_text(text)
     rows = connectors.read_tree(spark, f"file://{tmp_path}").collect()
     assert sorted(r.path.rsplit("/", 1)[1] for r in rows) == ["1.md", "a.py"]
+    with tarfile.open(tmp_path / "repo.tar.gz", "w:gz") as archive:
+        for name in ("a.py", "node_modules/x.py", "docs/adr/1.md", "b.bin"):
+            archive.add(tmp_path / name, name)
+    rows = connectors.read_archives(spark, f"file://{tmp_path}/*.tar.gz").collect()
+    assert sorted((r.path, r.text) for r in rows) == [("a.py", "def f():\n  pass"), ("docs/adr/1.md", "# d")]
+
+
+def test_configuration(spark, tmp_path):
+    (tmp_path / "p.yml").write_text(json.dumps({"products": {"wms": {"priority": "high", "repos": ["a"]}, "rdc": None}}))
+    assert sorted((r.id, r.priority) for r in config.products(spark, f"file://{tmp_path}/p.yml").collect()) == [("rdc", None), ("wms", "high")]
+    (tmp_path / "c.json").write_text(json.dumps([{"id": "acme", "name": "Acme", "environments": {"prod": {"k": "v"}}}]))
+    own = config.registry(spark, f"file://{tmp_path}/c.json")
+    config.save_registry(own, f"file://{tmp_path}/registry")
+    assert [r.environments for r in spark.read.parquet(f"file://{tmp_path}/registry").collect()] == [{"prod": {"k": "v"}}]
+    (tmp_path / "e.json").write_text(json.dumps([{"id": "1", "question": "q", "expected_sources": ["a"], "expected_answer_keywords": []}]))
+    items = evaluate.read_items(spark, f"file://{tmp_path}/e.json")
+    evaluate.write_results(items.select("id"), f"file://{tmp_path}/results", "r1")
+    assert spark.read.json(f"file://{tmp_path}/results").first().run == "r1"
+
+
+def test_custom_field_values(spark):
+    rows = spark.createDataFrame([('[{"value":"EU"},{"name":"n"},"x"]',), ('{"displayName":"Ann"}',), ("5",), ('"s"',), ("null",), (None,)], "v string")
+    assert [r[0] for r in rows.select(connectors.field_values(F.col("v"))).collect()] == [["EU", "n", "x"], ["Ann"], ["5"], ["s"], [], []]
+
+
+def test_tenants_are_created(spark):
+    own = spark.createDataFrame([("acme", "Acme", "FREE", 5, None)], TENANT)
+    requests = spark.createDataFrame([("globex", "Globex", "premium", None), ("acme", "Again", "FREE", 1), ("B", "x", "FREE", 1)], "id string, name string, tier string, quota_docs long")
+    made, refused = create_tenants(own, requests, list(TIERS), F.current_timestamp())
+    assert sorted(r.id for r in made.collect()) == ["acme", "globex"] and sorted(r.id for r in refused.collect()) == ["B", "acme"]
+
+
+def test_standard_tools(spark):
+    from tessera.catalog.records import edges, entities
+
+    chunks = docs(spark, DATA).select(F.col("doc_id").alias("chunk_id"), "tenant_id", F.col("text").alias("chunk_text"))
+    pods = spark.createDataFrame([("web-1 0/1 Error 9",)], "line string")
+    lines = spark.createDataFrame([("acme", "prod", "api\tr/api:v2\t1/1")], "customer string, env string, line string")
+    made = agent.standard_tools(chunks, TenantContext("acme"), logs(spark, DATA), pods, lines, edges(spark, DATA), entities(spark, DATA), connectors.sample_registry(spark), F.lit("2024-01-20 12:00:00").cast("timestamp"))
+    found = {name: tool(customer="acme", env="prod", question="license version").count() for name, tool in made.tools.items()}
+    assert set(found) == {"search", "logs", "pods", "deployments", "graph", "customers"} and found["pods"] == found["deployments"] == found["customers"] == 1
 
 
 def test_indexing_stream_equals_batch(spark, tmp_path):
