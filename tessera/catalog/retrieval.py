@@ -109,6 +109,19 @@ def facet_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.facets(matches, ["lang", "source", "nonsense"])
 
 
+@query(
+    "bm25_batch",
+    """WITH tok AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS ts FROM documents), sized AS (SELECT doc_id, ts, len(ts) AS dl FROM tok), fig AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM sized),
+    want AS (SELECT question_id, term, count(*) AS weight FROM (SELECT item_id AS question_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM benchmark) GROUP BY ALL),
+    post AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, dl, unnest(ts) AS term FROM sized) WHERE term IN (SELECT term FROM want) GROUP BY ALL), freq AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+    raw AS (SELECT question_id, doc_id, round(sum(weight * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS score FROM post JOIN freq USING (term) JOIN want USING (term) CROSS JOIN fig GROUP BY ALL)
+    SELECT question_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id) AS rank FROM raw) WHERE rank <= 10""",
+)
+def bm25_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
+    return bm25.batch_top(bm25.batch_scores(table(spark, sf_dir, "documents"), questions), 10)
+
+
 @query("highlights")
 def highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", bm25.highlights(F.col("text"), ["license", "version"]).alias("fragments")).filter(F.size("fragments") > 0)
@@ -198,6 +211,18 @@ def knn_post_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nearest(spark, sf_dir, 50, where=F.col("label") == 3, post_filter=True)
 
 
+@query(
+    "knn_batch",
+    """WITH u AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), n AS (SELECT vec_id, label, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS l FROM u),
+    s AS (SELECT q.vec_id AS question_id, c.vec_id, round(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) / (q.l * c.l), 6) AS score FROM n q JOIN n c ON q.label = 3)
+    SELECT question_id, vec_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10""",
+)
+def knn_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "embeddings")
+    queries = own.filter("label = 3").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("vector"))
+    return knn.batch_nearest(own, queries, 10)
+
+
 # --- fusion --------------------------------------------------------------------------------------------------------
 
 RRF = f"""WITH {BM25}, {KNN}, b AS (SELECT doc_id AS chunk_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM (SELECT * FROM scored ORDER BY score DESC, doc_id LIMIT 50)),

@@ -107,3 +107,25 @@ def highlights(text: Column, query_terms: list[str], size: int = 150, most: int
 def all_terms(text: Column, query_terms: list[str]) -> Column:
     """Whether every term occurs."""
     return F.size(F.array_except(F.array(*map(F.lit, query_terms)), tokens(text))) == 0 if query_terms else F.lit(True)
+
+
+def batch_scores(docs: DataFrame, questions: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(question_id, key, score) of many questions (question_id, question) in one plan.
+
+    Only words that some question has leave the scan, as counts; they meet the questions on the word, and a word's
+    document frequency comes from the same counts. Hot words are left to adaptive skew handling.
+    """
+    wanted = questions.select("question_id", F.explode(tokens(F.col("question"))).alias("term")).groupBy("question_id", "term").agg(F.count("*").alias("weight"))
+    sized = docs.select(F.col(key), tokens(F.col(text)).alias("tokens")).withColumn("dl", F.size("tokens"))
+    counts = sized.select(key, "dl", F.explode("tokens").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi").groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
+    frequency = counts.groupBy("term").agg(F.count("*").alias("df"))
+    rows = counts.join(frequency, "term").join(wanted, "term").crossJoin(F.broadcast(sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))))  # one row
+    part = F.col("weight") * idf(F.col("n"), F.col("df")) * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return rows.groupBy("question_id", key).agg(F.sum(part).alias("score"))
+
+
+def batch_top(scored: DataFrame, k: int, key: str = "doc_id", digits: int = 6) -> DataFrame:
+    """The k best documents of each question; ranks are limited before the shuffle too."""
+    rounded = scored.withColumn("score", F.round("score", digits))
+    rank = F.expr(f"row_number() OVER (PARTITION BY question_id ORDER BY score DESC, `{key}`)")
+    return rounded.withColumn("rank", rank).filter(F.col("rank") <= k)

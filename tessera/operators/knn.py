@@ -31,3 +31,46 @@ def nearest(chunks: DataFrame, query: list[float], k: int, where: Column | None
     if where is not None and post_filter:
         top = top.filter(where)
     return top.withColumn("rank", F.expr(f"row_number() OVER (ORDER BY score DESC, `{key}`)")).select(key, "score", "rank")  # at most k rows
+
+
+#: Queries that one pass holds as a matrix; more are answered in several passes.
+QUERY_BLOCK = 2048
+
+
+def batch_nearest(chunks: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", digits: int = 6) -> DataFrame:
+    """(question_id, key, score, rank) for a bounded set of queries (question_id, vector) against all rows.
+
+    The queries travel with the tasks as one matrix (``QUERY_BLOCK`` rows at most each); a batch of rows is one product,
+    and only its k best a query leave it. The exact order is then taken from rounded scores and keys.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    asked = queries.select("question_id", F.col("vector").cast("array<double>").alias("vector")).collect()  # the caller's own, bounded set
+    kind = chunks.schema[key].dataType.simpleString()
+    rows = chunks.select(key, F.col(vector).cast("array<double>").alias("vector"))
+    parts = []
+    for at in range(0, len(asked), QUERY_BLOCK):
+        block = asked[at : at + QUERY_BLOCK]
+        ids = np.array([r["question_id"] for r in block])
+        matrix = np.array([r["vector"] for r in block])
+        matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
+
+        def run(batches, ids=ids, matrix=matrix):
+            for batch in batches:
+                for start in range(0, len(batch), 4096):
+                    own = batch.slice(start, 4096)
+                    x = own.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1)
+                    score = np.round(matrix @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T, digits)
+                    bound = np.partition(score, max(score.shape[1] - k, 0), axis=1)[:, max(score.shape[1] - k, 0)]
+                    q, c = np.nonzero(score >= bound[:, None])  # with all ties: the key decides later
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[q]), own.column(0).take(pa.array(c)), pa.array(score[q, c])], ["question_id", key, "score"])
+
+        parts.append(rows.mapInArrow(run, f"question_id long, `{key}` {kind}, score double"))
+    if not parts:
+        return chunks.sparkSession.createDataFrame([], f"question_id long, `{key}` {kind}, score double, rank int")
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    rank = F.expr(f"row_number() OVER (PARTITION BY question_id ORDER BY score DESC, `{key}`)")
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
