@@ -102,12 +102,17 @@ class ToxicityModel:
 
 
 def without_copies(texts: list[str]) -> list[str]:
-    """One of the texts that share their least hashed word triple: copies and most near copies of one another."""
-    kept: dict[int, str] = {}
+    """The texts without those that share one of three least hashed word triples with an earlier one: copies and near copies."""
+    seen: set[tuple[int, int]] = set()
+    kept = []
     for text in texts:
         words = text.split()
-        kept.setdefault(min(zlib.crc32(" ".join(words[i : i + 3]).encode()) for i in range(max(1, len(words) - 2))), text)
-    return list(kept.values())
+        triples = np.array([zlib.crc32(" ".join(words[i : i + 3]).encode()) for i in range(max(1, len(words) - 2))], np.uint32)
+        keys = {(k, int((triples * np.uint32(factor)).min())) for k, factor in enumerate((1, 0x9E3779B1, 0x85EBCA77))}
+        if not keys & seen:
+            kept.append(text)
+        seen |= keys
+    return kept
 
 
 def spans_of(text: str) -> set[str]:
