@@ -23,15 +23,20 @@ def phrases(questions: DataFrame) -> DataFrame:
 
 def scored(questions: DataFrame, customers: DataFrame) -> DataFrame:
     """(question_id, customer_id, name, score, phrase): the best phrase for each customer; a hint wins ties."""
-    registry = customers.select(F.col("id").alias("customer_id"), "name", "aliases", "position")
+    aliases = F.coalesce("aliases", F.array().cast("array<string>"))
+    registry = customers.select(
+        F.col("id").alias("customer_id"), "name", "position", plain_name(F.replace("id", F.lit("-"), F.lit(" "))).alias("own_id"), plain_name(F.col("name")).alias("own_name"), F.transform(aliases, lambda a: plain_name(a)).alias("own_aliases")
+    )
+    named = phrases(questions).withColumn("plain", plain_name(F.col("phrase")))
+    distinct = named.select("plain").distinct()  # a phrase is compared once, however many questions hold it
     if customers.count() <= BROADCAST_ROWS:
-        pairs = phrases(questions).join(F.broadcast(registry))
+        pairs = distinct.join(F.broadcast(registry))
     else:  # a customer that shares no word with a phrase cannot pass the lowest band by tokens; ids and aliases are searched by word
-        names = F.array_append(F.concat(F.coalesce("aliases", F.array().cast("array<string>")), F.array("name")), F.replace("customer_id", F.lit("-"), F.lit(" ")))
-        words = registry.withColumn("word", F.explode(F.array_distinct(F.flatten(F.transform(names, lambda n: F.split(plain_name(n), " "))))))
-        pairs = phrases(questions).withColumn("word", F.explode(F.split(plain_name(F.col("phrase")), " "))).join(words, "word").drop("word").distinct()
-    best = pairs.withColumn("score", name_score(F.col("phrase"), F.col("customer_id"), F.col("name"), F.col("aliases")))
-    return best.groupBy("question_id", "customer_id", "name", "position").agg(F.max(F.struct("score", "is_hint", "phrase")).alias("best")).select("question_id", "customer_id", "name", "position", "best.score", "best.phrase")
+        words = F.split(F.concat_ws(" ", "own_id", "own_name", F.concat_ws(" ", "own_aliases")), " ")
+        pairs = distinct.withColumn("word", F.explode(F.split("plain", " "))).join(registry.withColumn("word", F.explode(F.array_distinct(words))), "word").drop("word").distinct()
+    scores = pairs.select("plain", "customer_id", "name", "position", name_score(F.col("plain"), F.col("own_id"), F.col("own_name"), F.col("own_aliases")).alias("score"))
+    best = F.max(F.struct("score", "is_hint", "phrase")).alias("best")
+    return named.join(scores, "plain").groupBy("question_id", "customer_id", "name", "position").agg(best).select("question_id", "customer_id", "name", "position", "best.score", "best.phrase")
 
 
 def resolved(scores: DataFrame, digits: int = 6) -> DataFrame:
