@@ -9,6 +9,7 @@ from tessera.catalog.base import DOCS, case, docs, query, table, text, values
 from tessera.functions import chunking, extract, similarity
 from tessera.functions import text as T
 from tessera.schemas import LIFECYCLE_LABELS
+from tessera.session import spread
 
 SQUEEZED = "lower(regexp_replace(regexp_replace(coalesce({0}, ''), '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g'))"
 PLAIN = f"trim(regexp_replace(regexp_replace(lower(translate({{0}}, '{T.ACCENTED}', '{T.PLAIN}')), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
@@ -31,7 +32,7 @@ def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {DOCS}, f AS (SELECT doc_id, sha256({SQUEEZED.format('title')} || chr(10) || chr(10) || {SQUEEZED.format('text')}) AS fp FROM docs) SELECT min(doc_id) AS first_id, count(*) AS copies FROM f GROUP BY fp HAVING count(*) > 1",
 )
 def fingerprint_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = docs(spark, sf_dir).select("doc_id", T.fingerprint(F.col("title"), F.col("text")).alias("fp"))
+    marked = spread(docs(spark, sf_dir)).select("doc_id", T.fingerprint(F.col("title"), F.col("text")).alias("fp"))
     return marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")).filter("copies > 1").drop("fp")
 
 
@@ -54,7 +55,7 @@ for _entity, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;",
 
 @query("html_text", f"SELECT page_id, regexp_replace(regexp_replace({HTML}, '[ \\t\\r]*\\n\\s*', chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS text FROM pages")
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", T.html_to_text(F.col("html")).alias("text"))
+    return spread(table(spark, sf_dir, "pages")).select("page_id", T.html_to_text(F.col("html")).alias("text"))
 
 
 @query("url_parts", "SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages")

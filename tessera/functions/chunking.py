@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
+from tessera.session import spread
+
 SENTENCE_SIZE, SENTENCE_OVERLAP = 1500, 200
 CODE_SIZE, CODE_OVERLAP = 2000, 200
 DOCUMENT_LIMIT, SMALL = 80_000, 200
@@ -139,7 +141,7 @@ def chunked(df: DataFrame, splitter: str, text: str = "text", key: str = "doc_id
 
     kind = df.schema[key].dataType.simpleString()
     own = F.col(extension) if extension else F.lit(None).cast("string")
-    return df.select(key, text, own.alias("__extension")).mapInArrow(run, f"`{key}` {kind}, chunk_index int, chunk_text string")
+    return spread(df.select(key, text, own.alias("__extension"))).mapInArrow(run, f"`{key}` {kind}, chunk_index int, chunk_text string")
 
 
 @udtf(returnType=StructType([StructField("chunk_index", IntegerType()), StructField("chunk_text", StringType())]))

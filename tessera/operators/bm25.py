@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import TOKEN, tokens
+from tessera.session import spread
 
 K1, B = 1.2, 0.75
 DECAY_SCALE_MS, DECAY = 2_592_000_000, 0.5
@@ -27,7 +28,7 @@ def counted(docs: DataFrame, terms: list[str], key: str = "doc_id", text: str =
         tf = F.transform(F.array(hits), lambda own: F.array(*(F.size(F.filter(own, _is(w))) for w in terms)))[0]  # bound, so that the texts are read once
     else:
         tf = F.array().cast("array<int>")
-    return docs.select(F.col(key), F.regexp_count(lower, F.lit(TOKEN)).alias("dl"), tf.alias("tf")).repartition(F.col(key))
+    return spread(docs.select(key, text)).select(F.col(key), F.regexp_count(lower, F.lit(TOKEN)).alias("dl"), tf.alias("tf")).repartition(F.col(key))
 
 
 def _is(term: str):
@@ -75,7 +76,7 @@ def edits(term: str) -> int:
 
 def expansions(docs: DataFrame, query_terms: list[str], text: str = "text") -> DataFrame:
     """(query_term, term, distance): vocabulary near each query term, the nearest ``FUZZY_EXPANSIONS`` of each."""
-    vocabulary = docs.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    vocabulary = spread(docs.select(text)).select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     wanted = F.array(*(F.struct(F.lit(t).alias("query_term"), F.lit(edits(t)).alias("k")) for t in sorted(set(query_terms))))
     near = vocabulary.select("term", "df", F.inline(F.filter(wanted, lambda w: (F.abs(F.length("term") - F.length(w["query_term"])) <= w["k"]))))
     found = near.withColumn("distance", F.expr("levenshtein(term, query_term, k)")).filter("distance >= 0")
@@ -116,7 +117,7 @@ def batch_scores(docs: DataFrame, questions: DataFrame, key: str = "doc_id", tex
     document frequency comes from the same counts. Hot words are left to adaptive skew handling.
     """
     wanted = questions.select("question_id", F.explode(tokens(F.col("question"))).alias("term")).groupBy("question_id", "term").agg(F.count("*").alias("weight"))
-    sized = docs.select(F.col(key), tokens(F.col(text)).alias("tokens")).withColumn("dl", F.size("tokens"))
+    sized = spread(docs.select(key, text)).select(F.col(key), tokens(F.col(text)).alias("tokens")).withColumn("dl", F.size("tokens"))
     counts = sized.select(key, "dl", F.explode("tokens").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi").groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
     frequency = counts.groupBy("term").agg(F.count("*").alias("df"))
     rows = counts.join(frequency, "term").join(wanted, "term").crossJoin(F.broadcast(sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))))  # one row

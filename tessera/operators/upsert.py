@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import fingerprint
+from tessera.session import spread
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -40,7 +41,7 @@ def surplus_chunks(stored: DataFrame, fresh: DataFrame) -> DataFrame:
 
 def changed(incoming: DataFrame, stored: DataFrame, key: str = "doc_id") -> DataFrame:
     """Incoming documents whose fingerprint is new or differs from the stored one; others are neither split nor embedded again."""
-    marked = incoming.withColumn("fingerprint", fingerprint(F.col("title"), F.col("content")))
+    marked = spread(incoming).withColumn("fingerprint", fingerprint(F.col("title"), F.col("content")))
     known = stored.select(key, F.col("fingerprint").alias("known"))
     return marked.join(known, key, "left").filter(~F.col("fingerprint").eqNullSafe(F.col("known"))).drop("known")
 

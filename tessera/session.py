@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **settings: str) -> SparkSession:
@@ -21,3 +21,17 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **setting
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+#: Bytes a core below which a table is dealt anew before heavy work on its text.
+SMALL = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a table over all cores if the planner puts it under ``SMALL`` bytes a core: a few files would keep most cores idle.
+
+    Anything larger stays where it lies, so no large text is ever shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SMALL else df
