@@ -30,4 +30,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_license_scan": op10_license_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: All pairs that share a shingle, counted and closed into groups: exact, and quick enough for the small tables.
+NGRAM_JOIN_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+  WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, '|' ORDER BY g)) AS k FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 9 * c >= 4 * (nx.n + ny.n)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+reach(doc_id, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.y, reach.r FROM reach JOIN e ON e.x = reach.doc_id),
+groups AS (SELECT doc_id, min(r) AS class_id FROM reach GROUP BY doc_id),
+links AS (SELECT x AS doc_id, count(*) AS n_links FROM e GROUP BY x),
+copies AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY k) AS copy_id FROM n)
+SELECT d.doc_id, g.class_id, coalesce(c.copy_id, d.doc_id) AS copy_id, coalesce(n_links, 0) AS n_links
+FROM documents d JOIN groups g USING (doc_id) LEFT JOIN links USING (doc_id) LEFT JOIN copies c USING (doc_id)"""
+
+ORACLE_SQL: dict[str, str] = {"op3_ngram_join": NGRAM_JOIN_SQL}

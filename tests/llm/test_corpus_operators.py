@@ -62,6 +62,18 @@ def test_join_is_brute_force(spark):
     assert {k: r.n_links for k, r in out.items()} == links and {k: r.class_id for k, r in out.items()} == group
 
 
+def test_join_is_its_sql(spark):
+    import duckdb
+
+    from tessera.llm.queries import ORACLE_SQL
+
+    own = duckdb.connect()
+    own.execute(f"CREATE VIEW documents AS SELECT * FROM '{LARGER}/documents.parquet'")
+    result = own.execute(ORACLE_SQL["op3_ngram_join"])
+    names = [d[0] for d in result.description]
+    assert sorted(result.fetchall()) == sorted(tuple(r[c] for c in names) for r in ngram_join.op3_ngram_join(spark, LARGER).collect())
+
+
 def test_join_of_large_groups(spark):
     """Exact copies, and more near copies than a block holds, some linked only through others."""
     rnd = random.Random(7)
