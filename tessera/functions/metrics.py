@@ -32,8 +32,7 @@ def reciprocal_rank(expected: Column, actual: Column) -> Column:
 
 def judge_score(reply: Column) -> Column:
     """The first of 0, 1, 2 in a judge's reply, else -1."""
-    digit = F.regexp_extract(reply, "[012]", 0)
-    return F.when(digit == "", F.lit(-1)).otherwise(F.try_element_at(F.split(digit, ","), F.lit(1)).try_cast("int") if hasattr(Column, "try_cast") else digit.cast("int"))
+    return F.coalesce(F.nullif(F.regexp_extract(reply, "[012]", 0), F.lit("")).cast("int"), F.lit(-1))
 
 
 def counted_mean(value: Column) -> Column:
