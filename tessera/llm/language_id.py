@@ -182,4 +182,5 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; the others go."""
     model = fit(docs.filter(id_remainder(F.col("doc_id"), 4) != 2))
-    return identify(docs, model, docs.columns).filter("NOT rejected").select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), "text")  # whatever the columns are called, they do not meet the results
+    return identify(rows, model, ["row"]).filter("NOT rejected").select("row.*")

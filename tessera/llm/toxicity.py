@@ -211,4 +211,5 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted to be toxic; the others go."""
-    return score(docs, trained(spark, docs, sf_dir), docs.columns).filter("predicted = 0").select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), "text")  # whatever the columns are called, they do not meet the results
+    return score(rows, trained(spark, docs, sf_dir), ["row"]).filter("predicted = 0").select("row.*")

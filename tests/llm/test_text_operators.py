@@ -426,6 +426,15 @@ def test_media_query(spark, odd, empty):
     assert jpeg_media.store_texts(empty).count() == 0
 
 
+def test_stages_keep_clashing_columns(spark, odd, empty):
+    for stage in (toxicity.toxicity_stage, language_id.language_stage):
+        for rows in (odd, empty):
+            named = rows.withColumnsRenamed({"ids": "lang_pred", "tokens": "rejected", "source": "row"})
+            out = stage(spark, named, LARGER)
+            assert out.columns == named.columns and out.dtypes == named.dtypes
+            assert {tuple(r) for r in out.collect()} <= {tuple(r) for r in named.collect()}
+
+
 def test_letters(spark):
     rows = spark.createDataFrame([("Ab-Cd 1é!",), (None,), ("42",)], "t string").select(letters_only(F.col("t"))).collect()
     assert [r[0] for r in rows] == [" ab cd é ", "", ""]
