@@ -30,6 +30,7 @@ CONTEXT = 3
 #: Characters that a match may look at beyond its end.
 AHEAD = 3
 CACHE_WORDS = 700_000
+TREE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("pieces", pa.list_(pa.string())), ("counts", pa.list_(pa.int32())), ("n_tokens", pa.int64()), ("recounted_chars", pa.int64())])
 
 
 class TokenCounter:
@@ -211,6 +212,49 @@ def count_edited(docs: DataFrame, edits: Column, path: str, pattern: str) -> Dat
     return docs.select("doc_id", "text", edits.alias("edits")).mapInArrow(run, "doc_id long, tokens_before long, n_edits long, n_tokens long, n_chars long, recounted_chars long")
 
 
+TREES = "doc_id long, pieces array<string>, counts array<int>"
+
+
+def kept_trees(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """(doc_id, pieces, counts): the leaves of every document's tree, to be stored between rounds of edits."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = counter(path, pattern)
+        for batch in batches:
+            for rows, texts in text_slices(batch):
+                split = [own.pattern.findall(t) for t in texts]
+                own.learn(split, may_clear=True)
+                counts = [list(map(own.cache.__getitem__, pieces)) for pieces in split]
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(split, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int32()))], ["doc_id", "pieces", "counts"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, TREES)
+
+
+def edited_trees(trees: DataFrame, edits: DataFrame, path: str, pattern: str) -> DataFrame:
+    """The trees after ``edits`` (doc_id, seq, start, stop, replacement), with n_tokens and recounted_chars.
+
+    Only trees that have edits meet Python code that counts; what an edit does not touch keeps its stored counts.
+    """
+    listed = edits.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "start", "stop", "replacement"))).alias("edits"))  # a document's edits of one round
+    rows = trees.join(listed, "doc_id", "left").select("doc_id", "pieces", "counts", "edits")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = counter(path, pattern)
+        for batch in batches:
+            for at in range(len(batch)):
+                row = batch.slice(at, 1).to_pylist()[0]
+                if len(own.cache) > own.cache_words:
+                    own.cache.clear()
+                own.cache.update(zip(row["pieces"], row["counts"], strict=True))
+                tree = CountedText(row["pieces"], own)
+                for edit in row["edits"] or ():
+                    tree.edit(edit["start"], edit["stop"], edit["replacement"] or "")
+                pieces = [p for leaf in tree.leaves for p in leaf]
+                yield pa.RecordBatch.from_pylist([{"doc_id": row["doc_id"], "pieces": pieces, "counts": [own.cache[p] for p in pieces], "n_tokens": tree.n_tokens, "recounted_chars": tree.recounted}], schema=TREE_SCHEMA)
+
+    return rows.mapInArrow(run, f"{TREES}, n_tokens long, recounted_chars long")
+
+
 def sample_edits(text: Column) -> Column:
     """Five edits that any text takes: words replaced at a third, a break put in at two thirds, the first word cut, text appended, a join."""
     n = F.coalesce(F.length(text), F.lit(0)).cast("long")

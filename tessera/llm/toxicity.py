@@ -1,12 +1,12 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained: one on the windows of ordinary text, one on the spans that toxic texts share
-and ordinary texts do not explain (words and beginnings of words whose document frequency is significantly higher among the toxic texts of the
-sample, by a likelihood-ratio test). The toxic compressor gets the ordinary dictionary behind its own, so both price
-ordinary wording alike and a window is shorter under the toxic one only if it holds a toxic span. Every text is cut
-into windows of ``WINDOW`` words; its features are the largest and second largest differences of compressed length. A
-logistic curve, fitted on texts that trained neither
-dictionary, calibrates them to a probability with its threshold at 0.5.
+and ordinary texts do not explain (words and beginnings of words whose document frequency is significantly higher among
+the toxic texts of the sample, by a likelihood-ratio test). The toxic compressor gets the ordinary dictionary behind its
+own, so both price ordinary wording alike and a window is shorter under the toxic one only if it holds a toxic span.
+Every text is cut into windows of ``WINDOW`` words; its features are the largest and second largest differences of
+compressed length, and whether the largest is that of a whole span. A logistic curve, fitted on texts that trained
+neither dictionary, calibrates them to a probability with its threshold at 0.5.
 
 Null texts, empty texts and texts without letters have no window: their score is the curve at zero difference. With no
 toxic or no ordinary labelled text every score is 0. Labels that are null or belong to no document are ignored; a

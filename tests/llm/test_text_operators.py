@@ -200,6 +200,22 @@ def test_edits_recount_little(spark, reference, odd, empty):
     assert token_counts.count_edited(empty, token_counts.sample_edits(F.col("text")), path, P.PATTERN).count() == 0
 
 
+def test_kept_trees_take_rounds_of_edits(spark, reference):
+    path = P.path("byte_bpe_50k.tiktoken")
+    texts = {1: "some words, and more of them. " * 200, 2: "", 3: "untouched text"}
+    docs = spark.createDataFrame([*texts.items(), (4, None)], "doc_id long, text string")
+    trees = token_counts.kept_trees(docs, path, P.PATTERN)
+    rounds = [[(1, 0, 5, 9, "X"), (1, 1, 4000, 4000, " tail's"), (2, 0, 0, 0, "new")], [(2, 0, 1, 2, "ee"), (1, 0, 0, 100, None)]]
+    for edits in rounds:
+        trees = token_counts.edited_trees(trees.select("doc_id", "pieces", "counts"), spark.createDataFrame(edits, "doc_id long, seq int, start long, stop long, replacement string"), path, P.PATTERN)
+        for doc_id, _, start, stop, replacement in edits:
+            text = texts[doc_id]
+            texts[doc_id] = text[: min(start, len(text))] + (replacement or "") + text[min(stop, len(text)) :]
+    out = {r.doc_id: r for r in trees.collect()}
+    assert all("".join(out[k].pieces) == t and out[k].n_tokens == sum(out[k].counts) == len(reference.encode_ordinary(t)) for k, t in texts.items())
+    assert out[3].recounted_chars == 0 and 0 < out[1].recounted_chars < 300 and out[4].n_tokens == 0
+
+
 def test_edit_query(spark, reference):
     rows = token_counts.op4_token_counts(spark, SMALL).collect()
     text = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
