@@ -54,7 +54,16 @@ def bm25_fuzzy_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.expansions(docs(spark, sf_dir), FUZZY_TERMS)
 
 
-@query("bm25_fuzzy")
+NEAR = FUZZY[: FUZZY.rindex("SELECT query_term, term, CAST")] + ", near_terms AS (SELECT term, count(*) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY query_term ORDER BY distance, df DESC, term) AS place FROM dist WHERE distance <= k) WHERE place <= 50 GROUP BY term)"
+
+
+@query(
+    "bm25_fuzzy",
+    f"""{NEAR}, sized AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS ts FROM docs), fig AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM sized),
+    post AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(ts) AS dl, unnest(ts) AS term FROM sized) WHERE term IN (SELECT term FROM near_terms) GROUP BY ALL), freq AS (SELECT term, count(*) AS df FROM post GROUP BY term)
+    SELECT doc_id, round(sum(weight * ln(1 + (n - freq.df + 0.5) / (freq.df + 0.5)) * tf / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS score
+    FROM post JOIN freq USING (term) JOIN near_terms USING (term) CROSS JOIN fig GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 50""",
+)
 def bm25_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.page(bm25.fuzzy_scores(docs(spark, sf_dir), FUZZY_TERMS).withColumn("score", F.round("score", 6)), 50)
 

@@ -68,6 +68,11 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
+def bounded(pattern: str) -> str:
+    """The pattern for an engine whose word boundary knows ASCII only."""
+    return text(pattern.replace(r"(?i)\b", r"(?i)(?:^|[^\p{L}\p{N}_])"))
+
+
 # --- questions: conversation turns and literal ones ------------------------------------------------------------------
 
 QUESTIONS = [
@@ -127,11 +132,6 @@ def intent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked(spark, sf_dir).select("id", extract.intent(F.col("q")).alias("intent"), extract.operational(F.col("q")).alias("operational"))
 
 
-def bounded(pattern: str) -> str:
-    """The pattern for an engine whose word boundary knows ASCII only."""
-    return text(pattern.replace(r"(?i)\b", r"(?i)(?:^|[^\p{L}\p{N}_])"))
-
-
 @query(
     "entity_ids",
     f"WITH {ASKED} SELECT id, array_to_string(list_concat(regexp_extract_all(q, {bounded(extract.ORDER_ID)}, 1), list_transform(regexp_extract_all(q, {bounded(extract.ROBOT_ID)}, 1), lambda r: 'robot:' || r)), ',') AS ids FROM asked",
@@ -148,7 +148,20 @@ def product_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked(spark, sf_dir).select("id", extract.product_hint(F.col("q")).alias("product"))
 
 
-@query("customer_hint")
+_HINT = "n"
+for _product in extract.PRODUCTS:
+    for _form in dict.fromkeys([_product, _product.replace("-", " ")]):
+        _HINT = f"replace({_HINT}, {text(_form)}, '')"
+
+
+@query(
+    "customer_hint",
+    f"""WITH {ASKED}, h AS (SELECT id, string_split_regex(trim(regexp_extract(q, {bounded(extract.CUSTOMER_HINT)}, 1)), '\\s+') AS ws FROM asked),
+    c AS (SELECT id, ws, list_position(list_transform(ws, lambda w: list_contains([{', '.join(map(text, extract.STOPWORDS))}], lower(w))), true) AS stop_at FROM h),
+    k AS (SELECT id, array_to_string(CASE WHEN stop_at > 0 THEN list_slice(ws, 1, stop_at - 1) ELSE ws END, ' ') AS kept FROM c),
+    m AS (SELECT id, regexp_replace(regexp_replace(kept, {text(extract.HINT_NOISE)}, '', 'g'), '^[ ,.]+|[ ,.]+$', '', 'g') AS n FROM k)
+    SELECT id, nullif(regexp_replace({_HINT}, '^[ ,.]+|[ ,.]+$', '', 'g'), '') AS hint FROM m""",
+)
 def customer_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked(spark, sf_dir).select("id", extract.customer_hint(F.col("q")).alias("hint"))
 
