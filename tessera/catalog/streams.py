@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.catalog.base import DOCS, docs, query, table
+from tessera.catalog.texts import chunk_end
 from tessera.streaming import indexing, stateful
 
 
@@ -47,7 +48,13 @@ def index_batch_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indexing.processed(_events(spark, sf_dir), None, None, F.lit(0)).documents.select("doc_id", "tenant_id", "index_name")
 
 
-@query("index_batch_chunks")
+@query(
+    "index_batch_chunks",
+    f"""WITH RECURSIVE {DOCS}, d AS (SELECT doc_id, tier, tenant_id, regexp_replace(coalesce(title, '') || chr(10) || chr(10) || text, '^\\s+|\\s+$', '', 'g') AS t FROM docs WHERE trim(coalesce(text, '')) <> ''),
+    c(doc_id, t, first, last) AS (SELECT doc_id, t, CAST(0 AS BIGINT), {chunk_end("0")} FROM d UNION ALL SELECT doc_id, t, last - 200, {chunk_end("(last - 200)")} FROM c WHERE last < length(t) AND last > 200),
+    p AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY first) - 1 AS i FROM c WHERE trim(substr(t, first + 1, last - first)) <> '')
+    SELECT doc_id || '-chunk-' || i AS chunk_id, CASE WHEN tier = 'ENTERPRISE' THEN 'chunks-' || lower(tenant_id) ELSE 'chunks-shared' END AS index_name, 64 AS dimensions, 'hashed-words-1' AS embedding_version FROM p JOIN d USING (doc_id)""",
+)
 def index_batch_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.functions.embedding import hashed_words
 

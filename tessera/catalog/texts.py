@@ -340,12 +340,35 @@ def chunk_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.decision_chunks(F.col("text"))).alias("chunk_index", "chunk_text"))
 
 
-@query("chunk_sentence")
+def chunk_end(start: str) -> str:
+    sentences = f"length(regexp_extract(substr(t, {start} + 1, 1500), '(?s)^.*[.?!]', 0))"
+    return f"CASE WHEN {start} + 1500 >= length(t) THEN length(t) WHEN {sentences} >= 751 THEN {start} + {sentences} ELSE {start} + 1500 END"
+
+
+@query(
+    "chunk_sentence",
+    f"""WITH RECURSIVE d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS t FROM documents),
+    c(doc_id, t, first, last) AS (SELECT doc_id, t, CAST(0 AS BIGINT), {chunk_end("0")} FROM d WHERE length(t) > 0 UNION ALL SELECT doc_id, t, last - 200, {chunk_end("(last - 200)")} FROM c WHERE last < length(t) AND last > 200),
+    p AS (SELECT doc_id, first, regexp_replace(substr(t, first + 1, last - first), '^\\s+|\\s+$', '', 'g') AS chunk_text FROM c)
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY first) - 1 AS INTEGER) AS chunk_index, chunk_text FROM p WHERE chunk_text <> ''""",
+)
 def chunk_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunked(table(spark, sf_dir, "documents"), "sentence")
 
 
-@query("chunk_code")
+def _code_end(start: str) -> str:
+    lines = f"length(regexp_extract(substr(t, {start} + 1, 2000), '(?s)^.*\\n', 0))"
+    return f"CASE WHEN {start} + 2000 >= length(t) THEN length(t) WHEN {lines} >= 1001 THEN {start} + {lines} - 1 ELSE {start} + 2000 END"
+
+
+@query(
+    "chunk_code",
+    f"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+    c(doc_id, t, first, last) AS (SELECT doc_id, t, CAST(0 AS BIGINT), {_code_end("0")} FROM d WHERE length(t) > 0
+      UNION ALL SELECT doc_id, t, greatest(last - 200, first + 1), {_code_end("greatest(last - 200, first + 1)")} FROM c WHERE last < length(t)),
+    p AS (SELECT doc_id, first, regexp_replace(substr(t, first + 1, last - first), '^\\s+|\\s+$', '', 'g') AS chunk_text FROM c)
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY first) - 1 AS INTEGER) AS chunk_index, chunk_text FROM p WHERE chunk_text <> ''""",
+)
 def chunk_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunked(table(spark, sf_dir, "documents").withColumn("ext", F.lit(".txt")), "source", extension="ext")
 

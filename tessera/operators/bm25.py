@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +26,7 @@ def counted(docs: DataFrame, terms: list[str], key: str = "doc_id", text: str =
     """
     lower = F.lower(F.coalesce(F.col(text), F.lit("")))
     if terms:
-        hits = F.regexp_extract_all(lower, F.lit(_word("(" + "|".join(terms) + ")")), F.lit(1))
+        hits = F.regexp_extract_all(lower, F.lit(_word("(" + "|".join(map(re.escape, terms)) + ")")), F.lit(1))
         tf = F.transform(F.array(hits), lambda own: F.array(*(F.size(F.filter(own, _is(w))) for w in terms)))[0]  # bound, so that the texts are read once
     else:
         tf = F.array().cast("array<int>")
@@ -97,7 +99,7 @@ def decayed(score: Column, created_at: Column, as_of: Column) -> Column:
 
 def highlights(text: Column, query_terms: list[str], size: int = 150, most: int = 2) -> Column:
     """The fragments with most hits, hits marked; an empty array without any."""
-    terms = "|".join(sorted(query_terms, key=lambda t: (-len(t), t)))
+    terms = "|".join(re.escape(t) for t in sorted(query_terms, key=lambda t: (-len(t), t)))
     pattern = rf"(?i)(?<![\p{{L}}\p{{N}}])({terms})(?![\p{{L}}\p{{N}}])"
     pieces = F.regexp_extract_all(text, F.lit(rf"(?s)\S.{{0,{size - 1}}}(?=\s|$)|\S{{1,{size}}}"), F.lit(0))
     counted = F.transform(pieces, lambda p, i: F.struct((-F.regexp_count(p, F.lit(pattern))).alias("hits"), i.alias("place"), p.alias("piece")))
