@@ -215,6 +215,6 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each group, the one with the least doc_id; a row that repeats it goes too."""
     out = join(docs).filter("doc_id <> class_id").select("doc_id", "text_hash").distinct()
     kept = docs.withColumn("__hash", F.xxhash64("text")).join(out.withColumnRenamed("text_hash", "__hash"), ["doc_id", "__hash"], "left_anti")
-    order = ", ".join(f"`{c}`" for c in docs.columns if c not in ("doc_id", "text"))
+    order = ", ".join(f"`{c}`" for c in docs.columns if c not in ("doc_id", "text") and docs.schema[c].dataType.typeName() not in ("map", "variant"))
     repeat = F.expr(f"row_number() OVER (PARTITION BY doc_id, __hash ORDER BY {order or 'doc_id'})")
     return kept.withColumn("__row", repeat).filter("__row = 1 OR doc_id IS NULL").select(*docs.columns)
