@@ -1,12 +1,12 @@
 """URL filters by path-template trees.
 
 Every path becomes its segments, with numbers, hashes and mixed identifiers replaced by their shape. A tree of these
-is grown for each host, level by level, on counts and never on pages: where a branch has more than ``BRANCHES``
-children, those with less than that share become a wildcard; then children whose spread over the next level and whose
-labels do not differ significantly (a likelihood-ratio test) are merged into one. After that a branch has a bounded
-number of children, so the merge of a branch is a small task whatever its host weighs. Labels are the verdicts of the
-listed rules on the pages they fit; a template is rejected if the smoothed share of block labels among its labelled
-pages reaches ``PURITY``. A page's verdict is its rule's, else its template's.
+is grown for each host, level by level, on counts and never on pages: children whose spread over the next level and
+whose labels do not differ significantly (a likelihood-ratio test) are merged into one, whatever their number and
+weight. A merged child of more than ``BRANCHES`` segments is written as a wildcard. Children of a branch with the same
+counts (their profile) are one row of its merge, so a branch with very many small children is still a small task. Labels
+are the verdicts of the listed rules on the pages they fit; a template is rejected if the smoothed share of block labels
+among its labelled pages reaches ``PURITY``. A page's verdict is its rule's, else its template's.
 
 A null url or one without ``://`` has an empty host and path; it belongs to the template of that empty path. Repeated
 rows get equal results; extra columns are ignored; an empty table gives no rows.
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.columnar import stored
 
+#: Segments that a template spells out at one level; more are a wildcard that names the least of them.
 BRANCHES = 16
 #: Levels of the tree; deeper segments are one wildcard.
 DEPTH = 6
@@ -99,29 +100,42 @@ def alike(a: tuple[dict, dict], b: tuple[dict, dict]) -> bool:
     return all(g <= CONSTANT + PER_DEGREE * d for g, d in (ratio(x, y) for x, y in zip(a, b, strict=True) if x and y))
 
 
-def merge(children: pd.DataFrame) -> pd.DataFrame:
-    """Names of the merged children of one branch; rows are (segment, next, n, labelled, blocked)."""
-    found: dict[str, tuple[dict, dict]] = {}
-    for r in children.sort_values(["segment", "next"]).itertuples():
-        spread, labels = found.setdefault(r.segment, ({}, {}))
-        spread[r.next] = spread.get(r.next, 0) + r.n
-        for name, count in (("block", r.blocked), ("allow", r.labelled - r.blocked)):
-            if count:
-                labels[name] = labels.get(name, 0) + count
-    groups: list[tuple[list[str], tuple[dict, dict]]] = []
-    for segment, own in sorted(found.items(), key=lambda x: (-sum(x[1][0].values()), x[0])):
-        for names, pooled in groups:
-            if segment != "" and names[0] != "" and alike(pooled, own):
-                names.append(segment)
-                for total, part in zip(pooled, own, strict=True):
-                    for key, count in part.items():
-                        total[key] = total.get(key, 0) + count
+def merge(profiles: pd.DataFrame) -> pd.DataFrame:
+    """Groups of the merged children of one branch; rows are (profile, ends, kinds, least): a profile and its children.
+
+    Each group is named by the least segment of its first profile and comes with its number of segments.
+    """
+    groups: list[tuple[list[int], tuple[dict, dict]]] = []
+    found = []
+    for at, r in enumerate(profiles.itertuples()):
+        spread: dict[str, int] = {}
+        labels: dict[str, int] = {}
+        for entry in r.profile.split(","):
+            key, *counts = entry.split(":")
+            n, labelled, blocked = map(int, counts)
+            spread[key] = n
+            for name, count in (("block", blocked), ("allow", labelled - blocked)):
+                if count:
+                    labels[name] = labels.get(name, 0) + count
+        found.append((-sum(spread.values()), r.least, at, spread, labels))
+    ends, kinds, least = profiles["ends"].to_numpy(), profiles["kinds"].to_numpy(), profiles["least"].to_numpy()
+    for _, _, at, *own in sorted(found, key=lambda x: x[:2]):
+        for members, pooled in groups:
+            if not ends[at] and not ends[members[0]] and alike(pooled, own):
                 break
         else:
-            groups.append(([segment], ({**own[0]}, {**own[1]})))
-    rows = [(segment, "|".join(sorted(names))) for names, _ in groups for segment in names]
-    first = children.iloc[0]
-    return pd.DataFrame({"host": first["host"], "prefix": first["prefix"], "segment": [s for s, _ in rows], "merged": [m for _, m in rows]})
+            members, pooled = [], ({}, {})
+            groups.append((members, pooled))
+        members.append(at)
+        for total, part in zip(pooled, own, strict=True):
+            for key, count in part.items():
+                total[key] = total.get(key, 0) + count * int(kinds[at])
+    out = profiles[["host", "prefix", "ends", "profile"]].copy()
+    for members, _ in groups:
+        rows = out.index[members]
+        out.loc[rows, "group"] = least[members[0]]
+        out.loc[rows, "members"] = int(kinds[members].sum())
+    return out.astype({"members": "int64"})
 
 
 def templates(pages: DataFrame) -> DataFrame:
@@ -130,25 +144,24 @@ def templates(pages: DataFrame) -> DataFrame:
     tree = stored(counted.withColumn("prefix", F.lit("")), "paths")
     depth = tree.agg(F.max(F.size("segments"))).first()[0] or 0
     for level in range(depth):
+        following = F.regexp_replace(F.get("segments", F.lit(level + 1)), r"^(?!\{[nhx]\}(\.|$)|\*\*$)[\s\S]+", "w")
         here = tree.withColumns(
             {
                 "segment": F.coalesce(F.get("segments", F.lit(level)), F.lit("")),
-                "next": F.coalesce(F.regexp_replace(F.regexp_replace(F.get("segments", F.lit(level + 1)), r"^[^{*]+$", "w"), r"\..*", ".*"), F.lit("")),
+                "next": F.coalesce(F.regexp_replace(following, r"\.[\s\S]*", ".*"), F.lit("")),
             }
         )
-        children = here.groupBy("host", "prefix", "segment").agg(F.sum("n").alias("n"))
-        branches = children.groupBy("host", "prefix").agg(F.count("*").alias("kinds"), F.sum("n").alias("all"))
-        rare = stored(
-            children.join(branches, ["host", "prefix"]).filter(f"kinds > {BRANCHES} AND n * {BRANCHES} < all AND segment <> ''").select("host", "prefix", "segment", F.lit("*").alias("wild")), "rare"
-        )
-        general = stored(
-            here.join(rare, ["host", "prefix", "segment"], "left").withColumn("segment", F.coalesce("wild", "segment")).select("host", "segments", "n", "labelled", "blocked", "prefix", "segment", "next"),
-            "level",
-        )
-        sums = general.groupBy("host", "prefix", "segment", "next").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
-        names = stored(sums.groupBy("host", "prefix").applyInPandas(merge, "host string, prefix string, segment string, merged string"), "merged")
-        grown = F.when(F.col("merged") == "", F.col("prefix")).otherwise(F.concat("prefix", F.lit("/"), "merged"))
-        tree = stored(general.join(names, ["host", "prefix", "segment"]).select("host", "segments", "n", "labelled", "blocked", grown.alias("prefix")), "tree")
+        sums = here.groupBy("host", "prefix", "segment", "next").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
+        entries = F.sort_array(F.collect_list(F.concat_ws(":", "next", "n", "labelled", "blocked")))  # a few kinds of next
+        children = stored(sums.groupBy("host", "prefix", "segment").agg(F.array_join(entries, ",").alias("profile")).withColumn("ends", F.col("segment") == ""), "children")
+        profiles = children.groupBy("host", "prefix", "ends", "profile").agg(F.count("*").alias("kinds"), F.min("segment").alias("least"))
+        merged = stored(profiles.groupBy("host", "prefix").applyInPandas(merge, "host string, prefix string, ends boolean, profile string, group string, members long"), "merged")
+        names = stored(children.join(merged, ["host", "prefix", "ends", "profile"]).select("host", "prefix", "segment", "group", "members"), "names")
+        spelled = names.filter(f"members <= {BRANCHES}").groupBy("host", "prefix", "group").agg(F.array_join(F.sort_array(F.collect_list("segment")), "|").alias("spelled"))
+        grown = F.coalesce("spelled", F.concat(F.lit("*("), "group", F.lit(")")))
+        grown = F.when(F.col("segment") == "", F.col("prefix")).otherwise(F.concat("prefix", F.lit("/"), grown))
+        joined = here.join(names, ["host", "prefix", "segment"]).join(stored(spelled, "spelled"), ["host", "prefix", "group"], "left")
+        tree = stored(joined.select("host", "segments", "n", "labelled", "blocked", grown.alias("prefix")), "tree")
     purity = tree.groupBy("host", "prefix").agg(((F.sum("blocked") + WEIGHT * PRIOR) / (F.sum("labelled") + WEIGHT)).alias("purity"))
     return tree.select("host", "segments", "prefix").join(stored(purity, "purity"), ["host", "prefix"]).select("host", "segments", F.col("prefix").alias("template"), "purity")
 

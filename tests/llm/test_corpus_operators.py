@@ -174,6 +174,18 @@ def test_url_templates_generalise_and_reject(spark):
     assert len({out[i].template for i in range(2000, 2400)}) <= 3 and all(out[i].verdict == "allow" for i in range(2000, 2400))
 
 
+def test_url_small_blocked_section_stays_apart(spark):
+    """Of 40 sections of a host one small one is blocked by rule: the others do not share its template."""
+    names = [f"s{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(39)]
+    rows = [(100 * k + i, f"http://a.example.com/{name}/{i}") for k, name in enumerate(names) for i in range(12)]
+    rows += [(9000 + i, f"http://a.example.com/de/{i}") for i in range(3)] + [(9100 + i, f"http://a.example.com/{name}/x{i}y/home") for i, name in enumerate(["ua", "ub", "uc"] * 4)]
+    out = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert len(out) == len(rows) and all(out[9000 + i].verdict == "block" and out[9000 + i].purity >= url_filter.PURITY for i in range(3))
+    assert all(r.verdict == "allow" and r.purity < url_filter.PURITY for k, r in out.items() if r.rule is None)
+    sections = {out[100 * k].template for k in range(39)}
+    assert len(sections) == 1 and out[9000].template not in sections and out[9100].template not in sections  # alike or not
+
+
 def test_url_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "no scheme"), (4, "HTTP://EXAMPLE.net"), (5, "http://net/"), (6, "https://x.Example.COM/de/1#a"), (7, "http://a.org/fr/"), (7, "http://a.org/fr/"), (8, "http://badnet/"), (9, "http://example.net/en/" + "x/" * 5000), (None, "a://b?c://d")]
     pages = spark.createDataFrame([(i, u, "h", "p", "r", "t", 1.0) for i, u in rows], "page_id long, url string, host string, path string, rule string, template string, purity double")
