@@ -45,7 +45,10 @@ def lowered(text: str) -> str:
 
 
 class WordTokens:
-    """The ids of a word-end BPE, word by word, with a bounded dictionary of the words already encoded."""
+    """The ids of a word-end BPE, word by word, with a bounded dictionary of the words already encoded.
+
+    Literals of the vocabulary's added tokens are cut out of the raw text first and keep their own ids.
+    """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         self.tokenizer = Tokenizer.from_file(path)
@@ -53,6 +56,12 @@ class WordTokens:
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
         self.words = regex.compile(WORD_PATTERN)
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in added.values()):
+            raise ValueError("the vocabulary has added tokens that are not plain literals")
+        self.added = {t.content: np.array([i], "<u4").tobytes() for i, t in added.items()}
+        literals = sorted(self.added, key=len, reverse=True)  # the longest of those that begin at one place
+        self.literals = re.compile(f"({'|'.join(map(re.escape, literals))})") if literals else None
         self.cache: dict[str, bytes] = {}
         self.cache_words = cache_words
 
@@ -70,13 +79,15 @@ class WordTokens:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text as little-endian unsigned 32-bit integers."""
-        split = [self._split(t) for t in texts]
+        parts = [self.literals.split(t) if self.literals else [t] for t in texts]  # every second part is a literal
+        split = [self._split(p) for own in parts for p in own[::2]]
         if len(self.cache) > self.cache_words:
             self.cache.clear()
         if new := list(set().union(*split).difference(self.cache)):
             self._learn(new)
         of = self.cache.__getitem__
-        return [b"".join(map(of, words)) for words in split]
+        encoded = iter([b"".join(map(of, words)) for words in split])
+        return [b"".join(self.added[p] if k % 2 else next(encoded) for k, p in enumerate(own)) for own in parts]
 
 
 _tokenizers: dict[str, WordTokens] = {}

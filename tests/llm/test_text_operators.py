@@ -301,6 +301,19 @@ def test_packing_odd_rows(spark, odd, empty):
     assert packing.pack(empty, P.path("word_bpe_49k.json")).count() == 0
 
 
+def test_packing_keeps_added_tokens(spark):
+    """Literals of added tokens have ids of their own, wherever they stand; what only resembles them has not."""
+    from tokenizers import Tokenizer
+
+    end, start = "<|endoftext|>", "<|startoftext|>"
+    texts = [f"{start}Erste Zeile{end}{end} ΑΣ{start}'s don't", end, f"a{end}b <|ENDOFTEXT|> <|endoftext |> <{end}>", f"e{end}\u0301 cafe\u0301 {start} {start}", f"{'wort ' * 5000}{end}{'x y ' * 3000}{start}"]
+    tokenizer = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    ids = {i: tokenizer.encode(t, add_special_tokens=False).ids + [2] for i, t in enumerate(texts)}
+    assert all({49406, 49407} & set(own) for own in ids.values())
+    docs = spark.createDataFrame([(i, t, None, None, None, "x", 1, "s", 9) for i, t in enumerate(texts)], SCHEMA)
+    check_packed(packing.pack(docs, P.path("word_bpe_49k.json")).collect(), ids)
+
+
 # --- 8 media -------------------------------------------------------------------------------------------------------
 
 
