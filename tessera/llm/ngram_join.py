@@ -1,10 +1,11 @@
-"""N-gram Jaccard join through a MinHash LSH forest.
+"""N-gram Jaccard join through MinHash bands.
 
 Every whole text becomes the set of hashes of its five-word shingles (a shorter text is one shingle). Texts with equal
-sets form a class and are represented by the least doc_id. A forest of ``TREES`` prefix tries holds one label of MinHash
-values a class and tree; two classes meet if their labels share a prefix in some tree. Prefixes start at
-``LONGEST`` values and are shortened until a pair at the threshold meets with the target probability
-(:func:`prefix_length`). A trie level is a shuffle by prefix: equal prefixes, adjacent in sorted order, come together.
+sets form a class and are represented by the least doc_id. A class has ``TREES`` keys, each a hash of a few MinHash
+values; two classes meet if they share a key. All keys have one fixed length, the longest at which a pair at the
+threshold meets with the target probability (:func:`prefix_length`: 4 values at 0.8). An LSH forest, which starts at
+longer prefixes and shortens them by rounds, would have to come down to this length for every class to keep that
+promise; what meets on a longer prefix meets on the shorter one too, so its earlier rounds would add no pair.
 
 Every meeting point hangs its members on its least one; components of these stars are candidate clusters, which hold
 every pair that met anywhere. All pairs within a cluster are verified exactly on their shingle sets, in blocks of

@@ -119,6 +119,19 @@ def test_prefixes_shorten_until_recall():
     assert met >= 198
 
 
+def test_longer_prefixes_add_no_pair():
+    """Why bands are fixed: who shares a prefix of 5 to 8 values shares that of the length in use."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+    sets = [np.concatenate([base[rng.random(200) < 0.9], rng.integers(0, 1 << 63, 10, dtype=np.uint64)]) for _ in range(40)]
+    met = lambda n: {(i, j, t) for t in range(ngram_join.TREES) for keys in [ngram_join.prefix_keys(sets, n)[:, t]] for i in range(40) for j in range(i) if keys[i] == keys[j]}
+    used = ngram_join.prefix_length(0.8)
+    levels = [met(n) for n in range(used, ngram_join.LONGEST + 1)]
+    assert used == 4 and levels[-1] and all(longer <= shorter for shorter, longer in zip(levels, levels[1:], strict=False))
+    miss = [(1 - 0.8**n) ** ngram_join.TREES for n in (used, used + 1)]
+    assert miss[0] < 0.00025 < 1 - ngram_join.TARGET_RECALL < miss[1]
+
+
 def test_components(spark):
     rnd = random.Random(2)
     edges = [(i, i + 1) for i in range(0, 60) if i % 13] + [(rnd.randint(100, 160), rnd.randint(100, 160)) for _ in range(25)] + [(200, x) for x in range(201, 260)]
