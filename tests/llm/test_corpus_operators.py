@@ -240,6 +240,24 @@ def test_vector_recall(spark, folder):
             assert abs(r.score - a @ b / np.sqrt((a @ a) * (b @ b))) < 1e-12
 
 
+@pytest.mark.parametrize(("centres", "noise"), [(200, 0.3), (2000, 0.5)])
+def test_vector_recall_outside_the_sample(spark, monkeypatch, tmp_path, centres, noise):
+    """Ten times SAMPLE and more than eight parts: nearly all rows are routed without having been fitted."""
+    import pandas as pd
+
+    routers, fit = [], vector_search.fit
+    monkeypatch.setattr(vector_search, "fit", lambda *a, **b: routers.append(fit(*a, **b)) or routers[-1])
+    rng = np.random.default_rng(6)
+    n = 10 * vector_search.SAMPLE
+    x = rng.normal(size=(centres, 16))[rng.integers(0, centres, n)] + noise * rng.normal(size=(n, 16))
+    pd.DataFrame({"vec_id": np.arange(n), "embedding": list(x)}).to_parquet(tmp_path / "vectors.parquet")
+    truth, found = exact(np.arange(n), x), defaultdict(set)
+    for r in vector_search.search(spark.read.parquet(f"file://{tmp_path}/vectors.parquet")).collect():
+        found[r.query_id].add(r.vec_id)
+    assert routers[0].parts > 8 and routers[0].visits < routers[0].parts
+    assert sum(len(found[q] & {v for v, _ in t}) for q, t in truth.items()) >= vector_search.TARGET_RECALL * 5 * len(truth)
+
+
 def test_vectors_of_odd_rows(spark):
     rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [3.0, 0.0]), (3, [0.0, 1.0]), (4, None), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [None, 1.0]), (8, [1.0]), (9, []), (None, [1.0, 1.0]), (50, [float("inf"), 1.0]), (100, [1.0, 1.0]), (100, [1.0, 1.0])]
     frame = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<double>, part int, vector int")
