@@ -38,6 +38,8 @@ PAIR_FACTOR = 0x9E37
 SAMPLE = {0: 5000, 1: 2000}
 #: Longest text, in characters, that may be drawn into the training sample; scoring has no such bound.
 MAX_TRAINING_CHARS = 200_000
+#: Least hashed word triples by which copies among the sample are known.
+TRIPLES = 12
 #: Likelihood ratio and share of the toxic texts from which a word counts as a toxic span.
 LEAST_RATIO, LEAST_SHARE = 15.0, 0.006
 #: Lengths of word beginnings that may be toxic spans of their own: endings vary.
@@ -102,16 +104,22 @@ class ToxicityModel:
 
 
 def without_copies(texts: list[str]) -> list[str]:
-    """The texts without those that share one of three least hashed word triples with an earlier one: copies and near copies."""
-    seen: set[tuple[int, int]] = set()
-    kept = []
+    """The texts without copies and near copies of an earlier kept one.
+
+    A text goes if at least half of its ``TRIPLES`` least hashed word triples are those of one kept text; one shared
+    passage, or passages shared with different texts, do not make a copy.
+    """
+    holders: dict[tuple[int, int], list[int]] = {}
+    kept: list[str] = []
     for text in texts:
         words = text.split()
         triples = np.array([zlib.crc32(" ".join(words[i : i + 3]).encode()) for i in range(max(1, len(words) - 2))], np.uint32)
-        keys = {(k, int((triples * np.uint32(factor)).min())) for k, factor in enumerate((1, 0x9E3779B1, 0x85EBCA77))}
-        if not keys & seen:
+        keys = [(k, int((triples * np.uint32(pow(0x9E3779B1, k + 1, 1 << 32))).min())) for k in range(TRIPLES)]
+        shared = Counter(i for key in keys for i in holders.get(key, ()))
+        if 2 * max(shared.values(), default=0) < TRIPLES:
+            for key in keys:
+                holders.setdefault(key, []).append(len(kept))
             kept.append(text)
-        seen |= keys
     return kept
 
 

@@ -98,6 +98,20 @@ def test_toxicity_learns_spans():
     assert hits.mean() >= 0.95 and false.mean() <= 0.03
 
 
+def test_toxicity_sample_keeps_texts_that_share_passages():
+    """Texts with a third of their words in common passages stay; copies and near copies go."""
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    passages = [[word() for _ in range(15)] for _ in range(8)]
+    own = [[word() for _ in range(70)] + passages[i % 8] + passages[(i // 8) % 8] for i in range(300)]
+    texts = [f" {' '.join(words)} " for words in own]
+    assert len(toxicity.without_copies(texts)) >= 0.95 * len(texts)
+    near = [f" {' '.join([*words[:40], word(), *words[41:]])} " for words in own]
+    assert len(toxicity.without_copies(texts + texts)) == len(toxicity.without_copies(texts))
+    assert len(toxicity.without_copies(texts + near)) <= 1.1 * len(texts)
+    assert toxicity.without_copies([" a b ", " a b ", " b a ", " a "]) == [" a b ", " b a ", " a "]
+
+
 def test_toxicity_query_and_odd_rows(spark, odd, empty):
     rows = toxicity.op2_toxicity(spark, LARGER).collect()
     assert len(rows) == 1000 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
