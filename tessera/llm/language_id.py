@@ -24,8 +24,6 @@ from tessera.llm.columnar import documents, text_slices
 from tessera.llm.letters import class_sample, id_remainder, letters_only
 
 UNDETERMINED = "und"
-#: Longest text, in characters, that may be drawn into the training sample; prediction has no such bound.
-MAX_TRAINING_CHARS = 200_000
 
 
 def subwords(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -134,9 +132,12 @@ def train(counts: list[tuple[str, np.ndarray, np.ndarray]], bits: int = 14, widt
 
 
 def fit(docs: DataFrame, sample: int = 1000, bits: int = 14) -> LanguageModel:
-    """Train on about ``sample`` rows of each language among ``docs`` (lang and text not null)."""
+    """Train on about ``sample`` rows of each language among ``docs`` (lang and text not null), whole texts of any length.
+
+    What is collected of a row is bounded by the buckets, not by its text.
+    """
     rows = docs.select("doc_id", "lang", "text").filter("lang IS NOT NULL AND text IS NOT NULL")
-    drawn = class_sample(rows, "lang", sample).filter(F.length("text") <= MAX_TRAINING_CHARS)
+    drawn = class_sample(rows, "lang", sample)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

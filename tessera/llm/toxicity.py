@@ -36,7 +36,8 @@ ORDINARY_BYTES = 131_072
 PAIR_FACTOR = 0x9E37
 #: Bound of the training sample, in rows of each class.
 SAMPLE = {0: 5000, 1: 2000}
-#: Longest text, in characters, that may be drawn into the training sample; scoring has no such bound.
+#: Longest text, in characters, that may be drawn into the training sample, as the driver collects whole sampled texts;
+#: scoring has no such bound.
 MAX_TRAINING_CHARS = 200_000
 #: Least hashed word triples by which copies among the sample are known.
 TRIPLES = 12

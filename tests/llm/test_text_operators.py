@@ -70,6 +70,15 @@ def test_language_of_odd_rows(spark, odd, empty):
     assert {r.lang_pred for r in language_id.identify(odd, untaught).collect()} == {"und"}
 
 
+def test_language_of_long_texts_only_is_learned(spark):
+    """A language that stands in no text of under 200,000 characters trains and is predicted."""
+    rows = spark.range(60).withColumn("lang", F.expr("CASE WHEN id % 2 = 0 THEN 'en' ELSE 'xx' END"))
+    text = F.expr("CASE WHEN id % 2 = 0 THEN concat('these are the common words of short texts ', translate(id, '0123456789', 'abcdefghij')) ELSE repeat('zulqo vymax krewip odjuf ', 9000) END")
+    model = language_id.fit(rows.select(F.col("id").alias("doc_id"), "lang", text.alias("text")))
+    assert model.languages == ["en", "xx"]
+    assert model.predict([" krewip zulqo odjuf ", " the common words "])[0] == ["xx", "en"]
+
+
 def test_language_subwords_stay_inside_texts():
     alone = [language_id.subwords([t], 14)[0].tolist() for t in (" ab cd ", "", " x ")]
     together, bounds = language_id.subwords([" ab cd ", "", " x "], 14)
