@@ -4,11 +4,11 @@ Documents are tokenized where they lie and cut into full windows and one remaind
 histogram of piece lengths (at most ``capacity`` numbers whatever the corpus holds). A bitset subset-sum dynamic
 programme takes the longest length left, finds the multiset of remaining lengths that fills its window closest to
 capacity, backtracks the counts, and uses that pattern for as many windows as the histogram allows. Pieces then get
-their window from their rank within their length; ranks come from salted windows, so a length that a third of all
-pieces share is not ranked in one task.
+their window from their rank within their length; a length is ranked in as many salted tasks as its count asks for.
 
-Null and empty texts are documents of the closing id alone. Repeated rows are packed as often as they stand there. An
-empty table gives no pieces. Extra columns are ignored.
+Null and empty texts are documents of the closing id alone. Very long texts are split into words in parts, so that only
+their ids are held whole. Repeated rows, also those without a doc_id, are packed as often as they stand there. An empty
+table gives no pieces. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,13 +24,17 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from tessera.llm.columnar import documents, stored, text_slices
-
-#: Salts that the ranking of one length is dealt over; capacity * SALTS bounds the broadcast table of rank offsets.
-SALTS = 64
-CACHE_WORDS = 700_000
+from tessera.llm.word_cache import WordCache, groups
+
+#: Pieces of one length that are ranked in one task; a length that more pieces share is dealt over more salts.
+RANKED_ROWS = 100_000
+#: Bytes of each generation of a worker's word cache.
+CACHE_BYTES = 48 << 20
+#: Words that the library merges in one call: it takes longer for each in long texts.
+MERGED_WORDS = 300
 #: Fixed value: the pre-tokenizer pattern that the vocabulary's description names.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -45,49 +49,88 @@ def lowered(text: str) -> str:
 
 
 class WordTokens:
-    """The ids of a word-end BPE, word by word, with a bounded dictionary of the words already encoded.
+    """The ids of a word-end BPE, word by word, with a bounded cache of the words already encoded.
 
-    Literals of the vocabulary's added tokens are cut out of the raw text first and keep their own ids.
+    Literals of the vocabulary's added tokens are cut out of the raw text first and keep their own ids. Words are split
+    and lower-cased here and meet only the merges of the library; a text with a character that the library classes or
+    normalises otherwise (letters newer than its Unicode tables) is encoded by the library as a whole.
     """
 
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
-        self.words = regex.compile(WORD_PATTERN)
         added = self.tokenizer.get_added_tokens_decoder()
         if any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in added.values()):
             raise ValueError("the vocabulary has added tokens that are not plain literals")
         self.added = {t.content: np.array([i], "<u4").tobytes() for i, t in added.items()}
         literals = sorted(self.added, key=len, reverse=True)  # the longest of those that begin at one place
         self.literals = re.compile(f"({'|'.join(map(re.escape, literals))})") if literals else None
-        self.cache: dict[str, bytes] = {}
-        self.cache_words = cache_words
-
-    def _split(self, text: str) -> list[str]:
-        text = lowered(unicodedata.normalize("NFC", text))
-        return (self.words if UNCOMMON.search(text) else COMMON_WORDS).findall(text)
+        self.normalizer, self.splitter = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        self.tokenizer.model._resize_cache(0)  # words are cached here
+        self.merges = Tokenizer(self.tokenizer.model)  # shares the vocabulary
+        self.merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        self.words = regex.compile(WORD_PATTERN)
+        self.agreed: dict[str, bool] = {}  # of uncommon characters: whether the library sees them as we do
+        self.cache = WordCache(self._learn, cache_bytes, len)
+
+    def _agrees(self, c: str) -> bool:
+        own = lowered(unicodedata.normalize("NFC", c))
+        split = lambda found: [piece for piece, _ in found]
+        like = lambda x: split(pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(x))
+        if c.isspace():
+            return True
+        return self.normalizer.normalize_str(c) == own and all(
+            [p for w in self.words.findall(x) for p in like(w)] == split(self.splitter.pre_tokenize_str(x)) for x in (f"a{own}b", f"1{own}1", f"-{own}-")
+        )
+
+    def _foreign(self, text: str) -> bool:
+        """Whether the library has to encode this text itself."""
+        seen = set(text)
+        for c in seen.difference(self.agreed):
+            self.agreed[c] = self._agrees(c)
+        return not all(map(self.agreed.__getitem__, seen))
+
+    def _learn(self, words: list[str]) -> list[bytes]:
+        """Ids of words, ``MERGED_WORDS`` at a time."""
+        out: list[bytes] = []
+        for at in range(0, len(words), MERGED_WORDS):
+            own = words[at : at + MERGED_WORDS]
+            ids = np.array(self.merges.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = [0, *(4 * np.flatnonzero(self.ends[ids]) + 4).tolist()]
+            if len(cuts) != len(own) + 1 or cuts[-1] != 4 * len(ids):
+                raise ValueError("the vocabulary does not mark the ends of words")
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return out
+
+    def _split(self, text: str) -> list[str] | None:
+        """Words of a text; None for a foreign one."""
+        plain = lowered(unicodedata.normalize("NFC", text))
+        if not UNCOMMON.search(plain):
+            return COMMON_WORDS.findall(plain)
+        return None if self._foreign(text) else self.words.findall(plain)
+
+    def _group(self, texts: list[str]) -> list[bytes]:
+        parts = [self.literals.split(t) if self.literals else [t] for t in texts]  # every second part is a literal
+        plain = [p for own in parts for p in own[::2]]
+        split = [self._split(p) for p in plain]
+        self.cache.turn()
+        of = self.cache.hold(words for words in split if words).__getitem__
+        encoded = iter([self._whole(p) if words is None else b"".join(map(of, words)) for p, words in zip(plain, split, strict=True)])
+        return [b"".join(self.added[p] if k % 2 else next(encoded) for k, p in enumerate(own)) for own in parts]
 
-    def _learn(self, words: list[str]) -> None:
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
-        cuts = [0, *(4 * np.flatnonzero(self.ends[ids]) + 4).tolist()]
-        if len(cuts) != len(words) + 1 or cuts[-1] != 4 * len(ids):
-            raise ValueError("the vocabulary does not mark the ends of words")
-        raw = ids.tobytes()
-        self.cache.update(zip(words, [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], strict=True))
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text as little-endian unsigned 32-bit integers."""
-        parts = [self.literals.split(t) if self.literals else [t] for t in texts]  # every second part is a literal
-        split = [self._split(p) for own in parts for p in own[::2]]
-        if len(self.cache) > self.cache_words:
-            self.cache.clear()
-        if new := list(set().union(*split).difference(self.cache)):
-            self._learn(new)
-        of = self.cache.__getitem__
-        encoded = iter([b"".join(map(of, words)) for words in split])
-        return [b"".join(self.added[p] if k % 2 else next(encoded) for k, p in enumerate(own)) for own in parts]
+        out: list[list[bytes]] = [[] for _ in texts]
+        for group in groups(texts):
+            for (k, _), ids in zip(group, self._group([part for _, part in group]), strict=True):
+                out[k].append(ids)
+        return [b"".join(ids) for ids in out]
 
 
 _tokenizers: dict[str, WordTokens] = {}
@@ -171,13 +214,15 @@ def cut(docs: DataFrame, path: str, capacity: int, closing_id: int) -> DataFrame
 
 def pack(docs: DataFrame, path: str, capacity: int = 4096, closing_id: int = 2) -> DataFrame:
     """Pieces of all documents with ``sequence_id`` and ``offset`` (gapless from 0 within a sequence)."""
-    pieces = stored(cut(docs, path, capacity, closing_id).withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS))), "pieces")
-    dealt = pieces.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    counts = {r["length"]: r["n"] for r in dealt.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
-    table = intervals(fill(counts, capacity))
+    pieces = stored(cut(docs, path, capacity, closing_id).withColumn("at", F.monotonically_increasing_id()), "pieces")
+    lengths = stored(pieces.groupBy("length").agg(F.count("*").alias("n")), "lengths")  # capacity rows at most
+    table = intervals(fill({r["length"]: r["n"] for r in lengths.collect()}, capacity))
+    salt = F.expr(f"pmod(xxhash64(at), cast(ceil(n / {RANKED_ROWS}) AS long))")
+    salted = pieces.join(F.broadcast(lengths), "length").withColumn("salt", salt).drop("n")
+    dealt = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = dealt.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
-    within = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32"))
-    ranked = pieces.withColumn("within", within).join(F.broadcast(before), ["length", "salt"])
+    within = F.row_number().over(Window.partitionBy("length", "salt").orderBy("at"))
+    ranked = salted.withColumn("within", within).join(before, ["length", "salt"])
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = (table[:, 0] << 45) + table[:, 1]

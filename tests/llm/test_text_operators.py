@@ -324,6 +324,32 @@ def test_packing_odd_rows(spark, odd, empty):
     assert packing.pack(empty, P.path("word_bpe_49k.json")).count() == 0
 
 
+def test_packing_ranks_a_hot_length_in_many_tasks(spark, monkeypatch):
+    """Nearly all pieces have one length, some rows are repeated a thousand times: salts follow the counts."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "RANKED_ROWS", 50)
+    tokenizer = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    rows = [(i, "one two three") for i in range(3000)] + [(5000, "word " * 200)] + [(6000 + i, "more words " * (i % 7)) for i in range(100)]
+    ids = {i: tokenizer.encode(t, add_special_tokens=False).ids + [2] for i, t in rows}
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    sequences = check_packed(packing.pack(frame(rows), P.path("word_bpe_49k.json"), 256).collect(), ids, 256)
+    assert sum(map(len, ids.values())) >= 0.98 * 256 * len(sequences)
+    copies = packing.pack(frame([(None, "one two three")] * 1000), P.path("word_bpe_49k.json"), 256).collect()
+    assert len({(r.sequence_id, r.offset) for r in copies}) == 1000
+
+
+def test_packing_of_letters_the_library_does_not_know(spark):
+    """Letters newer than the library's tables, in short texts and in one that is split into words in parts."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    own = packing.WordTokens(P.path("word_bpe_49k.json"), cache_bytes=20_000)
+    texts = ["ab\u0558cd it's", "x\u088f \u208f1 don't", "caf\u00e9 e\u0301 \u3000\u2028 \x1cz", "wort und satz 12, don't! \u0301 " * 60_000 + "\u0c5c end", "".join(f"w{i} " for i in range(3000)), ""]
+    for _ in range(2):
+        assert own.encode(texts) == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
 def test_packing_keeps_added_tokens(spark):
     """Literals of added tokens have ids of their own, wherever they stand; what only resembles them has not."""
     from tokenizers import Tokenizer
