@@ -2,11 +2,12 @@
 
 The distinct pre-tokens of a slice of the corpus are encoded together. An inverted index maps every mergeable pair
 to the positions where it stands; merges run in rank order over all words at once, and a merge touches only the
-neighbours of its positions. Encoded words are kept in a bounded dictionary that the Python worker reuses between
-slices and tasks, so a frequent word is replayed once for each worker and refill.
+neighbours of its positions. Encoded words are kept in a cache bounded in bytes that the Python worker reuses between
+slices and tasks, so a frequent word is replayed once for each worker.
 
-Null texts are encoded as empty. Empty texts give no ids and the digest of no bytes. Rows are independent: repeated
-rows give repeated results and extra columns are ignored.
+Null texts are encoded as empty. Empty texts give no ids and the digest of no bytes. Very long texts are split into
+words in parts, so that only their ids are held whole. Rows are independent: repeated rows give repeated results and
+extra columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,10 +24,11 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm.columnar import documents, text_slices
+from tessera.llm.columnar import SLICE_CHARS, documents, text_slices
+from tessera.llm.word_cache import WordCache, groups
 
-#: Words that a worker keeps encoded; the dictionary is emptied when it is full.
-CACHE_WORDS = 500_000
+#: Bytes of each generation of a worker's word cache.
+CACHE_BYTES = 64 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -119,24 +121,26 @@ class MergeReplay:
 
 
 class Codec:
-    """Whole-text encoder and decoder with a bounded dictionary of encoded words."""
+    """Whole-text encoder and decoder with a bounded cache of encoded words."""
 
-    def __init__(self, path: str, pattern: str, cache_words: int = CACHE_WORDS):
+    def __init__(self, path: str, pattern: str, cache_bytes: int = CACHE_BYTES):
         self.replay = MergeReplay(read_ranks(path))
         self.pattern = regex.compile(pattern)
-        self.cache: dict[str, bytes] = {}
-        self.cache_words = cache_words
+        self.cache = WordCache(self._learn, cache_bytes, len)
+
+    def _learn(self, words: list[str]) -> list[bytes]:
+        return [np.array(ids, "<u4").tobytes() for ids in self.replay.encode([w.encode() for w in words])]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text as little-endian unsigned 32-bit integers."""
-        split = [self.pattern.findall(t) for t in texts]
-        if len(self.cache) > self.cache_words:
-            self.cache.clear()
-        new = list(set().union(*split).difference(self.cache)) if split else []
-        for word, ids in zip(new, self.replay.encode([w.encode() for w in new]), strict=True):
-            self.cache[word] = np.array(ids, "<u4").tobytes()
-        of = self.cache.__getitem__
-        return [b"".join(map(of, words)) for words in split]
+        out: list[list[bytes]] = [[] for _ in texts]
+        for group in groups(texts, SLICE_CHARS):
+            split = [self.pattern.findall(part) for _, part in group]
+            self.cache.turn()
+            of = self.cache.hold(split).__getitem__
+            for (k, _), words in zip(group, split, strict=True):
+                out[k].append(b"".join(map(of, words)))
+        return [b"".join(ids) for ids in out]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.replay.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))

@@ -5,8 +5,9 @@ replaces a range of characters: the tree is descended to the range, pre-tokens a
 before it up to the first boundary behind it that the old split had too (the pattern never looks back, so all that
 follows is unchanged), only pieces in between are counted anew, and the sums above the touched leaves are updated.
 
-A null text is empty, and an edit of it inserts. Ranges are clipped to the text; a null replacement deletes; edits of a
-document apply in the order given, each to the text the one before left. Repeated rows give equal results, extra
+A null text is empty, and an edit of it inserts. Ranges are clipped to the text; a null replacement deletes; an edit
+without start or stop does nothing; edits of a document apply in the order given, each to the text the one before left.
+Very long texts are split into pre-tokens in parts and kept whole as these. Repeated rows give equal results, extra
 columns are ignored, an empty table gives no rows.
 """
 
@@ -21,7 +22,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.byte_bpe import MergeReplay, read_ranks
-from tessera.llm.columnar import documents, text_slices
+from tessera.llm.columnar import documents, stored, text_slices
+from tessera.llm.word_cache import ENTRY_BYTES, WordCache, segments
 
 #: Pre-tokens in a fresh leaf; a leaf that outgrows four times this makes the tree deal its pieces anew.
 LEAF = 64
@@ -29,26 +31,32 @@ LEAF = 64
 CONTEXT = 3
 #: Characters that a match may look at beyond its end.
 AHEAD = 3
-CACHE_WORDS = 700_000
-TREE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("pieces", pa.list_(pa.string())), ("counts", pa.list_(pa.int32())), ("n_tokens", pa.int64()), ("recounted_chars", pa.int64())])
+#: Bytes of each generation of a worker's word cache.
+CACHE_BYTES = 64 << 20
+#: Edits of one document that one task applies; a document with more takes several rounds.
+EDITS_AT_ONCE = 10_000
 
 
 class TokenCounter:
-    """Token counts of pre-tokens, each distinct one encoded once while the bounded dictionary holds it."""
+    """Token counts of pre-tokens, each distinct one encoded once while the bounded cache holds it."""
 
-    def __init__(self, path: str, pattern: str, cache_words: int = CACHE_WORDS):
+    def __init__(self, path: str, pattern: str, cache_bytes: int = CACHE_BYTES):
         self.replay = MergeReplay(read_ranks(path))
         self.pattern = regex.compile(pattern)
-        self.cache: dict[str, int] = {}
-        self.cache_words = cache_words
+        self.words = WordCache(lambda words: map(len, self.replay.encode([w.encode() for w in words])), cache_bytes)
 
-    def learn(self, pieces: Iterable[Sequence[str]], may_clear: bool = False) -> None:
-        """Make sure that all pieces are in the dictionary; a full one is emptied first if no text is open."""
-        if may_clear and len(self.cache) > self.cache_words:
-            self.cache.clear()
-        new = list(set().union(*pieces).difference(self.cache))
-        for word, ids in zip(new, self.replay.encode([w.encode() for w in new]), strict=True):
-            self.cache[word] = len(ids)
+    @property
+    def cache(self) -> dict[str, int]:
+        return self.words.young
+
+    def learn(self, pieces: Iterable[Sequence[str]], may_turn: bool = False) -> None:
+        """Make sure that ``cache`` has all pieces; rare ones may go first if no text is open."""
+        if may_turn:
+            self.words.turn()
+        self.words.hold(pieces)
+
+    def split(self, text: str) -> list[str]:
+        return [p for part in segments(text) for p in self.pattern.findall(part)]
 
 
 class CountedText:
@@ -59,6 +67,23 @@ class CountedText:
         self.recounted = 0  # characters whose tokens were counted again by edits
         self._deal(pieces)
 
+    @classmethod
+    def restored(cls, row: dict, counter: TokenCounter) -> CountedText:
+        """The tree that :meth:`kept` wrote: its sums are taken as they are."""
+        own = cls.__new__(cls)
+        own.counter, own.recounted, own.leaves = counter, 0, []
+        at = 0
+        for size in row["leaf_sizes"]:
+            own.leaves.append(row["pieces"][at : at + size])
+            at += size
+        own.base, own.chars, own.tokens = len(row["tokens"]) // 2, row["chars"], row["tokens"]
+        return own
+
+    def kept(self) -> tuple[list[str], list[int], list[int], list[int], list[int]]:
+        """Pieces, their counts, pieces of each leaf, and the sums of characters and tokens of every node."""
+        pieces = [p for leaf in self.leaves for p in leaf]
+        return pieces, list(map(self.counter.cache.__getitem__, pieces)), list(map(len, self.leaves)), self.chars, self.tokens
+
     def _deal(self, pieces: list[str]) -> None:
         self.leaves = [pieces[i : i + LEAF] for i in range(0, len(pieces), LEAF)] or [[]]
         self.base = 1 << (len(self.leaves) - 1).bit_length()
@@ -197,8 +222,8 @@ def count_edited(docs: DataFrame, edits: Column, path: str, pattern: str) -> Dat
         own = counter(path, pattern)
         for batch in batches:
             for rows, texts in text_slices(batch):
-                split = [own.pattern.findall(t) for t in texts]
-                own.learn(split, may_clear=True)
+                split = [own.split(t) for t in texts]
+                own.learn(split, may_turn=True)
                 out = []
                 for pieces, todo in zip(split, rows.column(2).to_pylist(), strict=True):
                     tree = CountedText(pieces, own)
@@ -212,47 +237,77 @@ def count_edited(docs: DataFrame, edits: Column, path: str, pattern: str) -> Dat
     return docs.select("doc_id", "text", edits.alias("edits")).mapInArrow(run, "doc_id long, tokens_before long, n_edits long, n_tokens long, n_chars long, recounted_chars long")
 
 
-TREES = "doc_id long, pieces array<string>, counts array<int>"
+TREES = "doc_id long, pieces array<string>, counts array<int>, leaf_sizes array<int>, chars array<long>, tokens array<long>"
+_KINDS = [pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+TREE_COLUMNS = ["doc_id", "pieces", "counts", "leaf_sizes", "chars", "tokens"]
 
 
 def kept_trees(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, pieces, counts): the leaves of every document's tree, to be stored between rounds of edits."""
+    """Every document's tree, its leaves and the sums of its nodes, to be stored between rounds of edits."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(path, pattern)
         for batch in batches:
             for rows, texts in text_slices(batch):
-                split = [own.pattern.findall(t) for t in texts]
-                own.learn(split, may_clear=True)
-                counts = [list(map(own.cache.__getitem__, pieces)) for pieces in split]
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(split, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int32()))], ["doc_id", "pieces", "counts"])
+                split = [own.split(t) for t in texts]
+                own.learn(split, may_turn=True)
+                columns = zip(*(CountedText(pieces, own).kept() for pieces in split), strict=True)
+                yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array(x, kind) for x, kind in zip(columns, _KINDS, strict=True))], TREE_COLUMNS)
 
     return docs.select("doc_id", "text").mapInArrow(run, TREES)
 
 
-def edited_trees(trees: DataFrame, edits: DataFrame, path: str, pattern: str) -> DataFrame:
-    """The trees after ``edits`` (doc_id, seq, start, stop, replacement), with n_tokens and recounted_chars.
-
-    Only trees that have edits meet Python code that counts; what an edit does not touch keeps its stored counts.
-    """
-    listed = edits.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "start", "stop", "replacement"))).alias("edits"))  # a document's edits of one round
-    rows = trees.join(listed, "doc_id", "left").select("doc_id", "pieces", "counts", "edits")
+def _applied(rows: DataFrame, path: str, pattern: str) -> DataFrame:
+    """Trees with a column of ``edits`` after these."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(path, pattern)
         for batch in batches:
             for at in range(len(batch)):
                 row = batch.slice(at, 1).to_pylist()[0]
-                if len(own.cache) > own.cache_words:
-                    own.cache.clear()
-                own.cache.update(zip(row["pieces"], row["counts"], strict=True))
-                tree = CountedText(row["pieces"], own)
-                for edit in row["edits"] or ():
-                    tree.edit(edit["start"], edit["stop"], edit["replacement"] or "")
-                pieces = [p for leaf in tree.leaves for p in leaf]
-                yield pa.RecordBatch.from_pylist([{"doc_id": row["doc_id"], "pieces": pieces, "counts": [own.cache[p] for p in pieces], "n_tokens": tree.n_tokens, "recounted_chars": tree.recounted}], schema=TREE_SCHEMA)
-
-    return rows.mapInArrow(run, f"{TREES}, n_tokens long, recounted_chars long")
+                own.words.turn()
+                own.words.young.update(zip(row["pieces"], row["counts"], strict=True))
+                own.words.held += sum(map(len, row["pieces"])) + ENTRY_BYTES * len(row["pieces"])  # at most: repeated pieces are one entry
+                tree = CountedText.restored(row, own)
+                for edit in row["edits"]:
+                    if edit["start"] is not None and edit["stop"] is not None:
+                        tree.edit(edit["start"], edit["stop"], edit["replacement"] or "")
+                columns = [pa.array([x], kind) for x, kind in zip(tree.kept(), _KINDS, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.slice(at, 1).column(0), *columns, pa.array([tree.n_tokens]), pa.array([tree.recounted])], [*TREE_COLUMNS, "n_tokens", "recounted_chars"])
+
+    return rows.select(*TREE_COLUMNS, "edits").mapInArrow(run, f"{TREES}, n_tokens long, recounted_chars long")
+
+
+def edited_trees(trees: DataFrame, edits: DataFrame, path: str, pattern: str) -> DataFrame:
+    """The trees after ``edits`` (doc_id, seq, start, stop, replacement), with n_tokens and recounted_chars.
+
+    Only trees that have edits meet Python, and of these only what an edit touches is counted; ties of seq apply in the
+    order of start, stop and replacement. An edit without start or stop, or of a document without a tree, does nothing,
+    nor does one whose doc_id is null. A document with more than ``EDITS_AT_ONCE`` edits takes several rounds.
+    """
+    trees = trees.select(*TREE_COLUMNS)
+    order = "row_number() OVER (PARTITION BY doc_id ORDER BY seq, start, stop, replacement) - 1"
+    known = edits.filter("doc_id IS NOT NULL").select("doc_id", "seq", "start", "stop", "replacement")
+    turns = stored(known.withColumn("at", F.expr(order)).withColumn("turn", F.expr(f"cast(floor(at / {EDITS_AT_ONCE}) AS int)")), "edits")
+    listed = turns.groupBy("doc_id", "turn").agg(F.array_sort(F.collect_list(F.struct("at", "start", "stop", "replacement"))).alias("edits"))  # EDITS_AT_ONCE at most
+    last = turns.agg(F.max("turn")).first()[0] or 0
+    joined = trees.join(listed.filter("turn = 0").drop("turn"), "doc_id", "left")
+    total = F.coalesce(F.get("tokens", F.lit(1)), F.lit(0))
+    untouched = joined.filter("edits IS NULL").select(*TREE_COLUMNS, total.alias("n_tokens"), F.lit(0).cast("long").alias("recounted_chars"))
+    done = _applied(joined.filter("edits IS NOT NULL"), path, pattern)
+    if last:
+        more = turns.groupBy("doc_id").agg(F.max("turn").alias("last"))
+        done = stored(done.join(more, "doc_id"), "trees")
+        finished = done.filter("last = 0")
+        open_ = done.filter("last > 0")
+        for turn in range(1, last + 1):
+            before = open_.select("doc_id", F.col("recounted_chars").alias("earlier"), "last")
+            rows = _applied(open_.join(listed.filter(F.col("turn") == turn).drop("turn"), "doc_id"), path, pattern)
+            rows = stored(rows.join(before.dropDuplicates(["doc_id"]), "doc_id").withColumn("recounted_chars", F.expr("recounted_chars + earlier")).drop("earlier"), "trees")
+            finished = finished.unionByName(rows.filter(F.col("last") == turn))
+            open_ = rows.filter(F.col("last") > turn)
+        done = finished.drop("last")
+    return untouched.unionByName(done)
 
 
 def sample_edits(text: Column) -> Column:

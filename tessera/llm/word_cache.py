@@ -6,17 +6,19 @@ frequent words stay, rare ones leave, and the memory of a worker does not depend
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import Generic, TypeVar
 
+import regex
+
 Value = TypeVar("Value")
 
 #: What an entry takes beside the characters of its word and its value: two objects and their place in a table.
 ENTRY_BYTES = 230
 #: Characters of text that are split into words at once.
 GROUP_CHARS = 1 << 19
-_SPACE = re.compile(r"\s")
+#: No pre-token of the patterns in use goes on from a letter to white space, whatever follows.
+_CUT = regex.compile(r"(?<=\p{L})\s")
 
 
 class WordCache(Generic[Value]):
@@ -49,9 +51,9 @@ class WordCache(Generic[Value]):
 
 
 def segments(text: str, limit: int = GROUP_CHARS) -> Iterator[str]:
-    """A long text in parts of about ``limit`` characters that begin with white space, so no word is cut."""
+    """A long text in parts of about ``limit`` characters, cut where white space follows a letter, so no word is cut."""
     start = 0
-    while len(text) - start > limit and (found := _SPACE.search(text, start + limit)):
+    while len(text) - start > limit and (found := _CUT.search(text, start + limit)):
         yield text[start : found.start()]
         start = found.start()
     yield text[start:] if start else text

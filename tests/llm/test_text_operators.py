@@ -230,7 +230,7 @@ def test_kept_trees_take_rounds_of_edits(spark, reference):
     trees = token_counts.kept_trees(docs, path, P.PATTERN)
     rounds = [[(1, 0, 5, 9, "X"), (1, 1, 4000, 4000, " tail's"), (2, 0, 0, 0, "new")], [(2, 0, 1, 2, "ee"), (1, 0, 0, 100, None)]]
     for edits in rounds:
-        trees = token_counts.edited_trees(trees.select("doc_id", "pieces", "counts"), spark.createDataFrame(edits, "doc_id long, seq int, start long, stop long, replacement string"), path, P.PATTERN)
+        trees = token_counts.edited_trees(trees, spark.createDataFrame(edits, "doc_id long, seq int, start long, stop long, replacement string"), path, P.PATTERN)
         for doc_id, _, start, stop, replacement in edits:
             text = texts[doc_id]
             texts[doc_id] = text[: min(start, len(text))] + (replacement or "") + text[min(stop, len(text)) :]
@@ -239,6 +239,42 @@ def test_kept_trees_take_rounds_of_edits(spark, reference):
     assert out[3].recounted_chars == 0 and 0 < out[1].recounted_chars < 300 and out[4].n_tokens == 0
 
 
+def test_kept_trees_of_odd_edits(spark, reference, monkeypatch):
+    """Edits without a range, of unknown or null documents, ties, repeated trees, and more edits than one task applies."""
+    monkeypatch.setattr(token_counts, "EDITS_AT_ONCE", 4)
+    path = P.path("byte_bpe_50k.tiktoken")
+    base = "some words, and more of them. " * 50
+    docs = spark.createDataFrame([(1, base), (2, "same text"), (2, "same text"), (3, ""), (None, "no id"), (5, "left alone")], "doc_id long, text string")
+    todo = [(1, i, 7 * i, 7 * i + i % 3, f"w{i} ") for i in range(11)] + [(2, 0, None, 3, "x"), (2, 1, 0, None, "y"), (2, None, 0, 4, None), (9, 0, 0, 0, "q"), (None, 0, 0, 0, "z"), (3, 0, 5, 9, "new words")]
+    edits = spark.createDataFrame([(d, n, a, b, r) for d, n, a, b, r in todo], "doc_id long, seq int, start long, stop long, replacement string")
+    kept = token_counts.kept_trees(docs, path, P.PATTERN)
+    out = token_counts.edited_trees(kept, edits, path, P.PATTERN).collect()
+    assert sorted(str(r.doc_id) for r in out) == ["1", "2", "2", "3", "5", "None"]
+    text = base
+    for _, _, a, b, r in todo[:11]:
+        text = text[:a] + r + text[b:]
+    want = {1: text, 2: " text", 3: "new words", None: "no id", 5: "left alone"}
+    for r in out:
+        own = want[r.doc_id]
+        assert "".join(r.pieces) == own and r.n_tokens == len(reference.encode_ordinary(own)) == sum(r.counts) and r.chars[1] == len(own) and sum(r.leaf_sizes) == len(r.pieces)
+    assert {r.doc_id: r.recounted_chars for r in out}[5] == 0
+    assert token_counts.edited_trees(kept.filter("false"), edits, path, P.PATTERN).count() == 0
+    assert token_counts.edited_trees(kept, edits.filter("false"), path, P.PATTERN).count() == 6
+
+
+def test_long_texts_are_split_in_parts(reference):
+    from tessera.llm.word_cache import segments
+
+    text = "".join(f"wort{i % 50}!\n\n  and   it's {i} \t;" for i in range(4000))
+    parts = list(segments(text, 1000))
+    assert "".join(parts) == text and len(parts) > 50
+    own = byte_bpe.Codec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN, cache_bytes=10_000)
+    assert sum((reference.encode_ordinary(p) for p in parts), []) == reference.encode_ordinary(text)
+    for some in (text, "x" * 3000, "1234 " * 1000):
+        assert np.frombuffer(own.encode([some, some])[1], "<u4").tolist() == reference.encode_ordinary(some)
+    assert list(segments("")) == [""]
+
+
 def test_edit_query(spark, reference):
     rows = token_counts.op4_token_counts(spark, SMALL).collect()
     text = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
