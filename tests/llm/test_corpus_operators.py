@@ -107,29 +107,113 @@ def test_join_of_odd_rows(spark):
     assert sorted(str(r.doc_id) for r in kept) == sorted(map(str, [1, 2, 3, 4, 6, 8, None])) and kept[0].__fields__ == documents(spark, []).columns
 
 
-def test_prefixes_shorten_until_recall():
-    lengths = [ngram_join.prefix_length(0.8, recall=r) for r in (0.9, 0.99, 0.999, 0.99999)]
-    assert lengths == sorted(lengths, reverse=True) and lengths[0] == 8 and 1 - (1 - 0.8 ** lengths[2]) ** 16 >= 0.999
+def test_trees_reach_the_target_recall():
+    for length in ngram_join.LENGTHS:
+        trees = ngram_join.trees_for(length)
+        assert 1 - (1 - 0.8**length) ** trees >= ngram_join.TARGET_RECALL > 1 - (1 - 0.8**length) ** (trees - 1)
     rng = np.random.default_rng(1)
-    met = 0
-    for _ in range(200):  # measured: pairs at the threshold meet
+    met, equal = Counter(), []
+    for _ in range(300):  # measured: pairs at the threshold meet at every length and pass the estimate
         both, a, b = (rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (400, 50, 50))
-        keys = ngram_join.prefix_keys([np.concatenate([both, a]), np.concatenate([both, b])], ngram_join.prefix_length(0.8))
-        met += bool((keys[0] == keys[1]).any())
-    assert met >= 198
-
-
-def test_longer_prefixes_add_no_pair():
-    """Why bands are fixed: who shares a prefix of 5 to 8 values shares that of the length in use."""
-    rng = np.random.default_rng(5)
-    base = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
-    sets = [np.concatenate([base[rng.random(200) < 0.9], rng.integers(0, 1 << 63, 10, dtype=np.uint64)]) for _ in range(40)]
-    met = lambda n: {(i, j, t) for t in range(ngram_join.TREES) for keys in [ngram_join.prefix_keys(sets, n)[:, t]] for i in range(40) for j in range(i) if keys[i] == keys[j]}
-    used = ngram_join.prefix_length(0.8)
-    levels = [met(n) for n in range(used, ngram_join.LONGEST + 1)]
-    assert used == 4 and levels[-1] and all(longer <= shorter for shorter, longer in zip(levels, levels[1:], strict=False))
-    miss = [(1 - 0.8**n) ** ngram_join.TREES for n in (used, used + 1)]
-    assert miss[0] < 0.00025 < 1 - ngram_join.TARGET_RECALL < miss[1]
+        labels = ngram_join.labels_of([np.concatenate([both, a]), np.concatenate([both, b])])
+        equal.append((labels[0] == labels[1]).sum())
+        for length in ngram_join.LENGTHS:
+            keys = ngram_join.prefix_keys(labels, length)
+            met[length] += bool((keys[0] == keys[1]).any())
+    assert min(met.values()) >= 298 and min(equal) >= ngram_join.least_equal()
+    assert abs(np.mean(equal) / ngram_join.VALUES - 0.8) < 0.01
+
+
+def test_reach_within_a_node_is_over_all_pairs(monkeypatch):
+    """Chains, stars and loners in any order: the sets are those of all pairs that the estimate leaves."""
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(ngram_join, "VALUES", 12)
+    bound = ngram_join.least_equal()
+    for _ in range(40):
+        labels = rng.integers(0, 2, (25, 12)).astype(np.uint16)
+        near = (labels[:, None, :] == labels[None, :, :]).sum(axis=2) >= bound
+        want = np.arange(25)
+        while True:
+            step = np.where(near, want[None, :], 99).min(axis=1)
+            if (step == want).all():
+                break
+            want = step
+        assert ngram_join.in_reach(labels).tolist() == want.tolist()
+
+
+def boilerplate(rnd, n, own, shared):
+    """Texts that share a passage of which each has most, and some near copies among them."""
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    passage = [word() for _ in range(shared)]
+    rows = [(i, " ".join([*passage, *(word() for _ in range(own))])) for i in range(n)]
+    return rows + [(n + i, rows[i][1] + " and more") for i in range(0, n, 20)]
+
+
+def test_crowded_nodes_go_on_to_longer_prefixes(spark, monkeypatch):
+    """With small crowds and blocks the links of boilerplate texts and of large groups stay those of all pairs."""
+    monkeypatch.setattr(ngram_join, "CROWD", 8)
+    monkeypatch.setattr(ngram_join, "NODE_BLOCK", 16)
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(5))
+    rows, base = boilerplate(rnd, 200, 40, 90), [word() for _ in range(100)]
+    for i in range(60):
+        own = list(base)
+        own[rnd.randrange(len(own))] = word()
+        rows.append((1000 + i, " ".join(own)))
+    links, group = brute_links(dict(rows))
+    out = {r.doc_id: r for r in ngram_join.join(documents(spark, rows)).collect()}
+    assert {k: r.n_links for k, r in out.items()} == links and {k: r.class_id for k, r in out.items()} == group
+
+
+def test_boilerplate_makes_no_large_cluster(spark):
+    """Texts at a similarity of 0.5 meet at many nodes, but estimates keep them out of one another's clusters."""
+    rows = boilerplate(random.Random(5), 400, 40, 85)
+    labels = ngram_join.labels_of(ngram_join.shingle_sets([t for _, t in rows]))
+    keys = ngram_join.prefix_keys(labels, 4)
+    assert max(Counter(keys.reshape(-1).tolist()).values()) > 20  # they do meet
+    classes = ngram_join.signatures(documents(spark, rows)).selectExpr("doc_id AS node", "labels")
+    clusters = components(ngram_join.candidate_edges(classes)).groupBy("label").count().collect()
+    assert max(r["count"] for r in clusters) <= 4
+    links, group = brute_links(dict(rows))
+    assert {r.doc_id: r.n_links for r in ngram_join.join(documents(spark, rows)).collect()} == links
+
+
+def test_join_of_repeated_ids_is_stable(spark):
+    """Two texts under one id keep their own links, in any order of rows."""
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(5))
+    a, b = ([word() for _ in range(80)] for _ in range(2))
+    near = lambda words: " ".join([*words[:-1], word()])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (6, near(a)), (7, near(b)), (None, " ".join(a)), (None, " ".join(a))]
+    for own in (rows, rows[::-1]):
+        frame = documents(spark, own)
+        out = sorted((str(r.doc_id), str(r.class_id), r.n_links) for r in ngram_join.join(frame).collect())
+        assert out == [("5", "5", 1), ("5", "5", 1), ("6", "5", 1), ("7", "5", 1), ("None", "None", 0), ("None", "None", 0)]
+        kept = ngram_join.near_duplicate_stage(spark, frame, "").collect()
+        assert sorted((str(r.doc_id), r.text) for r in kept) == sorted([("5", " ".join(a)), ("5", " ".join(b)), ("None", " ".join(a)), ("None", " ".join(a))])
+
+
+def test_near_duplicate_stage_keeps_clashing_columns(spark):
+    """Columns called as its own, and columns that cannot be ordered, come through; of repeated rows the least stays."""
+    text = "the same words again and again in this text"
+    rows = [(i % 40, text if i % 2 else f"{text} {i % 40} of many more words that are its own {i % 40}", i, {"k": i}, (i, {"m": i}), [1.0]) for i in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, hash int, row map<string,int>, `order` struct<a:int,b:map<string,int>>, id array<double>")
+    out = ngram_join.near_duplicate_stage(spark, frame, "").collect()
+    assert out[0].__fields__ == frame.columns
+    _, group = brute_links({r[0]: r[1] for r in rows})
+    assert sorted((r.doc_id, r.hash, r.row["k"]) for r in out) == sorted((k, k, k) for k, g in group.items() if k == g)
+    assert ngram_join.near_duplicate_stage(spark, frame.filter("false"), "").count() == 0
+
+
+def test_recall_on_the_larger_scale(spark):
+    """Ten times the rows of the SQL check: links are those of all pairs that share a shingle."""
+    folder = "/root/testdata/sf0.1"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    links, group = brute_links(texts)
+    out = {r.doc_id: r for r in ngram_join.op3_ngram_join(spark, folder).collect()}
+    found = sum(r.n_links for r in out.values())
+    assert sum(links.values()) >= found >= 0.999 * sum(links.values())
+    assert sum(out[k].class_id != g for k, g in group.items()) <= 0.001 * len(group)
 
 
 def test_components(spark):
