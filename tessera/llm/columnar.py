@@ -29,5 +29,17 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_
         yield batch.slice(start), texts[start:]
 
 
+#: Bytes of one Arrow batch between the JVM and Python, where the session has no bound of its own: rows of a batch are
+#: counted by default, and a few thousand texts take more memory than the operators themselves.
+BATCH_BYTES = 4 << 20
+_BOUND, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    if spark.conf.get(_BOUND) == _DEFAULT:
+        spark.conf.set(_BOUND, str(BATCH_BYTES))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.columnar import documents, text_slices
+from tessera.llm.columnar import bound_batches, documents, text_slices
 from tessera.llm.letters import class_sample, id_remainder, letters_only
 
 UNDETERMINED = "und"
@@ -182,6 +182,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; the others go."""
+    bound_batches(spark)
     model = fit(docs.filter(id_remainder(F.col("doc_id"), 4) != 2))
     rows = docs.select(F.struct("*").alias("row"), "text")  # whatever the columns are called, they do not meet the results
     return identify(rows, model, ["row"]).filter("NOT rejected").select("row.*")

@@ -11,7 +11,7 @@ estimate does not rule out (``MARGIN`` standard deviations under the threshold)
 members in reach of one another. Large nodes are compared block by block.
 
 Components of these edges are the clusters whose pairs are verified exactly on their shingle sets, in blocks of
-``BLOCK`` classes against one another; only counts and star edges leave a block, never the pairs. There is no cap on
+about ``BLOCK`` classes (fewer, if long) against one another; only counts and star edges leave a block, never the pairs. There is no cap on
 nodes, partners or candidates.
 
 A null or empty text, or one without words, has no links and is a class of its own; rows with a null doc_id likewise
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
-from tessera.llm.columnar import documents, stored, text_slices
+from tessera.llm.columnar import bound_batches, documents, stored, text_slices
 from tessera.llm.components import components
 from tessera.llm.words import mixed, rolling, word_hashes
 
@@ -49,6 +49,8 @@ CROWD = 1024
 MARGIN = 4.5
 #: Classes of a node that one block holds for estimates, and of a cluster for exact comparison.
 NODE_BLOCK, BLOCK = 1024, 128
+#: Shingles that one block of a cluster holds about, where its texts are long.
+BLOCK_SHINGLES = 300_000
 
 
 def trees_for(length: int, threshold: float = THRESHOLD[0] / THRESHOLD[1], recall: float = TARGET_RECALL) -> int:
@@ -226,10 +228,10 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
         edges = found if edges is None else edges.unionByName(found)
         if last:
             return edges
-        crowded = stored(places.join(sizes.filter(f"n > {CROWD}").select("key"), "key").select("node").distinct(), "crowded")
-        if crowded.isEmpty():
+        crowds = sizes.filter(f"n > {CROWD}").select("key")
+        if crowds.isEmpty():
             return edges
-        going = stored(going.join(crowded, "node"), "going")
+        going = stored(going.join(places.join(crowds, "key").select("node").distinct(), "node"), "going")
 
 
 def links_in_block(reps: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None, threshold: tuple[int, int] = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
@@ -270,9 +272,10 @@ def links_in_block(reps: np.ndarray, copies: np.ndarray, sets: list[np.ndarray],
 
 def verified(docs: DataFrame, classes: DataFrame, clusters: DataFrame) -> DataFrame:
     """(node, links, label, alone): per block pair, links found and the least class reached; alone if it was the only block."""
-    members = classes.select("node", "rep", "copies").join(clusters.withColumnRenamed("label", "cluster"), "node")
-    sizes = stored(members.groupBy("cluster").agg(F.count("*").alias("n")), "sizes")
-    dealt = members.join(sizes, "cluster").select("node", "rep", "copies", "cluster", F.expr(f"cast(ceil(n / {BLOCK}) AS int)").alias("blocks"))
+    members = stored(classes.select("node", "rep", "copies", "size").join(clusters.withColumnRenamed("label", "cluster"), "node"), "members")
+    sizes = stored(members.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("size").alias("total")), "sizes")
+    blocks = F.expr(f"cast(ceil(greatest(n / {BLOCK}, least(total / {BLOCK_SHINGLES}, n / 2))) AS int)")
+    dealt = members.join(sizes, "cluster").select("node", "rep", "copies", "cluster", blocks.alias("blocks"))
     dealt = dealt.withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) AS int)"))
     own = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), "text")
     texts = own.join(dealt.hint("shuffle_hash"), (F.col("id") == F.col("rep.doc_id")) & (F.col("hash") == F.col("rep.text_hash"))).select("node", "copies", "cluster", "blocks", "block", "text")
@@ -304,7 +307,7 @@ def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     rows = stored(signatures(docs), "signatures")
     least = F.min(F.struct("doc_id", "text_hash")).alias("rep")
-    taking = rows.filter("size > 0 AND doc_id IS NOT NULL").groupBy("first", "second").agg(least, F.count("*").alias("copies"), F.min("labels").alias("labels"))
+    taking = rows.filter("size > 0 AND doc_id IS NOT NULL").groupBy("first", "second").agg(least, F.count("*").alias("copies"), F.max("size").alias("size"), F.min("labels").alias("labels"))
     classes = stored(taking.withColumn("node", F.monotonically_increasing_id()), "classes")
     clusters = components(candidate_edges(classes))
     found = stored(verified(docs, classes, clusters), "verified")
@@ -314,7 +317,7 @@ def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         classes.select("first", "second", "node", "rep", "copies").join(links, "node", "left").join(across, "node", "left").select("first", "second", "rep", "copies", "links", F.coalesce("label", "within", "node").alias("group")),
         "groups",
     )
-    chosen = stored(groups.groupBy("group").agg(F.min("rep").alias("chosen")), "chosen")
+    chosen = groups.groupBy("group").agg(F.min("rep").alias("chosen"))
     return rows.select("doc_id", "text_hash", "first", "second", F.expr("size > 0 AND doc_id IS NOT NULL").alias("takes_part")), groups.join(chosen, "group").withColumn("takes_part", F.lit(True))
 
 
@@ -349,6 +352,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Null and empty texts are groups of their own, of which rows that repeat a doc_id go too; rows with a null doc_id stay
     all. Columns keep their names and values, whatever they are called; an empty table stays empty.
     """
+    bound_batches(spark)
     rows, groups = grouped(docs)
     picked = rows.join(groups, ["first", "second", "takes_part"], "left").filter("doc_id IS NOT NULL AND (chosen IS NULL OR chosen = struct(doc_id, text_hash))")
     kept = picked.groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).agg(F.count("*").alias("n"))

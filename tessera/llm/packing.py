@@ -215,7 +215,7 @@ def cut(docs: DataFrame, path: str, capacity: int, closing_id: int) -> DataFrame
 def pack(docs: DataFrame, path: str, capacity: int = 4096, closing_id: int = 2) -> DataFrame:
     """Pieces of all documents with ``sequence_id`` and ``offset`` (gapless from 0 within a sequence)."""
     pieces = stored(cut(docs, path, capacity, closing_id).withColumn("at", F.monotonically_increasing_id()), "pieces")
-    lengths = stored(pieces.groupBy("length").agg(F.count("*").alias("n")), "lengths")  # capacity rows at most
+    lengths = stored(pieces.groupBy("length").agg(F.count("*").alias("n")).coalesce(1), "lengths")  # capacity rows at most
     table = intervals(fill({r["length"]: r["n"] for r in lengths.collect()}, capacity))
     salt = F.expr(f"pmod(xxhash64(at), cast(ceil(n / {RANKED_ROWS}) AS long))")
     salted = pieces.join(F.broadcast(lengths), "length").withColumn("salt", salt).drop("n")

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.columnar import documents, text_slices
+from tessera.llm.columnar import bound_batches, documents, text_slices
 from tessera.llm.letters import class_sample, id_remainder, letters_only
 
 WINDOW = 8
@@ -220,5 +220,6 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted to be toxic; the others go."""
+    bound_batches(spark)
     rows = docs.select(F.struct("*").alias("row"), "text")  # whatever the columns are called, they do not meet the results
     return score(rows, trained(spark, docs, sf_dir), ["row"]).filter("predicted = 0").select("row.*")
