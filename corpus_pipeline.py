@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm.columnar import stored
+from tessera.llm.columnar import bound_batches, stored
 from tessera.llm.language_id import language_stage
 from tessera.llm.ngram_join import near_duplicate_stage
 from tessera.llm.packing import pack
@@ -18,6 +18,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents that are left, with their sequences."""
+    bound_batches(spark)
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
