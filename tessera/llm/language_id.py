@@ -6,8 +6,9 @@ language. Both layers are trained together by stochastic gradient descent in num
 language. A held-out fifth of that sample calibrates the softmax temperature and the confidence under which a text is
 rejected. As both layers are linear, prediction folds them into one table of bucket scores.
 
-A null text and a text without letters get ``und`` with score 0. Without any labelled row every text gets ``und``.
-Repeated rows get equal results, extra columns are ignored, an empty table gives no rows.
+A null text and a text without letters get ``und`` with score 0. Without any labelled row every text gets ``und``. Very
+long texts train and are predicted whole. Of rows that repeat a doc_id one trains; repeated rows get equal results, extra
+columns are ignored, an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -173,11 +174,14 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = Non
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Language of every whole text of ``documents``; learned from rows outside the held-out fold."""
+    """Language of every whole text of ``documents``; learned from rows outside the held-out fold.
+
+    A row without doc_id has no fold: it is not held out and trains nothing.
+    """
     docs = documents(spark, sf_dir)
     fold = id_remainder(F.col("doc_id"), 4)
     model = fit(docs.filter(fold != 2))
-    return identify(docs, model).select("doc_id", (fold == 2).alias("held_out"), "lang_pred", "score", "rejected")
+    return identify(docs, model).select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

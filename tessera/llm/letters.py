@@ -20,8 +20,8 @@ def id_remainder(doc_id: Column, divisor: int) -> Column:
 def class_sample(rows: DataFrame, label: str, quota: dict | int, key: str = "doc_id") -> DataFrame:
     """About ``quota`` rows of each class (all, if it has fewer), the same rows on every run.
 
-    One aggregation counts the classes; a row stays if the hash of its key falls under its class's share.
-    ``quota`` is one number or a number for each class.
+    One aggregation counts the classes; a row stays if the hash of its key falls under its class's share. Rows that
+    repeat a key are one (the least), so what a hot key brings is one row. ``quota`` is one number or one for each class.
     """
     counts = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count("*").alias("n")).collect()}  # a row for each class
     unit = F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 30)) / F.lit(float(1 << 30))
@@ -29,4 +29,5 @@ def class_sample(rows: DataFrame, label: str, quota: dict | int, key: str = "doc
     for value, n in sorted(counts.items(), key=lambda x: str(x[0])):
         share = (quota[value] if isinstance(quota, dict) else quota) / max(n, 1)
         stays = stays | ((F.col(label) == F.lit(value)) & (unit < F.lit(min(share, 1.0))))
-    return rows.filter(stays)
+    columns = [label, *(c for c in rows.columns if c not in (key, label))]
+    return rows.filter(stays).groupBy(key).agg(F.min(F.struct(*columns)).alias("__row")).select(*(F.col(key) if c == key else F.col("__row")[c].alias(c) for c in rows.columns))

@@ -1,16 +1,20 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on the windows of ordinary text, one on the spans that toxic texts share
-and ordinary texts do not explain (words and beginnings of words whose document frequency is significantly higher among
-the toxic texts of the sample, by a likelihood-ratio test). The toxic compressor gets the ordinary dictionary behind its
-own, so both price ordinary wording alike and a window is shorter under the toxic one only if it holds a toxic span.
-Every text is cut into windows of ``WINDOW`` words; its features are the largest and second largest differences of
-compressed length, and whether the largest is that of a whole span. A logistic curve, fitted on texts that trained
-neither dictionary, calibrates them to a probability with its threshold at 0.5.
-
-Null texts, empty texts and texts without letters have no window: their score is the curve at zero difference. With no
-toxic or no ordinary labelled text every score is 0. Labels that are null or belong to no document are ignored; a
-document with several labels counts as toxic if one says so. Repeated rows get equal results; extra columns are ignored.
+Two zstandard dictionaries are trained, one on ordinary and one on toxic text. Most windows of a toxic text are
+ordinary, so the toxic dictionary is trained in rounds: the toxic texts are halved, a dictionary trained on the windows
+of one half compresses those of the other, and only windows that it shortens by a length that is ``RATIO`` times as
+frequent as among ordinary ones train the next round's. What only one text holds does not survive that, what toxic texts share does. The
+ordinary dictionary is completed by the ordinary windows that the toxic one shortens most. The toxic compressor gets the
+ordinary dictionary behind its own, so both price ordinary wording alike.
+
+Every text is cut into windows of ``WINDOW`` words; its features are the three largest differences of compressed length
+and the number of windows. A logistic curve, fitted on texts that trained neither dictionary, calibrates them to a
+probability with its threshold at 0.5.
+
+Null texts, empty texts and texts without letters have no window: their score is the curve at zero difference. Very long
+texts are scored over all their windows. With no toxic or no ordinary labelled text every score is 0. Labels that are
+null or belong to no document are ignored; a document with several labels counts as toxic if one says so. Of rows that
+repeat a doc_id one trains; repeated rows get equal results; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,24 +34,29 @@ from pyspark.sql import functions as F
 from tessera.llm.columnar import bound_batches, documents, text_slices
 from tessera.llm.letters import class_sample, id_remainder, letters_only
 
-WINDOW = 8
+#: Words of a window that is scored, and of one that trains.
+WINDOW, TRAINING_WINDOW = 8, 2
 ORDINARY_BYTES = 131_072
+#: Most bytes of the toxic dictionary of a round; sizes of the last one, of which the best calibrated is taken.
+ROUND_BYTES, TOXIC_BYTES, ROUNDS = 4096, (512, 1024, 2048, 4096), 3
+#: How many times as often windows of toxic texts have to be shortened by so much as ordinary ones; how many of these are
+#: looked at for it.
+RATIO, COMPARED = 3.0, 40_000
+#: Bytes of ordinary windows that complete the ordinary dictionary.
+HARD_BYTES = 16_384
+#: Differences beyond this tell no more.
+MOST = 14
 #: Odd, so that every byte pair keeps a code of its own in 16 bits.
 PAIR_FACTOR = 0x9E37
-#: Bound of the training sample, in rows of each class.
-SAMPLE = {0: 5000, 1: 2000}
-#: Longest text, in characters, that may be drawn into the training sample, as the driver collects whole sampled texts;
-#: scoring has no such bound.
-MAX_TRAINING_CHARS = 200_000
+#: Bound of the training sample, in rows of each class and in characters of each row; see :func:`fit`.
+SAMPLE, MAX_CHARS = {0: 5000, 1: 2000}, 20_000
+#: Passages, evenly spread over a longer text, that stand for it in the training sample.
+PASSAGES = 20
 #: Least hashed word triples by which copies among the sample are known.
 TRIPLES = 12
-#: Likelihood ratio and share of the toxic texts from which a word counts as a toxic span.
-LEAST_RATIO, LEAST_SHARE = 15.0, 0.006
-#: Lengths of word beginnings that may be toxic spans of their own: endings vary.
-STEMS = (6,)
 
 
-def windows(text: str) -> list[bytes]:
+def windows(text: str, words: int = WINDOW) -> list[bytes]:
     """The windows of a prepared text, spelled in overlapping byte pairs of two bytes each.
 
     The spelling doubles what a literal costs but not what a match costs, so a whole span that a dictionary knows
@@ -57,7 +66,7 @@ def windows(text: str) -> list[bytes]:
     if len(data) < 3:
         return []
     pairs = ((data[:-1] << 8 | data[1:]) * np.uint32(PAIR_FACTOR)).astype("<u2").tobytes()
-    cuts = [*(2 * np.flatnonzero(data[:-1] == 32)[::WINDOW]).tolist(), len(pairs)]
+    cuts = [*(2 * np.flatnonzero(data[:-1] == 32)[::words]).tolist(), len(pairs)]
     return [pairs[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
@@ -87,20 +96,17 @@ class ToxicityModel:
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "_pair"}
 
-    def features(self, text: str) -> tuple[float, float, float]:
+    def features(self, text: str) -> list[float]:
         plain, toxic = self._pair
-        first = second = 0
-        for window in windows(text):
-            gain = len(plain(window)) - len(toxic(window))
-            if gain > second:
-                first, second = max(first, gain), min(first, gain)
-        return min(first, 12), min(second, 12), float(first >= 5)
+        gains = [len(plain(w)) - len(toxic(w)) for w in windows(text)]
+        first = sorted(gains, reverse=True)[:3] + [0, 0, 0]
+        return [*(float(min(max(g, 0), MOST)) for g in first[:3]), math.log1p(len(gains)), 1.0]
 
     def score(self, texts: list[str]) -> np.ndarray:
         if self.weights is None:
             return np.zeros(len(texts))
         self.open()
-        x = np.array([(*self.features(t), 1.0) for t in texts]).reshape(-1, 4)
+        x = np.array([self.features(t) for t in texts]).reshape(-1, 5)
         return 1 / (1 + np.exp(-(x @ self.weights)))
 
 
@@ -124,32 +130,33 @@ def without_copies(texts: list[str]) -> list[str]:
     return kept
 
 
-def spans_of(text: str) -> set[str]:
-    """Words between spaces, and the beginnings of longer words behind a space."""
-    words = set(text.split())
-    return {f" {w} " for w in words} | {f" {w[:n]}" for n in STEMS for w in words if len(w) > n}
-
-
-def toxic_spans(toxic: list[str], ordinary: list[str]) -> list[str]:
-    """Spans that mark toxic texts, the most telling last."""
-    inside, outside = Counter(), Counter()
-    for texts, counter in ((toxic, inside), (ordinary, outside)):
-        for text in texts:
-            counter.update(spans_of(text))
-    n, m = len(toxic), len(ordinary)
-
-    def part(k: int, total: int, q: float) -> float:
-        return (k * math.log(q) if k else 0.0) + ((total - k) * math.log(1 - q) if total > k else 0.0)
-
-    found = []
-    for span, a in inside.items():
-        b = outside[span]
-        if a >= max(2, LEAST_SHARE * n) and a * m > 4 * b * n:
-            p = (a + b) / (n + m)
-            ratio = 2 * (part(a, n, a / n) + part(b, m, b / m) - part(a, n, p) - part(b, m, p))
-            if ratio > min(LEAST_RATIO, 0.2 * n + 2):
-                found.append((ratio, span))
-    return [span for _, span in sorted(found)]
+def trained_dictionary(samples: list[bytes], size: int, segment: int) -> bytes:
+    """Content of a dictionary that zstandard's trainer makes of the samples."""
+    try:
+        return zstandard.train_dictionary(size, samples, k=segment, d=8, level=3).as_bytes()
+    except zstandard.ZstdError:  # too few samples for the trainer: they serve themselves
+        return b"".join(sorted(set(samples)))[-size:]
+
+
+def toxic_windows(toxic: list[str], ordinary: list[bytes], plain: bytes, rounds: int = ROUNDS) -> list[bytes]:
+    """The windows of toxic texts that a dictionary trained on other toxic texts shortens as hardly any ordinary one."""
+    halves = [[w for t in toxic[h::2] for w in windows(t, TRAINING_WINDOW)] for h in (0, 1)]
+    price = compressor(plain).compress
+    costs = [np.array([len(price(w)) for w in own]) for own in (*halves, ordinary)]
+    chosen = halves
+    for _ in range(rounds):
+        found = []
+        for h in (0, 1):
+            size = min(ROUND_BYTES, max(1024, sum(map(len, halves[1 - h])) // 50))
+            own = compressor(trained_dictionary(chosen[1 - h], size, 50) + plain).compress
+            gains = [cost - np.array([len(own(w)) for w in group]) for cost, group in ((costs[h], halves[h]), (costs[2], ordinary))]
+            inside, outside = (np.array([(g >= least).mean() if len(g) else 0.0 for least in range(1, MOST + 1)]) for g in gains)
+            telling = np.flatnonzero(inside >= RATIO * outside)
+            found.append([halves[h][k] for k in np.flatnonzero(gains[0] >= (telling[0] + 1 if len(telling) else MOST))])
+        if min(map(len, found)) < 8:
+            break
+        chosen = found
+    return chosen[0] + chosen[1]
 
 
 def calibrate(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 0.05) -> np.ndarray:
@@ -166,30 +173,43 @@ def train(toxic: list[str], ordinary: list[str]) -> ToxicityModel:
     """Fit on prepared texts; each third text calibrates and trains no dictionary."""
     if not toxic or not ordinary:
         return ToxicityModel(b"", b"", None)
-    split = [(texts, [t for i, t in enumerate(texts) if i % 3 or len(texts) < 12], texts[::3]) for texts in (without_copies(sorted(toxic)), without_copies(sorted(ordinary)))]
-    (all1, fit1, held1), (all0, fit0, held0) = split
+    split = [([t for i, t in enumerate(texts) if i % 3 or len(texts) < 12], texts[::3]) for texts in (without_copies(sorted(toxic)), without_copies(sorted(ordinary)))]
+    (fit1, held1), (fit0, held0) = split
     samples = [w for t in fit0 for w in windows(t)]
-    try:
-        size = min(ORDINARY_BYTES, max(1024, sum(map(len, samples)) // 10))
-        plain = zstandard.train_dictionary(size, samples, k=200, d=8, level=3).as_bytes()
-    except zstandard.ZstdError:  # too few samples for the trainer: the text itself serves
-        plain = b"".join(samples)[-ORDINARY_BYTES:]
-
-    def dictionary(toxic: list[str], ordinary: list[str]) -> bytes:
-        return b"".join(w for span in toxic_spans(toxic, ordinary) for w in windows(span))
-
-    model = ToxicityModel(plain, dictionary(fit1, fit0), np.zeros(4)).open()
-    x = np.array([(*model.features(t), 1.0) for t in held1 + held0])
-    model.weights = calibrate(x, np.array([1.0] * len(held1) + [0.0] * len(held0)))
-    return ToxicityModel(plain, dictionary(all1, all0), model.weights)  # calibrated: now all texts may teach
-
-
-def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
-    """Train on about ``SAMPLE`` labelled rows of each class. Only their ids, bounded by the sample, are broadcast."""
+    plain = trained_dictionary(samples, min(ORDINARY_BYTES, max(1024, sum(map(len, samples)) // 10)), 200)
+    short = [w for t in fit0 for w in windows(t, TRAINING_WINDOW)]
+    order = np.random.default_rng(1).permutation(len(short))
+    compared, others = [short[i] for i in order[:COMPARED]], [short[i] for i in order[COMPARED : 3 * COMPARED]]
+    chosen = toxic_windows(fit1, compared, plain)
+    target = np.array([1.0] * len(held1) + [0.0] * len(held0))
+    one, best = compressor(plain).compress, (math.inf, ToxicityModel(b"", b"", None))
+    before = np.array([len(one(w)) for w in others])
+    for size in TOXIC_BYTES:
+        found = trained_dictionary(chosen, size, 50)
+        two = compressor(found + plain).compress
+        gains = before - np.array([len(two(w)) for w in others], np.int64)
+        hard = {others[k] for k in np.flatnonzero(gains >= max(4.0, float(np.quantile(gains, 0.998))))} if len(others) else set()
+        model = ToxicityModel(b"".join(sorted(hard))[-HARD_BYTES:] + plain, found, np.zeros(5)).open()
+        x = np.array([model.features(t) for t in held1 + held0])
+        model.weights = calibrate(x, target)
+        loss = float(np.logaddexp(0, np.where(target == 1, -1, 1) * (x @ model.weights)).mean())
+        best = min(best, (loss, model), key=lambda b: b[0])
+    return best[1]
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE, max_chars: int = MAX_CHARS) -> ToxicityModel:
+    """Train on about ``sample`` labelled rows of each class.
+
+    A row brings ``max_chars`` characters to the driver at most: a longer text is represented by ``PASSAGES`` passages
+    spread evenly over it. Only ids, bounded by the sample, are broadcast. Scoring has neither bound.
+    """
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("doc_id IS NOT NULL AND toxic IN (0, 1)")
-    drawn = class_sample(known, "toxic", SAMPLE).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select("doc_id", "text").filter(F.length("text") <= MAX_TRAINING_CHARS).join(F.broadcast(drawn), "doc_id")
-    found = rows.select("toxic", letters_only(F.col("text")).alias("text")).filter("text <> ''").collect()
+    drawn = class_sample(known, "toxic", sample).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "toxic", letters_only(F.col("text")).alias("text"))
+    passage = max_chars // PASSAGES
+    spread = F.expr(f"concat_ws(' ', transform(sequence(0, {PASSAGES - 1}), i -> substring(text, cast(1 + i * floor(length(text) / {PASSAGES}) AS int), {passage})))")
+    short = rows.withColumn("text", F.when(F.length("text") <= max_chars, F.col("text")).otherwise(F.concat(F.lit(" "), spread, F.lit(" "))))
+    found = short.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")).filter("text <> ''").collect()
     return train([r["text"] for r in found if r["toxic"]], [r["text"] for r in found if not r["toxic"]])
 
 
@@ -213,9 +233,12 @@ def trained(spark: SparkSession, docs: DataFrame, sf_dir: str) -> ToxicityModel:
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Score of every whole text of ``documents``; labels are learned from rows outside the held-out fold."""
+    """Score of every whole text of ``documents``; labels are learned from rows outside the held-out fold.
+
+    A row without doc_id has no fold: it is not held out, and has no label to learn.
+    """
     docs = documents(spark, sf_dir)
-    return score(docs, trained(spark, docs, sf_dir)).select("doc_id", (id_remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+    return score(docs, trained(spark, docs, sf_dir)).select("doc_id", F.coalesce(id_remainder(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

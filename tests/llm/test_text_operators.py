@@ -107,6 +107,56 @@ def test_toxicity_learns_spans():
     assert hits.mean() >= 0.95 and false.mean() <= 0.03
 
 
+def test_toxicity_is_its_formula(spark):
+    """Scores against a plain computation: every window compressed by zstandard with each dictionary, then the curve."""
+    import zstandard
+
+    documents = spark.read.parquet(f"{LARGER}/documents.parquet")
+    model = toxicity.fit(documents, spark.read.parquet(f"{LARGER}/labels.parquet"))
+    assert len(model.toxic) <= max(toxicity.TOXIC_BYTES) and len(model.ordinary) > len(model.toxic)
+
+    def length(dictionary, window):
+        own = zstandard.ZstdCompressor(
+            dict_data=zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT),
+            compression_params=zstandard.ZstdCompressionParameters.from_level(8, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_dict_id=False, write_checksum=False, min_match=6, window_log=18, search_log=6),
+        )
+        return len(own.compress(window))
+
+    out = {r.doc_id: r.score for r in toxicity.score(documents, model).collect()}
+    for r in documents.select("doc_id", letters_only(F.col("text")).alias("t")).filter("length(text) < 1500").limit(25).collect():
+        words = r.t.split()
+        text, found = r.t.encode(), []
+        cuts = [i for i, b in enumerate(text[:-1]) if b == 32][:: toxicity.WINDOW] + [len(text) - 1]
+        assert len(cuts) == -(-len(words) // toxicity.WINDOW) + 1 or not words
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            window = b"".join(((text[k] << 8 | text[k + 1]) * toxicity.PAIR_FACTOR % 65536).to_bytes(2, "little") for k in range(i, j))
+            found.append(length(model.ordinary, window) - length(model.toxic + model.ordinary, window))
+        best = [min(max(g, 0), toxicity.MOST) for g in (sorted(found, reverse=True) + [0, 0, 0])[:3]]
+        z = float(np.dot(model.weights, [*best, np.log1p(len(found)), 1.0]))
+        assert abs(out[r.doc_id] - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_samples_are_bounded_for_repeated_ids(spark):
+    """One id on nearly all rows brings one row, and long texts bring passages from all over them."""
+    from tessera.llm.letters import class_sample
+
+    rows = spark.range(5000).selectExpr("CASE WHEN id < 4900 THEN 7 ELSE id END AS doc_id", "'en' AS lang", "concat('text ', id) AS text")
+    assert class_sample(rows, "lang", 100_000).count() == 101 and class_sample(rows, "lang", 50).count() <= 101
+    seen = []
+    words = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}" for i in range(12_000))
+    docs = spark.createDataFrame([(i, words if i < 3 else f"short text of row {chr(97 + i)}") for i in range(20)] * 3, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 6)) for i in range(20)], "doc_id long, toxic int")
+    own, toxicity.train = toxicity.train, lambda toxic, ordinary: seen.append((toxic, ordinary))
+    try:
+        toxicity.fit(docs, labels, max_chars=4000)
+    finally:
+        toxicity.train = own
+    toxic, ordinary = seen[0]
+    assert len(toxic) == 6 and len(ordinary) == 14 and max(map(len, toxic)) <= 4000 + toxicity.PASSAGES + 2
+    long = next(t for t in toxic if len(t) > 1000)
+    assert words[:40] in long and words[-2500:-2450] in long
+
+
 def test_toxicity_sample_keeps_texts_that_share_passages():
     """Texts with a third of their words in common passages stay; copies and near copies go."""
     rng = np.random.default_rng(8)
