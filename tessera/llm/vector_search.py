@@ -8,9 +8,10 @@ the target recall, and is compared there with every indexed vector in double pre
 Parts are dealt in blocks of candidates against blocks of queries, so a task's memory does not grow with a part, however
 many rows a common vector brings into it; each block returns the best few of each query.
 
-Vectors that are null, zero, of another length than most rows, or hold null or non-finite components take no part, nor
-do rows whose vec_id is null. Equal scores rank by the smaller vec_id. Rows that repeat a vec_id count once. Extra
-columns are ignored; an empty table gives no rows.
+Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do rows whose vec_id is null.
+Vectors of different lengths are searched apart. Very large and very small components count as any other. Equal scores
+rank by the smaller vec_id. Rows that repeat a vec_id count once, with the least of their vectors. Extra columns are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ TARGET_RECALL = 0.95
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -153,15 +155,15 @@ def fit(sample: np.ndarray, parts: int, neighbours: int = NEAREST, recall: float
 
 
 def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
-    """(vec_id, vector of doubles) of the rows that take part."""
+    """(vec_id, vector of doubles, size) of the rows that take part; of rows that repeat a vec_id the least vector."""
     rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).cast("array<double>").alias("vector")).filter("vec_id IS NOT NULL AND size(vector) > 0")
-    lengths = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    length = lengths[0]["n"] if lengths else 0
-    return rows.filter(
-        (F.size("vector") == length)
-        & F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-        & F.exists("vector", lambda v: v != 0)
-    )
+    rows = rows.filter(F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("vector", lambda v: v != 0))
+    return rows.groupBy("vec_id").agg(F.min("vector").alias("vector")).withColumn("size", F.size("vector"))
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows over a power of two near their largest component: no square over- or underflows, and no digit is lost."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
 
 
 def matrix(column: pa.Array | pd.Series) -> np.ndarray:
@@ -172,6 +174,7 @@ def matrix(column: pa.Array | pd.Series) -> np.ndarray:
 
 def best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> pd.DataFrame:
     """The k nearest candidates of each query: preselected by one product of matrices, ranked by the exact measure."""
+    queries, vectors = scaled(queries), scaled(vectors)
     length = np.sqrt((vectors * vectors).sum(axis=1))
     rough = (queries @ vectors.T) / length / np.sqrt((queries * queries).sum(axis=1))[:, None]
     rough[query_ids[:, None] == ids[None, :]] = -np.inf
@@ -186,17 +189,34 @@ def best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: n
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
 
-def search(vectors: DataFrame, step: int = QUERY_STEP, k: int = NEAREST, id_column: str = "vec_id", vector_column: str = "embedding", seed: int = 11) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found of every row whose id is divisible by ``step``."""
-    rows = usable(vectors, id_column, vector_column)
-    n = rows.count()
+def router_of(rows: DataFrame, n: int, k: int, seed: int) -> Router:
+    """The router for ``n`` rows of one length, fitted on about ``SAMPLE`` of them."""
     unit_hash = F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = sorted(rows.filter(unit_hash < F.lit(min(1.0, SAMPLE / max(n, 1)))).limit(2 * SAMPLE).collect())  # about SAMPLE rows
+    drawn = sorted(rows.select("vec_id", "vector").filter(unit_hash < F.lit(min(1.0, SAMPLE / max(n, 1)))).limit(2 * SAMPLE).collect())  # about SAMPLE rows
+    if not drawn:
+        return Router(np.zeros((1, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1))
     drawn = [drawn[i] for i in np.random.default_rng(seed).permutation(len(drawn))]
-    if drawn:
-        router = fit(np.array([r["vector"] for r in drawn]), int(np.clip(n // PART_ROWS, LEAST_PARTS, MOST_PARTS)), k, seed=seed)
-    else:
-        router = Router(np.zeros((1, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1))
+    return fit(np.array([r["vector"] for r in drawn]), int(np.clip(n // PART_ROWS, LEAST_PARTS, MOST_PARTS)), k, seed=seed)
+
+
+def search(vectors: DataFrame, step: int = QUERY_STEP, k: int = NEAREST, id_column: str = "vec_id", vector_column: str = "embedding", seed: int = 11) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest found of every row whose id is divisible by ``step``.
+
+    Vectors of different lengths have no cosine: each length is a search of its own, with a router of its own.
+    """
+    rows = stored(usable(vectors, id_column, vector_column), "vectors")
+    sizes = {r["size"]: r["n"] for r in rows.groupBy("size").agg(F.count("*").alias("n")).orderBy("size").collect()}  # a row for each length
+    found = [_searched(rows.filter(F.col("size") == size), n, step, k, seed) for size, n in sizes.items()]
+    if not found:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    out = found[0]
+    for other in found[1:]:
+        out = out.unionByName(other)
+    return out
+
+
+def _searched(rows: DataFrame, n: int, step: int, k: int, seed: int) -> DataFrame:
+    router = router_of(rows, n, k, seed)
 
     def index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,7 +229,7 @@ def search(vectors: DataFrame, step: int = QUERY_STEP, k: int = NEAREST, id_colu
                 visits = pa.FixedSizeListArray.from_arrays(pa.array(order[:, : router.visits].reshape(-1).astype(np.int32)), router.visits).cast(pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(order[:, 0].astype(np.int32)), visits], ["vec_id", "vector", "part", "visits"])
 
-    indexed = stored(rows.mapInArrow(index, "vec_id long, vector array<double>, part int, visits array<int>"), "indexed")
+    indexed = stored(rows.select("vec_id", "vector").mapInArrow(index, "vec_id long, vector array<double>, part int, visits array<int>"), "indexed")
     queries = indexed.filter(F.col("vec_id") % step == 0)
     sizes = indexed.groupBy("part").agg(F.count("*").alias("n")).collect()  # a row for each part
     asked = queries.select(F.explode("visits").alias("part")).groupBy("part").agg(F.count("*").alias("n")).collect()
@@ -227,7 +247,6 @@ def search(vectors: DataFrame, step: int = QUERY_STEP, k: int = NEAREST, id_colu
     def compare(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(c):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        q, c = q.drop_duplicates("vec_id"), c.drop_duplicates("vec_id")
         return best(q["vec_id"].to_numpy(), matrix(q["vector"]), c["vec_id"].to_numpy(), matrix(c["vector"]), k)
 
     keys = ["part", "block", "turn"]

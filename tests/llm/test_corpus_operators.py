@@ -350,6 +350,26 @@ def test_vectors_of_odd_rows(spark):
     assert vector_search.search(frame.filter("false")).count() == 0 and vector_search.search(frame.filter("vec_id = 0")).count() == 0
 
 
+def test_vectors_of_any_magnitude_and_length(spark):
+    """Tiny and huge vectors, mixed lengths, and repeated ids with different vectors in any order of rows."""
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(60, 6))
+    size = [1e-200, 1e200, 1.0, 1e-308, 1e150][::1]
+    rows = [(i, (x * size[i % 5]).tolist()) for i, x in enumerate(base)] + [(100 + i, [1.0, float(i)]) for i in range(4)] + [(200, [1.0, 0.0, 0.0]), (200, [0.0, 1.0, 0.0]), (201, [1.0, 0.1, 0.0])]
+    outs = []
+    for own in (rows, rows[::-1]):
+        outs.append([tuple(r) for r in vector_search.search(spark.createDataFrame(own, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect()])
+    assert outs[0] == outs[1]
+    truth = exact(np.arange(60), base)
+    found = defaultdict(list)
+    for q, _, v, score in outs[0]:
+        found[q].append((v, score))
+    assert set(found) == {0, 50, 100, 200}
+    for q, own in truth.items():
+        assert [v for v, _ in own] == [v for v, _ in found[q]] and np.allclose([s for _, s in own], [s for _, s in found[q]], atol=1e-9)
+    assert [v for v, _ in found[100]] == [101, 102, 103] and found[200] == [(201, pytest.approx(0.1 / np.sqrt(1.01)))]
+
+
 def test_hot_vector(spark):
     """A third of the rows are one vector: ties go to the smallest ids, whatever block they are in."""
     rng = np.random.default_rng(3)
