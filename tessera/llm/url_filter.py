@@ -2,8 +2,8 @@
 
 Every path becomes its segments, with numbers, hashes and mixed identifiers replaced by their shape. A tree of these
 is grown for each host, level by level, on counts and never on pages: children whose spread over the next level and
-whose labels do not differ significantly (a likelihood-ratio test) are merged into one, whatever their number and
-weight. A merged child of more than ``BRANCHES`` segments is written as a wildcard. Children of a branch with the same
+whose labels (none is one) do not differ significantly (likelihood-ratio tests, that of labels smoothed) are merged into
+one, whatever their number and weight. A merged child of more than ``BRANCHES`` segments is written as a wildcard. Children of a branch with the same
 counts (their profile) are one row of its merge, so a branch with very many small children is still a small task. Labels
 are the verdicts of the listed rules on the pages they fit; a template is rejected if the smoothed share of block labels
 among its labelled pages reaches ``PURITY``. A page's verdict is its rule's, else its template's.
@@ -25,12 +25,14 @@ from tessera.llm.columnar import stored
 
 #: Segments that a template spells out at one level; more are a wildcard that names the least of them.
 BRANCHES = 16
-#: Levels of the tree; deeper segments are one wildcard.
+#: Levels of the tree that are segments; what lies deeper is one last level, as it stands.
 DEPTH = 6
 #: Smoothing: weight and value of the prior share of block labels, and the share from which a template is rejected.
 WEIGHT, PRIOR, PURITY = 2.0, 0.2, 0.5
 #: Critical value of the merge test, as a multiple of its degrees of freedom plus a constant.
 PER_DEGREE, CONSTANT = 2.0, 4.0
+#: Pages that every category of labels has more in the merge test.
+SMOOTHING = 0.05
 
 
 @dataclass(frozen=True)
@@ -65,8 +67,8 @@ def ruled(pages: DataFrame, rules: list[Rule]) -> DataFrame:
     return pages.withColumns({"rule": rule, "ruled": verdict})
 
 
-def shapes(path: Column) -> Column:
-    """The segments of a path, identifiers replaced by their shape; what lies deeper than ``DEPTH`` is one wildcard."""
+def shapes(path: Column, depth: int = DEPTH) -> Column:
+    """The segments of a path, identifiers replaced by their shape; what lies deeper than ``depth`` is one segment."""
     parts = F.filter(F.split(F.lower(path), "/"), lambda s: s != "")
     shaped = F.transform(
         parts,
@@ -76,7 +78,8 @@ def shapes(path: Column) -> Column:
         .when(s.rlike(r"\d"), F.lit("{x}"))
         .otherwise(s),
     )
-    return F.when(F.size(shaped) > DEPTH, F.concat(F.slice(shaped, 1, DEPTH), F.array(F.lit("**")))).otherwise(shaped)
+    rest = F.array_join(F.slice(shaped, depth + 1, F.greatest(F.size(shaped) - depth, F.lit(1))), "/")
+    return F.when(F.size(shaped) > depth + 1, F.concat(F.slice(shaped, 1, depth), F.array(rest))).otherwise(shaped)
 
 
 def ratio(a: dict[str, float], b: dict[str, float]) -> tuple[float, int]:
@@ -93,11 +96,13 @@ def ratio(a: dict[str, float], b: dict[str, float]) -> tuple[float, int]:
 def alike(a: tuple[dict, dict], b: tuple[dict, dict]) -> bool:
     """Whether children of two branches, and their labels, may come from the same distributions.
 
-    Branches of which one is labelled block throughout and the other not labelled at all are kept apart.
+    A page without a label is a category of its own, and every category of labels counts ``SMOOTHING`` more: a section
+    that a rule covers differs from one that none does as soon as there are pages enough to tell.
     """
-    if bool(a[1].get("block")) != bool(b[1].get("block")):
-        return False
-    return all(g <= CONSTANT + PER_DEGREE * d for g, d in (ratio(x, y) for x, y in zip(a, b, strict=True) if x and y))
+    spread = ratio(a[0], b[0])
+    kinds = {*a[1], *b[1]}
+    labels = ratio(*({kind: x[1].get(kind, 0) + SMOOTHING for kind in kinds} for x in (a, b)))
+    return all(g <= CONSTANT + PER_DEGREE * d for g, d in (spread, labels))
 
 
 def merge(profiles: pd.DataFrame) -> pd.DataFrame:
@@ -114,7 +119,7 @@ def merge(profiles: pd.DataFrame) -> pd.DataFrame:
             key, *counts = entry.split(":")
             n, labelled, blocked = map(int, counts)
             spread[key] = n
-            for name, count in (("block", blocked), ("allow", labelled - blocked)):
+            for name, count in (("block", blocked), ("allow", labelled - blocked), ("none", n - labelled)):
                 if count:
                     labels[name] = labels.get(name, 0) + count
         found.append((-sum(spread.values()), r.least, at, spread, labels))
@@ -144,7 +149,7 @@ def templates(pages: DataFrame) -> DataFrame:
     tree = stored(counted.withColumn("prefix", F.lit("")), "paths")
     depth = tree.agg(F.max(F.size("segments"))).first()[0] or 0
     for level in range(depth):
-        following = F.regexp_replace(F.get("segments", F.lit(level + 1)), r"^(?!\{[nhx]\}(\.|$)|\*\*$)[\s\S]+", "w")
+        following = F.regexp_replace(F.get("segments", F.lit(level + 1)), r"^(?!\{[nhx]\}(\.[a-z]+)?$)[\s\S]+", "w")
         here = tree.withColumns(
             {
                 "segment": F.coalesce(F.get("segments", F.lit(level)), F.lit("")),
@@ -166,10 +171,10 @@ def templates(pages: DataFrame) -> DataFrame:
     return tree.select("host", "segments", "prefix").join(stored(purity, "purity"), ["host", "prefix"]).select("host", "segments", F.col("prefix").alias("template"), "purity")
 
 
-def judge(pages: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
-    """One row a page: page_id, host, path, rule, verdict, template and purity."""
+def judge(pages: DataFrame, rules: list[Rule] = RULES, depth: int = DEPTH) -> DataFrame:
+    """One row a page: page_id, host, path, rule, verdict, template and purity. ``depth`` is that of :func:`shapes`."""
     host, path = host_and_path(F.col("url"))
-    parsed = ruled(pages.select("page_id", host.alias("host"), path.alias("path")), rules).withColumn("segments", shapes(F.col("path")))
+    parsed = ruled(pages.select("page_id", host.alias("host"), path.alias("path")), rules).withColumn("segments", shapes(F.col("path"), depth))
     known = stored(templates(parsed), "templates")
     method = F.when(F.col("purity") >= PURITY, "block").otherwise("allow")
     return parsed.join(known, ["host", "segments"], "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), "template", "purity")

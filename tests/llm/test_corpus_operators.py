@@ -283,6 +283,35 @@ def test_url_small_blocked_section_stays_apart(spark):
     assert len(sections) == 1 and out[9000].template not in sections and out[9100].template not in sections  # alike or not
 
 
+def test_url_method_blocks_what_shares_a_template_with_blocked_pages(spark):
+    """Unruled pages go where most labelled pages of their template are blocked, and stay where they are not."""
+    rules = [url_filter.Rule("w.test", f"/spam-{c}/1", True) for c in "abcdefgh"] + [url_filter.Rule("w.test", f"/blog-{c}/1", False) for c in "abcdefgh"]
+    rows = [(1000 * k + i, f"http://w.test/{kind}-{c}/{i}{end}") for k, (kind, c) in enumerate((kind, c) for kind in ("spam", "blog") for c in "abcdefgh") for end in ["/buy" if kind == "spam" else ""] for i in range(100, 300)]
+    rows += [(50_000 + i, f"http://w.test/about/{'abcdefgh'[i % 8]}/page") for i in range(300)]
+    out = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()}
+    unruled = {i: r for i, r in out.items() if r.rule is None}
+    assert len(unruled) == 1900
+    assert all(r.verdict == ("block" if i < 8000 else "allow") for i, r in unruled.items())
+    assert len({out[1000 * k + 200].template for k in range(8)}) == 1 and not {out[1000 * k + 200].template for k in range(8)} & {out[1000 * k + 200].template for k in range(8, 16)}
+
+
+def test_url_purity_is_that_of_the_template(spark):
+    """Smoothed shares of block labels, counted page by page over what shares a template; deep paths are not lumped."""
+    rows = spark.read.parquet(f"{LARGER}/pages.parquet").select("page_id", "url").collect()
+    deep = "/".join("abcdefg")
+    more = [(10**6 + i, f"http://d.example.com/{deep}/{'de' if i % 2 else 'en'}/end{'' if i % 2 else i}") for i in range(60)]
+    frame = spark.createDataFrame([tuple(r) for r in rows] + more, "page_id long, url string")
+    rules = [*url_filter.RULES, url_filter.Rule("d.example.com", f"/{deep}/de/", True)]
+    out = url_filter.judge(frame, rules).collect()
+    labels = defaultdict(list)
+    for r in out:
+        labels[r.host, r.template].append(None if r.rule is None else r.verdict)
+    for r in out:
+        known = [x for x in labels[r.host, r.template] if x]
+        assert abs(r.purity - (known.count("block") + url_filter.WEIGHT * url_filter.PRIOR) / (len(known) + url_filter.WEIGHT)) < 1e-9
+    assert all(r.verdict == ("block" if r.page_id % 2 else "allow") for r in out if r.page_id >= 10**6)
+
+
 def test_url_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "no scheme"), (4, "HTTP://EXAMPLE.net"), (5, "http://net/"), (6, "https://x.Example.COM/de/1#a"), (7, "http://a.org/fr/"), (7, "http://a.org/fr/"), (8, "http://badnet/"), (9, "http://example.net/en/" + "x/" * 5000), (None, "a://b?c://d")]
     pages = spark.createDataFrame([(i, u, "h", "p", "r", "t", 1.0) for i, u in rows], "page_id long, url string, host string, path string, rule string, template string, purity double")
