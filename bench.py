@@ -44,6 +44,7 @@ HEADLINE = [
 def main() -> None:
     from tessera.catalog import QUERIES
     from tessera.session import local_session
+    from tessera.sources import scratch
 
     spark = local_session(CPUS, CPUS)
     spark.range(1).write.format("noop").mode("overwrite").save()
@@ -63,6 +64,7 @@ def main() -> None:
         )
     )
     sys.stdout.flush()
+    scratch.clear(spark)
     spark.stop()
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,13 +9,12 @@ from pyspark.sql import functions as F
 
 from tessera.catalog.base import DOCS, docs, query, table
 from tessera.catalog.texts import chunk_end
+from tessera.sources import scratch
 from tessera.streaming import indexing, stateful
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A folder that driver and executors share; local only where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    return f"{root.rstrip('/')}/tessera-streams/{uuid.uuid4().hex}"
+    return f"{scratch.root(spark)}/streams/{uuid.uuid4().hex}"
 
 
 def _drained(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:

@@ -125,34 +125,58 @@ def log_line(ts: Column, level: Column, pod: Column, message: Column) -> Column:
 @F.pandas_udf(StringType())
 def rich_text(trees: pd.Series) -> pd.Series:
     """Plain text of a rich-document tree in JSON; a tree that is no JSON object gives an empty text."""
-    return trees.map(_rendered)
+    return trees.map(tree_text)
 
 
-#: What surrounds the rendered children of a node of each kind.
-_AROUND = {"paragraph": ("", "\n"), "heading": ("", "\n"), "blockquote": ("", "\n"), "listItem": ("", "\n"), "codeBlock": ("\n```\n", "\n```\n")}
+#: Kinds of nodes that end a line, of lists, and of breaks.
+_LINES, _LISTS, _BREAKS = {"paragraph", "heading", "blockquote", "listItem"}, {"bulletList", "orderedList"}, {"hardBreak", "rule"}
+#: Where a table cell begins and ends: its text is stripped.
+_BEGIN, _END = object(), object()
 
 
-def _rendered(tree: str | None) -> str:
-    try:
-        root = json.loads(tree) if tree else None
-    except ValueError:
-        return ""
-    return _render(root)
+def _listed(node: object) -> list[dict | None]:
+    """The nodes below a node; None for what is none."""
+    found = node.get("content") if isinstance(node, dict) else None
+    return [c if isinstance(c, dict) else None for c in found] if isinstance(found, list) else []
+
+
+def _own_text(node: object) -> str:
+    found = node.get("text") if isinstance(node, dict) else None
+    return found if isinstance(found, str) else ""
 
 
-def _render(node: object) -> str:
-    if not isinstance(node, dict):
+def _parts(node: dict) -> list:
+    """What a node is made of, from left to right: texts, marks and nodes still to be opened."""
+    kind, children = node.get("type"), _listed(node)
+    if kind == "text":
+        return [_own_text(node)]
+    if kind in _BREAKS:
+        return ["\n"]
+    if kind in _LISTS:
+        return [part for child in children for part in ("• ", child)]
+    if kind == "codeBlock":
+        return ["\n```\n", *map(_own_text, children), "\n```\n"]
+    if kind == "table":
+        cells = ((number, place, cell) for number, row in enumerate(children) for place, cell in enumerate([None, *_listed(row)]))
+        return [part for number, place, cell in cells for part in (("\n" if number else "",) if not place else (" | " if place > 1 else "", _BEGIN, cell, _END))] + ["\n"]
+    return [*children, "\n"] if kind in _LINES else children
+
+
+def tree_text(tree: str | None) -> str:
+    """The text of one tree, walked with a stack, so that no depth is too deep."""
+    try:
+        todo, out, cells = [json.loads(tree) if tree else None], [], []
+    except (ValueError, RecursionError):
         return ""
-    kind, children = node.get("type", ""), node.get("content") or []
-    match kind:
-        case "text":
-            return node.get("text", "")
-        case "hardBreak" | "rule":
-            return "\n"
-        case "bulletList" | "orderedList":
-            return "".join("• " + _render(c) for c in children)
-        case "table":
-            return "".join(" | ".join(_render(cell).strip() for cell in row.get("content") or []) + "\n" for row in children)
-        case _:
-            before, after = _AROUND.get(kind, ("", ""))
-            return before + "".join(map(_render, children)) + after
+    while todo:
+        part = todo.pop()
+        if part is _BEGIN:
+            cells.append(len(out))
+        elif part is _END:
+            begin = cells.pop()
+            out[begin:] = ["".join(out[begin:]).strip()]
+        elif isinstance(part, str):
+            out.append(part)
+        elif isinstance(part, dict):
+            todo += reversed(_parts(part))
+    return "".join(out)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,23 +37,34 @@ def nearest(chunks: DataFrame, query: list[float], k: int, where: Column | None
 
 #: Queries that one pass holds as a matrix; more are answered in several passes.
 QUERY_BLOCK = 2048
+#: Queries of one call: their vectors are collected.
+MOST_QUERIES = 65_536
+
+
+def usable(vector: Column) -> Column:
+    """Whether a vector of doubles has a direction: neither null nor empty nor zero, all components finite."""
+    return F.coalesce((F.size(vector) > 0) & F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(vector, lambda v: v != 0), F.lit(False))
 
 
 def batch_nearest(chunks: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", digits: int = 6) -> DataFrame:
     """(question_id, key, score, rank) for a bounded set of queries (question_id, vector) against all rows.
 
     The queries travel with the tasks as one matrix (``QUERY_BLOCK`` rows at most each); a batch of rows is one product,
-    and only its k best a query leave it. The exact order is then taken from rounded scores and keys.
+    and only its k best a query leave it, by rounded score and key. Queries and rows without a direction take no part,
+    nor do rows of another length than the query's. More than ``MOST_QUERIES`` queries are refused: deal them over calls.
     """
     import numpy as np
     import pyarrow as pa
 
-    asked = queries.select("question_id", F.col("vector").cast("array<double>").alias("vector")).collect()  # the caller's own, bounded set
+    wanted = queries.select("question_id", F.col("vector").cast("array<double>").alias("vector")).filter(usable(F.col("vector")))
+    asked = wanted.limit(MOST_QUERIES + 1).collect()
+    if len(asked) > MOST_QUERIES:
+        raise ValueError(f"more than {MOST_QUERIES} queries in one call")
+    asked.sort(key=lambda r: len(r["vector"]))
     kind = chunks.schema[key].dataType.simpleString()
-    rows = chunks.select(key, F.col(vector).cast("array<double>").alias("vector"))
+    rows = chunks.select(key, F.col(vector).cast("array<double>").alias("vector")).filter(F.col(key).isNotNull() & usable(F.col("vector")))
     parts = []
-    for at in range(0, len(asked), QUERY_BLOCK):
-        block = asked[at : at + QUERY_BLOCK]
+    for block in (own[at : at + QUERY_BLOCK] for _, group in itertools.groupby(asked, lambda r: len(r["vector"])) for own in [list(group)] for at in range(0, len(own), QUERY_BLOCK)):
         ids = np.array([r["question_id"] for r in block])
         matrix = np.array([r["vector"] for r in block])
         matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
@@ -62,11 +75,18 @@ def batch_nearest(chunks: DataFrame, queries: DataFrame, k: int, key: str = "vec
                     own = batch.slice(start, 4096)
                     x = own.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1)
                     score = np.round(matrix @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T, digits)
-                    bound = np.partition(score, max(score.shape[1] - k, 0), axis=1)[:, max(score.shape[1] - k, 0)]
-                    q, c = np.nonzero(score >= bound[:, None])  # with all ties: the key decides later
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[q]), own.column(0).take(pa.array(c)), pa.array(score[q, c])], ["question_id", key, "score"])
-
-        parts.append(rows.mapInArrow(run, f"question_id long, `{key}` {kind}, score double"))
+                    least = max(score.shape[1] - k, 0)
+                    bound = np.partition(score, least, axis=1)[:, least]
+                    names = np.array(own.column(0).to_pylist())
+                    q, c = [], []
+                    for number in range(len(score)):
+                        near = np.flatnonzero(score[number] >= bound[number])
+                        near = near[np.lexsort((names[near], -score[number, near]))[:k]]
+                        q += [number] * len(near)
+                        c += near.tolist()
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[q]), own.column(0).take(pa.array(c, pa.int64())), pa.array(score[q, c])], ["question_id", key, "score"])
+
+        parts.append(rows.filter(F.size("vector") == matrix.shape[1]).mapInArrow(run, f"question_id long, `{key}` {kind}, score double"))
     if not parts:
         return chunks.sparkSession.createDataFrame([], f"question_id long, `{key}` {kind}, score double, rank int")
     found = parts[0]

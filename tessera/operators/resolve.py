@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,8 +12,8 @@ from tessera.functions.text import plain_name
 
 HIGH, MEDIUM, LOW = 0.80, 0.55, 0.30
 CANDIDATES = 3
-#: Registries up to this many rows are compared whole, by broadcast; larger ones only where a word is shared.
-BROADCAST_ROWS = 20_000
+#: About how many customers one block of the registry holds; every phrase meets every block.
+BLOCK_ROWS = 20_000
 
 
 def phrases(questions: DataFrame) -> DataFrame:
@@ -29,11 +31,10 @@ def scored(questions: DataFrame, customers: DataFrame) -> DataFrame:
     )
     named = phrases(questions).withColumn("plain", plain_name(F.col("phrase")))
     distinct = named.select("plain").distinct()  # a phrase is compared once, however many questions hold it
-    if customers.count() <= BROADCAST_ROWS:
-        pairs = distinct.join(F.broadcast(registry))
-    else:  # a customer that shares no word with a phrase cannot pass the lowest band by tokens; ids and aliases are searched by word
-        words = F.split(F.concat_ws(" ", "own_id", "own_name", F.concat_ws(" ", "own_aliases")), " ")
-        pairs = distinct.withColumn("word", F.explode(F.split("plain", " "))).join(registry.withColumn("word", F.explode(F.array_distinct(words))), "word").drop("word").distinct()
+    # Any two texts that share characters have a ratio, so nothing but the comparison itself can rule a customer out.
+    blocks = max(1, -(-customers.count() // BLOCK_ROWS))
+    block = F.pmod(F.xxhash64("customer_id", "name", "position"), F.lit(blocks))
+    pairs = functools.reduce(DataFrame.unionByName, (distinct.join(F.broadcast(registry.filter(block == number))) for number in range(blocks)))
     scores = pairs.select("plain", "customer_id", "name", "position", name_score(F.col("plain"), F.col("own_id"), F.col("own_name"), F.col("own_aliases")).alias("score"))
     best = F.max(F.struct("score", "is_hint", "phrase")).alias("best")
     return named.join(scores, "plain").groupBy("question_id", "customer_id", "name", "position").agg(best).select("question_id", "customer_id", "name", "position", "best.score", "best.phrase")
@@ -42,8 +43,9 @@ def scored(questions: DataFrame, customers: DataFrame) -> DataFrame:
 def resolved(scores: DataFrame, digits: int = 6) -> DataFrame:
     """(question_id, decision, customer_id, confidence, candidates): bands of the best score; ties go to registry order."""
     rows = scores.withColumn("score", F.round("score", digits))
+    rows = rows.withColumn("turn", F.expr("row_number() OVER (PARTITION BY question_id ORDER BY score DESC, position, customer_id)")).filter(F.col("turn") <= CANDIDATES)
     order = F.struct((-F.col("score")).alias("worse"), "position", "customer_id", "score")
-    ranked = rows.groupBy("question_id").agg(F.array_sort(F.collect_list(order)).alias("ranked"))  # a row for each customer that scored
+    ranked = rows.groupBy("question_id").agg(F.array_sort(F.collect_list(order)).alias("ranked"))  # CANDIDATES at most
     top = F.try_element_at("ranked", F.lit(1))
     score = top["score"]
     decision = F.when(score >= 1, "resolved").when(score >= HIGH, "resolved_confirm").when(score >= MEDIUM, "assumed_confirm").when(score >= LOW, "ask").otherwise("unknown")

@@ -11,9 +11,11 @@ _local: list[str] = []
 
 
 def root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` where the session sets it; a local folder only where it does not (tests)."""
+    """``spark.checkpoint.dir`` where the session sets it; a local folder only where it does not and all runs in one process (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _local:
             _local.append("file://" + tempfile.mkdtemp(prefix="tessera-"))
         folder = _local[0]

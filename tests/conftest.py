@@ -21,6 +21,10 @@ def spark():
 
     session = local_session(4, 4)
     yield session
+
+    from tessera.sources import scratch
+
+    scratch.clear(session)
     session.stop()
 
 

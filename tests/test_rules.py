@@ -113,3 +113,54 @@ def test_state_is_swapped(spark, tmp_path):
     state.replace_table(state.rows(spark, {"a": "1"}), path)
     state.replace_table(state.updated(spark.read.parquet(path), state.rows(spark, {"a": "2", "b": "3"})), path)
     assert {r.key: r.value for r in spark.read.parquet(path).collect()} == {"a": "2", "b": "3"}
+
+
+def test_tree_text():
+    from tessera.functions.text import tree_text
+
+    cell = lambda *parts: {"type": "tableCell", "content": [{"type": "paragraph", "content": [{"type": "text", "text": p} for p in parts]}]}
+    tree = {
+        "type": "doc",
+        "content": [
+            {"type": "heading", "content": [{"type": "text", "text": "Top"}]},
+            {"type": "codeBlock", "content": [{"type": "text", "text": "a"}, {"type": "hardBreak"}, {"type": "text", "text": "b"}]},
+            {"type": "table", "content": [{"content": [cell("x", "y"), cell(" z ")]}, {"content": [cell("q")]}, {"content": None}]},
+            {"type": "orderedList", "content": [{"type": "listItem", "content": [{"type": "text", "text": "one"}, {"type": "hardBreak"}]}, 7, "s", None]},
+            {"type": "panel", "content": [{"type": "text", "text": None}, {"type": "rule"}]},
+        ],
+    }
+    assert tree_text(json.dumps(tree)) == "Top\n" + "\n```\nab\n```\n" + "xy | z\nq\n\n" + "• one\n\n• • • " + "\n"
+    deep = '{"type":"panel","content":[' * 400 + '{"type":"text","text":"in"}' + "]}" * 400
+    assert tree_text(deep) == "in" and [tree_text(t) for t in (None, "", "[1]", "7", "{", '{"type":"table"}')] == ["", "", "", "", "", "\n"]
+
+
+def test_resolution_does_not_depend_on_the_size_of_the_registry(spark, monkeypatch):
+    """All phrases meet all customers, whatever the number of blocks; the best are those of the full product."""
+    from difflib import SequenceMatcher
+
+    from tessera.operators import resolve
+
+    customers = [(f"cust-{i}", f"{a}{b} {c}", [f"al {i}"], i) for i, (a, b, c) in enumerate((a, b, c) for a in ("ac", "glo", "ini") for b in ("me", "bex", "tech") for c in ("corp", "gmbh", "llc"))]
+    registry = spark.createDataFrame(customers, "id string, name string, aliases array<string>, position int")
+    questions = spark.createDataFrame([(1, "status of acmee crp", None), (2, "what about al 7", None), (3, "zzz", None), (4, "globexgmbh", "glotech llc")], "question_id int, question string, hint string")
+    outs = []
+    for rows in (20_000, 4):
+        monkeypatch.setattr(resolve, "BLOCK_ROWS", rows)
+        outs.append(sorted(tuple(map(str, r)) for r in resolve.resolved(resolve.scored(questions, registry)).collect()))
+    assert outs[0] == outs[1] and len(outs[0]) == 4
+    named = {r.question_id: r for r in resolve.resolved(resolve.scored(questions, registry)).collect()}
+    assert named[2].customer_id == "cust-7" and named[2].confidence == 1.0
+    words = "status of acmee crp".split()
+    phrases = [" ".join(words[i:j]) for i in range(4) for j in range(i + 1, 5)]
+    best = max(SequenceMatcher(None, p, x).ratio() for p in phrases for _, name, _, _ in customers for x in (name,))
+    assert abs(named[1].confidence - best) < 1e-6
+
+
+def test_batched_vectors_of_odd_rows(spark):
+    from tessera.operators import knn
+
+    rows = [(1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [1.0]), (6, [None, 1.0]), (None, [1.0, 1.0])] + [(10 + i, [0.0, 1.0]) for i in range(50)]
+    chunks = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    queries = spark.createDataFrame([(1, [0.0, 2.0]), (2, None), (3, [0.0, 0.0]), (4, [3.0])], "question_id long, vector array<double>")
+    out = sorted((r.question_id, r["rank"], r.vec_id, r.score) for r in knn.batch_nearest(chunks, queries, 3).collect())
+    assert out == [(1, 1, 10, 1.0), (1, 2, 11, 1.0), (1, 3, 12, 1.0), (4, 1, 5, 1.0)]
