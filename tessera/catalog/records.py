@@ -269,7 +269,18 @@ def rate_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return limits.raw_rate(table(spark, sf_dir, "events"), 60_000).select("event_id", "rate")
 
 
-@query("rate_admission")
+#: Requests of each user in order, for folds in SQL.
+ORDERED = "e AS (SELECT user_id, event_id, event_type, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS i FROM events)"
+USERS = "(SELECT DISTINCT user_id FROM events)"
+FOLLOWS = "a JOIN e ON e.user_id IS NOT DISTINCT FROM a.user_id AND e.i = a.i + 1"
+ADMISSION = f"""WITH RECURSIVE {ORDERED},
+    a(user_id, i, event_id, held, admitted) AS (SELECT user_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST([] AS BIGINT[]), false FROM {USERS} UNION ALL
+      SELECT user_id, i, event_id, CASE WHEN len(kept) < 2 THEN list_append(kept, ms) ELSE kept END, len(kept) < 2
+      FROM (SELECT e.user_id, e.i, e.event_id, e.ms, list_filter(a.held, lambda x: x > e.ms - 3600000) AS kept FROM {FOLLOWS}))
+    SELECT user_id, event_id, admitted FROM a WHERE i > 0"""
+
+
+@query("rate_admission", ADMISSION)
 def rate_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     return limits.sliding_admission(table(spark, sf_dir, "events"), 2, 3_600_000)
 
@@ -279,12 +290,30 @@ def rate_admission_unlimited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return limits.sliding_admission(table(spark, sf_dir, "events"), 1 << 31)
 
 
-@query("token_bucket")
+@query(
+    "token_bucket",
+    f"""WITH RECURSIVE {ORDERED},
+    a(user_id, i, event_id, ms, tokens, admitted) AS (SELECT user_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(3 AS DOUBLE), false FROM {USERS} UNION ALL
+      SELECT user_id, i, event_id, ms, CASE WHEN now < 1 THEN now ELSE now - 1 END, now >= 1
+      FROM (SELECT e.user_id, e.i, e.event_id, e.ms, CASE WHEN a.ms IS NULL THEN a.tokens ELSE least(CAST(3 AS DOUBLE), a.tokens + greatest(0, e.ms - a.ms) * CAST(0.0005 AS DOUBLE) / 1000) END AS now FROM {FOLLOWS}))
+    SELECT user_id, event_id, admitted FROM a WHERE i > 0""",
+)
 def token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return limits.bucket_admission(table(spark, sf_dir, "events"), 0.0005, 3)
 
 
-@query("circuit_breaker")
+@query(
+    "circuit_breaker",
+    f"""WITH RECURSIVE {ORDERED},
+    a(user_id, i, event_id, calls, opened, trial, state) AS (SELECT user_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST([] AS INTEGER[]), CAST(NULL AS BIGINT), CAST(NULL AS INTEGER[]), '' FROM {USERS} UNION ALL
+      SELECT user_id, i, event_id, CASE state WHEN 'rejected' THEN calls WHEN 'half_open' THEN CASE WHEN len(tried) = 3 THEN [] ELSE calls END ELSE CASE WHEN trips THEN [] ELSE known END END,
+        CASE state WHEN 'rejected' THEN opened WHEN 'half_open' THEN CASE WHEN len(tried) = 3 AND list_sum(tried) >= 1.5 THEN ms END ELSE CASE WHEN trips THEN ms END END,
+        CASE WHEN state = 'half_open' AND len(tried) < 3 THEN tried END, state
+      FROM (SELECT *, len(known) >= 10 AND list_sum(known) >= 0.5 * len(known) AS trips, CASE WHEN opened IS NOT NULL AND ms - opened < 3600000 THEN 'rejected' WHEN tried IS NOT NULL THEN 'half_open' ELSE 'closed' END AS state
+        FROM (SELECT e.user_id, e.i, e.event_id, e.ms, a.calls, a.opened, list_append(a.calls, fails)[-10:] AS known, CASE WHEN a.opened IS NOT NULL THEN [fails] WHEN a.trial IS NOT NULL THEN list_append(a.trial, fails) END AS tried
+          FROM a JOIN (SELECT *, CASE WHEN event_type IN ('error', 'click') THEN 1 ELSE 0 END AS fails FROM e) e ON e.user_id IS NOT DISTINCT FROM a.user_id AND e.i = a.i + 1)))
+    SELECT user_id, event_id, state FROM a WHERE i > 0""",
+)
 def circuit_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = table(spark, sf_dir, "events").withColumn("failed", F.col("event_type").isin("error", "click"))
     return limits.breaker_states(calls, "failed", open_ms=3_600_000)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.catalog.base import DOCS, docs, query, table
+from tessera.catalog.records import ADMISSION
 from tessera.catalog.texts import chunk_end
 from tessera.sources import scratch
 from tessera.streaming import indexing, stateful
@@ -28,7 +29,7 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet*").parquet(sf_dir)
 
 
-@query("stream_admission")
+@query("stream_admission", ADMISSION)
 def stream_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drained(stateful.admission_stream(_event_stream(spark, sf_dir), 2, 3_600_000), _scratch(spark))
 

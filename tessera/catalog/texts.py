@@ -1,4 +1,4 @@
-"""Scalar text rules, extraction and chunking, over whole tables and literal rows."""
+"""Scalar text rules, extraction and chunking, over whole tables."""
 
 from __future__ import annotations
 
@@ -196,137 +196,145 @@ def name_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.groupBy("id").agg(F.count("*").alias("n"), F.countDistinct("phrase").alias("kinds"))
 
 
-# --- literal rules ---------------------------------------------------------------------------------------------------
+# --- rules over rows derived from the tables ------------------------------------------------------------------------------
+# Each input is one SQL expression that both engines understand, so that every row of its table is a case of the rule.
 
-BRANCHES = [(n,) for n in "acme-corp-prod globex-latam-staging main release/1.0 GM-278839-test feature/x acme/uat develop prod -prod hotfix-1 a--qa".split()]
+BRANCH = "concat(lower(c_mktsegment), CASE WHEN c_custkey % 3 = 0 THEN '/' ELSE '-' END, CASE c_custkey % 11 WHEN 0 THEN 'prod' WHEN 1 THEN 'staging' WHEN 2 THEN 'uat' WHEN 3 THEN 'QA' WHEN 4 THEN '1.0' WHEN 5 THEN 'GM-278839-test' WHEN 6 THEN 'dev' WHEN 7 THEN '-prod' WHEN 8 THEN 'main' WHEN 9 THEN '' ELSE c_name END)"
 
 
 @query(
     "branch_parse",
-    f"""WITH b AS (SELECT branch, string_split(replace(branch, '/', '-'), '-') AS p FROM {values(BRANCHES, 'branch')}),
-    x AS (SELECT branch, p, {case('lower(p[-1])', extract.BRANCH_ENVS)} AS env, regexp_replace(lower(array_to_string(p[1:len(p) - 1], '-')), '^-+|-+$', '', 'g') AS customer FROM b)
-    SELECT branch, CASE WHEN len(p) >= 2 AND env IS NOT NULL AND customer <> '' THEN customer END AS customer, CASE WHEN len(p) >= 2 AND env IS NOT NULL AND customer <> '' THEN env END AS env,
+    f"""WITH b AS (SELECT c_custkey, branch, string_split(replace(branch, '/', '-'), '-') AS p FROM (SELECT c_custkey, {BRANCH} AS branch FROM customer)),
+    x AS (SELECT c_custkey, branch, p, {case('lower(p[-1])', extract.BRANCH_ENVS)} AS env, regexp_replace(lower(array_to_string(p[1:len(p) - 1], '-')), '^-+|-+$', '', 'g') AS customer FROM b)
+    SELECT c_custkey, CASE WHEN len(p) >= 2 AND env IS NOT NULL AND customer <> '' THEN customer END AS customer, CASE WHEN len(p) >= 2 AND env IS NOT NULL AND customer <> '' THEN env END AS env,
     regexp_matches(branch, {text(extract.NOISE_BRANCH)}) AS noise, regexp_matches(branch, {text(extract.DEPLOY_BRANCH)}) AND NOT regexp_matches(branch, {text(extract.TICKET_BRANCH)}) AS deploys FROM x""",
 )
 def branch_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer, env = extract.branch_parts(F.col("branch"))
-    rows = spark.createDataFrame(BRANCHES, "branch string")
-    return rows.select("branch", customer.alias("customer"), env.alias("env"), extract.noise_branch(F.col("branch")).alias("noise"), extract.deploy_branch(F.col("branch")).alias("deploys"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.expr(BRANCH).alias("branch"))
+    return rows.select("c_custkey", customer.alias("customer"), env.alias("env"), extract.noise_branch(F.col("branch")).alias("noise"), extract.deploy_branch(F.col("branch")).alias("deploys"))
 
 
-NAMES = [("acme-corp",), ("globex-latam",), ("x",)]
+CUSTOMER_ID = "lower(concat(c_mktsegment, '-', replace(c_name, '#', '-')))"
 
 
-@query("display_name", "SELECT * FROM (VALUES ('acme-corp', 'Acme Corp'), ('globex-latam', 'Globex Latam'), ('x', 'X')) AS t(id, name)")
+@query(
+    "display_name",
+    f"""SELECT c_custkey, array_to_string(list_transform(string_split(trim(regexp_replace(replace({CUSTOMER_ID}, '-', ' '), '\\s+', ' ', 'g')), ' '), lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' ') AS name
+    FROM customer""",
+)
 def display_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(NAMES, "id string").select("id", extract.display_name(F.col("id")).alias("name"))
+    return table(spark, sf_dir, "customer").select("c_custkey", extract.display_name(F.expr(CUSTOMER_ID)).alias("name"))
 
 
-IMAGES = [("r/x:v2.3.1",), ("r/x",), ("host:5000/x:1",)]
+IMAGE = "concat(CASE WHEN p_partkey % 4 = 0 THEN 'host:5000/' ELSE 'r/' END, p_brand, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE concat(':v', cast(p_size AS varchar(9))) END)"
 
 
-@query("image_version", f"SELECT image, CASE WHEN contains(image, ':') THEN string_split(image, ':')[-1] ELSE 'unknown' END AS version FROM {values(IMAGES, 'image')}")
+@query("image_version", f"SELECT p_partkey, CASE WHEN contains(image, ':') THEN string_split(image, ':')[-1] ELSE 'unknown' END AS version FROM (SELECT p_partkey, {IMAGE} AS image FROM part)")
 def image_version(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(IMAGES, "image string").select("image", T.image_version(F.col("image")).alias("version"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.image_version(F.expr(IMAGE)).alias("version"))
 
 
-PATHS = [(p,) for p in ["docs/adr/0001-x.md", "src/main/App.java", "design-doc.md", "a/LLD_core.txt", "rfcs/1.md", "x/y.py", "Makefile", "a.b/c", "docs\\adr\\2.md", "conf.YAML"]]
+PATH = "concat(CASE page_id % 7 WHEN 0 THEN 'docs/adr/' WHEN 1 THEN 'src/main/' WHEN 2 THEN 'rfcs/' WHEN 3 THEN 'a.b/' WHEN 4 THEN '' WHEN 5 THEN concat('docs', chr(92), 'adr', chr(92)) ELSE 'a/' END, CASE page_id % 5 WHEN 0 THEN 'design-doc' WHEN 1 THEN 'LLD_core' WHEN 2 THEN 'Makefile' ELSE 'x' END, CASE page_id % 6 WHEN 0 THEN '.md' WHEN 1 THEN '.java' WHEN 2 THEN '.py' WHEN 3 THEN '.YAML' WHEN 4 THEN '.odd' ELSE '' END)"
 
 
 @query(
     "doc_type",
-    f"""WITH p AS (SELECT path, replace(path, chr(92), '/') AS norm FROM {values(PATHS, 'path')}), s AS (SELECT path, norm, regexp_replace(string_split(norm, '/')[-1], '^(.+)\\.[^.]*$', '\\1') AS stem, lower(regexp_extract(path, '[^/](\\.[^./]*)$', 1)) AS ext FROM p)
-    SELECT path, CASE WHEN regexp_matches(norm, {text(T.DECISION_FOLDERS)}) THEN 'adr' WHEN regexp_matches(stem, {text(T.DESIGN_STEMS)}) THEN 'architecture' END AS doc_type, coalesce({case('ext', T.LANGUAGES)}, regexp_replace(ext, '^\\.+', '')) AS language FROM s""",
+    f"""WITH p AS (SELECT page_id, path, replace(path, chr(92), '/') AS norm FROM (SELECT page_id, {PATH} AS path FROM pages)),
+    s AS (SELECT page_id, norm, regexp_replace(string_split(norm, '/')[-1], '^(.+)\\.[^.]*$', '\\1') AS stem, lower(regexp_extract(path, '[^/](\\.[^./]*)$', 1)) AS ext FROM p)
+    SELECT page_id, CASE WHEN regexp_matches(norm, {text(T.DECISION_FOLDERS)}) THEN 'adr' WHEN regexp_matches(stem, {text(T.DESIGN_STEMS)}) THEN 'architecture' END AS doc_type, coalesce({case('ext', T.LANGUAGES)}, regexp_replace(ext, '^\\.+', '')) AS language FROM s""",
 )
 def doc_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(PATHS, "path string")
-    return rows.select("path", T.doc_type(F.col("path")).alias("doc_type"), T.language(T.extension(F.col("path"))).alias("language"))
+    rows = table(spark, sf_dir, "pages").select("page_id", F.expr(PATH).alias("path"))
+    return rows.select("page_id", T.doc_type(F.col("path")).alias("doc_type"), T.language(T.extension(F.col("path"))).alias("language"))
 
 
-LABELS = [("is fixed by",), ("Resolves",), ("closes",), ("links to",), ("relates",)]
+LABEL = "concat(CASE event_id % 5 WHEN 0 THEN 'is Fixed by ' WHEN 1 THEN 'Resolves ' WHEN 2 THEN 'closes ' WHEN 3 THEN 'links to ' ELSE '' END, event_type)"
 
 
-@query("relation_labels", f"SELECT label, CASE WHEN regexp_matches(lower(label), 'fix|resolv|clos') THEN 'fixed_by' ELSE 'linked_to' END AS relation FROM {values(LABELS, 'label')}")
+@query("relation_labels", f"SELECT event_id, CASE WHEN regexp_matches(lower({LABEL}), 'fix|resolv|clos') THEN 'fixed_by' ELSE 'linked_to' END AS relation FROM events")
 def relation_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(LABELS, "label string").select("label", T.relation(F.col("label")).alias("relation"))
+    return table(spark, sf_dir, "events").select("event_id", T.relation(F.expr(LABEL)).alias("relation"))
 
 
-REPLIES = [("yes please",), ("No",), ("2",), ("#3.",), ("nope",), ("maybe",), ("ok",), ("",)]
+REPLY = "concat(CASE conv_id % 9 WHEN 0 THEN 'yes ' WHEN 1 THEN 'No, ' WHEN 2 THEN '' WHEN 3 THEN ' OK' WHEN 4 THEN 'nope' WHEN 5 THEN concat('#', cast(turn AS varchar(9)), '.') WHEN 6 THEN cast(turn AS varchar(9)) ELSE 'maybe ' END, CASE WHEN conv_id % 9 IN (0, 1, 2, 7) THEN text ELSE '' END)"
 
 
 @query(
     "replies",
-    f"SELECT reply, CASE WHEN regexp_matches(reply, {text(extract.AFFIRMATIVE)}) THEN 'yes' WHEN regexp_matches(reply, {text(extract.NEGATIVE)}) THEN 'no' WHEN regexp_matches(reply, '^\\s*#?\\d+\\s*\\.?\\s*$') THEN regexp_extract(reply, '(\\d+)', 1) ELSE 'other' END AS meaning FROM {values(REPLIES, 'reply')}",
+    f"""SELECT conv_id, turn, CASE WHEN regexp_matches(reply, {text(extract.AFFIRMATIVE)}) THEN 'yes' WHEN regexp_matches(reply, {text(extract.NEGATIVE)}) THEN 'no'
+    WHEN regexp_matches(reply, '^\\s*#?\\d+\\s*\\.?\\s*$') THEN regexp_extract(reply, '(\\d+)', 1) ELSE 'other' END AS meaning FROM (SELECT conv_id, turn, {REPLY} AS reply FROM conversations)""",
 )
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(REPLIES, "reply string").select("reply", extract.reply(F.col("reply")).alias("meaning"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", extract.reply(F.expr(REPLY)).alias("meaning"))
 
 
-DETAILS = [("bastion: b1.example, context=c-1 namespace: ns",), ("namespace=only",), ("none",)]
+DETAIL = "concat(CASE WHEN event_id % 2 = 0 THEN concat('Bastion: b', cast(user_id AS varchar(20)), '.example, ') ELSE '' END, CASE WHEN event_id % 3 = 0 THEN concat('context=c-', event_type, ' ') ELSE '' END, CASE WHEN event_id % 5 = 0 THEN 'namespace : ns' ELSE props END)"
 
 
 @query(
     "cluster_details",
-    "SELECT message, " + ", ".join(f"nullif(regexp_extract(message, '(?i)\\b{k}\\s*[:=]\\s*(\\S+)', 1), '') AS {k}" for k in ("bastion", "context", "namespace")) + f" FROM {values(DETAILS, 'message')}",
+    "SELECT event_id, " + ", ".join(f"nullif(regexp_extract(message, '(?i)\\b{k}\\s*[:=]\\s*(\\S+)', 1), '') AS {k}" for k in ("bastion", "context", "namespace")) + f" FROM (SELECT event_id, {DETAIL} AS message FROM events)",
 )
 def cluster_details(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(DETAILS, "message string").select("message", *(c.alias(k) for k, c in extract.cluster_details(F.col("message")).items()))
+    rows = table(spark, sf_dir, "events").select("event_id", F.expr(DETAIL).alias("message"))
+    return rows.select("event_id", *(c.alias(k) for k, c in extract.cluster_details(F.col("message")).items()))
 
 
-ROLES = [("EDITOR,VIEWER",), ("TENANT_ADMIN",), (" viewer , EDITOR",), ("",)]
+ROLES = "concat(CASE c_custkey % 4 WHEN 0 THEN 'EDITOR,' WHEN 1 THEN ' viewer , ' WHEN 2 THEN 'TENANT_ADMIN' ELSE '' END, CASE WHEN c_custkey % 4 = 2 THEN '' ELSE c_mktsegment END, CASE WHEN c_custkey % 5 = 0 THEN ',, EDITOR' ELSE '' END)"
 
 
 @query(
     "role_sets",
-    f"""WITH r AS (SELECT roles, list_filter(list_transform(string_split(roles, ','), lambda x: trim(x)), lambda x: x <> '') AS l FROM {values(ROLES, 'roles')})
-    SELECT roles, array_to_string(list_sort(l), ',') AS sorted, list_has_any(l, ['EDITOR', 'TENANT_ADMIN']) AS may_edit FROM r""",
+    f"""WITH r AS (SELECT c_custkey, list_filter(list_transform(string_split({ROLES}, ','), lambda x: trim(x)), lambda x: x <> '') AS l FROM customer)
+    SELECT c_custkey, array_to_string(list_sort(l), ',') AS sorted, list_has_any(l, ['EDITOR', 'TENANT_ADMIN']) AS may_edit FROM r""",
 )
 def role_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.context import role_array
 
     own = role_array(F.col("roles"))
-    return spark.createDataFrame(ROLES, "roles string").select("roles", T.sorted_roles(own).alias("sorted"), F.arrays_overlap(own, F.array(F.lit("EDITOR"), F.lit("TENANT_ADMIN"))).alias("may_edit"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.expr(ROLES).alias("roles"))
+    return rows.select("c_custkey", T.sorted_roles(own).alias("sorted"), F.arrays_overlap(own, F.array(F.lit("EDITOR"), F.lit("TENANT_ADMIN"))).alias("may_edit"))
 
 
-STAGES = [("dev",), ("prod",), ("other",), (None,)]
+STAGE = "CASE user_id % 7 WHEN 0 THEN 'dev' WHEN 1 THEN 'testing' WHEN 2 THEN 'staging' WHEN 3 THEN 'prod' WHEN 4 THEN event_type WHEN 5 THEN 'production' END"
 
 
-@query("lifecycle_labels", f"SELECT stage, coalesce({case('stage', LIFECYCLE_LABELS)}, stage) AS label FROM {values(STAGES, 'stage')}")
+@query("lifecycle_labels", f"SELECT event_id, coalesce({case('stage', LIFECYCLE_LABELS)}, stage) AS label FROM (SELECT event_id, {STAGE} AS stage FROM events)")
 def lifecycle_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.operators.registry import lifecycle_label
 
-    return spark.createDataFrame(STAGES, "stage string").select("stage", lifecycle_label(F.col("stage")).alias("label"))
-
+    return table(spark, sf_dir, "events").select("event_id", lifecycle_label(F.expr(STAGE)).alias("label"))
 
-REASONS = [(1, "x" * 300), (2, "short"), (3, None)]
 
-
-@query("failure_reasons", f"SELECT id::BIGINT AS id, substr(message, 1, 256) AS reason, substr(message, 1, 16) || '...' AS masked FROM {values(REASONS, 'id, message')}")
+@query("failure_reasons", "SELECT doc_id, substr(text, 1, 256) AS reason, substr(text, 1, 16) || '...' AS masked FROM documents")
 def failure_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.context import masked
 
-    return spark.createDataFrame(REASONS, "id long, message string").select("id", T.reason(F.col("message")).alias("reason"), masked(F.col("message")).alias("masked"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.reason(F.col("text")).alias("reason"), masked(F.col("text")).alias("masked"))
 
 
-TREES = [
-    (1, '{"type":"doc","content":[{"type":"paragraph","content":[{"type":"text","text":"Hi"},{"type":"hardBreak"}]},{"type":"bulletList","content":[{"type":"listItem","content":[{"type":"text","text":"a"}]}]}]}'),
-    (2, '{"type":"table","content":[{"content":[{"type":"text","text":"x"},{"type":"text","text":"y"}]}]}'),
-    (3, "not json"),
-    (4, None),
-]
-
-
-@query("rich_text", "SELECT * FROM (VALUES (1::BIGINT, 'Hi' || chr(10) || chr(10) || '• a' || chr(10)), (2, 'x | y' || chr(10)), (3, ''), (4, '')) AS t(id, text)")
+@query(
+    "rich_text",
+    "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN '' WHEN doc_id % 2 = 0 THEN coalesce(text, '') || chr(10) || '• ' || coalesce(lang, '') || chr(10) "
+    "ELSE regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') || ' | ' || coalesce(lang, '') || chr(10) END AS text FROM documents",
+)
 def rich_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(TREES, "id long, tree string").select("id", T.rich_text(F.col("tree")).alias("text"))
+    def node(kind: str, *children):
+        return F.struct(F.lit(kind).alias("type"), F.array(*children).alias("content"))
 
+    own, lang = (F.struct(F.lit("text").alias("type"), F.col(c).alias("text")) for c in ("text", "lang"))
+    nested = F.concat(F.lit('{"type":"doc","content":['), F.to_json(node("paragraph", own)), F.lit(","), F.to_json(node("bulletList", node("listItem", lang))), F.lit("]}"))
+    tree = F.when(F.col("doc_id") % 7 == 0, F.lit("not json")).when(F.col("doc_id") % 2 == 0, nested).otherwise(F.to_json(node("table", node("tableRow", own, lang))))
+    return table(spark, sf_dir, "documents").select("doc_id", T.rich_text(tree).alias("text"))
 
-INSTANTS = [("2024-01-05T10:00:00Z",), ("bad",), (None,)]
 
+INSTANT = "CASE WHEN o_orderkey % 5 = 0 THEN concat('bad ', o_orderstatus) ELSE concat(cast(cast(o_orderdate AS date) AS varchar(10)), 'T10:20:30Z') END"
 
-@query("instants", "SELECT * FROM (VALUES ('2024-01-05T10:00:00Z', 1704448800000::BIGINT), ('bad', NULL), (NULL, NULL)) AS t(raw, ms)")
+
+@query("instants", f"SELECT o_orderkey, epoch_ms(TRY_CAST({INSTANT} AS TIMESTAMPTZ)) AS ms FROM orders")
 def instants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(INSTANTS, "raw string").select("raw", F.unix_millis(F.try_to_timestamp("raw")).alias("ms"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.unix_millis(F.try_to_timestamp(F.expr(INSTANT))).alias("ms"))
 
 
 # --- chunks ----------------------------------------------------------------------------------------------------------
@@ -373,8 +381,37 @@ def chunk_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunked(table(spark, sf_dir, "documents").withColumn("ext", F.lit(".txt")), "source", extension="ext")
 
 
-@query("chunk_parts")
+@query(
+    "chunk_parts",
+    """WITH RECURSIVE w AS (SELECT doc_id, i, length(l[i]) AS n FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10) || chr(10)) AS l FROM documents WHERE length(text) > 80000))),
+    g(doc_id, i, n, part, size) AS (SELECT doc_id, i, n, 0, n + 2 FROM w WHERE i = 1 UNION ALL
+      SELECT w.doc_id, w.i, w.n, CASE WHEN g.size + w.n + 2 > 80000 THEN part + 1 ELSE part END, CASE WHEN g.size + w.n + 2 > 80000 THEN w.n + 2 ELSE g.size + w.n + 2 END FROM g JOIN w ON w.doc_id = g.doc_id AND w.i = g.i + 1),
+    p AS (SELECT doc_id, part, CAST(sum(n) + 2 * (count(*) - 1) AS INTEGER) AS chars FROM g GROUP BY doc_id, part UNION ALL SELECT doc_id, 0, CAST(length(coalesce(text, '')) AS INTEGER) FROM documents WHERE length(coalesce(text, '')) <= 80000),
+    q AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS parts FROM p)
+    SELECT doc_id, CAST(part AS INTEGER) AS chunk_index, CASE WHEN parts > 1 THEN 'doc (part ' || (part + 1) || '/' || parts || ')' ELSE 'doc' END AS title, chars FROM q""",
+)
 def chunk_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = chunking.chunked(table(spark, sf_dir, "documents"), "parts")
     counts = F.expr("count(*) OVER (PARTITION BY doc_id)")
     return parts.withColumn("title", chunking.numbered_title(F.lit("doc"), F.col("chunk_index") + 1, counts)).select("doc_id", "chunk_index", "title", F.length("chunk_text").alias("chars"))
+
+
+PLAIN_TEXT = "regexp_replace(coalesce(text, ''), '[^a-zA-Z ]', ''{0})"
+
+
+@query(
+    "chunk_declarations",
+    f"""WITH d AS (SELECT doc_id, {PLAIN_TEXT.format(", 'g'")} AS t FROM documents), p AS (SELECT doc_id,
+    CASE WHEN doc_id % 2 = 0 THEN 'public class A' || doc_id || chr(10) || '{{' || chr(10) || '  // ' || t || chr(10) || '}}' ELSE 'def a_' || doc_id || '():' || chr(10) || '    # ' || t || chr(10) || '    return 1' END AS one,
+    CASE WHEN doc_id % 2 = 0 THEN 'interface B' || doc_id || ' {{ }}' ELSE 'class B_' || doc_id || ':' || chr(10) || '    pass' END AS two FROM d)
+    SELECT doc_id, 0 AS chunk_index, one AS chunk_text FROM p WHERE length(one) >= 200 UNION ALL SELECT doc_id, 1, two FROM p WHERE length(one) >= 200
+    UNION ALL SELECT doc_id, 0, one || chr(10) || chr(10) || two FROM p WHERE length(one) < 200""",
+)
+def chunk_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources by extension: declarations of Java and of Python, small neighbours merged."""
+    own = F.expr(PLAIN_TEXT.format(""))
+    java = F.format_string("package p;\n\npublic class A%d\n{\n  // %s\n}\n\ninterface B%d { }\n", F.col("doc_id"), own, F.col("doc_id"))
+    python = F.format_string("import os\n\n\ndef a_%d():\n    # %s\n    return 1\n\n\nclass B_%d:\n    pass\n", F.col("doc_id"), own, F.col("doc_id"))
+    even = F.col("doc_id") % 2 == 0
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.when(even, java).otherwise(python).alias("text"), F.when(even, ".JAVA").otherwise(".py").alias("ext"))
+    return chunking.chunked(rows, "source", extension="ext")
