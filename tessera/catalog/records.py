@@ -255,9 +255,16 @@ def deployment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.deployment_summary(connectors.sample_deployments(spark))
 
 
-@query("unhealthy", "SELECT * FROM (VALUES ('web-2', 'CrashLoopBackOff', 12), ('web-3', 'Running', 6)) AS t(name, status, restarts)")
+POD = "CASE WHEN event_id % 11 = 0 THEN 'bad' ELSE concat('web-', cast(event_id AS varchar(20)), CASE WHEN event_id % 2 = 0 THEN '   ' ELSE ' ' END, '1/1  ', CASE event_id % 4 WHEN 0 THEN 'CrashLoopBackOff' WHEN 1 THEN 'Pending' ELSE 'Running' END, ' ', cast(user_id % 12 AS varchar(20))) END"
+
+
+@query(
+    "unhealthy",
+    f"""WITH p AS (SELECT string_split_regex({POD}, '\\s+') AS f FROM events) SELECT f[1] AS name, f[3] AS status, CAST(f[4] AS INTEGER) AS restarts FROM p
+    WHERE len(f) >= 4 AND (f[3] <> 'Running' OR CAST(f[4] AS INTEGER) > 5)""",
+)
 def unhealthy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.createDataFrame([("web-1   1/1  Running 0",), ("web-2 0/1 CrashLoopBackOff 12",), ("web-3 1/1 Running  6",), ("bad",)], "line string")
+    lines = table(spark, sf_dir, "events").select(F.expr(POD).alias("line"))
     return L.unhealthy(L.pods(lines)).select("name", "status", "restarts")
 
 
@@ -425,21 +432,28 @@ def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", upsert.stable_id(F.col("tenant_id"), F.col("source_type"), F.col("source"), F.lit(None).cast("string"), F.col("doc_id")).alias("id"))
 
 
-@query("sync_state", "SELECT * FROM (VALUES ('git:a', 'sha2'), ('git:b', 'sha9'), ('wiki', '1700000000')) AS t(key, value)")
+@query(
+    "sync_state",
+    """SELECT concat('git:', c_custkey) AS key, c_name AS value FROM customer WHERE c_custkey % 3 <> 0
+    UNION ALL SELECT concat('git:', c_custkey * CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE -1 END), c_mktsegment FROM customer WHERE c_custkey % 3 = 0
+    UNION ALL SELECT concat('git:', c_custkey), c_name FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 2 = 1""",
+)
 def sync_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old = state.rows(spark, {"git:a": "sha1", "wiki": "1700000000"})
-    return state.updated(old, state.rows(spark, {"git:a": "sha2", "git:b": "sha9"}))
+    rows = table(spark, sf_dir, "customer")
+    changes = rows.filter("c_custkey % 3 = 0").select(F.expr("concat('git:', c_custkey * CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE -1 END)").alias("key"), F.col("c_mktsegment").alias("value"))
+    return state.updated(rows.select(F.expr("concat('git:', c_custkey)").alias("key"), F.col("c_name").alias("value")), changes)
 
 
-@query("scheduler_due", "SELECT * FROM (VALUES ('deploy', true), ('full', false)) AS t(job, due)")
+@query("scheduler_due", "SELECT event_id AS job, 1705752000 - CAST(floor(epoch(ts)) AS BIGINT) >= user_id * 3600 AS due FROM events")
 def scheduler_due(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.due(spark.createDataFrame([("full", 1000, 14_400), ("deploy", 1000, 3_600)], "job string, last long, every long"), 1000 + 4_000)
+    jobs = table(spark, sf_dir, "events").select(F.col("event_id").alias("job"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("last"), (F.col("user_id") * 3600).alias("every"))
+    return state.due(jobs, 1705752000)
 
 
-@query("query_cache", "SELECT 'k2' AS key, 'fresh' AS response")
+@query("query_cache", "SELECT event_id AS key, props AS response FROM events WHERE event_type <> 'click' AND 1705752000 - CAST(floor(epoch(ts)) AS BIGINT) < 86400")
 def query_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("k1", "acme", "old", 0), ("k2", "acme", "fresh", 50), ("k3", "globex", "x", 59)], "key string, tenant_id string, response string, stored_at long")
-    return cache.lookup(cache.invalidated(rows, "globex"), 100, 60).select("key", "response")
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("key"), F.col("event_type").alias("tenant_id"), F.col("props").alias("response"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("stored_at"))
+    return cache.lookup(cache.invalidated(rows, "click"), 1705752000, 86_400).select("key", "response")
 
 
 @query("cached_rows", "SELECT user_id, count(*) AS n FROM events WHERE epoch(TIMESTAMP '2024-01-20 12:00:00') - epoch(ts) < 86400 AND ts <= TIMESTAMP '2024-01-20 12:00:00' GROUP BY user_id")
@@ -469,11 +483,17 @@ def delay_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", retry.ready(F.col("retry_after"), F.unix_millis(_as_of())).alias("ready"))
 
 
-@query("header_clean", "SELECT * FROM (VALUES (1::BIGINT, 'a=1', 'indexing.shared'), (2, '', 'first')) AS t(id, headers, original)")
+@query(
+    "header_clean",
+    """SELECT event_id, concat('a=', event_type, CASE WHEN event_id % 2 = 0 THEN concat(',b=', user_id) ELSE '' END) AS headers, CASE WHEN event_id % 3 = 0 THEN concat('first-', user_id) ELSE event_type END AS original FROM events""",
+)
 def header_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, {"a": "1", "retry-count": "2"}, "indexing.shared"), (2, {"original-topic": "first", "retry-after": "9"}, "retry-1")], "id long, headers map<string,string>, topic string")
+    own = F.create_map(F.lit("a"), F.col("event_type"), F.lit("Retry-Count"), F.lit("2"), F.lit("retry-after"), F.lit("9"))
+    second = F.when(F.col("event_id") % 2 == 0, F.create_map(F.lit("b"), F.col("user_id").cast("string"))).otherwise(F.create_map().cast("map<string,string>"))
+    first = F.when(F.col("event_id") % 3 == 0, F.create_map(F.lit("original-topic"), F.concat(F.lit("first-"), F.col("user_id").cast("string")))).otherwise(F.create_map().cast("map<string,string>"))
+    rows = table(spark, sf_dir, "events").select("event_id", F.map_concat(own, second, first).alias("headers"), F.col("event_type").alias("topic"))
     kept = F.array_join(F.transform(F.array_sort(F.map_entries(retry.clean_headers(F.col("headers")))), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
-    return rows.select("id", kept.alias("headers"), retry.original_topic(F.col("headers"), F.col("topic")).alias("original"))
+    return rows.select("event_id", kept.alias("headers"), retry.original_topic(F.col("headers"), F.col("topic")).alias("original"))
 
 
 @query("topic_route", f"WITH {DOCS} SELECT doc_id, CASE WHEN tier = 'ENTERPRISE' THEN 'indexing.enterprise.' || lower(tenant_id) ELSE 'indexing.shared' END AS topic, tenant_id AS key FROM docs")
@@ -506,43 +526,58 @@ def mapped_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.mapped(table(spark, sf_dir, "documents"), dim, "source", {"product": F.lit("unclassified")}).select("doc_id", "product")
 
 
-@query("first_token", "SELECT * FROM (VALUES (1::BIGINT, 'globex'), (2, 'acme')) AS t(row_id, customer)")
+@query(
+    "first_token",
+    "SELECT event_id AS row_id, coalesce(a.n_name, b.n_name) AS customer FROM events LEFT JOIN nation a ON a.n_nationkey = user_id % 50 LEFT JOIN nation b ON b.n_nationkey = event_id % 50 WHERE coalesce(a.n_name, b.n_name) IS NOT NULL",
+)
 def first_token(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, ["x", "gx", "ac"]), (2, ["ac"]), (3, ["none"])], "row_id long, words array<string>")
-    return joins.first_token_match(rows, spark.createDataFrame([("gx", "globex"), ("ac", "acme")], "word string, customer string"))
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("row_id"), F.expr("array('x', concat('w', user_id % 50), concat('w', event_id % 50))").alias("words"))
+    return joins.first_token_match(rows, table(spark, sf_dir, "nation").select(F.expr("concat('w', n_nationkey)").alias("word"), F.col("n_name").alias("customer")))
+
+
+API_KEY = "concat(CASE WHEN c_custkey % 3 = 0 THEN 'admin-' ELSE 'user-' END, c_name)"
 
 
-@query("api_keys", "SELECT * FROM (VALUES ('admin-key-000000...', true), ('user-key-0000000...', false)) AS t(masked, is_admin)")
+@query("api_keys", f"SELECT c_custkey, substr({API_KEY}, 1, 16) || '...' AS masked, c_custkey % 3 = 0 AS is_admin FROM customer WHERE c_custkey % 3 = 0 OR NOT starts_with({API_KEY}, 'user-Customer#0000000')")
 def api_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some users' keys are deleted; the deletion of all administrators' is refused."""
     from tessera.context import delete_keys, known_keys, masked
 
-    keys = spark.createDataFrame([("admin-key-0000001", True), ("user-key-00000001", False), ("gone-key-00000001", False)], "api_key string, is_admin boolean")
-    return known_keys(delete_keys(delete_keys(keys, "gone-"), "admin-"), keys).select(masked(F.col("api_key")).alias("masked"), "is_admin")
+    keys = table(spark, sf_dir, "customer").select("c_custkey", F.expr(API_KEY).alias("api_key"), F.expr("c_custkey % 3 = 0").alias("is_admin"))
+    return known_keys(delete_keys(delete_keys(keys, "user-Customer#0000000"), "admin-"), keys).select("c_custkey", masked(F.col("api_key")).alias("masked"), "is_admin")
 
 
-@query("allow_lists", "SELECT * FROM (VALUES ('k1', true, true), ('k2', true, false)) AS t(api_key, acme, globex)")
+@query("allow_lists", "SELECT c_custkey, c_custkey % 7 = 0 OR c_nationkey = 3 AS three, c_custkey % 7 = 0 OR c_nationkey = 7 OR c_mktsegment = '7' AS seven FROM customer")
 def allow_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.context import allowed_customer
 
-    keys = spark.createDataFrame([("k1", ["*"]), ("k2", ["acme"])], "api_key string, allowed array<string>")
-    return keys.select("api_key", *(allowed_customer(F.col("allowed"), F.lit(c)).alias(c) for c in ("acme", "globex")))
+    keys = table(spark, sf_dir, "customer").select("c_custkey", F.expr("CASE WHEN c_custkey % 7 = 0 THEN array('*') ELSE array(cast(c_nationkey AS string), c_mktsegment) END").alias("allowed"))
+    return keys.select("c_custkey", allowed_customer(F.col("allowed"), F.lit("3")).alias("three"), allowed_customer(F.col("allowed"), F.lit("7")).alias("seven"))
 
 
-@query("admin_validation", "SELECT * FROM (VALUES ('acme-1', true), ('A', false), ('ok', false), ('zz', false)) AS t(id, valid)")
+TENANT_ID = "CASE c_custkey % 4 WHEN 0 THEN lower(c_mktsegment) WHEN 1 THEN c_mktsegment WHEN 2 THEN concat(lower(c_mktsegment), '-', cast(c_custkey AS varchar(20))) ELSE concat('-', c_name) END"
+TENANT_TIER = "CASE c_custkey % 6 WHEN 0 THEN 'free' WHEN 1 THEN 'GOLD' WHEN 2 THEN NULL WHEN 3 THEN 'Premium' ELSE 'ENTERPRISE' END"
+
+
+@query(
+    "admin_validation",
+    f"""SELECT c_custkey, coalesce(regexp_matches({TENANT_ID}, '^[a-z0-9][a-z0-9-]{{1,62}}$') AND c_custkey % 5 <> 0 AND upper({TENANT_TIER}) IN ('FREE', 'STANDARD', 'PREMIUM', 'ENTERPRISE'), false) AS valid FROM customer""",
+)
 def admin_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.context import valid_tenants
     from tessera.schemas import TIERS
 
-    rows = spark.createDataFrame([("acme-1", "Acme", "free"), ("A", "A", "FREE"), ("ok", " ", "FREE"), ("zz", "Z", "GOLD")], "id string, name string, tier string")
-    return valid_tenants(rows, list(TIERS)).select("id", "valid")
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.expr(TENANT_ID).alias("id"), F.expr("CASE WHEN c_custkey % 5 = 0 THEN ' ' ELSE c_name END").alias("name"), F.expr(TENANT_TIER).alias("tier"))
+    return valid_tenants(rows, list(TIERS)).select("c_custkey", "valid")
 
 
-@query("members", "SELECT * FROM (VALUES ('u1', 'acme', 'PREMIUM')) AS t(id, tenant_id, tier)")
+@query("members", "SELECT c_custkey, CAST(c_nationkey AS VARCHAR) AS tenant_id, n_name AS tier FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey <> 2")
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.context import members as of
 
-    users = spark.createDataFrame([("u1", "acme"), ("u2", "nowhere")], "id string, tenant_id string")
-    return of(users, spark.createDataFrame([("acme", "PREMIUM")], "id string, tier string"))
+    users = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("tenant_id"))
+    tenants = table(spark, sf_dir, "nation").filter("n_regionkey <> 2").select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("tier"))
+    return of(users, tenants).select("c_custkey", "tenant_id", "tier")
 
 
 EVAL = """e AS (SELECT item_id, text, 'src' || (item_id % 20) AS expected FROM benchmark),
@@ -607,22 +642,32 @@ def wiki_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connectors.page_documents(connectors.sample_pages(spark).filter("page_id <> '9'")).select("source_id", "title", "content")
 
 
-@query("file_filter", "SELECT 'src/a.py' AS path")
+FILE = "concat(CASE page_id % 5 WHEN 0 THEN 'src/' WHEN 1 THEN 'node_modules/' WHEN 2 THEN 'a/build/' WHEN 3 THEN 'builder/' ELSE '' END, 'f', CASE page_id % 4 WHEN 0 THEN '.py' WHEN 1 THEN '.MD' WHEN 2 THEN '.bin' ELSE '' END)"
+
+
+@query(
+    "file_filter",
+    f"""WITH f AS (SELECT page_id, {FILE} AS path, length(html) * 100 AS n FROM pages) SELECT page_id FROM f WHERE lower(regexp_extract(path, '[^/](\\.[^./]*)$', 1)) IN ({', '.join(map(text, connectors.EXTENSIONS))})
+    AND n <= 512000 AND NOT list_has_any(string_split(path, '/'), [{', '.join(map(text, connectors.SKIPPED_FOLDERS))}])""",
+)
 def file_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("src/a.py", 10), ("node_modules/b.py", 10), ("src/big.py", 600_000), ("x.bin", 5)], "path string, length long")
-    return connectors.wanted_files(rows).select("path")
+    rows = table(spark, sf_dir, "pages").select("page_id", F.expr(FILE).alias("path"), (F.length("html") * 100).alias("length"))
+    return connectors.wanted_files(rows).select("page_id")
+
 
+FEED = "concat(CASE c_custkey % 7 WHEN 0 THEN 'develop' WHEN 1 THEN 'release/' WHEN 2 THEN 'hotfix-' WHEN 3 THEN 'feature/' WHEN 4 THEN 'release-' WHEN 5 THEN 'main' ELSE 'hotfixes/' END, CASE WHEN c_custkey % 2 = 0 THEN '' ELSE cast(c_custkey AS varchar(20)) END)"
 
-@query("branch_select", "SELECT * FROM (VALUES ('develop'), ('release/1.0'), ('hotfix-2')) AS t(branch)")
+
+@query("branch_select", f"SELECT c_custkey, branch FROM (SELECT c_custkey, {FEED} AS branch FROM customer) WHERE branch = 'develop' OR regexp_matches(branch, '^(release|hotfix)[/-]')")
 def branch_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("develop",), ("release/1.0",), ("feature/x",), ("hotfix-2",), ("main",)], "branch string")
-    return connectors.signal_branches(rows)
+    return connectors.signal_branches(table(spark, sf_dir, "customer").select("c_custkey", F.expr(FEED).alias("branch")))
 
 
-@query("stale_branches", "SELECT 'new' AS branch")
+@query("stale_branches", "SELECT CAST(o_orderkey AS VARCHAR) AS branch FROM orders WHERE o_orderdate >= TIMESTAMP '2000-02-01' - INTERVAL 180 DAYS OR o_orderkey IN (SELECT c_custkey FROM customer)")
 def stale_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("old", "2023-01-01 00:00:00"), ("new", "2024-01-20 00:00:00"), ("seen", "2022-01-01 00:00:00")], "branch string, committed string").withColumn("committed", F.col("committed").cast("timestamp"))
-    return connectors.fresh_branches(rows, spark.createDataFrame([("new2",)], "branch string"), _as_of(AS_OF)).select("branch")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("branch"), F.col("o_orderdate").cast("timestamp").alias("committed"))
+    seen = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("branch"))
+    return connectors.fresh_branches(rows, seen, _as_of("2000-02-01 00:00:00")).select("branch")
 
 
 @query("merged_prs", "SELECT 'api' AS repo, 7 AS number")
@@ -630,10 +675,15 @@ def merged_prs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connectors.merged_since(connectors.sample_pull_requests(spark), F.lit("2024-01-01").cast("timestamp")).select("repo", "number")
 
 
-@query("configured_repos", "SELECT * FROM (VALUES ('api', 'wms', 'high'), ('web', 'frontend', 'high'), ('zzz', 'unclassified', 'high')) AS t(repo, product, priority)")
+@query(
+    "configured_repos",
+    """WITH f AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_mktsegment END AS topic FROM customer), c AS (SELECT s_suppkey * 2 AS k, s_name AS product, CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE 'low' END AS priority FROM supplier)
+    SELECT concat('repo-', k) AS repo, coalesce(product, topic, 'unclassified') AS product, coalesce(priority, 'high') AS priority FROM f FULL JOIN c USING (k)""",
+)
 def configured_repos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = spark.createDataFrame([("api", ["x"]), ("web", ["frontend"]), ("zzz", [])], "repo string, topics array<string>")
-    return connectors.repo_products(found, spark.createDataFrame([("api", "wms", "high")], "repo string, product string, priority string"))
+    found = table(spark, sf_dir, "customer").select(F.expr("concat('repo-', c_custkey)").alias("repo"), F.expr("CASE WHEN c_custkey % 3 = 0 THEN cast(array() AS array<string>) ELSE array(c_mktsegment, 'other') END").alias("topics"))
+    configured = table(spark, sf_dir, "supplier").select(F.expr("concat('repo-', s_suppkey * 2)").alias("repo"), F.col("s_name").alias("product"), F.expr("CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE 'low' END").alias("priority"))
+    return connectors.repo_products(found, configured)
 
 
 @query("counters", "SELECT count(*) FILTER (WHERE event_type <> 'error') AS ok, count(*) FILTER (WHERE event_type = 'error') AS failed FROM events")
