@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.catalog.base import AS_OF, DOCS, LOGS, docs, logs, query, table, text, values
+from tessera.catalog.texts import HTML
 from tessera.functions import similarity
-from tessera.functions.text import fingerprint
+from tessera.functions.text import TICKET, fingerprint
 from tessera.operators import evaluate, graph, joins, limits, registry, resolve, sessions, upsert
 from tessera.operators import logs as L
 from tessera.sources import cache, connectors, retry, state
@@ -102,67 +103,171 @@ def kg_edge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.insert_relationships(rows.filter("false"), rows, ["seen"])
 
 
-@query("kg_pr_edges", "SELECT * FROM (VALUES ('pull_request', 'api#7', 'merges_into', 'service', 'api'), ('pull_request', 'api#7', 'references', 'jira_issue', 'GM-1'), ('pull_request', 'api#7', 'references', 'jira_issue', 'AES-22')) AS t(from_type, from_id, relation, to_type, to_id)")
+PULLS = f"""prs AS (SELECT source AS repo, CAST(doc_id AS INTEGER) AS number, concat('GM-', doc_id % 7, ': fix ', coalesce(text, '')) AS named,
+    CASE WHEN doc_id % 3 <> 0 THEN TIMESTAMP '2024-01-31 00:00:00' - to_days(CAST(doc_id % 91 AS INTEGER)) END AS merged_at FROM documents)"""
+
+
+def pulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs(spark, sf_dir).select(
+        F.col("source").alias("repo"), F.col("doc_id").cast("int").alias("number"), F.expr("concat('GM-', doc_id % 7, ': fix')").alias("title"), F.coalesce("text", F.lit("")).alias("body"), F.when(F.col("doc_id") % 3 != 0, F.col("created_at")).alias("merged_at")
+    )
+
+
+@query(
+    "kg_pr_edges",
+    f"""WITH {PULLS}, m AS (SELECT repo, repo || '#' || number AS pr, named FROM prs WHERE merged_at IS NOT NULL)
+    SELECT DISTINCT 'pull_request' AS from_type, pr AS from_id, 'merges_into' AS relation, 'service' AS to_type, repo AS to_id FROM m
+    UNION ALL SELECT DISTINCT 'pull_request', pr, 'references', 'jira_issue', unnest(regexp_extract_all(named, {text(TICKET)}, 1)) FROM m""",
+)
 def kg_pr_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.pull_request_edges(connectors.sample_pull_requests(spark))
+    return graph.pull_request_edges(pulls(spark, sf_dir))
+
+
+def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as issues with links, custom fields and a rich description."""
+    url = "CASE event_id % 3 WHEN 0 THEN concat('https://github.com/o/repo', user_id, '/pull/', event_id) WHEN 1 THEN 'https://example.com' END"
+    label = "CASE event_id % 4 WHEN 0 THEN 'is Fixed by' WHEN 1 THEN 'mentions' END"
+    tree = "concat('{\"type\":\"doc\",\"content\":[{\"type\":\"paragraph\",\"content\":[{\"type\":\"text\",\"text\":\"It is ', event_type, '\"}]}]}')"
+    return table(spark, sf_dir, "events").select(
+        F.expr("concat('E-', event_id)").alias("issue_key"),
+        F.col("event_type").alias("summary"),
+        F.expr(tree).alias("description"),
+        F.expr("CASE WHEN event_id % 5 <> 0 THEN 'Open' END").alias("status"),
+        F.expr("concat('P', user_id % 4)").alias("priority"),
+        F.col("ts").cast("timestamp").alias("updated"),
+        F.expr("map('f1', array(event_type), 'f2', array(concat('u', user_id), 'b'), 'f3', CASE WHEN event_id % 2 = 0 THEN array('even') ELSE cast(array() AS array<string>) END, 'rank', array('x'))").alias("fields"),
+        F.expr(f"array(named_struct('url', {url}, 'relationship', {label}))").alias("remote_links"),
+        F.expr("array(named_struct('key', CASE WHEN event_id % 7 = 0 THEN NULL ELSE concat('E-', user_id) END, 'label', 'blocks'))").alias("linked_issues"),
+    )
 
 
-@query("kg_issue_edges", "SELECT * FROM (VALUES ('jira_issue', 'GM-1', 'fixed_by', 'pull_request', 'api#7'), ('jira_issue', 'GM-1', 'linked_to', 'jira_issue', 'GM-2')) AS t(from_type, from_id, relation, to_type, to_id)")
+@query(
+    "kg_issue_edges",
+    """SELECT DISTINCT 'jira_issue' AS from_type, concat('E-', event_id) AS from_id, CASE WHEN event_id % 4 = 0 THEN 'fixed_by' ELSE 'linked_to' END AS relation, 'pull_request' AS to_type, concat('repo', user_id, '#', event_id) AS to_id FROM events WHERE event_id % 3 = 0
+    UNION ALL SELECT DISTINCT 'jira_issue', concat('E-', event_id), 'linked_to', 'jira_issue', concat('E-', user_id) FROM events WHERE event_id % 7 <> 0""",
+)
 def kg_issue_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.issue_edges(connectors.sample_issues(spark))
+    return graph.issue_edges(issues(spark, sf_dir))
+
 
+#: Parts as tab-separated deployment lines; some have no image, some no pods.
+LINE = "concat('svc-', cast(p_partkey AS varchar(20)), CASE WHEN p_partkey % 9 = 0 THEN '' ELSE concat(chr(9), 'r/', p_brand, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE concat(':v', cast(p_size AS varchar(9))) END) END, CASE WHEN p_partkey % 9 < 2 THEN '' ELSE concat(chr(9), cast(p_size % 4 AS varchar(9)), '/3') END)"
+DEPLOYED = f"""lines AS (SELECT concat('c', p_size % 10) AS customer, CASE WHEN p_partkey % 2 = 0 THEN 'prod' ELSE 'dev' END AS env, string_split({LINE}, chr(9)) AS f FROM part),
+    deployed AS (SELECT customer, env, f[1] AS name, CASE WHEN contains(f[2], ':') THEN string_split(f[2], ':')[-1] ELSE 'unknown' END AS version, coalesce(f[3], '?/?') AS pods FROM lines WHERE len(f) >= 2)"""
 
-@query("kg_deployment_edges", "SELECT * FROM (VALUES ('customer', 'acme', 'has_env', 'deployment', 'acme/prod'), ('customer', 'acme', 'has_env', 'deployment', 'acme/dev'), ('deployment', 'acme/prod', 'runs', 'service', 'api'), ('deployment', 'acme/prod', 'runs', 'service', 'web')) AS t(from_type, from_id, relation, to_type, to_id)")
+
+def deployed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.deployments(table(spark, sf_dir, "part").select(F.expr("concat('c', p_size % 10)").alias("customer"), F.expr("CASE WHEN p_partkey % 2 = 0 THEN 'prod' ELSE 'dev' END").alias("env"), F.expr(LINE).alias("line")))
+
+
+def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of customers as a registry."""
+    none = "cast(map() AS map<string,map<string,string>>)"
+    return table(spark, sf_dir, "customer").select(
+        F.expr("concat('c', c_custkey)").alias("id"),
+        F.col("c_name").alias("name"),
+        F.expr("element_at(array('solution', 'dev', 'testing', 'staging', 'prod'), cast(c_custkey % 5 + 1 AS int))").alias("lifecycle_stage"),
+        F.expr("CASE WHEN c_custkey % 4 = 0 THEN cast(array() AS array<string>) ELSE array(lower(c_mktsegment), concat('p', c_custkey % 3)) END").alias("products"),
+        F.lit("").alias("notes"),
+        F.expr("CASE WHEN c_custkey % 3 <> 0 THEN array(c_mktsegment) END").alias("aliases"),
+        F.expr(f"CASE c_custkey % 3 WHEN 0 THEN {none} WHEN 1 THEN map('dev', map('k8s_namespace', 'd')) ELSE map('dev', map('k8s_namespace', 'd'), 'prod', map('k8s_namespace', 'p')) END").alias("environments"),
+        F.col("c_custkey").cast("int").alias("position"),
+    )
+
+
+#: The same registry in DuckDB: k numbers the customers, stages count from 0.
+REGISTRY = "r AS (SELECT c_custkey AS k, concat('c', c_custkey) AS id, c_name AS name, c_mktsegment AS segment, CAST(c_custkey % 5 AS INTEGER) AS stage FROM customer)"
+STAGE_NAMES = "['solution', 'dev', 'testing', 'staging', 'prod']"
+
+
+@query(
+    "kg_deployment_edges",
+    f"""WITH {REGISTRY}, {DEPLOYED}, envs AS (SELECT id, 'dev' AS env FROM r WHERE k % 3 <> 0 UNION ALL SELECT id, 'prod' FROM r WHERE k % 3 = 2)
+    SELECT 'customer' AS from_type, id AS from_id, 'has_env' AS relation, 'deployment' AS to_type, id || '/' || env AS to_id FROM envs
+    UNION ALL SELECT DISTINCT 'deployment', customer || '/' || env, 'runs', 'service', name FROM deployed""",
+)
 def kg_deployment_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.deployment_edges(connectors.sample_registry(spark).filter("id = 'acme'"), connectors.sample_deployments(spark))
+    return graph.deployment_edges(customers(spark, sf_dir), deployed(spark, sf_dir))
 
 
 # --- registry and resolution ------------------------------------------------------------------------------------------
 
 
-@query("registry_update", "SELECT * FROM (VALUES ('acme', 'Acme Corporation', 'dev'), ('globex', 'Globex', 'testing'), ('initech', 'Initech', 'solution')) AS t(id, name, lifecycle_stage)")
+@query(
+    "registry_update",
+    f"""WITH {REGISTRY} SELECT id, CASE WHEN k % 4 = 0 THEN concat('N', k) ELSE name END AS name, CASE WHEN k % 6 = 0 THEN 'testing' ELSE {STAGE_NAMES}[stage + 1] END AS lifecycle_stage FROM r""",
+)
 def registry_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    changes = spark.createDataFrame([("acme", "Acme Corporation", None), ("globex", None, "testing")], "id string, name string, lifecycle_stage string")
-    return registry.update(connectors.sample_registry(spark), changes).select("id", "name", "lifecycle_stage")
+    own = customers(spark, sf_dir)
+    changes = own.filter("position % 2 = 0").select("id", F.expr("CASE WHEN position % 4 = 0 THEN concat('N', position) END").alias("name"), F.expr("CASE WHEN position % 3 = 0 THEN 'testing' END").alias("lifecycle_stage"))
+    return registry.update(own, changes).select("id", "name", "lifecycle_stage")
 
 
-@query("registry_environments", "SELECT * FROM (VALUES ('acme', 'prod', 'ns-a', 'prod'), ('globex', 'staging', 'ns-g', 'staging'), ('initech', 'solution', NULL, NULL)) AS t(id, lifecycle_stage, namespace, best_env)")
+@query(
+    "registry_environments",
+    f"""WITH {REGISTRY}, u AS (SELECT id, k, stage, k % 2 = 0 AS fresh, CASE WHEN k % 5 <> 0 THEN concat('ns-', k) END AS given, CASE WHEN k % 3 = 0 THEN 3 ELSE 4 END AS env FROM r)
+    SELECT id, {STAGE_NAMES}[CASE WHEN fresh THEN greatest(stage, env) ELSE stage END + 1] AS lifecycle_stage,
+    CASE WHEN fresh THEN coalesce(given, CASE WHEN k % 3 = 2 THEN 'p' END) ELSE CASE k % 3 WHEN 1 THEN 'd' WHEN 2 THEN 'p' END END AS namespace,
+    CASE WHEN fresh THEN {STAGE_NAMES}[env + 1] ELSE CASE k % 3 WHEN 1 THEN 'dev' WHEN 2 THEN 'prod' END END AS best_env FROM u""",
+)
 def registry_environments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    updates = spark.createDataFrame([("acme", "prod", {"k8s_namespace": "ns-a", "k8s_context": ""}), ("globex", "staging", {"k8s_namespace": "ns-g"})], "id string, env string, settings map<string,string>")
-    out = registry.upsert_environments(connectors.sample_registry(spark), updates)
+    own = customers(spark, sf_dir)
+    settings = F.expr("map('k8s_namespace', CASE WHEN position % 5 = 0 THEN '' ELSE concat('ns-', position) END, 'k8s_context', '')")
+    updates = own.filter("position % 2 = 0").select("id", F.expr("CASE WHEN position % 3 = 0 THEN 'staging' ELSE 'prod' END").alias("env"), settings.alias("settings"))
+    out = registry.upsert_environments(own, updates)
     best = registry.resolved_environment(F.col("environments"), F.lit("qa"))
     return out.select("id", "lifecycle_stage", F.try_element_at(F.try_element_at("environments", best), F.lit("k8s_namespace")).alias("namespace"), best.alias("best_env"))
 
 
-@query("registry_listing", "SELECT * FROM (VALUES ('acme', 'dev,prod', 'testing,staging'), ('globex', '', 'dev,testing,staging,prod'), ('initech', '', 'dev,testing,staging,prod')) AS t(id, configured, missing)")
+@query(
+    "registry_listing",
+    f"""WITH {REGISTRY}, e AS (SELECT id, CASE k % 3 WHEN 0 THEN [] WHEN 1 THEN ['dev'] ELSE ['dev', 'prod'] END AS own FROM r)
+    SELECT id, array_to_string(own, ',') AS configured, array_to_string(list_filter({STAGE_NAMES}[2:], lambda x: NOT list_contains(own, x)), ',') AS missing FROM e""",
+)
 def registry_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registry.environment_listing(connectors.sample_registry(spark)).select("id", F.array_join("configured", ",").alias("configured"), F.array_join("missing", ",").alias("missing"))
+    return registry.environment_listing(customers(spark, sf_dir)).select("id", F.array_join("configured", ",").alias("configured"), F.array_join("missing", ",").alias("missing"))
 
 
-@query("registry_create_delete", "SELECT * FROM (VALUES ('acme'), ('hooli')) AS t(id)")
+@query("registry_create_delete", f"WITH {REGISTRY} SELECT id FROM r WHERE (k % 3 <> 0 OR k % 2 = 0) AND k NOT IN (SELECT s_suppkey FROM supplier)")
 def registry_create_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = connectors.sample_registry(spark)
-    added = own.filter("id = 'acme'").withColumn("id", F.explode(F.array(F.lit("acme"), F.lit("hooli"))))
-    return registry.delete(registry.create(own, added), own.filter("id <> 'acme'")).select("id")
+    rows = customers(spark, sf_dir)
+    gone = table(spark, sf_dir, "supplier").select(F.expr("concat('c', s_suppkey)").alias("id"))
+    return registry.delete(registry.create(rows.filter("position % 3 <> 0"), rows.filter("position % 2 = 0")), gone).select("id")
 
 
-@query("registry_products", "SELECT 'globex' AS id, 'teleport' AS unknown")
+@query("registry_products", f"WITH {REGISTRY} SELECT id, concat(CASE WHEN lower(segment) IN ('building', 'machinery') THEN '' ELSE lower(segment) || CASE WHEN k % 3 = 1 THEN '' ELSE ',' END END, CASE WHEN k % 3 = 1 THEN '' ELSE concat('p', k % 3) END) AS unknown FROM r WHERE k % 4 <> 0 AND (lower(segment) NOT IN ('building', 'machinery') OR k % 3 <> 1)")
 def registry_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registry.unknown_products(connectors.sample_registry(spark), ["wms", "rdc"]).select("id", F.array_join("unknown", ",").alias("unknown"))
+    return registry.unknown_products(customers(spark, sf_dir), ["building", "machinery", "p1"]).select("id", F.array_join("unknown", ",").alias("unknown"))
 
 
-@query("registry_normalise", "SELECT * FROM (VALUES ('a', 'a', 'prod', 'prod', 'ns'), ('b', 'B', 'dev', 'dev', NULL)) AS t(id, name, lifecycle_stage, env, namespace)")
+@query(
+    "registry_normalise",
+    f"""WITH {REGISTRY}, f AS (SELECT *, CASE WHEN k % 5 < 2 THEN 'prod' ELSE 'dev' END AS env FROM r)
+    SELECT id, CASE WHEN k % 4 = 0 THEN id ELSE name END AS name, CASE WHEN k % 3 = 0 THEN env ELSE 'testing' END AS lifecycle_stage, env, CASE WHEN k % 2 = 0 THEN concat('ns', k) END AS namespace FROM f""",
+)
 def registry_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flat = spark.createDataFrame([("a", None, None, None, "ns"), ("b", "B", None, "dev", "")], "id string, name string, lifecycle_stage string, env string, k8s_namespace string")
+    flat = customers(spark, sf_dir).select(
+        "id",
+        F.expr("CASE WHEN position % 4 <> 0 THEN name END").alias("name"),
+        F.expr("CASE WHEN position % 3 <> 0 THEN 'testing' END").alias("lifecycle_stage"),
+        F.expr("CASE position % 5 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE 'dev' END").alias("env"),
+        F.expr("CASE WHEN position % 2 = 0 THEN concat('ns', position) ELSE '' END").alias("k8s_namespace"),
+    )
     out = registry.normalised(flat)
     env = F.get(F.map_keys("environments"), F.lit(0))
     return out.select("id", "name", "lifecycle_stage", env.alias("env"), F.try_element_at(F.try_element_at("environments", env), F.lit("k8s_namespace")).alias("namespace"))
 
 
-@query("alias_learn", "SELECT * FROM (VALUES ('acme', 'ACME Inc|acme!'), ('globex', 'New Name'), ('initech', 'New Name')) AS t(id, aliases)")
+@query(
+    "alias_learn",
+    f"""WITH {REGISTRY}, p AS (SELECT id, CASE WHEN k % 3 <> 0 THEN [segment] ELSE [] END AS own, CASE k % 4 WHEN 0 THEN lower(segment) || '. ' WHEN 1 THEN 'New Name' WHEN 2 THEN ' ! ' ELSE segment END AS phrase FROM r),
+    n AS (SELECT *, trim(regexp_replace(lower(phrase), '[^a-z0-9]+', ' ', 'g')) AS plain FROM p)
+    SELECT id, array_to_string(CASE WHEN plain = '' OR list_contains(list_transform(own, lambda a: lower(a)), plain) THEN own ELSE list_append(own, phrase) END, '|') AS aliases FROM n""",
+)
 def alias_learn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    phrase = F.when(F.col("id") == "acme", "acme inc.").otherwise("New Name")
-    return connectors.sample_registry(spark).select("id", F.array_join(registry.learned_alias(F.col("aliases"), phrase), "|").alias("aliases"))
+    rows = customers(spark, sf_dir).join(table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("int").alias("position"), "c_mktsegment"), "position")
+    phrase = F.expr("CASE position % 4 WHEN 0 THEN concat(lower(c_mktsegment), '. ') WHEN 1 THEN 'New Name' WHEN 2 THEN ' ! ' ELSE c_mktsegment END")
+    return rows.select("id", F.array_join(registry.learned_alias(F.col("aliases"), phrase), "|").alias("aliases"))
 
 
 @query("customer_resolve")
@@ -245,14 +350,18 @@ def log_renamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.renamed(odd, {"message": "msg", "level": "severity"}).filter("level = 'ERROR'").select("event_id", "message")
 
 
-@query("deployment_state", "SELECT * FROM (VALUES ('acme', 'api', 'v2.3.1', 2, 3), ('acme', 'web', 'unknown', 1, 1)) AS t(customer, name, version, ready, desired)")
+@query("deployment_state", f"WITH {DEPLOYED} SELECT customer, name, version, TRY_CAST(string_split(pods, '/')[1] AS INTEGER) AS ready, TRY_CAST(string_split(pods, '/')[2] AS INTEGER) AS desired FROM deployed")
 def deployment_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return connectors.sample_deployments(spark).select("customer", "name", "version", "ready", "desired")
+    return deployed(spark, sf_dir).select("customer", "name", "version", "ready", "desired")
 
 
-@query("deployment_summary", "SELECT 'acme' AS customer, 'prod' AS env, concat('Customer: acme', chr(10), 'Environment: prod', chr(10), chr(10), 'DEPLOYED VERSIONS:', chr(10), '  api: v2.3.1  (2/3 pods)', chr(10), '  web: unknown  (1/1 pods)') AS content")
+@query(
+    "deployment_summary",
+    f"""WITH {DEPLOYED} SELECT customer, env, 'Customer: ' || customer || chr(10) || 'Environment: ' || env || chr(10) || chr(10) || 'DEPLOYED VERSIONS:' || chr(10)
+    || string_agg('  ' || name || ': ' || version || '  (' || pods || ' pods)', chr(10) ORDER BY name) AS content FROM deployed GROUP BY customer, env""",
+)
 def deployment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.deployment_summary(connectors.sample_deployments(spark))
+    return L.deployment_summary(deployed(spark, sf_dir))
 
 
 POD = "CASE WHEN event_id % 11 = 0 THEN 'bad' ELSE concat('web-', cast(event_id AS varchar(20)), CASE WHEN event_id % 2 = 0 THEN '   ' ELSE ' ' END, '1/1  ', CASE event_id % 4 WHEN 0 THEN 'CrashLoopBackOff' WHEN 1 THEN 'Pending' ELSE 'Running' END, ' ', cast(user_id % 12 AS varchar(20))) END"
@@ -349,11 +458,19 @@ def compress_due(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.compression_due(table(spark, sf_dir, "conversations"), at=6)
 
 
-@query("memory_merge", "SELECT 1::BIGINT AS id, 'acme' AS customer, 'prod' AS env, 'b,c,d' AS findings")
+@query(
+    "memory_merge",
+    """WITH m AS (SELECT event_id, event_type, user_id, [concat('f', user_id % 5), concat('f', event_id % 5), 'c', 'c', concat('f', event_id % 4)] AS l FROM events),
+    d AS (SELECT *, list_filter(l, lambda x, i: list_position(l, x) = i) AS f FROM m)
+    SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_type ELSE concat('u', user_id) END AS customer, CASE WHEN event_id % 3 = 0 THEN 'dev' ELSE 'prod' END AS env, array_to_string(f[-3:], ',') AS findings FROM d""",
+)
 def memory_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, {"customer": "acme", "env": "dev"}, {"customer": "", "env": "prod"}, ["a", "b", "c"], ["c", "d"])], "id long, old map<string,string>, new map<string,string>, f1 array<string>, f2 array<string>")
-    memory = sessions.merged_memory(F.col("old"), F.col("new"))
-    return rows.select("id", memory["customer"].alias("customer"), memory["env"].alias("env"), F.array_join(sessions.merged_findings(F.col("f1"), F.col("f2"), 3), ",").alias("findings"))
+    rows = table(spark, sf_dir, "events")
+    old = F.expr("map('customer', event_type, 'env', 'dev')")
+    new = F.expr("map('customer', CASE WHEN event_id % 2 = 0 THEN '' ELSE concat('u', user_id) END, 'env', CASE WHEN event_id % 3 = 0 THEN '' ELSE 'prod' END)")
+    findings = sessions.merged_findings(F.expr("array(concat('f', user_id % 5), concat('f', event_id % 5), 'c')"), F.expr("array('c', concat('f', event_id % 4))"), 3)
+    memory = sessions.merged_memory(old, new)
+    return rows.select("event_id", memory["customer"].alias("customer"), memory["env"].alias("env"), F.array_join(findings, ",").alias("findings"))
 
 
 # --- sync, upserts and purge ---------------------------------------------------------------------------------------------
@@ -622,24 +739,38 @@ def regression_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.regressions(runs, ["mean_value", "n"])
 
 
-@query("custom_fields", "SELECT * FROM (VALUES ('GM-1', 'Region', 'EU'), ('GM-1', 'Team', 'a|b')) AS t(issue_key, field, value)")
+@query(
+    "custom_fields",
+    """SELECT concat('E-', event_id) AS issue_key, r_name AS field, CASE r_regionkey WHEN 1 THEN event_type WHEN 2 THEN concat('u', user_id, '|b') ELSE 'even' END AS value FROM events JOIN region ON r_regionkey IN (1, 2) OR r_regionkey = 3 AND event_id % 2 = 0""",
+)
 def custom_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return connectors.custom_fields(connectors.sample_issues(spark), connectors.sample_field_names(spark)).select("issue_key", "field", F.array_join("values", "|").alias("value"))
+    names = table(spark, sf_dir, "region").select(F.expr("concat('f', r_regionkey)").alias("field_id"), F.col("r_name").alias("name"))
+    return connectors.custom_fields(issues(spark, sf_dir), names).select("issue_key", "field", F.array_join("values", "|").alias("value"))
 
 
-@query("issue_documents", "SELECT 'GM-1' AS source_id, '[GM-1] Crash on start' AS title, 'jira' AS source, 'Issue: GM-1' || chr(10) || 'Status: Open' || chr(10) || 'Priority: High' || chr(10) || chr(10) || 'It crashes' || chr(10) AS content")
+@query(
+    "issue_documents",
+    """SELECT concat('E-', event_id) AS source_id, concat('[E-', event_id, '] ', event_type) AS title, 'jira' AS source,
+    concat('Issue: E-', event_id, chr(10), CASE WHEN event_id % 5 <> 0 THEN 'Status: Open' || chr(10) ELSE '' END, 'Priority: P', user_id % 4, chr(10), chr(10), 'It is ', event_type, chr(10)) AS content FROM events""",
+)
 def issue_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return connectors.issue_documents(connectors.sample_issues(spark)).select("source_id", "title", "source", "content")
+    return connectors.issue_documents(issues(spark, sf_dir)).select("source_id", "title", "source", "content")
 
 
-@query("wiki_tree", "SELECT * FROM (VALUES ('1', 0), ('2', 1), ('3', 2)) AS t(page_id, depth)")
+@query(
+    "wiki_tree",
+    """WITH RECURSIVE t(k, depth) AS (SELECT CAST(1 AS BIGINT), 0 UNION ALL SELECT c_custkey, depth + 1 FROM t JOIN customer ON (c_custkey + 1) // 3 = k AND c_custkey <> 1 WHERE depth < 7)
+    SELECT CAST(k AS VARCHAR) AS page_id, depth FROM t ORDER BY depth, page_id LIMIT 500""",
+)
 def wiki_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return connectors.page_tree(connectors.sample_pages(spark), "1").select("page_id", "depth")
+    pages = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("page_id"), F.expr("CASE WHEN c_custkey <> 1 THEN cast((c_custkey + 1) div 3 AS string) END").alias("parent_id"))
+    return connectors.page_tree(pages, "1").select("page_id", "depth")
 
 
-@query("wiki_documents", "SELECT * FROM (VALUES ('1', 'Home', 'Hello' || chr(10) || 'world'), ('2', 'Child', 'x & y'), ('3', 'Grandchild', 'z')) AS t(source_id, title, content)")
+@query("wiki_documents", f"SELECT CAST(page_id AS VARCHAR) AS source_id, url AS title, regexp_replace(regexp_replace({HTML}, '[ \\t\\r]*\\n\\s*', chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS content FROM pages")
 def wiki_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return connectors.page_documents(connectors.sample_pages(spark).filter("page_id <> '9'")).select("source_id", "title", "content")
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("page_id"), F.col("url").alias("title"), "html", F.lit("S").alias("space"), F.lit(None).cast("timestamp").alias("updated"))
+    return connectors.page_documents(pages).select("source_id", "title", "content")
 
 
 FILE = "concat(CASE page_id % 5 WHEN 0 THEN 'src/' WHEN 1 THEN 'node_modules/' WHEN 2 THEN 'a/build/' WHEN 3 THEN 'builder/' ELSE '' END, 'f', CASE page_id % 4 WHEN 0 THEN '.py' WHEN 1 THEN '.MD' WHEN 2 THEN '.bin' ELSE '' END)"
@@ -670,9 +801,9 @@ def stale_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connectors.fresh_branches(rows, seen, _as_of("2000-02-01 00:00:00")).select("branch")
 
 
-@query("merged_prs", "SELECT 'api' AS repo, 7 AS number")
+@query("merged_prs", f"WITH {PULLS} SELECT repo, number FROM prs WHERE merged_at >= TIMESTAMP '2024-01-01' ORDER BY merged_at DESC, repo, number LIMIT 200")
 def merged_prs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return connectors.merged_since(connectors.sample_pull_requests(spark), F.lit("2024-01-01").cast("timestamp")).select("repo", "number")
+    return connectors.merged_since(pulls(spark, sf_dir), F.lit("2024-01-01").cast("timestamp")).select("repo", "number")
 
 
 @query(
