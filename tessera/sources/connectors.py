@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tessera.functions.extract import SIGNAL_BRANCHES
 from tessera.functions.text import extension, html_to_text, rich_text
-from tessera.operators.logs import deployments
 
 # What a repository walk reads and skips.
 EXTENSIONS = [".py", ".java", ".ts", ".js", ".md", ".yml", ".yaml", ".sh", ".json", ".txt", ".rst"]
@@ -144,43 +143,3 @@ def page_tree(pages: DataFrame, root: str, deepest: int = 8, most: int = 500) ->
 
 def page_documents(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").alias("source_id"), "title", F.lit("confluence").alias("source"), html_to_text(F.col("html")).alias("content"), "space", "updated")
-
-
-# --- samples for demonstrations and tests ----------------------------------------------------------------------------
-
-
-def sample_issues(spark: SparkSession) -> DataFrame:
-    tree = '{"type":"doc","content":[{"type":"paragraph","content":[{"type":"text","text":"It crashes"}]}]}'
-    rows = [
-        ("GM-1", "GM", "Crash on start", tree, "Open", "High", None, {"f1": ["EU"], "f2": ["a", "b"], "rank": ["x"], "f3": []}, [("https://github.com/o/api/pull/7", "is fixed by"), ("https://example.com", None)], [("GM-2", "blocks"), (None, None)])
-    ]
-    return spark.createDataFrame(rows, ISSUE)
-
-
-def sample_field_names(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([("f1", "Region"), ("f2", "Team"), ("f3", "Empty")], "field_id string, name string")
-
-
-def sample_pages(spark: SparkSession) -> DataFrame:
-    rows = [("1", None, "S", "Home", "<p>Hello</p><script>x</script><p>world</p>", None), ("2", "1", "S", "Child", "x &amp; y", None), ("3", "2", "S", "Grandchild", "z", None), ("9", None, "S", "Other", "", None)]
-    return spark.createDataFrame(rows, PAGE)
-
-
-def sample_pull_requests(spark: SparkSession) -> DataFrame:
-    rows = [("api", 7, "GM-1: fix", "see AES-22 and GM-1", "2024-01-10 00:00:00"), ("api", 8, "open", None, None), ("web", 3, "old", None, "2023-01-10 00:00:00")]
-    prs = spark.createDataFrame(rows, "repo string, number int, title string, body string, merged_at string").withColumn("merged_at", F.col("merged_at").cast("timestamp"))
-    return prs.filter("repo = 'api'")
-
-
-def sample_registry(spark: SparkSession) -> DataFrame:
-    rows = [
-        ("acme", "Acme Corp", "dev", ["wms"], "", ["ACME Inc", "acme!"], {"dev": {"k8s_namespace": "d"}, "prod": {"k8s_namespace": "p"}}, 0),
-        ("globex", "Globex", "solution", ["rdc", "teleport"], "", None, {}, 1),
-        ("initech", "Initech", "solution", [], "", [], {}, 2),
-    ]
-    return spark.createDataFrame(rows, "id string, name string, lifecycle_stage string, products array<string>, notes string, aliases array<string>, environments map<string,map<string,string>>, position int")
-
-
-def sample_deployments(spark: SparkSession) -> DataFrame:
-    lines = spark.createDataFrame([("acme", "prod", "api\tr/api:v2.3.1\t2/3"), ("acme", "prod", "web\tr/web\t1/1"), ("acme", "prod", "broken")], "customer string, env string, line string")
-    return deployments(lines)

@@ -54,3 +54,13 @@ def plain(value):
 def rows_of(df) -> list[tuple]:
     columns = sorted(df.columns)
     return sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr)
+
+
+def sample_registry(spark):
+    """A small registry of customers."""
+    rows = [
+        ("acme", "Acme Corp", "dev", ["wms"], "", ["ACME Inc", "acme!"], {"dev": {"k8s_namespace": "d"}, "prod": {"k8s_namespace": "p"}}, 0),
+        ("globex", "Globex", "solution", ["rdc", "teleport"], "", None, {}, 1),
+        ("initech", "Initech", "solution", [], "", [], {}, 2),
+    ]
+    return spark.createDataFrame(rows, "id string, name string, lifecycle_stage string, products array<string>, notes string, aliases array<string>, environments map<string,map<string,string>>, position int")

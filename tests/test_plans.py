@@ -1,7 +1,7 @@
 import json
 import tarfile
 
-from conftest import DATA
+from conftest import DATA, sample_registry
 from pyspark.sql import functions as F
 
 from tessera.catalog.base import docs
@@ -60,7 +60,7 @@ def test_embedding_batches_fail_alone(spark):
 
 
 def test_conversation(spark):
-    customers = connectors.sample_registry(spark)
+    customers = sample_registry(spark)
     tools = agent.Registry()
     tools.add("search", lambda customer, env, question: docs(spark, DATA).limit(2)).add("logs", lambda customer, env, question: L.newest(logs(spark, DATA), 3)).add("pods", lambda **_: 1 / 0)
     session = agent.Session()
@@ -150,7 +150,7 @@ def test_standard_tools(spark):
     chunks = docs(spark, DATA).select(F.col("doc_id").alias("chunk_id"), "tenant_id", F.col("text").alias("chunk_text"))
     pods = spark.createDataFrame([("web-1 0/1 Error 9",)], "line string")
     lines = spark.createDataFrame([("acme", "prod", "api\tr/api:v2\t1/1")], "customer string, env string, line string")
-    made = agent.standard_tools(chunks, TenantContext("acme"), logs(spark, DATA), pods, lines, edges(spark, DATA), entities(spark, DATA), connectors.sample_registry(spark), F.lit("2024-01-20 12:00:00").cast("timestamp"))
+    made = agent.standard_tools(chunks, TenantContext("acme"), logs(spark, DATA), pods, lines, edges(spark, DATA), entities(spark, DATA), sample_registry(spark), F.lit("2024-01-20 12:00:00").cast("timestamp"))
     found = {name: tool(customer="acme", env="prod", question="license version").count() for name, tool in made.tools.items()}
     assert set(found) == {"search", "logs", "pods", "deployments", "graph", "customers"} and found["pods"] == found["deployments"] == found["customers"] == 1
 
