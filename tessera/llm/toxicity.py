@@ -39,6 +39,9 @@ WINDOW, TRAINING_WINDOW = 8, 2
 ORDINARY_BYTES = 131_072
 #: Most bytes of the toxic dictionary of a round; sizes of the last one, of which the best calibrated is taken.
 ROUND_BYTES, TOXIC_BYTES, ROUNDS = 4096, (512, 1024, 2048, 4096), 3
+#: Bytes of a segment of the trainer: the ordinary dictionary keeps passages, the toxic one what a window of training holds
+#: at most, two words of eight characters in the spelling of :func:`windows`; longer ones bring ordinary wording along.
+ORDINARY_SEGMENT, TOXIC_SEGMENT = 200, 32
 #: How many times as often windows of toxic texts have to be shortened by so much as ordinary ones; how many of these are
 #: looked at for it.
 RATIO, COMPARED = 3.0, 40_000
@@ -148,7 +151,7 @@ def toxic_windows(toxic: list[str], ordinary: list[bytes], plain: bytes, rounds:
         found = []
         for h in (0, 1):
             size = min(ROUND_BYTES, max(1024, sum(map(len, halves[1 - h])) // 50))
-            own = compressor(trained_dictionary(chosen[1 - h], size, 50) + plain).compress
+            own = compressor(trained_dictionary(chosen[1 - h], size, TOXIC_SEGMENT) + plain).compress
             gains = [cost - np.array([len(own(w)) for w in group]) for cost, group in ((costs[h], halves[h]), (costs[2], ordinary))]
             inside, outside = (np.array([(g >= least).mean() if len(g) else 0.0 for least in range(1, MOST + 1)]) for g in gains)
             telling = np.flatnonzero(inside >= RATIO * outside)
@@ -189,7 +192,7 @@ def train(toxic: list[str], ordinary: list[str]) -> ToxicityModel:
     split = [([t for i, t in enumerate(texts) if i % 3 or len(texts) < 12], texts[::3]) for texts in (without_copies(sorted(toxic)), without_copies(sorted(ordinary)))]
     (fit1, held1), (fit0, held0) = split
     samples = [w for t in fit0 for w in windows(t)]
-    plain = trained_dictionary(samples, min(ORDINARY_BYTES, max(1024, sum(map(len, samples)) // 10)), 200)
+    plain = trained_dictionary(samples, min(ORDINARY_BYTES, max(1024, sum(map(len, samples)) // 10)), ORDINARY_SEGMENT)
     short = [w for t in fit0 for w in windows(t, TRAINING_WINDOW)]
     order = np.random.default_rng(1).permutation(len(short))
     compared, others = [short[i] for i in order[:COMPARED]], [short[i] for i in order[COMPARED : 3 * COMPARED]]
@@ -198,7 +201,7 @@ def train(toxic: list[str], ordinary: list[str]) -> ToxicityModel:
     one, best = compressor(plain).compress, (math.inf, ToxicityModel(b"", b"", None))
     before = np.array([len(one(w)) for w in others])
     for size in TOXIC_BYTES:
-        found = trained_dictionary(chosen, size, 50)
+        found = trained_dictionary(chosen, size, TOXIC_SEGMENT)
         two = compressor(found + plain).compress
         gains = before - np.array([len(two(w)) for w in others], np.int64)
         hard = {others[k] for k in np.flatnonzero(gains >= max(4.0, float(np.quantile(gains, 0.998))))} if len(others) else set()
