@@ -12,6 +12,7 @@ from tessera.llm.language_id import op1_language_id
 from tessera.llm.license_scan import op10_license_scan
 from tessera.llm.ngram_join import op3_ngram_join
 from tessera.llm.packing import op6_packing
+from tessera.llm.spelling import op11_spelling_variants
 from tessera.llm.token_counts import op4_token_counts
 from tessera.llm.toxicity import op2_toxicity
 from tessera.llm.url_filter import op7_url_filter
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jpeg_media": op8_jpeg_media,
     "op9_vector_search": op9_vector_search,
     "op10_license_scan": op10_license_scan,
+    "op11_spelling_variants": op11_spelling_variants,
 }
 
 #: All pairs that share a shingle, counted and closed into groups: exact, and quick enough for the small tables.
@@ -47,4 +49,23 @@ copies AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY k) AS copy_id FROM n)
 SELECT d.doc_id, g.class_id, coalesce(c.copy_id, d.doc_id) AS copy_id, coalesce(n_links, 0) AS n_links
 FROM documents d JOIN groups g USING (doc_id) LEFT JOIN links USING (doc_id) LEFT JOIN copies c USING (doc_id)"""
 
-ORACLE_SQL: dict[str, str] = {"op3_ngram_join": NGRAM_JOIN_SQL}
+#: The checksum byte by byte from a table made by its rule; near words by one letter left out; forms followed to the end.
+SPELLING_SQL = r"""
+WITH RECURSIVE steps AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i,
+    list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) AS r(i))),
+raw AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+own AS (SELECT run, hex(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run) AS x, count(*) AS n FROM raw WHERE length(run) >= 5 GROUP BY doc_id, run),
+summed AS (SELECT run, n, xor(list_reduce([4294967295] || list_transform(range(1, length(x), 2), lambda i: instr('123456789ABCDEF', x[i]) * 16 + instr('123456789ABCDEF', x[i + 1])),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM own, steps),
+spelled AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM summed),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM spelled WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+cut AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS d FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
+p AS (SELECT a.word AS x, b.word AS y FROM cut a JOIN cut b ON a.d = b.d AND a.i = b.i AND a.word <> b.word
+    UNION SELECT cut.word, v.word FROM cut JOIN v ON cut.d = v.word UNION SELECT v.word, cut.word FROM cut JOIN v ON cut.d = v.word),
+best AS (SELECT x, count(*) AS n_near, min(ROW(-v.n, y)) AS b FROM p JOIN v ON v.word = y GROUP BY x),
+formed AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -b[1] >= 2 * n THEN b[2] END AS form, CASE WHEN -b[1] >= 2 * n THEN -b[1] END AS form_n FROM v LEFT JOIN best ON x = word),
+way(word, stop, k) AS (SELECT word, word, 0 FROM v UNION ALL SELECT way.word, form, k + 1 FROM way JOIN formed f ON f.word = way.stop WHERE form IS NOT NULL),
+ends AS (SELECT word, arg_max(stop, k) AS root FROM way GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN ends USING (word)"""
+
+ORACLE_SQL: dict[str, str] = {"op3_ngram_join": NGRAM_JOIN_SQL, "op11_spelling_variants": SPELLING_SQL}
