@@ -12,6 +12,7 @@ from tessera.llm.language_id import op1_language_id
 from tessera.llm.license_scan import op10_license_scan
 from tessera.llm.ngram_join import op3_ngram_join
 from tessera.llm.packing import op6_packing
+from tessera.llm.positional_index import op12_decontamination
 from tessera.llm.spelling import op11_spelling_variants
 from tessera.llm.token_counts import op4_token_counts
 from tessera.llm.toxicity import op2_toxicity
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_vector_search": op9_vector_search,
     "op10_license_scan": op10_license_scan,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_decontamination": op12_decontamination,
 }
 
 #: All pairs that share a shingle, counted and closed into groups: exact, and quick enough for the small tables.
@@ -68,4 +70,17 @@ way(word, stop, k) AS (SELECT word, word, 0 FROM v UNION ALL SELECT way.word, fo
 ends AS (SELECT word, arg_max(stop, k) AS root FROM way GROUP BY word)
 SELECT word, form, root, n, n_near, form_n FROM formed JOIN ends USING (word)"""
 
-ORACLE_SQL: dict[str, str] = {"op3_ngram_join": NGRAM_JOIN_SQL, "op11_spelling_variants": SPELLING_SQL}
+#: Every run of words of every text met with the windows of the items; a word is hit by the last window that begins at it or before.
+DECONTAMINATION_SQL = r"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+g AS (SELECT DISTINCT item_id, least(len(ws), 10) AS l, unnest(list_transform(range(1, greatest(len(ws) - 9, 1) + 1), lambda k: array_to_string(ws[k:k + 9], ' '))) AS p FROM i WHERE len(ws) > 0),
+lengths AS (SELECT DISTINCT l FROM g),
+runs AS (SELECT r, l, k, array_to_string(ws[k:k + l - 1], ' ') AS p FROM (SELECT r, ws, l, unnest(range(1, len(ws) - l + 2)) AS k FROM w, lengths)),
+m AS (SELECT r, k, runs.l, item_id FROM runs JOIN g USING (p)),
+hit AS (SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, unnest(range(k, k + l)) AS x FROM (SELECT DISTINCT r, k, l FROM m)) GROUP BY r),
+own AS (SELECT r, count(x) AS n_items, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS x FROM m) GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM w LEFT JOIN hit USING (r) LEFT JOIN own USING (r)"""
+
+ORACLE_SQL: dict[str, str] = {"op3_ngram_join": NGRAM_JOIN_SQL, "op11_spelling_variants": SPELLING_SQL, "op12_decontamination": DECONTAMINATION_SQL}
