@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.catalog.base import DOCS, case, docs, query, table, text, values
@@ -396,22 +398,43 @@ def chunk_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.withColumn("title", chunking.numbered_title(F.lit("doc"), F.col("chunk_index") + 1, counts)).select("doc_id", "chunk_index", "title", F.length("chunk_text").alias("chars"))
 
 
-PLAIN_TEXT = "regexp_replace(coalesce(text, ''), '[^a-zA-Z ]', ''{0})"
+JAVA = "package p;\nimport java.util.List;\n\n@Deprecated\npublic final class A{id}\n{{\n  // {text}\n}}\n\nenum E{id} {{ X }}\n\ninterface B{id} {{ }}\n"
+PYTHON = (
+    '"""Module."""\nimport os\n\nLIMIT = {id}\n\n\n@cached\n@traced(level=1)\ndef a_{id}():\n    # {text}\n    return LIMIT\n\n\nregister(a_{id})\n\n\n'
+    'class B_{id}:\n    def inner(self):\n        pass\n\n\nasync def c_{id}():\n    pass\n\n\nif __name__ == "__main__":\n    a_{id}()\n'
+)
+
+
+def _commented(mark: str, flags: str = "") -> str:
+    """SQL of a document's text, every line of it a comment."""
+    return f"regexp_replace(coalesce(text, ''), '[\\r\\n]+', chr(10) || '{mark}'{flags})"
+
+
+def _source(form: str, mark: str) -> str:
+    """DuckDB SQL of a document as a source file."""
+    parts = re.split(r"(\{id\}|\{text\})", form)
+    return " || ".join("CAST(doc_id AS VARCHAR)" if p == "{id}" else _commented(mark, ", 'g'") if p == "{text}" else text(p.replace("{{", "{").replace("}}", "}")) for p in parts if p)
 
 
 @query(
     "chunk_declarations",
-    f"""WITH d AS (SELECT doc_id, {PLAIN_TEXT.format(", 'g'")} AS t FROM documents), p AS (SELECT doc_id,
-    CASE WHEN doc_id % 2 = 0 THEN 'public class A' || doc_id || chr(10) || '{{' || chr(10) || '  // ' || t || chr(10) || '}}' ELSE 'def a_' || doc_id || '():' || chr(10) || '    # ' || t || chr(10) || '    return 1' END AS one,
-    CASE WHEN doc_id % 2 = 0 THEN 'interface B' || doc_id || ' {{ }}' ELSE 'class B_' || doc_id || ':' || chr(10) || '    pass' END AS two FROM d)
-    SELECT doc_id, 0 AS chunk_index, one AS chunk_text FROM p WHERE length(one) >= 200 UNION ALL SELECT doc_id, 1, two FROM p WHERE length(one) >= 200
-    UNION ALL SELECT doc_id, 0, one || chr(10) || chr(10) || two FROM p WHERE length(one) < 200""",
+    f"""WITH RECURSIVE d AS (SELECT doc_id, doc_id % 2 = 0 AS java, CASE WHEN doc_id % 2 = 0 THEN {_source(JAVA, '  // ')} ELSE {_source(PYTHON, '    # ')} END AS t FROM documents),
+    l AS (SELECT doc_id, java, t, i, t[i] AS line, i > 1 AND starts_with(t[i - 1], '@') AS decorated FROM (SELECT doc_id, java, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT doc_id, java, string_split(t, chr(10)) AS t FROM d))),
+    cut AS (SELECT doc_id, java, i, line, sum(CASE WHEN java AND regexp_matches(line, '^(public |final )*(class|enum|interface) [A-Z]') OR NOT java AND NOT decorated AND regexp_matches(line, '^(def |class |async def |@)') THEN 1 ELSE 0 END)
+      OVER (PARTITION BY doc_id ORDER BY i) AS part FROM l),
+    p AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY part) AS k, regexp_replace(string_agg(line, chr(10) ORDER BY i), '^\\s+|\\s+$', '', 'g') AS piece FROM cut WHERE NOT java OR part > 0 GROUP BY doc_id, part),
+    m(doc_id, k, chunk, size) AS (SELECT doc_id, k, 0, length(piece) FROM p WHERE k = 1
+      UNION ALL SELECT p.doc_id, p.k, CASE WHEN size >= 200 THEN chunk + 1 ELSE chunk END, CASE WHEN size >= 200 THEN length(piece) ELSE size + 2 + length(piece) END FROM m JOIN p ON p.doc_id = m.doc_id AND p.k = m.k + 1)
+    SELECT doc_id, CAST(chunk AS INTEGER) AS chunk_index, string_agg(piece, chr(10) || chr(10) ORDER BY k) AS chunk_text FROM m JOIN p USING (doc_id, k) GROUP BY doc_id, chunk""",
 )
 def chunk_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources by extension: declarations of Java and of Python, small neighbours merged."""
-    own = F.expr(PLAIN_TEXT.format(""))
-    java = F.format_string("package p;\n\npublic class A%d\n{\n  // %s\n}\n\ninterface B%d { }\n", F.col("doc_id"), own, F.col("doc_id"))
-    python = F.format_string("import os\n\n\ndef a_%d():\n    # %s\n    return 1\n\n\nclass B_%d:\n    pass\n", F.col("doc_id"), own, F.col("doc_id"))
+    """Sources by extension: declarations of Java and of Python, what stands around them, small neighbours merged."""
+
+    def source(form: str, mark: str) -> Column:
+        parts = re.split(r"(\{id\}|\{text\})", form)
+        fill = {"{id}": F.col("doc_id").cast("string"), "{text}": F.expr(_commented(mark))}
+        return F.concat(*(fill[p] if p in fill else F.lit(p.replace("{{", "{").replace("}}", "}")) for p in parts))
+
     even = F.col("doc_id") % 2 == 0
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.when(even, java).otherwise(python).alias("text"), F.when(even, ".JAVA").otherwise(".py").alias("ext"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.when(even, source(JAVA, "  // ")).otherwise(source(PYTHON, "    # ")).alias("text"), F.when(even, ".JAVA").otherwise(".py").alias("ext"))
     return chunking.chunked(rows, "source", extension="ext")

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import ast
+import itertools
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,70 +22,82 @@ DOCUMENT_LIMIT, SMALL = 80_000, 200
 WHOLE_DECISION, DECISION_STEP = 12_000, 6_000
 # Fixed value: what begins a declaration in Java sources.
 JAVA_DECLARATION = re.compile(r"(?:^|\n)(?:(?:public|private|protected|static|final|abstract)\s+)*(?:class|interface|enum|@interface)\s+\w+", re.MULTILINE)
+_SENTENCE_END, _LINE_END, _NEXT_LINE = re.compile(r"[.?!]"), re.compile(r"\n"), re.compile(r"\r\n?|\n")
+
+
+def spans(marks: np.ndarray, length: int, size: int, overlap: int, kept: int) -> Iterator[tuple[int, int]]:
+    """Windows of at most ``size`` characters over a text of ``length``, each beginning ``overlap`` before the last one's end.
+
+    ``marks`` are the sorted places where a window may end, ``kept`` how many characters at such a place it keeps. A window
+    ends at the last mark of its second half; without one, or where the text ends, it is full.
+    """
+    if size // 2 <= overlap:
+        raise ValueError("a window must be longer than twice the overlap")
+    first = last = 0
+    while last < length:
+        full = first + size
+        if full >= length:
+            last = length
+        else:
+            low, high = np.searchsorted(marks, (first + size // 2, full))
+            last = int(marks[high - 1]) + kept if high > low else full
+        yield first, last
+        first = last - overlap
+
+
+def _windows(text: str, mark: re.Pattern[str], size: int, overlap: int, kept: int) -> Iterator[str]:
+    marks = np.fromiter((m.start() for m in mark.finditer(text)), np.int64)
+    own = (text[first:last].strip() for first, last in spans(marks, len(text), size, overlap, kept))
+    return (piece for piece in own if piece)
 
 
 def sentence_chunks(text: str | None, size: int = SENTENCE_SIZE, overlap: int = SENTENCE_OVERLAP) -> Iterator[str]:
-    """Windows that end after the last full stop in their second half, if there is one."""
-    text = (text or "").strip()
-    start = 0
-    while start < len(text):
-        end = min(start + size, len(text))
-        if end < len(text):
-            stop = max(text.rfind(mark, start + size // 2, end) for mark in ".?!")
-            end = stop + 1 if stop >= 0 else end
-        if piece := text[start:end].strip():
-            yield piece
-        if end >= len(text) or end - overlap <= 0:
-            return
-        start = end - overlap
+    """Windows that end behind a full stop."""
+    return _windows((text or "").strip(), _SENTENCE_END, size, overlap, kept=1)
 
 
 def code_chunks(text: str | None, size: int = CODE_SIZE, overlap: int = CODE_OVERLAP) -> Iterator[str]:
-    """Windows that break at the last line end in their second half."""
-    text, start = text or "", 0
-    while start < len(text):
-        end = min(start + size, len(text))
-        if end < len(text):
-            line = text.rfind("\n", start + size // 2, end)
-            end = line if line >= 0 else end
-        if piece := text[start:end].strip():
-            yield piece
-        if end >= len(text):
-            return
-        start = max(end - overlap, start + 1)
-
-
-def merge_small(pieces: Iterable[str], least: int = SMALL) -> Iterator[str]:
-    """Neighbours joined by a blank line until each has the least length; the last may fall short."""
-    held = ""
-    for piece in pieces:
-        held = f"{held}\n\n{piece}".strip() if held else piece
-        if len(held) >= least:
-            yield held
-            held = ""
-    if held:
-        yield held
+    """Windows that end at a line's end."""
+    return _windows(text or "", _LINE_END, size, overlap, kept=0)
+
+
+def merge_small(pieces: Sequence[str], least: int = SMALL) -> Iterator[str]:
+    """Neighbours joined by a blank line until each has the least length; the last may fall short.
+
+    ``ends`` is where each piece would end if all were joined, so a group ends with the first piece far enough from the group before.
+    """
+    ends = np.cumsum([len(p) + 2 for p in pieces])
+    first, before = 0, 0
+    while first < len(pieces):
+        last = int(np.searchsorted(ends, before + least + 2)) + 1
+        yield "\n\n".join(pieces[first:last])
+        first, before = last, int(ends[min(last, len(pieces)) - 1])
+
+
+def _between(text: str, starts: list[int]) -> Iterator[str]:
+    """Small pieces merged: from each start to the next, and to the end."""
+    own = (text[a:b].strip() for a, b in itertools.pairwise([*starts, len(text)]))
+    return merge_small([piece for piece in own if piece])
 
 
 def python_chunks(text: str | None) -> Iterator[str]:
-    """Top-level functions and classes; sources that do not parse, or have none, are split as text."""
+    """Cut where a top-level function or class begins, its decorators included; what stands before, between and behind
+    them is kept. Sources that do not parse, or have none, are split as text."""
     text = text or ""
     try:
-        found = [n for n in ast.parse(text).body if isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef)]
-    except (SyntaxError, ValueError):
-        found = []
-    lines = text.splitlines()
-    whole = ["\n".join(lines[n.lineno - 1 : n.end_lineno]) for n in found]
-    return merge_small(whole) if whole else code_chunks(text)
+        body = ast.parse(text).body
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return code_chunks(text)
+    lines = [0, *(m.end() for m in _NEXT_LINE.finditer(text))]
+    found = [min([n.lineno, *(d.lineno for d in n.decorator_list)]) for n in body if isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef)]
+    return _between(text, [0, *(lines[line - 1] for line in found)]) if found else code_chunks(text)
 
 
 def java_chunks(text: str | None) -> Iterator[str]:
     """From each declaration to the next; what stands before the first is left out."""
     text = text or ""
     starts = [m.start() for m in JAVA_DECLARATION.finditer(text)]
-    if not starts:
-        return code_chunks(text)
-    return merge_small(p for a, b in zip(starts, [*starts[1:], len(text)], strict=True) if (p := text[a:b].strip()))
+    return _between(text, starts) if starts else code_chunks(text)
 
 
 def source_chunks(text: str | None, extension: str | None) -> Iterator[str]:
@@ -96,14 +110,14 @@ def document_parts(text: str | None, limit: int = DOCUMENT_LIMIT) -> list[str]:
     text = text or ""
     if len(text) <= limit:
         return [text]
-    parts, held, size = [], [], 0
-    for paragraph in text.split("\n\n"):
-        if held and size + len(paragraph) + 2 > limit:
-            parts.append("\n\n".join(held))
-            held, size = [], 0
-        held.append(paragraph)
-        size += len(paragraph) + 2
-    return [*parts, "\n\n".join(held)] if held else parts
+    paragraphs = text.split("\n\n")
+    ends = np.cumsum([len(p) + 2 for p in paragraphs])
+    parts, first, before = [], 0, 0
+    while first < len(paragraphs):
+        last = max(int(np.searchsorted(ends, before + limit, "right")), first + 1)
+        parts.append("\n\n".join(paragraphs[first:last]))
+        first, before = last, int(ends[last - 1])
+    return parts
 
 
 def decision_chunks(text: Column) -> Column:

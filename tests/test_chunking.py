@@ -1,3 +1,5 @@
+import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -36,18 +38,58 @@ def test_code_chunks_break_at_lines():
 
 
 def test_declarations():
-    own = "import os\n\ndef f():\n    return 1\n\nclass A:\n    x = '" + "y" * 250 + "'\n"
-    assert list(C.python_chunks(own))[0].startswith("def f")
-    assert list(C.python_chunks("def broken(:")) == ["def broken(:"]
+    own = "import os\n\n@cached\n@traced(\n    1)\ndef f():\n    return 1\n\nclass A:\n    x = '" + "y" * 250 + "'\n\nif __name__ == '__main__':\n    f()\n"
+    head, tail = C.python_chunks(own.replace("import os", "import os  # " + "z" * 200))
+    assert head.endswith("z") and tail.startswith("@cached") and tail.endswith("f()") and "\n\nclass A" in tail
+    assert list(C.python_chunks("def broken(:")) == ["def broken(:"] == list(C.source_chunks("def broken(:", ".PY"))
+    assert list(C.python_chunks("(" * 5000)) and list(C.python_chunks(None)) == []
     java = "package a;\npublic class A {\n int x;\n}\n" + "private void run() {\n" + "y();\n" * 80 + "}\n"
     assert "package" not in "".join(C.java_chunks(java))
     assert list(C.source_chunks("plain", ".txt")) == ["plain"]
 
 
+LINES = ["import os", "X = 1", "@d", "def f():\n    return '\x0c'", "class A:\n    pass", "async def g(): pass", "f()", "# é " + "c" * 120, "", "if X:\n    f()"]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.sampled_from(LINES), max_size=25), st.sampled_from(["\n", "\r\n", "\n\n"]))
+def test_python_chunks_lose_no_line(lines, end):
+    text = end.join(lines)
+    own = lambda t: [x.strip() for x in t.splitlines() if x.strip()]
+    if all(i + 1 < len(lines) and lines[i + 1].startswith(("def", "class", "async", "@")) for i, x in enumerate(lines) if x == "@d") and len(text) <= C.CODE_SIZE:
+        assert own("\n".join(C.python_chunks(text))) == own(text)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 400), unique=True).map(sorted), st.integers(0, 400), st.integers(5, 60), st.integers(0, 1))
+def test_windows_end_at_the_last_mark_of_their_second_half(marks, length, size, kept):
+    marks = [m for m in marks if m < length]
+    overlap = size // 5
+    found, last = list(C.spans(np.array(marks, np.int64), length, size, overlap, kept)), None
+    assert bool(found) == bool(length) and (not found or found[0][0] == 0 and found[-1][1] == length)
+    for first, end in found:
+        assert last is None or first == last - overlap
+        ends = [m + kept for m in marks if first + size // 2 <= m < first + size]
+        assert end == (length if first + size >= length else max(ends, default=first + size))
+        last = end
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("ab", min_size=1, max_size=30)), st.integers(1, 60))
+def test_small_pieces_merge_until_long_enough(pieces, least):
+    groups = [g.split("\n\n") for g in C.merge_small(pieces, least)]
+    assert [p for g in groups for p in g] == pieces
+    for i, g in enumerate(groups):
+        assert len("\n\n".join(g[:-1])) < least and (len("\n\n".join(g)) >= least or i == len(groups) - 1)
+
+
 def test_parts_and_merging():
     text = "\n\n".join(["p" * 30_000] * 4)
     assert [len(p) for p in C.document_parts(text)] == [60_002, 60_002]
     assert C.document_parts("q" * 100_000) == ["q" * 100_000]
+    assert [len(p) for p in C.document_parts("a" * 50_000 + "\n\n" + "b" * 29_996 + "\n\n" + "c" * 90_000 + "\n\nd")] == [79_998, 90_000, 1]
+    with pytest.raises(ValueError, match="twice the overlap"):
+        list(C.code_chunks("x", 10, 5))
     assert list(C.merge_small(["a" * 150, "b" * 60, "c"])) == ["a" * 150 + "\n\n" + "b" * 60, "c"]
 
 
