@@ -34,6 +34,8 @@ REACH = 32
 SLICE, PIECE = 1 << 19, 1 << 20
 #: Words of a phrase that a slice must hold before the phrase is looked up in it.
 RAREST = 3
+#: Words of phrases that are broadcast to the postings (some tens of megabytes); more of them meet the postings in a shuffle.
+BROADCAST_WORDS = 1 << 20
 
 _WORDS = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in bytes(range(256)).lower())
 _BREAK = re.compile(rb"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]")
@@ -219,13 +221,15 @@ def search(postings: DataFrame, phrases: DataFrame, slop: int = 0) -> DataFrame:
     longest = phrases.agg(F.max(F.size(F.split("phrase", " ")))).first()[0] or 0
     if longest + 2 * slop > REACH:
         raise ValueError(f"a phrase with its slop on both sides must not be longer than {REACH} words")
-    frequency = terms.join(words.select("term").distinct(), "term").groupBy("term").agg(F.sum("n").alias("n"))
+    vocabulary = stored(words.select("term").distinct(), "vocabulary")
+    vocabulary = F.broadcast(vocabulary) if vocabulary.count() <= BROADCAST_WORDS else vocabulary
+    seen = stored(terms.select("term", "slice", "n").join(vocabulary, "term"), "seen")
+    frequency = seen.groupBy("term").agg(F.sum("n").alias("n"))
     ranked = words.select("id", "term").distinct().join(frequency, "term", "left").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "term"))).alias("own"))
     rare = ranked.filter(~F.exists("own", lambda x: x["n"].isNull())).select("id", F.explode(F.slice("own", 1, RAREST)["term"]).alias("term"), F.least(F.size("own"), F.lit(RAREST)).alias("wanted"))
-    held = terms.select("term", "slice").join(rare, "term").groupBy("slice", "id").agg(F.count("*").alias("held"), F.max("wanted").alias("wanted")).filter("held = wanted")
+    held = seen.join(rare, "term").groupBy("slice", "id").agg(F.count("*").alias("held"), F.max("wanted").alias("wanted")).filter("held = wanted")
     asked = stored(held.select("slice", "id"), "asked")
-    needed = asked.join(words, "id").select("slice", "term").distinct()
-    lists = terms.join(needed, ["slice", "term"], "left_semi").unionByName(postings.filter("term IS NULL").join(asked.select("slice").distinct(), "slice", "left_semi"))
+    lists = terms.join(vocabulary, "term").unionByName(postings.filter("term IS NULL")).join(asked.select("slice").distinct(), "slice", "left_semi")
     result = "row long, n_hit long, phrases array<long>, starts array<long>"
     out = pa.schema([("row", pa.int64()), ("n_hit", pa.int64()), ("phrases", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64()))])
     pairs = lists.select("slice", "term", "slots", "row").groupBy("slice").cogroup(asked.join(phrases, "id").groupBy("slice"))
