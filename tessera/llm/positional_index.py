@@ -178,7 +178,7 @@ def _search_slice(postings: pa.Table, asked: pa.Table, slop: int, out: pa.Schema
     offsets, values = (own.column("slots").chunk(0).offsets.to_numpy(), own.column("slots").chunk(0).values.to_numpy()) if len(own) else (np.zeros(1, np.int64), np.zeros(0, np.int32))
     lists = {term: values[offsets[k] : offsets[k + 1]] for k, term in enumerate(own.column("term").to_pylist())}
     docs = postings.filter(pa.array(~is_term))
-    if not len(docs):
+    if not len(docs) or not len(asked):
         return out.empty_table()
     places = np.array(docs.column("slots").to_pylist(), np.int64).reshape(-1, 4)
     order = np.argsort(places[:, 0])
@@ -229,7 +229,7 @@ def search(postings: DataFrame, phrases: DataFrame, slop: int = 0) -> DataFrame:
     rare = ranked.filter(~F.exists("own", lambda x: x["n"].isNull())).select("id", F.explode(F.slice("own", 1, RAREST)["term"]).alias("term"), F.least(F.size("own"), F.lit(RAREST)).alias("wanted"))
     held = seen.join(rare, "term").groupBy("slice", "id").agg(F.count("*").alias("held"), F.max("wanted").alias("wanted")).filter("held = wanted")
     asked = stored(held.select("slice", "id"), "asked")
-    lists = terms.join(vocabulary, "term").unionByName(postings.filter("term IS NULL")).join(asked.select("slice").distinct(), "slice", "left_semi")
+    lists = terms.join(vocabulary, "term").unionByName(postings.filter("term IS NULL"))  # slices that nothing is asked of end in their task
     result = "row long, n_hit long, phrases array<long>, starts array<long>"
     out = pa.schema([("row", pa.int64()), ("n_hit", pa.int64()), ("phrases", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64()))])
     pairs = lists.select("slice", "term", "slots", "row").groupBy("slice").cogroup(asked.join(phrases, "id").groupBy("slice"))
