@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.columnar import bound_batches, documents, text_slices
-from tessera.llm.letters import class_sample, id_remainder, letters_only
+from tessera.llm.letters import bounded, class_sample, id_remainder, letters_only
 
 UNDETERMINED = "und"
 
@@ -56,6 +56,20 @@ def segment_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
+def bucket_counts(texts: list[str], bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The buckets of each text with how often they occur in it."""
+    found: list = [None] * len(texts)
+    for owners, parts in bounded(texts):
+        buckets, bounds = subwords(parts, bits)
+        for owner, a, b in zip(owners, bounds[:-1], bounds[1:], strict=True):
+            own = np.unique(buckets[a:b], return_counts=True)
+            if found[owner] is not None:  # another piece of the same text
+                both = np.bincount(np.concatenate([found[owner][0], own[0]]), np.concatenate([found[owner][1], own[1]]), 1 << bits).astype(np.int64)
+                own = np.flatnonzero(both), both[both > 0]
+            found[owner] = own
+    return found
+
+
 @dataclass
 class LanguageModel:
     languages: list[str]
@@ -69,9 +83,12 @@ class LanguageModel:
         """Language and calibrated confidence of texts that :func:`letters_only` has prepared."""
         if not self.languages:
             return [UNDETERMINED] * len(texts), np.zeros(len(texts))
-        buckets, bounds = subwords(texts, self.bits)
-        n = np.diff(bounds)
-        logits = segment_sums(self.scores[buckets], bounds) / np.maximum(n, 1)[:, None] + self.bias
+        sums, n = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64)
+        for owners, parts in bounded(texts):
+            buckets, bounds = subwords(parts, self.bits)
+            np.add.at(sums, owners, segment_sums(self.scores[buckets], bounds))
+            np.add.at(n, owners, np.diff(bounds))
+        logits = sums / np.maximum(n, 1)[:, None] + self.bias
         logits /= self.temperature
         p = np.exp(logits - logits.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
@@ -143,8 +160,7 @@ def fit(docs: DataFrame, sample: int = 1000, bits: int = 14) -> LanguageModel:
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in text_slices(batch):
-                buckets, bounds = subwords(texts, bits)
-                found = [np.unique(buckets[a:b], return_counts=True) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                found = bucket_counts(texts, bits)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([k.astype("<u2").tobytes() for k, _ in found], pa.binary()), pa.array([n.astype("<u4").tobytes() for _, n in found], pa.binary())],
                     ["lang", "buckets", "counts"],

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -157,6 +158,56 @@ def test_samples_are_bounded_for_repeated_ids(spark):
     assert words[:40] in long and words[-2980:-2850] in long
 
 
+def test_a_hot_id_takes_no_place_in_the_sample(spark):
+    """An id on nearly all rows, and labels without end: the other ids and the commonest classes are drawn as without them."""
+    from tessera.llm.letters import class_sample
+
+    rows = spark.range(40_600).selectExpr("greatest(id - 40000, -1) AS doc_id", "CASE WHEN id % 2 = 0 OR id < 40000 THEN 'en' ELSE 'fr' END AS lang", "'text' AS text")
+    drawn = {r.lang: r.n for r in class_sample(rows, "lang", 100).groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    assert set(drawn) == {"en", "fr"} and all(60 <= n <= 150 for n in drawn.values())
+    dirty = spark.range(2000).selectExpr("id AS doc_id", "CASE WHEN id < 1000 THEN 'en' ELSE concat('x', id) END AS lang", "'text' AS text")
+    assert {r.lang for r in class_sample(dirty, "lang", 5000, classes=1).collect()} == {"en"} and class_sample(dirty, "lang", 5000).select("lang").distinct().count() == 256
+    none = spark.createDataFrame([(None, "en", "t")], "doc_id long, lang string, text string")
+    assert class_sample(none, "lang", 5).count() == 0
+
+
+def test_long_texts_are_read_in_pieces():
+    """Pieces keep every subword of every word, whatever their size."""
+    from tessera.llm.language_id import bucket_counts, subwords
+    from tessera.llm.letters import bounded
+
+    rng = np.random.default_rng(3)
+    texts = ["", " é ", *(" " + " ".join("".join(rng.choice(list("abéß"), rng.integers(1, 9))) for _ in range(n)) + " " for n in (1, 3, 40, 400)), " " + "x" * 90 + " y "]
+    for limit in (1, 7, 64, 1 << 18):
+        groups = list(bounded(texts, limit))
+        assert all(sum(map(len, parts[:-1])) < limit for _, parts in groups)
+        counts = [Counter() for _ in texts]
+        for owners, parts in groups:
+            buckets, bounds = subwords(parts, 14)
+            for owner, a, b in zip(owners, bounds[:-1], bounds[1:], strict=True):
+                counts[owner].update(buckets[a:b].tolist())
+        for text, own in zip(texts, counts, strict=True):
+            assert own == Counter(subwords([text], 14)[0].tolist())
+    long = texts[5] * 2000  # over the size of a piece
+    (found, n), (buckets, _) = bucket_counts([long], 14)[0], subwords([long], 14)
+    assert dict(zip(found.tolist(), n.tolist(), strict=True)) == Counter(buckets.tolist()) and len(long) > 2 << 18
+
+
+def test_one_very_long_text_takes_little_memory():
+    import tracemalloc
+
+    from tessera.llm.language_id import UNDETERMINED, bucket_counts, train
+
+    model = train([("en", *bucket_counts([" the cat and that "], 14)[0]), ("fr", *bucket_counts([" le chat et que "], 14)[0])])
+    text = " le chat et que" * 700_000 + " "
+    tracemalloc.start()
+    language, _ = model.predict([text])
+    bucket_counts([text], 14)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert language == ["fr"] != [UNDETERMINED] and peak < 120e6 and len(text) > 10e6
+
+
 def test_toxicity_sample_keeps_texts_that_share_passages():
     """Texts with a third of their words in common passages stay; copies and near copies go."""
     rng = np.random.default_rng(8)
