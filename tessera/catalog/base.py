@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -65,6 +66,23 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_indexes: dict[tuple, object] = {}
+
+
+def keyword_index(spark: SparkSession, sf_dir: str):
+    """The stored postings of the documents, written when they are first asked for, and anew when the table's files have changed."""
+    from tessera.operators import postings
+    from tessera.sources import scratch
+
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    size = files.getContentSummary(path)
+    version = (spark.sparkContext.applicationId, sf_dir, files.getFileStatus(path).getModificationTime(), size.getLength(), size.getFileCount())
+    if version not in _indexes:
+        _indexes[version] = postings.append(table(spark, sf_dir, "documents"), f"{scratch.root(spark)}/postings-{uuid.uuid4().hex}", 0)
+    return _indexes[version]
+
+
 DOCS = f"""docs AS (
     SELECT doc_id, text, lang, source, n_chars, {case('lang', TENANTS)} AS tenant_id, {case(case('lang', TENANTS), TENANT_TIERS)} AS tier,
     [{', '.join(map(text, SOURCES))}][TRY_CAST(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER) % 6 + 1] AS source_type,

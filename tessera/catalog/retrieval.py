@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.catalog.base import AS_OF, DOCS, case, docs, query, table, text
+from tessera.catalog.base import AS_OF, DOCS, case, docs, keyword_index, query, table, text
 from tessera.context import TenantContext, customer_scoped, over_quota, scoped
 from tessera.functions.text import tokens
-from tessera.operators import bm25, fusion, hits, knn
+from tessera.operators import bm25, fusion, hits, knn, postings
 from tessera.schemas import AUTHORITY, BUDGET, TIERS, authority, budget, index_name
 
 TERMS = ["license", "version", "the", "token"]
@@ -23,12 +23,12 @@ BM25 = f"""{DOCS}, tok AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bm25.scores(docs(spark, sf_dir), TERMS).withColumn("score", F.round("score", 6))
+    return postings.scores(keyword_index(spark, sf_dir), TERMS).withColumn("score", F.round("score", 6))
 
 
 @query("bm25_topk", f"WITH {BM25} SELECT doc_id, score FROM scored ORDER BY score DESC, doc_id LIMIT 50")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hits.page(_scores(spark, sf_dir), 50)
+    return postings.top(keyword_index(spark, sf_dir), TERMS, 50)
 
 
 @query("bm25_scores", f"WITH {BM25} SELECT doc_id, score FROM scored")
@@ -38,7 +38,7 @@ def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("bm25_corpus_stats", f"WITH {BM25} SELECT term, df, (SELECT n FROM fig) AS n, round((SELECT avgdl FROM fig), 6) AS avgdl FROM freq")
 def bm25_corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bm25.corpus_figures(docs(spark, sf_dir), TERMS).withColumn("avgdl", F.round("avgdl", 6))
+    return postings.corpus_figures(keyword_index(spark, sf_dir), TERMS).withColumn("avgdl", F.round("avgdl", 6))
 
 
 FUZZY_TERMS = ["idiott", "licence", "vershion", "pathetik"]
@@ -51,7 +51,7 @@ FUZZY = f"""WITH {DOCS}, vocab AS (SELECT term, count(*) AS df FROM (SELECT DIST
 
 @query("bm25_fuzzy_terms", FUZZY)
 def bm25_fuzzy_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bm25.expansions(docs(spark, sf_dir), FUZZY_TERMS)
+    return postings.expansions(keyword_index(spark, sf_dir), FUZZY_TERMS)
 
 
 NEAR = FUZZY[: FUZZY.rindex("SELECT query_term, term, CAST")] + ", near_terms AS (SELECT term, count(*) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY query_term ORDER BY distance, df DESC, term) AS place FROM dist WHERE distance <= k) WHERE place <= 50 GROUP BY term)"
@@ -65,14 +65,16 @@ NEAR = FUZZY[: FUZZY.rindex("SELECT query_term, term, CAST")] + ", near_terms AS
     FROM post JOIN freq USING (term) JOIN near_terms USING (term) CROSS JOIN fig GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 50""",
 )
 def bm25_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hits.page(bm25.fuzzy_scores(docs(spark, sf_dir), FUZZY_TERMS).withColumn("score", F.round("score", 6)), 50)
+    index = keyword_index(spark, sf_dir)
+    near = [r["term"] for r in postings.expansions(index, FUZZY_TERMS).collect()]  # at most FUZZY_EXPANSIONS a query term
+    return postings.top(index, near, 50)
 
 
 DECAYED = f"""WITH {BM25}, decayed AS (SELECT doc_id, round(raw.score * pow(0.5, pow((epoch_ms(TIMESTAMP '{AS_OF}') - epoch_ms(created_at)) / 2592000000.0, 2)), 6) AS score FROM raw JOIN docs USING (doc_id))"""
 
 
 def _decayed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = bm25.scores(docs(spark, sf_dir), TERMS).join(docs(spark, sf_dir).select("doc_id", "created_at"), "doc_id")
+    raw = postings.scores(keyword_index(spark, sf_dir), TERMS).join(docs(spark, sf_dir).select("doc_id", "created_at"), "doc_id")
     return raw.select("doc_id", F.round(bm25.decayed(F.col("score"), F.col("created_at"), F.lit(AS_OF).cast("timestamp")), 6).alias("score"))
 
 
@@ -83,7 +85,7 @@ def bm25_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("hits_page", f"WITH {BM25} SELECT doc_id, score FROM scored ORDER BY score DESC, doc_id LIMIT 20 OFFSET 20")
 def hits_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hits.page(_scores(spark, sf_dir), 20, 1)
+    return hits.page(postings.top(keyword_index(spark, sf_dir), TERMS, 40), 20, 1)
 
 
 @query(
@@ -128,7 +130,13 @@ def facet_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def bm25_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
-    return bm25.batch_top(bm25.batch_scores(table(spark, sf_dir, "documents"), questions), 10)
+    return bm25.batch_top(postings.batch_scores(keyword_index(spark, sf_dir), questions), 10)
+
+
+@query("bm25_text_scores", f"WITH {BM25} SELECT doc_id, score FROM scored")
+def bm25_text_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores by one pass over the texts, where there is no index."""
+    return bm25.scores(docs(spark, sf_dir), TERMS).withColumn("score", F.round("score", 6))
 
 
 @query("highlights")

@@ -138,8 +138,8 @@ _SPLITTERS: dict[str, Callable[[str | None, str | None], Iterable[str]]] = {
 }
 
 
-def chunked(df: DataFrame, splitter: str, text: str = "text", key: str = "doc_id", extension: str | None = None) -> DataFrame:
-    """(key, chunk_index, chunk_text) of every row. Text is streamed through in Arrow batches; nothing is shuffled."""
+def chunked(df: DataFrame, splitter: str, text: str = "text", key: str = "doc_id", extension: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """(key, chunk_index, chunk_text, *keep) of every row. Text is streamed through in Arrow batches; nothing is shuffled."""
     split = _SPLITTERS[splitter]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,15 +147,14 @@ def chunked(df: DataFrame, splitter: str, text: str = "text", key: str = "doc_id
             for at in range(0, len(batch), 256):
                 rows = batch.slice(at, 256)
                 found = [list(split(t, e)) for t, e in zip(rows.column(1).to_pylist(), rows.column(2).to_pylist(), strict=True)]
-                of = [k for k, pieces in enumerate(found) for _ in pieces]
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column(0).take(pa.array(of, pa.int64())), pa.array([i for pieces in found for i in range(len(pieces))], pa.int32()), pa.array([p for pieces in found for p in pieces], pa.string())],
-                    [key, "chunk_index", "chunk_text"],
-                )
+                of = pa.array([k for k, pieces in enumerate(found) for _ in pieces], pa.int64())
+                numbers = pa.array([i for pieces in found for i in range(len(pieces))], pa.int32())
+                pieces = pa.array([p for pieces in found for p in pieces], pa.string())
+                yield pa.RecordBatch.from_arrays([rows.column(0).take(of), numbers, pieces, *(rows.column(3 + i).take(of) for i in range(len(keep)))], [key, "chunk_index", "chunk_text", *keep])
 
-    kind = df.schema[key].dataType.simpleString()
     own = F.col(extension) if extension else F.lit(None).cast("string")
-    return spread(df.select(key, text, own.alias("__extension"))).mapInArrow(run, f"`{key}` {kind}, chunk_index int, chunk_text string")
+    schema = StructType([df.schema[key], StructField("chunk_index", IntegerType()), StructField("chunk_text", StringType()), *(df.schema[c] for c in keep)])
+    return spread(df.select(key, text, own.alias("__extension"), *keep)).mapInArrow(run, schema)
 
 
 @udtf(returnType=StructType([StructField("chunk_index", IntegerType()), StructField("chunk_text", StringType())]))

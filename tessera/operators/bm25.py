@@ -119,7 +119,7 @@ def batch_scores(docs: DataFrame, questions: DataFrame, key: str = "doc_id", tex
     document frequency comes from the same counts. Hot words are left to adaptive skew handling.
     """
     wanted = questions.select("question_id", F.explode(tokens(F.col("question"))).alias("term")).groupBy("question_id", "term").agg(F.count("*").alias("weight"))
-    sized = spread(docs.select(key, text)).select(F.col(key), tokens(F.col(text)).alias("tokens")).withColumn("dl", F.size("tokens"))
+    sized = spread(docs.select(key, text)).select(F.col(key), tokens(F.coalesce(F.col(text), F.lit(""))).alias("tokens")).withColumn("dl", F.size("tokens"))
     counts = sized.select(key, "dl", F.explode("tokens").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi").groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
     frequency = counts.groupBy("term").agg(F.count("*").alias("df"))
     rows = counts.join(frequency, "term").join(wanted, "term").crossJoin(F.broadcast(sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))))  # one row

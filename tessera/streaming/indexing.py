@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tessera.functions.chunking import chunked
 from tessera.functions.embedding import Embedder, embedded
 from tessera.functions.text import embedding_text, fingerprint
+from tessera.operators import postings
 from tessera.operators.upsert import latest
 from tessera.schemas import index_name
 from tessera.sources.retry import routed
@@ -44,8 +45,8 @@ def processed(events: DataFrame, stored: DataFrame | None, embedder: Embedder |
     if stored is not None:
         known = stored.select("doc_id", F.col("fingerprint").alias("known"))
         documents = documents.join(known, "doc_id", "left").filter(~F.col("fingerprint").eqNullSafe(F.col("known"))).drop("known")
-    pieces = chunked(documents.withColumn("text", embedding_text(F.col("title"), F.col("content"))), "sentence")
-    chunks = pieces.join(documents.select("doc_id", "tenant_id", "tier", "title", "created_at"), "doc_id")
+    keep = ["tenant_id", "tier", "title", "created_at"]  # carried by the splitter: no join back to the documents
+    chunks = chunked(documents.withColumn("text", embedding_text(F.col("title"), F.col("content"))), "sentence", keep=keep)
     chunks = chunks.withColumns({"chunk_id": F.concat_ws("-chunk-", "doc_id", F.col("chunk_index").cast("string")), "index_name": index_name("chunks", F.col("tenant_id"), F.col("tier"))})
     if embedder is not None:
         chunks = embedded(chunks, "chunk_text", embedder)
@@ -59,13 +60,16 @@ def write_batch(batch: Batch, folder: str, batch_id: int) -> None:
         rows.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").partitionBy(*by).parquet(f"{folder}/{name}/batch={batch_id}")
 
 
-def start(events: DataFrame, folder: str, embedder: Embedder | None = None, available_now: bool = False, seconds: int = 5):
-    """Run the stream; with ``available_now`` until the input is used up."""
+def start(events: DataFrame, folder: str, embedder: Embedder | None = None, available_now: bool = False, seconds: int = 5, keywords: str | None = None):
+    """Run the stream; with ``available_now`` until the input is used up. ``keywords`` is where it keeps stored postings of titles and contents up."""
 
     def each(rows: DataFrame, batch_id: int) -> None:
         rows = rows.persist()
         try:
-            write_batch(processed(rows, None, embedder, F.unix_millis(F.current_timestamp())), folder, batch_id)
+            batch = processed(rows, None, embedder, F.unix_millis(F.current_timestamp()))
+            write_batch(batch, folder, batch_id)
+            if keywords:
+                postings.append(batch.documents.withColumn("text", embedding_text(F.col("title"), F.col("content"))), keywords, batch_id)
         finally:
             rows.unpersist()
 
