@@ -4,15 +4,18 @@ Rolling hashes of all k consecutive words of every whole text meet the k-grams o
 (k = 2 for the base phrases, ``GRAM`` for the longer notices). A hit at word w of a text and word t of a template votes
 for the diagonal w - t; votes are gathered as a bit for each template position. Neighbouring diagonals of a template
 (at most ``DRIFT`` apart: words were inserted or left out) are merged, and a span is kept if the grams of their bits
-cover enough words of the template. A base phrase counts only on a single complete diagonal.
+cover enough words of the template, and all that tell it from others: its numbers and the words of its label, so the notice
+of another version isn't taken for it. A base phrase counts only on a single complete diagonal.
 
 Only the templates are broadcast; their size is that of the template list. Votes are keyed by id and a hash of the text,
 so a phrase that stands in every document deals its votes over all documents, and repeated rows share the votes of
-one and each get a result. Null and empty texts have no words and no places. Extra columns are ignored.
+one and each get a result. Null and empty texts have no words and no places; very long texts are scanned whole, a document at
+a time. Extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -44,15 +47,21 @@ NOTICES = {
 }
 
 
-def template_rows(base: dict[str, str], notices: dict[str, str]) -> list[tuple[int, int, int, int, str, bool]]:
-    """(gram, template, position, number of words, label, whether base) of all grams of all templates."""
+def telling(phrase: str, label: str) -> int:
+    """A bit for each word of a notice that tells its label from others: its numbers, and what the label itself is made of."""
+    own = set(re.split(r"[-.]", label))
+    return sum(1 << i for i, w in enumerate(phrase.split()) if w in own or any(c.isdigit() for c in w))
+
+
+def template_rows(base: dict[str, str], notices: dict[str, str]) -> list[tuple[int, int, int, int, str, bool, int]]:
+    """(gram, template, position, number of words, label, whether base, telling words) of all grams of all templates."""
     rows = []
     for number, (phrase, label, is_base) in enumerate([(p, x, True) for p, x in base.items()] + [(p, x, False) for p, x in notices.items()]):
         k = 2 if is_base else GRAM
         grams, _ = rolling(*word_hashes([phrase]), k, salt=k)
         if not 1 <= len(grams) <= 63 - k:
             raise ValueError(f"a template has {k} words at least and 62 at most: {phrase!r}")
-        rows += [(int(g), number, position, len(grams) + k - 1, label, is_base) for position, g in enumerate(grams.view(np.int64).tolist())]
+        rows += [(int(g), number, position, len(grams) + k - 1, label, is_base, telling(phrase, label)) for position, g in enumerate(grams.view(np.int64).tolist())]
     return rows
 
 
@@ -83,7 +92,7 @@ def scan(docs: DataFrame, base: dict[str, str] = BASE, notices: dict[str, str] =
     spark = docs.sparkSession
     rows = template_rows(base, notices)
     positions = F.broadcast(spark.createDataFrame([r[:3] for r in rows], "gram long, template int, position int"))
-    templates = F.broadcast(spark.createDataFrame(sorted({(r[1], *r[3:]) for r in rows}), "template int, size int, label string, is_base boolean"))
+    templates = F.broadcast(spark.createDataFrame(sorted({(r[1], *r[3:]) for r in rows}), "template int, size int, label string, is_base boolean, telling long"))
     hits = grams(docs).join(positions, "gram", "left").filter("gram IS NULL OR template IS NOT NULL")
     votes = (
         hits.groupBy("doc_id", "key", "template", F.expr("CASE WHEN gram IS NOT NULL THEN place - position END").alias("diagonal"))
@@ -99,10 +108,11 @@ def scan(docs: DataFrame, base: dict[str, str] = BASE, notices: dict[str, str] =
     merged = (
         votes.withColumn("before", F.lag("diagonal").over(own))
         .withColumn("span", F.sum(F.when(apart, 1).otherwise(0)).over(own))
-        .groupBy("doc_id", "key", "template", "span", "size", "is_base")
+        .groupBy("doc_id", "key", "template", "span", "size", "is_base", "telling")
         .agg(F.bit_or("bits").alias("bits"), F.min("diagonal").alias("first"), F.max("n_words").alias("n_words"), F.max("rows").alias("rows"), F.max("label").alias("label"))
-        .withColumn("coverage", F.expr(f"bit_count(CASE WHEN is_base THEN {covered(2)} ELSE {covered(GRAM)} END) / size"))
-        .filter(f"template IS NULL OR coverage = 1 OR (NOT is_base AND coverage >= {COVERAGE})")
+        .withColumn("words", F.expr(f"CASE WHEN is_base THEN {covered(2)} ELSE {covered(GRAM)} END"))
+        .withColumn("coverage", F.expr("bit_count(words) / size"))
+        .filter(f"template IS NULL OR coverage = 1 OR (NOT is_base AND coverage >= {COVERAGE} AND words & telling = telling)")
     )
     spans = merged.filter("template IS NOT NULL").select("doc_id", "key", "template", "label", "is_base", "first", "coverage")
     found = (

@@ -446,6 +446,16 @@ def test_license_query_is_brute_force(spark):
         assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
 
 
+def test_a_notice_of_another_version_has_no_label(spark):
+    """Words may be missing, but not those that tell a notice from others."""
+    first = next(iter(license_scan.NOTICES))
+    rows = [(1, first), (2, first.replace("2 0", "3 0")), (3, first.replace("apache", "moon")), (4, first.replace("licensed ", "")), (5, "licensed under cc by nc 3 0 here"), (6, "licensed under cc by nc 4 0 here")]
+    out = {r.doc_id: r.labels for r in license_scan.scan(documents(spark, rows))[1].collect()}
+    assert {k: "apache-2.0" in v for k, v in out.items() if k < 5} == {1: True, 2: False, 3: False, 4: True}
+    assert out[5] == "cc-by" and out[6] == "cc-by,cc-by-nc-4.0"
+    assert license_scan.telling("licensed under the mit license version 2", "mit") == 0b1001000
+
+
 def test_license_spans_with_inserted_words(spark):
     notice = next(iter(license_scan.NOTICES)).split()
     changed = " ".join([*notice[:5], "noted", *notice[5:]])
