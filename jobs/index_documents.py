@@ -23,10 +23,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobs.settings import configured, session
-from tessera.operators.upsert import latest
 from tessera.schemas import choice
 from tessera.sources.tables import replace_partitions, table
-from tessera.streaming.indexing import processed
+from tessera.streaming.indexing import last_indexed, processed
 
 log = logging.getLogger("index_documents")
 
@@ -49,12 +48,6 @@ def events(files: DataFrame, config: dict) -> DataFrame:
     )
 
 
-def last_indexed(indexed: DataFrame, incoming: DataFrame, batch: int) -> DataFrame:
-    """(doc_id, fingerprint) that earlier batches stored last for the incoming documents: history is scanned, only theirs is shuffled."""
-    known = indexed.filter(F.col("batch") < batch).select("doc_id", "fingerprint", "batch")
-    return latest(known.join(incoming.select("doc_id").distinct(), "doc_id", "left_semi"), ["doc_id"], ["batch"])
-
-
 def run(spark: SparkSession, documents: str, out: str, config: dict | None = None) -> dict[str, int]:
     """Index what is new under ``documents``; returns the rows written to each table."""
     config = config or configured(__file__)

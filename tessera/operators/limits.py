@@ -1,11 +1,13 @@
 """Admission limits in batch form: sliding windows, token buckets, circuit breakers. Each is a fold over a key's requests in order.
 
-A key's requests stream through its task in Arrow batches sorted by time; only the window or the bucket is held, so a
-hot key costs time on one core, not memory. Limits of one key do not depend on another.
+A key's requests stream through its task in Arrow batches sorted by time; only the window or the bucket is held. Where a
+key was silent long enough for its window to empty or its bucket to fill, its requests are dealt to several tasks. Limits of one
+key do not depend on another.
 """
 
 from __future__ import annotations
 
+import math
 from collections import deque
 from collections.abc import Iterable, Iterator
 
@@ -45,6 +47,11 @@ class TokenBucket:
         return True
 
 
+def full_after_ms(rate: float, burst: float) -> int:
+    """After so long without a request a bucket is full, as a new one is."""
+    return math.ceil(1000 * burst / rate)
+
+
 class CircuitBreaker:
     """Opens when at least ``share`` of the last ``window`` calls failed (once ``least`` are known), closes after good probes."""
 
@@ -75,21 +82,38 @@ class CircuitBreaker:
         return "closed"
 
 
-def _folded(requests: DataFrame, key: str, time: str, order: str, fold, column: str, kind: str, extra: str | None = None) -> DataFrame:
-    """Rows of each key in time order through one fold. Keys are dealt by hash and sorted within partitions, then streamed."""
+def _cut(rows: DataFrame, key: str, gap_ms: int) -> DataFrame:
+    """Adds ``__part``: runs of a key's requests with more than ``gap_ms`` of silence between them, where no state is left.
+
+    Requests fall into slots of that length; an empty slot between two is such a silence. Only the slots of a key, not
+    its requests, are put in order; requests then meet their slot, so a key on all rows is dealt over all tasks.
+    """
+    slots = rows.withColumn("__slot", F.floor(F.col("__ms") / F.lit(gap_ms)))
+    own = f"OVER (PARTITION BY `{key}` ORDER BY __slot)"
+    seen = slots.select(key, "__slot").distinct().withColumn("__new", F.expr(f"CASE WHEN __slot - lag(__slot) {own} < 2 THEN 0 ELSE 1 END"))
+    parts = seen.select(F.col(key).alias("__key"), F.col("__slot").alias("__at"), F.expr(f"sum(__new) {own}").alias("__part"))
+    return slots.join(parts, slots[key].eqNullSafe(parts["__key"]) & (slots["__slot"] == parts["__at"])).drop("__slot", "__key", "__at")
+
+
+def _folded(requests: DataFrame, key: str, time: str, order: str, fold, column: str, kind: str, extra: str | None = None, gap_ms: int | None = None) -> DataFrame:
+    """Rows of each key in time order through one fold: dealt by hash, sorted within partitions, then streamed.
+
+    After ``gap_ms`` without a request the fold is as new, so a key's runs between such gaps go to different tasks.
+    """
     columns = [key, time, order] + ([extra] if extra else [])
     rows = requests.select(*columns).withColumn("__ms", F.unix_millis(F.col(time).cast("timestamp")))
-    dealt = rows.repartition(F.col(key)).sortWithinPartitions(key, "__ms", order)
+    rows = _cut(rows, key, gap_ms) if gap_ms else rows.withColumn("__part", F.lit(0).cast("long"))
+    dealt = rows.select(key, order, "__ms", "__part", *([extra] if extra else [])).repartition(F.col(key), F.col("__part")).sortWithinPartitions(key, "__part", "__ms", order)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, state = object(), None
         for batch in batches:
             out = []
-            for row in zip(batch.column(0).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), batch.column(3).to_pylist() if extra else [None] * len(batch), strict=True):
-                if row[0] != current:
-                    current, state = row[0], fold(row[0])
-                out.append(state(row[1], row[2]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out)], [key, order, column])
+            for own, part, now, more in zip(*(batch.column(i).to_pylist() for i in (0, 3, 2)), batch.column(4).to_pylist() if extra else [None] * len(batch), strict=True):
+                if (own, part) != current:
+                    current, state = (own, part), fold(own)
+                out.append(state(now, more))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], [key, order, column])
 
     kinds = [requests.schema[c].dataType.simpleString() for c in (key, order)]
     return dealt.mapInArrow(run, f"`{key}` {kinds[0]}, `{order}` {kinds[1]}, `{column}` {kind}")
@@ -100,7 +124,7 @@ def sliding_admission(requests: DataFrame, limit: int, window_ms: int = 1000, ke
         own = SlidingWindow(limit, window_ms)
         return lambda now, _: own.admit(now)
 
-    return _folded(requests, key, time, order, fold, "admitted", "boolean")
+    return _folded(requests, key, time, order, fold, "admitted", "boolean", gap_ms=window_ms)
 
 
 def bucket_admission(requests: DataFrame, rate: float = 100, burst: float = 200, key: str = "user_id", time: str = "ts", order: str = "event_id") -> DataFrame:
@@ -108,7 +132,7 @@ def bucket_admission(requests: DataFrame, rate: float = 100, burst: float = 200,
         own = TokenBucket(rate, burst)
         return lambda now, _: own.admit(now)
 
-    return _folded(requests, key, time, order, fold, "admitted", "boolean")
+    return _folded(requests, key, time, order, fold, "admitted", "boolean", gap_ms=full_after_ms(rate, burst))
 
 
 def breaker_states(calls: DataFrame, failed: str, key: str = "user_id", time: str = "ts", order: str = "event_id", **settings) -> DataFrame:

@@ -1,7 +1,7 @@
 """Nearest neighbours on a navigable graph: built by neighbour descent, kept as an adjacency table, searched many queries at a time.
 
     nodes/bucket=    (id, vector, norm, and the columns that filters need)
-    edges/bucket=    (id, near): the nearest of a node that were found, and nodes that it is nearest to
+    edges/bucket=    (id, near): the nearest of a node that were found, nodes that it is nearest to, and a few random ones
     starts           (id): where searches begin
 
 The build starts from random groups and lets neighbours of a node meet each other until their lists no longer improve; a
@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from tessera.operators.knn import dot, usable
 from tessera.sources.scratch import stored
@@ -26,8 +27,10 @@ from tessera.sources.scratch import stored
 BUCKETS = 32
 #: Rows of a random group at the start, nearest ones that a node keeps, candidates that a meeting gives each member.
 GROUP, DEGREE, MEETING = 64, 16, 4
+#: Random nodes, about so many, that each node leads to besides: ways between clusters, and to nodes that are near to none.
+LINKS = 6
 #: Rounds of descent at most, and the least gain of the sum of all similarities for another one.
-ROUNDS, GAIN = 12, 0.001
+ROUNDS, GAIN = 10, 0.003
 #: Nodes where a search begins, results that decide when it ends, nodes that it opens a round, rounds at most.
 STARTS, WIDTH, STEP = 32, 64, 16
 
@@ -36,15 +39,23 @@ STARTS, WIDTH, STEP = 32, 64, 16
 class Graph:
     spark: SparkSession
     path: str
+    nodes: StructType
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        kind = self.nodes["id"].dataType
+        schemas = {"nodes": self.nodes, "edges": StructType().add("id", kind).add("near", ArrayType(kind)).add("bucket", "int"), "starts": StructType().add("id", kind)}
+        return self.spark.read.schema(schemas[name]).parquet(f"{self.path}/{name}")
 
 
 def _bucket(key: Column) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
 
 
+def _measured(length: str) -> Column:
+    """Whether a length is a number that can be divided by: squares of components may be too large or too small for one."""
+    return (F.col(length) > 0) & (F.col(length) < float("inf"))
+
+
 def _nearest_within(table: pa.Table, most: int, out: pa.Schema) -> pa.Table:
     """(id, near, score): the ``most`` nearest of each row among the others of a small group."""
     ids = table.column("id").combine_chunks()
@@ -63,7 +74,8 @@ def _nearest_within(table: pa.Table, most: int, out: pa.Schema) -> pa.Table:
 
 def _met(rows: DataFrame, by: Sequence[str], most: int, kind: str) -> DataFrame:
     """Neighbours found within the groups of (id, vector, *by)."""
-    arrow = pa.schema([("id", rows.sparkSession.createDataFrame([], f"id {kind}").toArrow().schema.field("id").type), ("near", rows.sparkSession.createDataFrame([], f"id {kind}").toArrow().schema.field("id").type), ("score", pa.float32())])
+    own = rows.sparkSession.createDataFrame([], f"id {kind}").toArrow().schema.field("id").type
+    arrow = pa.schema([("id", own), ("near", own), ("score", pa.float32())])
     return rows.groupBy(*by).applyInArrow(lambda table: _nearest_within(table, most, arrow), f"id {kind}, near {kind}, score float")
 
 
@@ -78,13 +90,15 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 
 
 def build(rows: DataFrame, path: str, key: str = "vec_id", vector: str = "embedding", keep: Sequence[str] = (), degree: int = DEGREE) -> Graph:
-    """Write the graph of ``rows`` under ``path``. Rows without a direction take no part; keys are expected once."""
+    """Write the graph of ``rows`` under ``path``. Rows without a direction, or too long or short to measure, take no part; keys are expected once."""
     kind = rows.schema[key].dataType.simpleString()
     own = rows.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("vector"), *keep).filter(F.col("id").isNotNull() & usable(F.col("vector")))
-    own.withColumns({"norm": F.sqrt(dot(F.col("vector"), F.col("vector"))), "bucket": _bucket(F.col("id"))}).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/nodes")
-    nodes = rows.sparkSession.read.parquet(f"{path}/nodes")
+    own = own.withColumns({"norm": F.sqrt(dot(F.col("vector"), F.col("vector"))), "bucket": _bucket(F.col("id"))}).filter(_measured("norm"))
+    own.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/nodes")
+    graph = Graph(rows.sparkSession, path, own.schema)
+    nodes = graph.table("nodes")
     nodes.orderBy(F.xxhash64(F.lit("start"), "id"), "id").limit(STARTS).select("id").write.mode("overwrite").parquet(f"{path}/starts")
-    plain = nodes.select("id", F.col("vector").cast("array<float>").alias("vector"))
+    plain = nodes.select("id", F.transform("vector", lambda v: (v / F.col("norm")).cast("float")).alias("vector"))
     groups = max(1, nodes.count() // GROUP)
     random = [_met(plain.withColumn("__group", F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(groups))), ["__group"], degree, kind) for seed in range(2)]
     edges = stored(_best(random[0].unionByName(random[1]), degree), "edges")
@@ -96,15 +110,17 @@ def build(rows: DataFrame, path: str, key: str = "vec_id", vector: str = "embedd
         before, total = total, edges.agg(F.sum("score")).first()[0] or 0.0
         if total - before <= GAIN * abs(before):
             break
-    near = _best(_both_ways(edges), 2 * degree).groupBy("id").agg(F.collect_list("near").alias("near"))  # twice the degree at most
+    mixed = plain.select("id", F.pmod(F.xxhash64(F.lit("link"), "id"), F.lit(max(1, nodes.count() // LINKS))).alias("__group"))
+    links = mixed.join(mixed.select(F.col("id").alias("near"), "__group"), "__group").filter("id <> near").select("id", "near")
+    near = _best(_both_ways(edges), 2 * degree).select("id", "near").unionByName(links).distinct().groupBy("id").agg(F.collect_list("near").alias("near"))  # twice the degree and the links at most
     near.withColumn("bucket", _bucket(F.col("id"))).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/edges")
-    return Graph(rows.sparkSession, path)
+    return graph
 
 
 def walk(graph: Graph, queries: DataFrame, where: Column | None = None, width: int = WIDTH) -> DataFrame:
     """(question_id, id, score, passes): every node that the walk of each query (question_id, vector) met."""
     asked = queries.select("question_id", F.col("vector").cast("array<double>").alias("__wanted")).filter(usable(F.col("__wanted")))
-    asked = stored(asked.withColumn("__length", F.sqrt(dot(F.col("__wanted"), F.col("__wanted")))), "asked")
+    asked = stored(asked.withColumn("__length", F.sqrt(dot(F.col("__wanted"), F.col("__wanted")))).filter(_measured("__length")), "asked")
     nodes = graph.table("nodes").withColumn("passes", F.lit(True) if where is None else F.coalesce(where, F.lit(False))).select("id", "vector", "norm", "passes", "bucket")
 
     def scored(pairs: DataFrame) -> DataFrame:
@@ -112,10 +128,11 @@ def walk(graph: Graph, queries: DataFrame, where: Column | None = None, width: i
         rows = pairs.withColumn("bucket", _bucket(F.col("id"))).join(nodes, ["bucket", "id"]).join(asked, "question_id").filter(F.size("vector") == F.size("__wanted"))
         return rows.select("question_id", "id", (dot(F.col("vector"), F.col("__wanted")) / (F.col("norm") * F.col("__length"))).alias("score"), "passes", F.lit(False).alias("opened"))
 
-    starts = [r["id"] for r in graph.table("starts").collect()]  # STARTS at most
+    kind = graph.nodes["id"].dataType
+    starts = [F.lit(r["id"]).cast(kind) for r in graph.table("starts").collect()]  # STARTS at most
     if not starts:
-        return asked.select("question_id", F.lit(None).alias("id"), F.lit(None).cast("double").alias("score"), F.lit(False).alias("passes")).limit(0)
-    seen = stored(scored(asked.select("question_id", F.explode(F.array(*map(F.lit, starts))).alias("id"))), "seen")
+        return asked.select("question_id", F.lit(None).cast(kind).alias("id"), F.lit(None).cast("double").alias("score"), F.lit(False).alias("passes")).limit(0)
+    seen = stored(scored(asked.select("question_id", F.explode(F.array(*starts)).alias("id"))), "seen")
     while True:
         placed = seen.withColumn("place", F.expr("row_number() OVER (PARTITION BY question_id ORDER BY passes DESC, score DESC, id)"))
         bound = placed.withColumn("bound", F.expr(f"max(CASE WHEN passes AND place = {width} THEN score END) OVER (PARTITION BY question_id)"))

@@ -14,3 +14,8 @@ def table(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def replace_partitions(rows: DataFrame, path: str, *by: str) -> None:
     """Write the partitions that ``rows`` have; others stay as they are."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.chunking import chunked
@@ -18,6 +18,7 @@ from tessera.operators import postings
 from tessera.operators.upsert import latest
 from tessera.schemas import index_name
 from tessera.sources.retry import routed
+from tessera.sources.tables import exists
 
 
 @dataclass(frozen=True)
@@ -54,19 +55,38 @@ def processed(events: DataFrame, stored: DataFrame | None, embedder: Embedder |
     return Batch(documents, chunks, failed)
 
 
+KNOWN = "doc_id string, fingerprint string, batch long"
+
+
+def last_indexed(indexed: DataFrame, incoming: DataFrame, batch: int) -> DataFrame:
+    """(doc_id, fingerprint) that earlier batches stored last for the incoming documents: history is scanned, only theirs is shuffled."""
+    known = indexed.filter(F.col("batch") < batch).select("doc_id", "fingerprint", "batch")
+    return latest(known.join(incoming.select("doc_id").distinct(), "doc_id", "left_semi"), ["doc_id"], ["batch"])
+
+
 def write_batch(batch: Batch, folder: str, batch_id: int) -> None:
-    """Append the batch under its own id: a repeated batch overwrites what it wrote before."""
-    for name, rows, by in (("documents", batch.documents, ["index_name"]), ("chunks", batch.chunks, ["index_name"]), ("failed", batch.failed, ["target"])):
+    """Write the batch under its own id: a repeated batch overwrites what it wrote before. A row in ``batches`` comes last
+    and says that the batch is whole, see :func:`published`."""
+    for name, rows, by in (("chunks", batch.chunks, ["index_name"]), ("failed", batch.failed, ["target"]), ("documents", batch.documents, ["index_name"])):
         rows.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").partitionBy(*by).parquet(f"{folder}/{name}/batch={batch_id}")
+    batch.documents.sparkSession.range(1).select(F.current_timestamp().alias("written_at")).write.mode("overwrite").parquet(f"{folder}/batches/batch={batch_id}")
+
+
+def published(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """Rows of a table of those batches only that are whole; a batch that is being written, or broke, is not there yet."""
+    return spark.read.parquet(f"{folder}/{name}").join(spark.read.parquet(f"{folder}/batches").select("batch"), "batch", "left_semi")
 
 
 def start(events: DataFrame, folder: str, embedder: Embedder | None = None, available_now: bool = False, seconds: int = 5, keywords: str | None = None):
-    """Run the stream; with ``available_now`` until the input is used up. ``keywords`` is where it keeps stored postings of titles and contents up."""
+    """Run the stream; with ``available_now`` until the input is used up. Documents that come again unchanged are not split again.
+    ``keywords`` is where it keeps stored postings of titles and contents up."""
 
     def each(rows: DataFrame, batch_id: int) -> None:
         rows = rows.persist()
         try:
-            batch = processed(rows, None, embedder, F.unix_millis(F.current_timestamp()))
+            spark = rows.sparkSession
+            known = last_indexed(spark.read.schema(KNOWN).parquet(f"{folder}/documents"), rows, batch_id) if exists(spark, f"{folder}/documents") else None
+            batch = processed(rows, known, embedder, F.unix_millis(F.current_timestamp()))
             write_batch(batch, folder, batch_id)
             if keywords:
                 postings.append(batch.documents.withColumn("text", embedding_text(F.col("title"), F.col("content"))), keywords, batch_id)
