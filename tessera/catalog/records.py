@@ -771,7 +771,7 @@ def wiki_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connectors.page_tree(pages, "1").select("page_id", "depth")
 
 
-@query("wiki_documents", f"SELECT CAST(page_id AS VARCHAR) AS source_id, url AS title, regexp_replace(regexp_replace({HTML}, '[ \\t\\r]*\\n\\s*', chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS content FROM pages")
+@query("wiki_documents", f"SELECT CAST(page_id AS VARCHAR) AS source_id, url AS title, {HTML} AS content FROM pages")
 def wiki_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("page_id"), F.col("url").alias("title"), "html", F.lit("S").alias("space"), F.lit(None).cast("timestamp").alias("updated"))
     return connectors.page_documents(pages).select("source_id", "title", "content")

@@ -48,16 +48,27 @@ def embedding_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", F.sha2(T.embedding_text(F.col("title"), F.col("text")), 256).alias("digest"))
 
 
-HTML = (
-    "regexp_replace(regexp_replace(html, '(?is)<(script|style|ac:structured-macro)\\b.*?</(script|style|ac:structured-macro)>', ' ', 'g'), '(?s)<[^>]*>', chr(10), 'g')"
+def _visible(html: str) -> str:
+    """DuckDB SQL of the text of HTML without macros: what follows the tag of each piece between opening brackets."""
+    plain = f"regexp_replace(regexp_replace({html}, '(?is)<script.*?</script>', '<br>', 'g'), '(?is)<style.*?</style>', '<br>', 'g')"
+    own = "regexp_replace(piece, '^/?[a-zA-Z!][^>]*>', '')"
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+        own = f"replace({own}, '{entity}', '{char}')"
+    return f"array_to_string(list_filter(list_transform(string_split({plain}, '<'), lambda piece: regexp_replace({own}, '^\\s+|\\s+$', '', 'g')), lambda t: t <> ''), chr(10))"
+
+
+HTML = _visible("html")
+#: What no reader sees, in forms that a plain pattern does not get right, and a line that all see.
+HIDDEN = (
+    '<ac:structured-macro ac:name="a"><p>no<ac:structured-macro ac:name="b">no</ac:structured-macro>NO</p></ac:structured-macro><!-- <b>no</b> --><ac:structured-macro ac:name="toc"/>'
+    "<p title='x>no' data-y=\"a<b>c\">page "
 )
-for _entity, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
-    HTML = f"replace({HTML}, '{_entity}', '{_char}')"
 
 
-@query("html_text", f"SELECT page_id, regexp_replace(regexp_replace({HTML}, '[ \\t\\r]*\\n\\s*', chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS text FROM pages")
+@query("html_text", f"SELECT page_id, {_visible("html || '<p>page ' || page_id || ' &amp;amp;</p>'")} AS text FROM pages")
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "pages")).select("page_id", T.html_to_text(F.col("html")).alias("text"))
+    html = F.concat("html", F.lit(HIDDEN), F.col("page_id").cast("string"), F.lit(" &amp;amp;</p>"))
+    return spread(table(spark, sf_dir, "pages")).select("page_id", T.html_to_text(html).alias("text"))
 
 
 @query("url_parts", "SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages")

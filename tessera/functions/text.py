@@ -65,13 +65,47 @@ def slug(name: Column) -> Column:
     return F.substring(F.regexp_replace(plain_name(name), " ", "-"), 1, 60)
 
 
+#: Tokens of HTML: comments, scripts and styles with all they hold, tags with quoted attributes, declarations, text, a lone bracket.
+_ATTRIBUTES = r"""[^"'>]*+(?:"[^"]*+"[^"'>]*+|'[^']*+'[^"'>]*+)*+>"""
+HTML_TOKEN = rf"""(?is)<!--.*?(?:-->|\z)|<(script|style)\b{_ATTRIBUTES}.*?(?:</\1\s*>|\z)|</?[a-z]{_ATTRIBUTES}|<[!?][^>]*>|(?:[^<]++|<(?![a-z/!?]))++|<"""
+HTML_TAG = r"^<[a-zA-Z/!?][\s\S]"
+# Entities and what they stand for; the ampersand comes last.
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&amp;": "&"}
+
+
+def _outside_macros(tokens: Column) -> Column:
+    """The tokens that no macro holds. Macros nest: only their own tags are gone through in order, and what the outermost span goes."""
+    opens = lambda t: t.rlike(r"(?i)^<ac:structured-macro\b") & ~t.endswith("/>")
+    closes = lambda t: t.rlike(r"(?i)^</ac:structured-macro\b")
+    marked = F.transform(tokens, lambda t, i: F.struct(i.alias("at"), F.when(opens(t), 1).when(closes(t), -1).otherwise(0).alias("step")))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("since"), F.array().cast("array<struct<first:int,last:int>>").alias("spans"))
+
+    def step(s: Column, m: Column) -> Column:
+        depth = F.greatest(s["depth"] + m["step"], F.lit(0))
+        ends = (s["depth"] > 0) & (depth == 0)
+        return F.struct(
+            depth.alias("depth"),
+            F.when(s["depth"] == 0, m["at"]).otherwise(s["since"]).alias("since"),
+            F.when(ends, F.array_append(s["spans"], F.struct(s["since"].alias("first"), m["at"].alias("last")))).otherwise(s["spans"]).alias("spans"),
+        )
+
+    open_end = lambda s: F.when(s["depth"] > 0, F.array_append(s["spans"], F.struct(s["since"].alias("first"), F.lit(2**31 - 1).alias("last")))).otherwise(s["spans"])
+    spans = F.aggregate(F.filter(marked, lambda m: m["step"] != 0), start, step, open_end)
+    kept = F.transform(F.array(spans), lambda own: F.filter(tokens, lambda t, i: ~F.exists(own, lambda x: i.between(x["first"], x["last"]))))[0]  # bound: made once
+    return F.when(F.exists(tokens, opens), kept).otherwise(tokens)
+
+
 def html_to_text(html: Column) -> Column:
-    """Visible text, a line for each run between tags; scripts, styles and macros go."""
-    text = F.regexp_replace(html, r"(?is)<(script|style|ac:structured-macro)\b.*?</(script|style|ac:structured-macro)>", " ")
-    text = F.regexp_replace(text, r"(?s)<[^>]*>", "\n")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return F.regexp_replace(F.regexp_replace(text, r"[ \t\r]*\n\s*", "\n"), r"^\s+|\s+$", "")
+    """Visible text, a line for each run between tags; comments, scripts, styles and macros, however nested, go."""
+    tokens = F.regexp_extract_all(html, F.lit(HTML_TOKEN), F.lit(0))
+
+    def plain(t: Column) -> Column:
+        for entity, char in ENTITIES.items():
+            t = F.replace(t, F.lit(entity), F.lit(char))
+        return F.regexp_replace(t, r"^\s+|\s+$", "")
+
+    texts = lambda own: F.transform(F.filter(_outside_macros(own), lambda t: ~t.rlike(HTML_TAG)), plain)
+    return F.array_join(F.filter(F.transform(F.array(tokens), texts)[0], lambda t: t != ""), "\n")  # tokens are bound, so they are made once
 
 
 def url_parts(url: Column) -> dict[str, Column]:

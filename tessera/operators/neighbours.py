@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from tessera.operators.knn import dot, usable
 from tessera.sources.scratch import stored
@@ -43,7 +43,7 @@ class Graph:
 
     def table(self, name: str) -> DataFrame:
         kind = self.nodes["id"].dataType
-        schemas = {"nodes": self.nodes, "edges": StructType().add("id", kind).add("near", ArrayType(kind)).add("bucket", "int"), "starts": StructType().add("id", kind)}
+        schemas = {"nodes": self.nodes, "edges": StructType().add("id", kind).add("near", ArrayType(kind)).add("bucket", IntegerType()), "starts": StructType().add("id", kind)}
         return self.spark.read.schema(schemas[name]).parquet(f"{self.path}/{name}")
 
 

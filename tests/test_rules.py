@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tessera.context import TenantContext, scoped, unknown_references
 from tessera.functions import extract
+from tessera.functions import text as T
 from tessera.functions.similarity import matching_ratio
 from tessera.operators import bm25, hits, limits
 from tessera.operators.registry import advanced
@@ -164,3 +165,24 @@ def test_batched_vectors_of_odd_rows(spark):
     queries = spark.createDataFrame([(1, [0.0, 2.0]), (2, None), (3, [0.0, 0.0]), (4, [3.0])], "question_id long, vector array<double>")
     out = sorted((r.question_id, r["rank"], r.vec_id, r.score) for r in knn.batch_nearest(chunks, queries, 3).collect())
     assert out == [(1, 1, 10, 1.0), (1, 2, 11, 1.0), (1, 3, 12, 1.0), (4, 1, 5, 1.0)]
+
+
+def test_html_shows_only_what_a_reader_sees(spark):
+    """Nested macros, brackets in quoted attributes and comments leak nothing; broken markup is text."""
+    pages = {
+        "<p>a</p> <ac:structured-macro><ac:structured-macro>x</ac:structured-macro>LEAK</ac:structured-macro><b>b </b>": "a\nb",
+        "<a title='x>y' href=\"u>v\">link</a>": "link",
+        "one<!-- <b>hidden</b> > -->two": "one\ntwo",
+        "<script>var t = '</p>';</script ><STYLE>p{}</STYLE>seen": "seen",
+        "a < b &lt;i&gt; &amp;lt; c&nbsp;": "a < b <i> &lt; c",
+        "<ac:structured-macro ac:name='toc' />kept<ac:structured-macro>open to the end": "kept",
+        "</ac:structured-macro>kept</p>": "kept",
+        "broken <a href='x": "broken\n<\na href='x",
+        "<!DOCTYPE html><?xml v?>  \n <br/>": "",
+        "": "",
+        "line\n  two": "line\n  two",
+        "<ac:structured-macro>" * 30 + "in" + "</ac:structured-macro>" * 30 + "out" + "<i>x</i>" * 2000: "out" + "\nx" * 2000,
+        "<p " + " ".join(f"a{i}='v>{i}'" for i in range(5000)) + ">t" + "< " * 3000: "t" + ("< " * 3000).strip(),
+    }
+    rows = spark.createDataFrame([(i, html) for i, html in enumerate([*pages, None])], "id int, html string").select("id", T.html_to_text(F.col("html")).alias("text")).collect()
+    assert [r.text for r in sorted(rows)] == [*pages.values(), None]
