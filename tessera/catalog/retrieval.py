@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.catalog.base import AS_OF, DOCS, case, docs, keyword_index, query, table, text
 from tessera.context import TenantContext, customer_scoped, over_quota, scoped
 from tessera.functions.text import tokens
-from tessera.operators import bm25, fusion, hits, knn, postings
+from tessera.operators import bm25, fusion, hits, knn, neighbours, postings
+from tessera.sources import scratch
 from tessera.schemas import AUTHORITY, BUDGET, TIERS, authority, budget, index_name
 
 TERMS = ["license", "version", "the", "token"]
@@ -41,11 +44,11 @@ def bm25_corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return postings.corpus_figures(keyword_index(spark, sf_dir), TERMS).withColumn("avgdl", F.round("avgdl", 6))
 
 
-FUZZY_TERMS = ["idiott", "licence", "vershion", "pathetik"]
+FUZZY_TERMS = ["idiott", "licence", "vershion", "pathetik", "htat", "verison"]
 FUZZY = f"""WITH {DOCS}, vocab AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS term FROM docs) GROUP BY term),
  q AS (SELECT unnest([{', '.join(map(text, FUZZY_TERMS))}]) AS query_term),
  near AS (SELECT query_term, term, df, CASE WHEN length(query_term) < 3 THEN 0 WHEN length(query_term) < 6 THEN 1 ELSE 2 END AS k FROM q JOIN vocab ON abs(length(term) - length(query_term)) <= 2),
- dist AS (SELECT query_term, term, df, levenshtein(term, query_term) AS distance, k FROM near WHERE abs(length(term) - length(query_term)) <= k)
+ dist AS (SELECT query_term, term, df, damerau_levenshtein(term, query_term) AS distance, k FROM near WHERE abs(length(term) - length(query_term)) <= k)
  SELECT query_term, term, CAST(distance AS INTEGER) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_term ORDER BY distance, df DESC, term) AS place FROM dist WHERE distance <= k) WHERE place <= 50"""
 
 
@@ -240,6 +243,15 @@ def knn_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.batch_nearest(own, queries, 10)
 
 
+@query("knn_graph")
+def knn_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of one label for every vector whose id is divisible by 50, by walks on a neighbour graph."""
+    own = table(spark, sf_dir, "embeddings")
+    graph = neighbours.build(own, f"{scratch.root(spark)}/graph-{uuid.uuid4().hex}", keep=["label"])
+    asked = own.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("vector"))
+    return neighbours.search(graph, asked, 10, F.col("label") == 3)
+
+
 # --- fusion --------------------------------------------------------------------------------------------------------
 
 RRF = f"""WITH {BM25}, {KNN}, b AS (SELECT doc_id AS chunk_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM (SELECT * FROM scored ORDER BY score DESC, doc_id LIMIT 50)),

@@ -76,15 +76,33 @@ def edits(term: str) -> int:
     return 0 if len(term) < 3 else 1 if len(term) < 6 else 2
 
 
-def expansions(docs: DataFrame, query_terms: list[str], text: str = "text") -> DataFrame:
-    """(query_term, term, distance): vocabulary near each query term, the nearest ``FUZZY_EXPANSIONS`` of each."""
-    vocabulary = spread(docs.select(text)).select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+def swaps(word: Column) -> Column:
+    """The word with each two neighbouring letters exchanged."""
+    places = F.when(F.length(word) > 1, F.sequence(F.lit(1), F.length(word) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.lit(1)), F.substring(word, i, F.lit(1)), F.substring(word, i + 2, F.length(word))))
+
+
+def distance(a: Column, b: Column) -> Column:
+    """Edits between two words, where exchanging neighbours is one; exact up to two edits, never less than the true distance."""
+    least = lambda own, other: F.coalesce(F.array_min(F.transform(swaps(own), lambda s: F.levenshtein(s, other))) + 1, F.lit(99))
+    return F.least(F.levenshtein(a, b), least(a, b), least(b, a), F.when(F.arrays_overlap(swaps(a), swaps(b)), 2).otherwise(99))
+
+
+def nearest_terms(vocabulary: DataFrame, query_terms: list[str]) -> DataFrame:
+    """(query_term, term, distance): words of a vocabulary (term, df) near each query term, the nearest ``FUZZY_EXPANSIONS`` of each."""
     wanted = F.array(*(F.struct(F.lit(t).alias("query_term"), F.lit(edits(t)).alias("k")) for t in sorted(set(query_terms))))
-    near = vocabulary.select("term", "df", F.inline(F.filter(wanted, lambda w: (F.abs(F.length("term") - F.length(w["query_term"])) <= w["k"]))))
-    found = near.withColumn("distance", F.expr("levenshtein(term, query_term, k)")).filter("distance >= 0")
+    near = vocabulary.select("term", "df", F.inline(F.filter(wanted, lambda w: F.abs(F.length("term") - F.length(w["query_term"])) <= w["k"])))
+    close = near.filter("levenshtein(term, query_term, 2 * k) >= 0")  # an exchange is two plain edits
+    found = close.withColumn("distance", distance(F.col("query_term"), F.col("term"))).filter("distance <= k")
     return found.withColumn("place", F.expr("row_number() OVER (PARTITION BY query_term ORDER BY distance, df DESC, term)")).filter(f"place <= {FUZZY_EXPANSIONS}").select("query_term", "term", "distance")
 
 
+def expansions(docs: DataFrame, query_terms: list[str], text: str = "text") -> DataFrame:
+    """(query_term, term, distance): vocabulary of the texts near each query term."""
+    vocabulary = spread(docs.select(text)).select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return nearest_terms(vocabulary, query_terms)
+
+
 def fuzzy_scores(docs: DataFrame, query_terms: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
     """As :func:`scores`, where each near term of the vocabulary counts like the query term it is near to."""
     near = [r["term"] for r in expansions(docs, query_terms, text).select("term").collect()]  # at most FUZZY_EXPANSIONS a query term

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import tokens
-from tessera.operators.bm25 import B, FUZZY_EXPANSIONS, K1, edits, idf
+from tessera.operators.bm25 import K1, B, idf, nearest_terms
 from tessera.session import spread
 from tessera.sources.scratch import stored
 from tessera.sources.tables import replace_partitions, table
@@ -234,11 +234,8 @@ def vocabulary(index: Index) -> DataFrame:
 
 
 def expansions(index: Index, query_terms: list[str]) -> DataFrame:
-    """(query_term, term, distance): vocabulary near each query term, the nearest ``FUZZY_EXPANSIONS`` of each."""
-    wanted = F.array(*(F.struct(F.lit(t).alias("query_term"), F.lit(edits(t)).alias("k")) for t in sorted(set(query_terms))))
-    near = vocabulary(index).select("term", "df", F.inline(F.filter(wanted, lambda w: F.abs(F.length("term") - F.length(w["query_term"])) <= w["k"])))
-    found = near.withColumn("distance", F.expr("levenshtein(term, query_term, k)")).filter("distance >= 0")
-    return found.withColumn("place", F.expr("row_number() OVER (PARTITION BY query_term ORDER BY distance, df DESC, term)")).filter(f"place <= {FUZZY_EXPANSIONS}").select("query_term", "term", "distance")
+    """(query_term, term, distance): vocabulary of the index near each query term."""
+    return nearest_terms(vocabulary(index), query_terms)
 
 
 def batch_scores(index: Index, questions: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -186,3 +186,12 @@ def test_html_shows_only_what_a_reader_sees(spark):
     }
     rows = spark.createDataFrame([(i, html) for i, html in enumerate([*pages, None])], "id int, html string").select("id", T.html_to_text(F.col("html")).alias("text")).collect()
     assert [r.text for r in sorted(rows)] == [*pages.values(), None]
+
+
+def test_exchanged_neighbours_are_one_edit(spark):
+    pairs = [("wrod", "word"), ("word", "wrod"), ("abcd", "badc"), ("axb", "ba"), ("ca", "abc"), ("same", "same"), ("a", "b"), ("", "ab"), ("kitten", "sitting"), ("abcdef", "bacdfe"), ("éa", "aé")]
+    rows = spark.createDataFrame(pairs, "a string, b string").select("a", "b", bm25.distance(F.col("a"), F.col("b")).alias("d")).collect()
+    assert [r.d for r in rows] == [1, 1, 2, 2, 2, 0, 1, 2, 3, 2, 1]
+    vocabulary = spark.createDataFrame([("word", 5), ("wrod", 1), ("lord", 9), ("sword", 2), ("swordfish", 3)], "term string, df long")
+    near = {(r.query_term, r.term): r.distance for r in bm25.nearest_terms(vocabulary, ["wrod", "owrd", "to"]).collect()}
+    assert near == {("wrod", "wrod"): 0, ("wrod", "word"): 1, ("owrd", "word"): 1}
