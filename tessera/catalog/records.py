@@ -67,6 +67,17 @@ def kg_traverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.traverse(edges(spark, sf_dir), entities(spark, sf_dir), "acme", "order", "1", 9)
 
 
+@query(
+    "kg_reach",
+    f"""WITH RECURSIVE {EDGES}, reach(s, t, i, d) AS (SELECT i, t, i, 0 FROM (SELECT 'customer' AS t, CAST(c_custkey AS VARCHAR) AS i FROM customer) UNION ALL SELECT s, to_type, to_id, d + 1 FROM reach JOIN edges ON from_type = t AND from_id = i WHERE tenant_id = 'acme' AND d < 3)
+    SELECT DISTINCT 'customer' AS start_type, s AS start_id, t AS entity_type, i AS entity_id, name, d AS depth FROM reach JOIN ents ON entity_type = t AND entity_id = i""",
+)
+def kg_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every customer leads to, in one plan."""
+    own = entities(spark, sf_dir)
+    return graph.reach(edges(spark, sf_dir), own, "acme", own.filter("entity_type = 'customer'"))
+
+
 @query("kg_traverse_recursive", TRAVERSE)
 def kg_traverse_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges(spark, sf_dir).createOrReplaceTempView("kg_edges_view")

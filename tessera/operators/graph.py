@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import pull_request, relation, tickets
 from tessera.operators.upsert import first_wins, merged
-from tessera.sources.scratch import stored
 
 ENTITY_KEY = ["entity_type", "entity_id", "tenant_id"]
 EDGE_KEY = ["from_type", "from_id", "relation", "to_type", "to_id", "tenant_id"]
@@ -35,23 +34,28 @@ def neighbours(edges: DataFrame, entities: DataFrame, tenant: str, entity_type:
     return outward.unionByName(inward).join(names, ["entity_type", "entity_id"], "left").select("direction", "relation", "entity_type", "entity_id", "name")
 
 
-def traverse(edges: DataFrame, entities: DataFrame, tenant: str, entity_type: str, entity_id: str, depth: int = 3) -> DataFrame:
-    """(entity_type, entity_id, name, depth): what outward edges reach, each level once; nodes without a row are passed but not shown.
+def reach(edges: DataFrame, entities: DataFrame, tenant: str, starts: DataFrame, depth: int = 3) -> DataFrame:
+    """(start_type, start_id, entity_type, entity_id, name, depth): what outward edges reach from each start (entity_type,
+    entity_id), each level once; nodes without a row are passed but not shown.
 
-    A level is an equi-join of the distinct frontier, so paths do not multiply. Each frontier is stored, so a level reads
-    the edges once and does not make the levels before it again.
+    A level is an equi-join of the distinct frontier of all starts, so paths do not multiply. The plan is lazy and holds a branch for
+    each level; a frontier ends in one exchange, which the level itself and the next one share when it runs.
     """
     depth = max(LEAST_DEPTH, min(depth, MOST_DEPTH))
-    own = edges.filter(F.col("tenant_id") == tenant).select("from_type", "from_id", "to_type", "to_id")
-    spark = edges.sparkSession
-    frontier = spark.range(1).select(F.lit(entity_type).alias("entity_type"), F.lit(entity_id).alias("entity_id"))
+    own = edges.filter(F.col("tenant_id") == tenant).select(F.col("from_type").alias("entity_type"), F.col("from_id").alias("entity_id"), "to_type", "to_id")
+    frontier = starts.select(F.col("entity_type").alias("start_type"), F.col("entity_id").alias("start_id"), "entity_type", "entity_id").distinct()
     reached = frontier.withColumn("depth", F.lit(0))
     for level in range(1, depth + 1):
-        step = own.join(frontier.withColumnsRenamed({"entity_type": "from_type", "entity_id": "from_id"}), ["from_type", "from_id"], "left_semi")
-        frontier = stored(step.select(F.col("to_type").alias("entity_type"), F.col("to_id").alias("entity_id")).distinct(), "frontier")
+        frontier = own.join(frontier, ["entity_type", "entity_id"]).select("start_type", "start_id", F.col("to_type").alias("entity_type"), F.col("to_id").alias("entity_id")).distinct()
         reached = reached.unionByName(frontier.withColumn("depth", F.lit(level)))
     names = entities.filter(F.col("tenant_id") == tenant).select("entity_type", "entity_id", "name")
-    return reached.join(names, ["entity_type", "entity_id"]).select("entity_type", "entity_id", "name", "depth")
+    return reached.join(names, ["entity_type", "entity_id"]).select("start_type", "start_id", "entity_type", "entity_id", "name", "depth")
+
+
+def traverse(edges: DataFrame, entities: DataFrame, tenant: str, entity_type: str, entity_id: str, depth: int = 3) -> DataFrame:
+    """(entity_type, entity_id, name, depth): what outward edges reach from one node, see :func:`reach`."""
+    start = edges.sparkSession.range(1).select(F.lit(entity_type).alias("entity_type"), F.lit(entity_id).alias("entity_id"))
+    return reach(edges, entities, tenant, start, depth).drop("start_type", "start_id")
 
 
 def grouped_by_type(nodes: DataFrame) -> DataFrame:

@@ -191,3 +191,16 @@ def test_republishing(spark):
     assert [(r.target, r.original_topic, len(r.failure_reason)) for r in out] == [("dlq", "o", 256), ("retry-1", "indexing.shared", 256)] and out[1].headers == {"x": "1"}
     due, waiting = retries.split_due(rows, F.lit(0))
     assert due.count() == 1 and waiting.count() == 1
+
+
+def test_a_traversal_is_one_lazy_plan(spark):
+    """Building it starts no job; when it runs, a level's exchange is made once for the level and the next one."""
+    from tessera.catalog.records import edges, entities
+    from tessera.operators import graph
+
+    links, nodes = edges(spark, DATA), entities(spark, DATA)  # reading footers takes jobs
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    df = graph.traverse(links, nodes, "acme", "order", "1", 4)
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == before
+    df.collect()
+    assert df._jdf.queryExecution().executedPlan().toString().count("ReusedExchange") >= 3
