@@ -290,7 +290,9 @@ def customer_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.catalog.texts import asked
 
     questions = asked(spark, sf_dir).select(F.col("id").alias("question_id"), F.col("q").alias("question"), F.lit(None).cast("string").alias("hint"))
-    return resolve.resolved(resolve.scored(questions, spark.createDataFrame(NAMED, "id string, name string, aliases array<string>, position int")))
+    nations = table(spark, sf_dir, "nation").select(F.concat(F.lit("n-"), F.lower("n_name")).alias("id"), F.col("n_name").alias("name"), F.array(F.concat(F.lit("the "), "n_name")).alias("aliases"), (F.col("n_nationkey") + 10).cast("int").alias("position"))
+    registry = nations.unionByName(spark.createDataFrame(NAMED, "id string, name string, aliases array<string>, position int"))
+    return resolve.resolved(questions, resolve.scored(questions, registry))
 
 
 @query(

@@ -1,19 +1,30 @@
-"""Which customer a question means: every phrase of one to four words against the registry, banded by confidence."""
+"""Which customer a question means: every phrase of one to four words against the registry, banded by confidence.
+
+A question's three best customers are among the three best of each of its phrases, so a phrase brings no more than these.
+Phrases and registry are dealt into blocks; within one, a customer's score is bounded by the letters it shares with the phrase,
+and customers are compared from the highest bound down until no other can be among the three best, or reach ``LOW``.
+"""
 
 from __future__ import annotations
 
-import functools
+import heapq
+from collections import defaultdict
+from difflib import SequenceMatcher
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.similarity import jaccard, name_score, windows
+from tessera.functions.similarity import jaccard, windows
 from tessera.functions.text import plain_name
 
 HIGH, MEDIUM, LOW = 0.80, 0.55, 0.30
-CANDIDATES = 3
-#: About how many customers one block of the registry holds; every phrase meets every block.
-BLOCK_ROWS = 20_000
+CANDIDATES, DIGITS = 3, 6
+#: About how many customers, and how many phrases, one block holds.
+BLOCK_ROWS, PHRASE_ROWS = 2_000, 5_000
+_LETTERS = {c: i for i, c in enumerate("abcdefghijklmnopqrstuvwxyz0123456789 ")}  # all that a plain name holds
+_FOUND = pa.schema([("plain", pa.string()), ("customer_id", pa.string()), ("name", pa.string()), ("position", pa.int64()), ("score", pa.float64())])
 
 
 def phrases(questions: DataFrame) -> DataFrame:
@@ -23,31 +34,102 @@ def phrases(questions: DataFrame) -> DataFrame:
     return questions.select("question_id", F.inline(F.concat(hint, own)))
 
 
+def _letters(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """How often each letter stands in each name, and the names' lengths."""
+    counts = np.zeros((len(names), len(_LETTERS)), np.int32)
+    for row, name in enumerate(names):
+        for c in name:
+            counts[row, _LETTERS[c]] += 1
+    return counts, counts.sum(1)
+
+
+class _Block:
+    """A block of the registry: exact scores of a phrase with the customers that may be among its best."""
+
+    def __init__(self, rows: list[dict]) -> None:
+        self.rows, self.names = rows, [[r["own_id"] for r in rows], [r["own_name"] for r in rows]]
+        self.counts = [_letters(names) for names in self.names]
+        self.aliases, self.words = defaultdict(set), defaultdict(set)
+        self.matchers: dict[str, SequenceMatcher] = {}
+        for at, row in enumerate(rows):
+            for alias in row["own_aliases"]:
+                self.aliases[alias].add(at)
+            for names in self.names:
+                for word in names[at].split():
+                    self.words[word].add(at)
+
+    def ratio(self, phrase: str, name: str) -> float:
+        if name not in self.matchers:
+            self.matchers[name] = SequenceMatcher(None, "", name)
+        self.matchers[name].set_seq1(phrase)
+        return self.matchers[name].ratio()
+
+    def best(self, phrase: str) -> list[tuple[int, float]]:
+        """(row, score) of the best customers, those of equal rounded score by position and id; none under ``LOW``."""
+        own = set(phrase.split())
+        sure = dict.fromkeys(self.aliases.get(phrase, ()), 1.0)
+        for at in set().union(*(self.words.get(w, ()) for w in own)):
+            overlap = max(len(own & other) / len(own | other) for other in (set(names[at].split()) for names in self.names))
+            sure[at] = max(sure.get(at, 0.0), overlap)
+        counts, size = _letters([phrase])
+        bound = np.max([2 * np.minimum(c, counts).sum(1) / np.maximum(n + size, 1) for c, n in self.counts], axis=0)
+        for at, score in sure.items():
+            bound[at] = max(bound[at], score)
+        found: list[tuple[float, int, str, int, float]] = []  # the worst first
+        for at in np.argsort(-bound, kind="stable"):
+            slack = 10.0**-DIGITS
+            if bound[at] < LOW - slack or (len(found) == CANDIDATES and bound[at] < found[0][0] - slack):
+                break
+            row = self.rows[at]
+            score = max(sure.get(at, 0.0), *(self.ratio(phrase, names[at]) for names in self.names)) if sure.get(at, 0.0) < 1 else 1.0
+            entry = (round(score, DIGITS), -row["position"], _Last(row["customer_id"]), int(at), score)
+            if entry[0] >= LOW:
+                (heapq.heappushpop if len(found) == CANDIDATES else heapq.heappush)(found, entry)
+        return [(at, score) for _, _, _, at, score in found]
+
+
+class _Last(str):
+    """Text that sorts backwards."""
+
+    def __lt__(self, other: str) -> bool:
+        return str.__gt__(self, other)
+
+
+def _best_of_block(phrases: pa.Table, registry: pa.Table) -> pa.Table:
+    block = _Block(registry.to_pylist())
+    out = [(plain, block.rows[at], score) for plain in phrases.column("plain").to_pylist() for at, score in block.best(plain)]
+    return pa.table([[p for p, _, _ in out], [r["customer_id"] for _, r, _ in out], [r["name"] for _, r, _ in out], [r["position"] for _, r, _ in out], [s for _, _, s in out]], schema=_FOUND)
+
+
 def scored(questions: DataFrame, customers: DataFrame) -> DataFrame:
-    """(question_id, customer_id, name, score, phrase): the best phrase for each customer; a hint wins ties."""
+    """(question_id, customer_id, name, position, score, phrase): the customers that may be a question's best, each with its
+    best phrase; a hint wins ties. Customers whose best phrase scores under ``LOW`` are left out."""
     aliases = F.coalesce("aliases", F.array().cast("array<string>"))
     registry = customers.select(
-        F.col("id").alias("customer_id"), "name", "position", plain_name(F.replace("id", F.lit("-"), F.lit(" "))).alias("own_id"), plain_name(F.col("name")).alias("own_name"), F.transform(aliases, lambda a: plain_name(a)).alias("own_aliases")
-    )
+        F.col("id").alias("customer_id"), "name", F.col("position").cast("long").alias("position"), F.coalesce(plain_name(F.replace("id", F.lit("-"), F.lit(" "))), F.lit("")).alias("own_id"),
+        F.coalesce(plain_name(F.col("name")), F.lit("")).alias("own_name"), F.transform(F.filter(aliases, lambda a: a.isNotNull()), lambda a: plain_name(a)).alias("own_aliases"),
+    ).filter("customer_id IS NOT NULL")
     named = phrases(questions).withColumn("plain", plain_name(F.col("phrase")))
     distinct = named.select("plain").distinct()  # a phrase is compared once, however many questions hold it
-    # Any two texts that share characters have a ratio, so nothing but the comparison itself can rule a customer out.
-    blocks = max(1, -(-customers.count() // BLOCK_ROWS))
-    block = F.pmod(F.xxhash64("customer_id", "name", "position"), F.lit(blocks))
-    pairs = functools.reduce(DataFrame.unionByName, (distinct.join(F.broadcast(registry.filter(block == number))) for number in range(blocks)))
-    scores = pairs.select("plain", "customer_id", "name", "position", name_score(F.col("plain"), F.col("own_id"), F.col("own_name"), F.col("own_aliases")).alias("score"))
+    blocks, parts = max(1, -(-registry.count() // BLOCK_ROWS)), max(1, -(-distinct.count() // PHRASE_ROWS))
+    number = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = distinct.withColumn("part", F.pmod(F.xxhash64("plain"), F.lit(parts)).cast("int")).withColumn("block", number(blocks))
+    right = registry.withColumn("block", F.pmod(F.xxhash64("customer_id", "name", "position"), F.lit(blocks)).cast("int")).withColumn("part", number(parts))
+    scores = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(_best_of_block, "plain string, customer_id string, name string, position long, score double")
     best = F.max(F.struct("score", "is_hint", "phrase")).alias("best")
     return named.join(scores, "plain").groupBy("question_id", "customer_id", "name", "position").agg(best).select("question_id", "customer_id", "name", "position", "best.score", "best.phrase")
 
 
-def resolved(scores: DataFrame, digits: int = 6) -> DataFrame:
-    """(question_id, decision, customer_id, confidence, candidates): bands of the best score; ties go to registry order."""
+def resolved(questions: DataFrame, scores: DataFrame, digits: int = DIGITS) -> DataFrame:
+    """(question_id, decision, customer_id, confidence, candidates) of every question: bands of the best score; ties go to
+    registry order. Without a customer of at least ``LOW`` it is unknown, with confidence 0."""
     rows = scores.withColumn("score", F.round("score", digits))
     rows = rows.withColumn("turn", F.expr("row_number() OVER (PARTITION BY question_id ORDER BY score DESC, position, customer_id)")).filter(F.col("turn") <= CANDIDATES)
     order = F.struct((-F.col("score")).alias("worse"), "position", "customer_id", "score")
     ranked = rows.groupBy("question_id").agg(F.array_sort(F.collect_list(order)).alias("ranked"))  # CANDIDATES at most
+    ranked = questions.select("question_id").distinct().join(ranked, "question_id", "left")
     top = F.try_element_at("ranked", F.lit(1))
-    score = top["score"]
+    score = F.coalesce(top["score"], F.lit(0.0))
     decision = F.when(score >= 1, "resolved").when(score >= HIGH, "resolved_confirm").when(score >= MEDIUM, "assumed_confirm").when(score >= LOW, "ask").otherwise("unknown")
     shown = F.transform(F.slice(F.filter("ranked", lambda r: r["score"] >= LOW), 1, CANDIDATES), lambda r: r["customer_id"])
     return ranked.select("question_id", decision.alias("decision"), F.when(score >= MEDIUM, top["customer_id"]).alias("customer_id"), score.alias("confidence"), F.when(decision == "ask", shown).alias("candidates"))

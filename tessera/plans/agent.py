@@ -119,7 +119,7 @@ def turn(spark: SparkSession, session: Session, message: str, customers: DataFra
     found = extracted(spark, message)
     session.env = found["env"] or session.env
     question = spark.createDataFrame([(1, message, found["customer"])], "question_id long, question string, hint string")
-    best = resolve.resolved(resolve.scored(question, customers)).first()
+    best = resolve.resolved(question, resolve.scored(question, customers)).first()
     if best and best["decision"] in ("resolved", "resolved_confirm"):
         session.customer = best["customer_id"]
     elif best and best["decision"] == "assumed_confirm" and found["operational"]:

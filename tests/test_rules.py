@@ -1,6 +1,7 @@
 import base64
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.context import TenantContext, scoped, unknown_references
@@ -147,9 +148,9 @@ def test_resolution_does_not_depend_on_the_size_of_the_registry(spark, monkeypat
     outs = []
     for rows in (20_000, 4):
         monkeypatch.setattr(resolve, "BLOCK_ROWS", rows)
-        outs.append(sorted(tuple(map(str, r)) for r in resolve.resolved(resolve.scored(questions, registry)).collect()))
+        outs.append(sorted(tuple(map(str, r)) for r in resolve.resolved(questions, resolve.scored(questions, registry)).collect()))
     assert outs[0] == outs[1] and len(outs[0]) == 4
-    named = {r.question_id: r for r in resolve.resolved(resolve.scored(questions, registry)).collect()}
+    named = {r.question_id: r for r in resolve.resolved(questions, resolve.scored(questions, registry)).collect()}
     assert named[2].customer_id == "cust-7" and named[2].confidence == 1.0
     words = "status of acmee crp".split()
     phrases = [" ".join(words[i:j]) for i in range(4) for j in range(i + 1, 5)]
@@ -157,6 +158,42 @@ def test_resolution_does_not_depend_on_the_size_of_the_registry(spark, monkeypat
     assert abs(named[1].confidence - best) < 1e-6
 
 
+@pytest.mark.parametrize("sizes", [(2_000, 5_000), (5, 7)])
+def test_resolution_equals_the_full_product(spark, monkeypatch, sizes):
+    """Bounds leave out no customer that the comparison of every phrase with every customer would choose."""
+    import random
+    from difflib import SequenceMatcher
+
+    from tessera.operators import resolve
+
+    monkeypatch.setattr(resolve, "BLOCK_ROWS", sizes[0])
+    monkeypatch.setattr(resolve, "PHRASE_ROWS", sizes[1])
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdeo01") for _ in range(rng.randint(1, 6)))
+    customers = [(f"{word()}-{word()}-{i}", f"{word()} {word()} {word()}"[: rng.randint(3, 18)], [word(), None] if i % 3 else None, rng.randint(0, 9)) for i in range(40)] + [("twin", "same name", [], 1), ("twin-2", "same name", [], 1), ("nameless", None, None, 3)]
+    asked = [(i, " ".join(word() for _ in range(rng.randint(0, 5))), f"{word()} {word()}" if i % 4 == 0 else None) for i in range(30)] + [(90, "is same name", None), (91, "zzzz qqqq", None), (92, "", None), (93, None, "same"), (94, "Same Name", None)]
+    questions = spark.createDataFrame(asked, "question_id int, question string, hint string")
+    registry = spark.createDataFrame(customers, "id string, name string, aliases array<string>, position int")
+    found = {r.question_id: r for r in resolve.resolved(questions, resolve.scored(questions, registry)).collect()}
+    assert set(found) == {i for i, _, _ in asked}
+    phrases = {}
+    for r in resolve.phrases(questions).collect():
+        phrases.setdefault(r.question_id, []).append(" ".join(r.phrase.lower().split()))
+
+    def score(phrase, own_id, name, aliases):
+        own = [" ".join(x.lower().split()) for x in (own_id.replace("-", " "), name or "")]
+        overlap = lambda x: len(set(phrase.split()) & set(x.split())) / len(set(phrase.split()) | set(x.split()))
+        return 1.0 if phrase in (aliases or []) else max(max(SequenceMatcher(None, phrase, x).ratio(), overlap(x)) for x in own)
+
+    for i, _, _ in asked:
+        ranked = sorted((-round(max((score(p, c, n, a) for p in phrases.get(i, [])), default=0.0), 6), at, c) for c, n, a, at in customers)
+        best = -ranked[0][0]
+        assert found[i].confidence == pytest.approx(best if best >= resolve.LOW else 0.0), i
+        assert found[i].customer_id == (ranked[0][2] if best >= resolve.MEDIUM else None), i
+        if found[i].decision == "ask":
+            assert found[i].candidates == [c for s, _, c in ranked[:3] if -s >= resolve.LOW]
+
+
 def test_batched_vectors_of_odd_rows(spark):
     from tessera.operators import knn
 
