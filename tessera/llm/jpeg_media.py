@@ -9,7 +9,8 @@ The writer stores bytes losslessly in the format's own unit, the quantised coeff
 coefficient of size 8 whose amplitude bits are b (128..255, or -255..-128), 192 of them make one MCU of three blocks,
 and a restart interval of one MCU keeps DC prediction from mixing them.
 
-Null texts are stored as empty ones; every payload has one MCU at least. Broken or unsupported files (progressive,
+Null texts are stored as empty ones; every payload has one MCU at least. Very long texts are stored whole, one at a time, which takes
+about 28 times their size in memory. Broken or unsupported files (progressive,
 arithmetic, several scans) give null columns and a reason. Repeated rows give equal results, extra columns are
 ignored, an empty table gives no rows.
 """

@@ -201,7 +201,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; the others go."""
+    """Documents whose language is recognised; the others go.
+
+    Null, empty and letterless texts are not recognised. Repeated rows stay or go together; extra columns stay, whatever
+    their names; an empty table gives an empty one. Without any labelled row nothing is recognised.
+    """
     bound_batches(spark)
     model = fit(docs.filter(id_remainder(F.col("doc_id"), 4) != 2))
     rows = docs.select(F.struct("*").alias("row"), "text")  # whatever the columns are called, they do not meet the results

@@ -258,7 +258,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not predicted to be toxic; the others go."""
+    """Documents that are not predicted to be toxic; the others go.
+
+    Null and empty texts have no window and stay. Repeated rows stay or go together; extra columns stay, whatever their
+    names; an empty table gives an empty one. Without toxic or ordinary labels every document stays.
+    """
     bound_batches(spark)
     rows = docs.select(F.struct("*").alias("row"), "text")  # whatever the columns are called, they do not meet the results
     return score(rows, trained(spark, docs, sf_dir), ["row"]).filter("predicted = 0").select("row.*")

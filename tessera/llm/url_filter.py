@@ -8,8 +8,8 @@ counts (their profile) are one row of its merge, so a branch with very many smal
 are the verdicts of the listed rules on the pages they fit; a template is rejected if the smoothed share of block labels
 among its labelled pages reaches ``PURITY``. A page's verdict is its rule's, else its template's.
 
-A null url or one without ``://`` has an empty host and path; it belongs to the template of that empty path. Repeated
-rows get equal results; extra columns are ignored; an empty table gives no rows.
+A null url or one without ``://`` has an empty host and path; it belongs to the template of that empty path. Very long urls are
+read whole; segments beyond the depth are one, spelled out. Repeated rows get equal results; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
