@@ -1,4 +1,8 @@
-"""The corpus pipeline: toxic documents go, then unrecognised languages, then near duplicates; what stays is packed."""
+"""The corpus pipeline: toxic documents go, then unrecognised languages, then near duplicates; what stays is packed.
+
+Null and empty texts pass the first stage and go in the second. Repeated rows and copies leave one document. Extra columns
+pass all stages but the last, whatever their names. An empty table gives no pieces. Very long texts are read whole by each stage.
+"""
 
 from __future__ import annotations
 
@@ -17,7 +21,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents that are left, with their sequences."""
+    """Pieces of the documents that are left, with their sequences; a null text is an empty one, extra columns end here."""
     bound_batches(spark)
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
