@@ -41,7 +41,7 @@ def processed(events: DataFrame, stored: DataFrame | None, embedder: Embedder |
     if "retry_count" not in events.columns:
         events = events.withColumn("retry_count", F.lit(0))
     marked = events.withColumn("failure", invalid(events))
-    good = latest(marked.filter("failure IS NULL").drop("failure"), ["doc_id"], ["created_at"])
+    good = latest(marked.filter("failure IS NULL").drop("failure"), ["doc_id"], ["created_at", "content", "title"])  # of one instant, the same one on every run
     documents = good.withColumns({"fingerprint": fingerprint(F.col("title"), F.col("content")), "index_name": index_name("documents", F.col("tenant_id"), F.col("tier"))})
     if stored is not None:
         known = stored.select("doc_id", F.col("fingerprint").alias("known"))

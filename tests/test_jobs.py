@@ -57,7 +57,7 @@ def test_a_broken_batch_is_repeated_and_never_seen(spark, tmp_path):
     own, out = tmp_path / "documents", tmp_path / "index"
     put(spark, own, [(1, "one", "en", "s"), (2, "two", "fr", "s")])
     index_documents.run(spark, str(own), str(out))
-    put(spark, own, [(2, "two changed", "fr", "s"), (3, "three", "es", "s"), (3, "three", "es", "s")])
+    put(spark, own, [(2, "two changed", "fr", "s"), (3, "three", "es", "s"), (3, "other", "es", "s"), (3, "three", "es", "s")])
     index_documents.run(spark, str(own), str(out))
     whole = rows_of(index_documents.current(spark, str(out)))
     assert texts(spark, out) == {"1": "one\n\none", "2": "two changed\n\ntwo changed", "3": "three\n\nthree"}
