@@ -34,6 +34,8 @@ from tessera.sources.tables import replace_partitions, table
 BUCKETS, RANGE_DOCS = 32, 4096
 #: Files over which the blocks of a bucket are dealt, and ranges that a top-k search scores to find its threshold.
 FILES, SEEDS = 4, 8
+#: Ranges from which on a top-k search first looks for what it may skip: that takes two small jobs, reading few ranges whole less.
+MANY_RANGES = 64
 
 
 def _schemas(key: str) -> dict[str, str]:
@@ -218,7 +220,7 @@ def top(index: Index, query_terms: list[str], k: int, key: str = "doc_id", digit
     if not weights:
         return index.spark.createDataFrame([], f"`{key}` {index.key}, score double")
     best = lambda rows: _summed(index, rows, weights).withColumn("score", F.round("score", digits)).orderBy(F.desc("score"), "id").limit(k)
-    if index.ranges > SEEDS:
+    if index.ranges > MANY_RANGES:
         bound = bounds(index, own, weights)
         seeds = bound.orderBy(F.desc("bound"), "segment", "range").limit(SEEDS).collect()
         chosen = functools.reduce(operator.or_, ((F.col("segment") == r["segment"]) & (F.col("range") == r["range"]) for r in seeds))
