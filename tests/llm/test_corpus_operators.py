@@ -514,7 +514,7 @@ def test_queries_are_registered():
     import __spark_entry__
 
     names = set(__spark_entry__.queries())
-    assert {f"op{n}" for n in range(1, 11)} == {x.split("_")[0] for x in names if re.match(r"op\d+_", x)} and "pipeline" in names
+    assert {f"op{n}" for n in range(1, 13)} == {x.split("_")[0] for x in names if re.match(r"op\d+_", x)} and "pipeline" in names
 
 
 def test_nothing_else_imports_the_subpackage():
