@@ -58,6 +58,7 @@ def run(spark: SparkSession, documents: str, out: str, config: dict | None = Non
     def each(rows: DataFrame, batch: int) -> None:
         own = rows.persist()
         try:
+            log.info("batch %d: %d rows read", batch, own.count())
             indexed = own.sparkSession.read.schema(INDEXED).parquet(f"{out}/documents")
             made = processed(own, last_indexed(indexed, own, batch), None, F.col("created_at"))
             for name, part, schema, by in (("chunks", made.chunks, CHUNKS, "index_name"), ("failed", made.failed, FAILED, "target"), ("documents", made.documents, INDEXED, "index_name")):

@@ -73,6 +73,7 @@ def run(spark: SparkSession, events: str, out: str, since: str | None = None, un
     for name, schema in (("hourly", HOURLY), ("errors", ERRORS)):
         table(spark, f"{out}/{name}", schema)
     replace_partitions(hourly(rows), f"{out}/hourly", "day")
+    log.info("%d lines stand in %s/hourly", table(spark, f"{out}/hourly", HOURLY).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], out)
     replace_partitions(commonest(rows, config["top_errors"]), f"{out}/errors", "day")
     replace_partitions(daily(table(spark, f"{out}/hourly", HOURLY), table(spark, f"{out}/errors", ERRORS), config["regression"]), f"{out}/daily", "day")
     counts = {name: table(spark, f"{out}/{name}", schema).count() for name, schema in (("hourly", HOURLY), ("errors", ERRORS), ("daily", DAILY))}

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import os
 import shutil
 import subprocess
 import sys
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from jobs import index_documents, log_rollup
 from jobs.queries import ORACLES, QUERIES
+from jobs.settings import configured
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -70,6 +72,21 @@ def test_a_broken_batch_is_repeated_and_never_seen(spark, tmp_path):
     assert rows_of(index_documents.current(spark, str(out))) == whole
 
 
+def test_many_files_come_in_bounded_batches(spark, tmp_path):
+    """A file a batch, oldest first: the last version of a document stands, and a run in one batch leaves the same pieces."""
+    own = tmp_path / "documents"
+    for number, rows in enumerate([[(1, "first", "en", "s"), (2, "two", "en", "s")], [(1, "second", "en", "s")], [(1, "third", "en", "s"), (2, "two", "en", "s")]]):
+        put(spark, own / f"part{number}", rows)
+        for f in (own / f"part{number}").glob("*.parquet"):
+            os.utime(f, (1_700_000_000 + number, 1_700_000_000 + number))
+    config = configured(index_documents.__file__)
+    single = index_documents.run(spark, str(own / "part*"), str(tmp_path / "single"), config | {"files_per_batch": 1})
+    assert single["batches"] == 3 and single["documents"] == 4  # the third file's unchanged document is left out
+    whole = index_documents.run(spark, str(own / "part*"), str(tmp_path / "whole"), config)
+    assert whole["batches"] == 1 and whole["documents"] == 2
+    assert texts(spark, tmp_path / "single") == texts(spark, tmp_path / "whole") == {"1": "third\n\nthird", "2": "two\n\ntwo"}
+
+
 def events(spark, folder: Path, rows: list[tuple]) -> str:
     own = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string").withColumn("ts", F.col("ts").cast("timestamp"))
     own.write.mode("append").parquet(str(folder))
