@@ -92,7 +92,7 @@ def _cut(rows: DataFrame, key: str, gap_ms: int) -> DataFrame:
     own = f"OVER (PARTITION BY `{key}` ORDER BY __slot)"
     seen = slots.select(key, "__slot").distinct().withColumn("__new", F.expr(f"CASE WHEN __slot - lag(__slot) {own} < 2 THEN 0 ELSE 1 END"))
     parts = seen.select(F.col(key).alias("__key"), F.col("__slot").alias("__at"), F.expr(f"sum(__new) {own}").alias("__part"))
-    return slots.join(parts, slots[key].eqNullSafe(parts["__key"]) & (slots["__slot"] == parts["__at"])).drop("__slot", "__key", "__at")
+    return slots.join(parts, slots[key].eqNullSafe(parts["__key"]) & slots["__slot"].eqNullSafe(parts["__at"])).drop("__slot", "__key", "__at")
 
 
 def _folded(requests: DataFrame, key: str, time: str, order: str, fold, column: str, kind: str, extra: str | None = None, gap_ms: int | None = None) -> DataFrame:
@@ -112,8 +112,8 @@ def _folded(requests: DataFrame, key: str, time: str, order: str, fold, column:
             for own, part, now, more in zip(*(batch.column(i).to_pylist() for i in (0, 3, 2)), batch.column(4).to_pylist() if extra else [None] * len(batch), strict=True):
                 if (own, part) != current:
                     current, state = (own, part), fold(own)
-                out.append(state(now, more))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], [key, order, column])
+                out.append(None if now is None else state(now, more))  # a request without a time is not judged
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string() if kind == "string" else pa.bool_())], [key, order, column])
 
     kinds = [requests.schema[c].dataType.simpleString() for c in (key, order)]
     return dealt.mapInArrow(run, f"`{key}` {kinds[0]}, `{order}` {kinds[1]}, `{column}` {kind}")

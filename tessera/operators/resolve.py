@@ -1,8 +1,8 @@
 """Which customer a question means: every phrase of one to four words against the registry, banded by confidence.
 
 A question's three best customers are among the three best of each of its phrases, so a phrase brings no more than these.
-Phrases and registry are dealt into blocks; within one, a customer's score is bounded by the letters it shares with the phrase,
-and customers are compared from the highest bound down until no other can be among the three best, or reach ``LOW``.
+Phrases and registry are dealt into blocks; within one, a customer's score is bounded by the longest common subsequence with
+the phrase, made for all customers at once, and customers are compared from the highest bound down until no other can be among the three best, or reach ``LOW``.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.similarity import jaccard, windows
 from tessera.functions.text import plain_name
+from tessera.sources.scratch import stored
 
 HIGH, MEDIUM, LOW = 0.80, 0.55, 0.30
 CANDIDATES, DIGITS = 3, 6
@@ -43,6 +44,28 @@ def _letters(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return counts, counts.sum(1)
 
 
+#: Names up to this length have the places of their letters in one number.
+_SHORT = 63
+
+
+def _places(names: list[str]) -> np.ndarray:
+    """For each letter and name, a bit for each place where the letter stands in the name."""
+    masks = np.zeros((len(_LETTERS), len(names)), np.uint64)
+    for column, name in enumerate(names):
+        for place, c in enumerate(name[:_SHORT]):
+            masks[_LETTERS[c], column] |= np.uint64(1 << place)
+    return masks
+
+
+def _common(masks: np.ndarray, phrase: str) -> np.ndarray:
+    """Length of the longest common subsequence of a phrase with each short name at once: no matching blocks hold more letters."""
+    row = np.full(masks.shape[1], (1 << 64) - 1, np.uint64)
+    for c in phrase:
+        own = row & masks[_LETTERS[c]]
+        row = (row + own) | (row - own)
+    return np.bitwise_count(~row).astype(np.int64)
+
+
 class _Block:
     """A block of the registry: exact scores of a phrase with the customers that may be among its best."""
 
@@ -51,6 +74,7 @@ class _Block:
         self.counts = [_letters(names) for names in self.names]
         self.aliases, self.words = defaultdict(set), defaultdict(set)
         self.matchers: dict[str, SequenceMatcher] = {}
+        self.places = [_places(names) for names in self.names]
         for at, row in enumerate(rows):
             for alias in row["own_aliases"]:
                 self.aliases[alias].add(at)
@@ -64,6 +88,16 @@ class _Block:
         self.matchers[name].set_seq1(phrase)
         return self.matchers[name].ratio()
 
+    def bounds(self, phrase: str) -> np.ndarray:
+        """What the matching-blocks ratio with each name (id, name) of each customer cannot exceed: twice the common subsequence,
+        or for long names the shared letters, over all letters."""
+        counts, size = _letters([phrase])
+        most = []
+        for places, (own, n) in zip(self.places, self.counts, strict=True):
+            shared = np.where(n <= _SHORT, _common(places, phrase), np.minimum(own, counts).sum(1))
+            most.append(2 * shared / np.maximum(n + size, 1))
+        return np.array(most)
+
     def best(self, phrase: str) -> list[tuple[int, float]]:
         """(row, score) of the best customers, those of equal rounded score by position and id; none under ``LOW``."""
         own = set(phrase.split())
@@ -71,17 +105,20 @@ class _Block:
         for at in set().union(*(self.words.get(w, ()) for w in own)):
             overlap = max(len(own & other) / len(own | other) for other in (set(names[at].split()) for names in self.names))
             sure[at] = max(sure.get(at, 0.0), overlap)
-        counts, size = _letters([phrase])
-        bound = np.max([2 * np.minimum(c, counts).sum(1) / np.maximum(n + size, 1) for c, n in self.counts], axis=0)
+        each = self.bounds(phrase)
+        bound = each.max(axis=0)
         for at, score in sure.items():
             bound[at] = max(bound[at], score)
         found: list[tuple[float, int, str, int, float]] = []  # the worst first
+        slack = 10.0**-DIGITS
         for at in np.argsort(-bound, kind="stable"):
-            slack = 10.0**-DIGITS
             if bound[at] < LOW - slack or (len(found) == CANDIDATES and bound[at] < found[0][0] - slack):
                 break
             row = self.rows[at]
-            score = max(sure.get(at, 0.0), *(self.ratio(phrase, names[at]) for names in self.names)) if sure.get(at, 0.0) < 1 else 1.0
+            score, least = sure.get(at, 0.0), max(LOW, found[0][0] if len(found) == CANDIDATES else 0.0) - slack
+            for names, own_bound in zip(self.names, each, strict=True):
+                if own_bound[at] >= max(least, score):
+                    score = max(score, self.ratio(phrase, names[at]))
             entry = (round(score, DIGITS), -row["position"], _Last(row["customer_id"]), int(at), score)
             if entry[0] >= LOW:
                 (heapq.heappushpop if len(found) == CANDIDATES else heapq.heappush)(found, entry)
@@ -109,7 +146,7 @@ def scored(questions: DataFrame, customers: DataFrame) -> DataFrame:
         F.col("id").alias("customer_id"), "name", F.col("position").cast("long").alias("position"), F.coalesce(plain_name(F.replace("id", F.lit("-"), F.lit(" "))), F.lit("")).alias("own_id"),
         F.coalesce(plain_name(F.col("name")), F.lit("")).alias("own_name"), F.transform(F.filter(aliases, lambda a: a.isNotNull()), lambda a: plain_name(a)).alias("own_aliases"),
     ).filter("customer_id IS NOT NULL")
-    named = phrases(questions).withColumn("plain", plain_name(F.col("phrase")))
+    named = stored(phrases(questions).withColumn("plain", plain_name(F.col("phrase"))), "phrases")  # made once, read for its number, its values and the join
     distinct = named.select("plain").distinct()  # a phrase is compared once, however many questions hold it
     blocks, parts = max(1, -(-registry.count() // BLOCK_ROWS)), max(1, -(-distinct.count() // PHRASE_ROWS))
     number = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))

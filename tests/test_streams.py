@@ -62,6 +62,13 @@ def test_folds_cut_at_gaps_equal_whole_folds(spark, found, limit, window):
         assert sorted((r.user_id, r.event_id, r.admitted) for r in batch.collect()) == sorted(expected), name
 
 
+def test_requests_without_a_time_or_key(spark):
+    rows = requests(spark, [(1, 5, 1), (1, None, 2), (None, 5, 3), (None, None, 4)])
+    assert {r.event_id: r.admitted for r in limits.sliding_admission(rows, 1, 10).collect()} == {1: True, 2: None, 3: True, 4: None}
+    calls = limits.breaker_states(rows.withColumn("bad", F.lit(False)), "bad").collect()
+    assert {r.event_id: r.state for r in calls} == {1: "closed", 2: None, 3: "closed", 4: None}
+
+
 def test_one_key_on_all_rows_is_dealt_over_tasks(spark):
     """Bursts of one key, with silence between them, are folded by more than one task."""
     rows = spark.range(4000).select(F.lit(7).cast("long").alias("user_id"), F.timestamp_millis(F.col("id") * 10 + F.floor(F.col("id") / 40) * 5000).alias("ts"), F.col("id").alias("event_id"))
