@@ -19,6 +19,21 @@ def test_hint_is_cut_at_function_words(spark):
     assert found == ["Acme", "Globex Latam", None]
 
 
+def test_patterns_end_at_ascii_words_as_in_sql(spark, duck):
+    from tessera.catalog.base import text
+    from tessera.catalog.texts import first_case
+
+    names = ["test", "test\u00e4 er", "en\u00e4 \u00e4test te", "pre\rprod", "pre\u2028prod on", "pre\nprod", "te\u017ft", "u\u017fer", "_uat uat_", "QA\u00e9", "redi\u017f", "\u212aafka", "testing1 prod2", "", "AE\u017f-12"]
+    rows = spark.createDataFrame(list(enumerate(names)), "id int, q string")
+    found = [tuple(r) for r in rows.orderBy("id").select(extract.env_leftmost(F.col("q")), extract.env_priority(F.col("q")), extract.env_question(F.col("q")).isNotNull(), extract.service(F.col("q")), extract.source_type(F.col("q"))).collect()]
+    raw = "nullif(lower(regexp_extract(q, {0}, 1)), '')"
+    leftmost = f"CASE {raw.format(text(extract.ENV_LEFTMOST))} WHEN 'production' THEN 'prod' WHEN 'stage' THEN 'staging' WHEN 'uat' THEN 'staging' WHEN 'development' THEN 'dev' ELSE {raw.format(text(extract.ENV_LEFTMOST))} END"
+    known = ", ".join(map(text, extract.ENV_QUESTION_NAMES))
+    question = f"coalesce(regexp_replace({raw.format(text(extract.ENV_QUESTION))}, 'pre.prod', 'pre-prod') IN ({known}), false)"
+    wanted = [duck.execute(f"SELECT {leftmost}, {first_case('q', extract.ENV_PRIORITY)}, {question}, replace({raw.format(text(extract.SERVICE))}, ' ', '-'), {first_case('q', extract.SOURCES)} FROM (SELECT ? AS q)", [n]).fetchone() for n in names]
+    assert found == wanted
+
+
 def test_tenants_never_mix(spark):
     rows = spark.createDataFrame([("a", "t1"), ("b", "t2"), ("c", None)], "id string, tenant_id string")
     assert [r.id for r in scoped(rows, TenantContext("t1")).collect()] == ["a"]
