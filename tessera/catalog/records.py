@@ -592,7 +592,7 @@ def query_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("cached_rows", "SELECT user_id, count(*) AS n FROM events WHERE epoch(TIMESTAMP '2024-01-20 12:00:00') - epoch(ts) < 86400 AND ts <= TIMESTAMP '2024-01-20 12:00:00' GROUP BY user_id")
 def cached_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").withColumn("stored_at", F.unix_timestamp(F.col("ts").cast("timestamp"))).filter("ts <= timestamp_ntz'2024-01-20 12:00:00'")
+    rows = table(spark, sf_dir, "events").withColumn("stored_at", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).filter("ts <= timestamp_ntz'2024-01-20 12:00:00'")
     return cache.lookup(rows, 1705752000, 86_400).groupBy("user_id").agg(F.count("*").alias("n"))
 
 

@@ -34,6 +34,16 @@ def test_patterns_end_at_ascii_words_as_in_sql(spark, duck):
     assert found == wanted
 
 
+def test_cached_rows_end_within_a_second(spark, duck, tmp_path):
+    from tessera.catalog import ORACLES, QUERIES
+
+    times = ["2024-01-19 12:00:00", "2024-01-19 12:00:00.000001", "2024-01-19 12:00:00.9", "2024-01-19 11:59:59.999999", "2024-01-20 12:00:00", "2024-01-20 12:00:00.1", "2024-01-20 00:00:00"]
+    rows = spark.createDataFrame(list(enumerate(times)), "user_id long, t string").select("user_id", F.col("t").cast("timestamp_ntz").alias("ts"))
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    wanted = duck.execute(f"WITH events AS (SELECT * FROM '{tmp_path}/events.parquet/*.parquet') {ORACLES['cached_rows']}").fetchall()
+    assert sorted(tuple(r) for r in QUERIES["cached_rows"](spark, str(tmp_path)).collect()) == sorted(wanted) == [(1, 1), (2, 1), (4, 1), (6, 1)]
+
+
 def test_tenants_never_mix(spark):
     rows = spark.createDataFrame([("a", "t1"), ("b", "t2"), ("c", None)], "id string, tenant_id string")
     assert [r.id for r in scoped(rows, TenantContext("t1")).collect()] == ["a"]
