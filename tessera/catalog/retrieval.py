@@ -245,11 +245,11 @@ def knn_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("knn_graph")
 def knn_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten nearest of one label for every vector whose id is divisible by 50, by walks on a neighbour graph."""
+    """The ten nearest of one label for every vector whose id is divisible by 50, by walks on a neighbour graph of each label."""
     own = table(spark, sf_dir, "embeddings")
-    graph = neighbours.build(own, f"{scratch.root(spark)}/graph-{uuid.uuid4().hex}", keep=["label"])
+    graph = neighbours.build(own, f"{scratch.root(spark)}/graph-{uuid.uuid4().hex}", keep=["label"], within=["label"])
     asked = own.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("vector"))
-    return neighbours.search(graph, asked, 10, F.col("label") == 3)
+    return neighbours.search(graph, asked, 10, width=256, part=F.col("label") == 3)  # these vectors have hardly any structure: wide walks
 
 
 # --- fusion --------------------------------------------------------------------------------------------------------

@@ -2,7 +2,7 @@
 
     nodes/bucket=    (id, vector, norm, and the columns that filters need)
     edges/bucket=    (id, near): the nearest of a node that were found, nodes that it is nearest to, and a few random ones
-    starts           (id): where searches begin
+    starts           (id, and the columns that filters need): where searches begin
 
 The build starts from random groups and lets neighbours of a node meet each other until their lists no longer improve; a
 group holds what one node's lists hold at most, so no group grows with the table. A search keeps what it has met of each
@@ -12,7 +12,9 @@ unopened is better than its ``width`` best results, so a stricter filter walks f
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+import functools
+import operator
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,9 +31,11 @@ BUCKETS = 32
 GROUP, DEGREE, MEETING = 64, 16, 4
 #: Random nodes, about so many, that each node leads to besides: ways between clusters, and to nodes that are near to none.
 LINKS = 6
+#: Groups that one call compares.
+MET = 256
 #: Rounds of descent at most, and the least gain of the sum of all similarities for another one.
 ROUNDS, GAIN = 10, 0.003
-#: Nodes where a search begins, results that decide when it ends, nodes that it opens a round, rounds at most.
+#: Nodes where a search begins, results that decide when it ends, nodes that it opens a round (or a quarter of its width).
 STARTS, WIDTH, STEP = 32, 64, 16
 
 
@@ -43,7 +47,7 @@ class Graph:
 
     def table(self, name: str) -> DataFrame:
         kind = self.nodes["id"].dataType
-        schemas = {"nodes": self.nodes, "edges": StructType().add("id", kind).add("near", ArrayType(kind)).add("bucket", IntegerType()), "starts": StructType().add("id", kind)}
+        schemas = {"nodes": self.nodes, "edges": StructType().add("id", kind).add("near", ArrayType(kind)).add("bucket", IntegerType()), "starts": StructType([f for f in self.nodes if f.name != "vector"])}
         return self.spark.read.schema(schemas[name]).parquet(f"{self.path}/{name}")
 
 
@@ -57,26 +61,38 @@ def _measured(length: str) -> Column:
 
 
 def _nearest_within(table: pa.Table, most: int, out: pa.Schema) -> pa.Table:
-    """(id, near, score): the ``most`` nearest of each row among the others of a small group."""
-    ids = table.column("id").combine_chunks()
-    n = len(ids)
-    if n < 2:
+    """(id, near, score): the ``most`` nearest of each row among the others of its small group; many groups are one product."""
+    codes = table.column("__centre").combine_chunks().dictionary_encode().indices.to_numpy()
+    order = np.argsort(codes, kind="stable")
+    sizes = np.bincount(codes)
+    wide = int(sizes.max())
+    if wide < 2:
         return out.empty_table()
-    x = np.stack(table.column("vector").to_numpy(zero_copy_only=False)).astype(np.float32)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    s = x @ x.T
-    np.fill_diagonal(s, -2)
-    most = min(most, n - 1)
-    best = np.argpartition(-s, most - 1, axis=1)[:, :most]
-    of = np.repeat(np.arange(n), most)
-    return pa.table([ids.take(pa.array(of)), ids.take(pa.array(best.ravel())), pa.array(s[of, best.ravel()])], schema=out)
-
-
-def _met(rows: DataFrame, by: Sequence[str], most: int, kind: str) -> DataFrame:
-    """Neighbours found within the groups of (id, vector, *by)."""
+    ids, vectors = table.column("id").combine_chunks(), table.column("vector").combine_chunks()
+    own = vectors.flatten().to_numpy().astype(np.float32).reshape(len(table), -1)[order]
+    group = codes[order]
+    place = np.arange(len(group)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    rows = np.zeros((len(sizes), wide), np.int64)
+    rows[group, place] = order
+    x = np.zeros((len(sizes), wide, own.shape[1]), np.float32)
+    x[group, place] = own / np.linalg.norm(own, axis=1, keepdims=True)
+    s = x @ x.transpose(0, 2, 1)
+    there = np.arange(wide) < sizes[:, None]
+    s[~(there[:, :, None] & there[:, None, :])] = -2
+    s[:, np.arange(wide), np.arange(wide)] = -2
+    most = min(most, wide - 1)
+    best = np.argpartition(-s, most - 1, axis=2)[:, :, :most]
+    score = np.take_along_axis(s, best, 2)
+    g, of, at = np.nonzero(score > -2)
+    return pa.table([ids.take(pa.array(rows[g, of])), ids.take(pa.array(rows[g, best[g, of, at]])), pa.array(score[g, of, at])], schema=out)
+
+
+def _met(rows: DataFrame, groups: int, most: int, kind: str) -> DataFrame:
+    """Neighbours found within the groups of (id, part, vector, __centre), about ``groups`` of them; ``MET`` groups go to a call."""
     own = rows.sparkSession.createDataFrame([], f"id {kind}").toArrow().schema.field("id").type
     arrow = pa.schema([("id", own), ("near", own), ("score", pa.float32())])
-    return rows.groupBy(*by).applyInArrow(lambda table: _nearest_within(table, most, arrow), f"id {kind}, near {kind}, score float")
+    dealt = rows.withColumns({"__size": F.size("vector"), "__call": F.pmod(F.xxhash64("__centre"), F.lit(-(-groups // MET)))})
+    return dealt.groupBy("__size", "__call").applyInArrow(lambda table: _nearest_within(table, most, arrow), f"id {kind}, near {kind}, score float")
 
 
 def _best(edges: DataFrame, most: int) -> DataFrame:
@@ -89,39 +105,54 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.select(F.col("near").alias("id"), F.col("id").alias("near"), "score"))
 
 
-def build(rows: DataFrame, path: str, key: str = "vec_id", vector: str = "embedding", keep: Sequence[str] = (), degree: int = DEGREE) -> Graph:
-    """Write the graph of ``rows`` under ``path``. Rows without a direction, or too long or short to measure, take no part; keys are expected once."""
+def build(rows: DataFrame, path: str, key: str = "vec_id", vector: str = "embedding", keep: Sequence[str] = (), degree: int = DEGREE, within: Sequence[str] = ()) -> Graph:
+    """Write the graph of ``rows`` under ``path``. Rows without a direction, or too long or short to measure, take no part; keys are expected once.
+
+    Rows that differ in a column of ``within`` (some of ``keep``) lead nowhere to each other: each value has a graph of its own in the same tables,
+    and a search of one value walks that alone. Vectors of different lengths never meet.
+    """
     kind = rows.schema[key].dataType.simpleString()
     own = rows.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("vector"), *keep).filter(F.col("id").isNotNull() & usable(F.col("vector")))
-    own = own.withColumns({"norm": F.sqrt(dot(F.col("vector"), F.col("vector"))), "bucket": _bucket(F.col("id"))}).filter(_measured("norm"))
+    own = own.withColumns({"norm": F.sqrt(dot(F.col("vector"), F.col("vector"))), "part": F.xxhash64(F.size("vector"), *within), "bucket": _bucket(F.col("id"))}).filter(_measured("norm"))
     own.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/nodes")
     graph = Graph(rows.sparkSession, path, own.schema)
     nodes = graph.table("nodes")
-    nodes.orderBy(F.xxhash64(F.lit("start"), "id"), "id").limit(STARTS).select("id").write.mode("overwrite").parquet(f"{path}/starts")
-    plain = nodes.select("id", F.transform("vector", lambda v: (v / F.col("norm")).cast("float")).alias("vector"))
-    groups = max(1, nodes.count() // GROUP)
-    random = [_met(plain.withColumn("__group", F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(groups))), ["__group"], degree, kind) for seed in range(2)]
+    first = nodes.withColumn("place", F.expr("row_number() OVER (PARTITION BY part ORDER BY xxhash64('start', id), id)")).filter(F.col("place") <= STARTS)
+    first.drop("place", "vector").write.mode("overwrite").parquet(f"{path}/starts")
+    sizes = stored(nodes.groupBy("part").agg(F.count("*").alias("__n")), "parts")
+    total = sizes.agg(F.sum("__n")).first()[0] or 0
+    plain = nodes.select("id", "part", F.transform("vector", lambda v: (v / F.col("norm")).cast("float")).alias("vector"))
+
+    def dealt(name: str, salt: Column, size: int) -> DataFrame:
+        """Rows of each part in random groups of about ``size``."""
+        return plain.join(sizes, "part").withColumn(name, F.xxhash64(salt, "part", F.pmod(F.xxhash64(salt, "id"), F.greatest(F.lit(1), F.floor(F.col("__n") / size))))).drop("__n")
+
+    random = [_met(dealt("__centre", F.lit(seed), GROUP), max(1, total // GROUP), degree, kind) for seed in range(2)]
     edges = stored(_best(random[0].unionByName(random[1]), degree), "edges")
-    total = edges.agg(F.sum("score")).first()[0] or 0.0
+    gained = edges.agg(F.sum("score")).first()[0] or 0.0
     for _ in range(ROUNDS):
         members = _best(_both_ways(edges), 2 * degree).select(F.col("id").alias("__centre"), F.col("near").alias("id"))
-        met = _met(members.join(plain, "id"), ["__centre"], MEETING, kind)
+        met = _met(members.join(plain, "id"), max(1, total), MEETING, kind)
         edges = stored(_best(edges.unionByName(met), degree), "edges")
-        before, total = total, edges.agg(F.sum("score")).first()[0] or 0.0
-        if total - before <= GAIN * abs(before):
+        before, gained = gained, edges.agg(F.sum("score")).first()[0] or 0.0
+        if gained - before <= GAIN * abs(before):
             break
-    mixed = plain.select("id", F.pmod(F.xxhash64(F.lit("link"), "id"), F.lit(max(1, nodes.count() // LINKS))).alias("__group"))
+    mixed = dealt("__group", F.lit("link"), LINKS).select("id", "__group")
     links = mixed.join(mixed.select(F.col("id").alias("near"), "__group"), "__group").filter("id <> near").select("id", "near")
     near = _best(_both_ways(edges), 2 * degree).select("id", "near").unionByName(links).distinct().groupBy("id").agg(F.collect_list("near").alias("near"))  # twice the degree and the links at most
     near.withColumn("bucket", _bucket(F.col("id"))).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/edges")
     return graph
 
 
-def walk(graph: Graph, queries: DataFrame, where: Column | None = None, width: int = WIDTH) -> DataFrame:
-    """(question_id, id, score, passes): every node that the walk of each query (question_id, vector) met."""
+def walk(graph: Graph, queries: DataFrame, where: Column | None = None, width: int = WIDTH, part: Column | None = None) -> DataFrame:
+    """(question_id, id, score, passes): every node that the walk of each query (question_id, vector) met.
+
+    ``part`` is a filter by columns that the graph was built ``within``: the walk begins, and stays, among nodes that pass it.
+    """
     asked = queries.select("question_id", F.col("vector").cast("array<double>").alias("__wanted")).filter(usable(F.col("__wanted")))
     asked = stored(asked.withColumn("__length", F.sqrt(dot(F.col("__wanted"), F.col("__wanted")))).filter(_measured("__length")), "asked")
-    nodes = graph.table("nodes").withColumn("passes", F.lit(True) if where is None else F.coalesce(where, F.lit(False))).select("id", "vector", "norm", "passes", "bucket")
+    wanted = [c for c in (where, part) if c is not None]
+    nodes = graph.table("nodes").withColumn("passes", F.coalesce(functools.reduce(operator.and_, wanted, F.lit(True)), F.lit(False))).select("id", "vector", "norm", "passes", "bucket")
 
     def scored(pairs: DataFrame) -> DataFrame:
         """Nodes (question_id, id) with their likeness; those of another length than the query are left out."""
@@ -129,7 +160,7 @@ def walk(graph: Graph, queries: DataFrame, where: Column | None = None, width: i
         return rows.select("question_id", "id", (dot(F.col("vector"), F.col("__wanted")) / (F.col("norm") * F.col("__length"))).alias("score"), "passes", F.lit(False).alias("opened"))
 
     kind = graph.nodes["id"].dataType
-    starts = [F.lit(r["id"]).cast(kind) for r in graph.table("starts").collect()]  # STARTS at most
+    starts = [F.lit(r["id"]).cast(kind) for r in graph.table("starts").filter(F.lit(True) if part is None else part).select("id").collect()]  # STARTS of a part at most
     if not starts:
         return asked.select("question_id", F.lit(None).cast(kind).alias("id"), F.lit(None).cast("double").alias("score"), F.lit(False).alias("passes")).limit(0)
     seen = stored(scored(asked.select("question_id", F.explode(F.array(*starts)).alias("id"))), "seen")
@@ -137,7 +168,7 @@ def walk(graph: Graph, queries: DataFrame, where: Column | None = None, width: i
         placed = seen.withColumn("place", F.expr("row_number() OVER (PARTITION BY question_id ORDER BY passes DESC, score DESC, id)"))
         bound = placed.withColumn("bound", F.expr(f"max(CASE WHEN passes AND place = {width} THEN score END) OVER (PARTITION BY question_id)"))
         worth = bound.filter("NOT opened AND (bound IS NULL OR score >= bound)")
-        front = stored(worth.withColumn("turn", F.expr("row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id)")).filter(F.col("turn") <= STEP).select("question_id", "id"), "front")
+        front = stored(worth.withColumn("turn", F.expr("row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id)")).filter(F.col("turn") <= max(STEP, width // 4)).select("question_id", "id"), "front")
         if front.isEmpty():
             return seen.drop("opened")
         opened = front.withColumn("bucket", _bucket(F.col("id"))).join(graph.table("edges"), ["bucket", "id"])
@@ -146,8 +177,8 @@ def walk(graph: Graph, queries: DataFrame, where: Column | None = None, width: i
         seen = stored(known.unionByName(scored(fresh)), "seen")
 
 
-def search(graph: Graph, queries: DataFrame, k: int, where: Column | None = None, width: int = WIDTH, key: str = "vec_id", digits: int = 6) -> DataFrame:
+def search(graph: Graph, queries: DataFrame, k: int, where: Column | None = None, width: int = WIDTH, key: str = "vec_id", digits: int = 6, part: Column | None = None) -> DataFrame:
     """(question_id, key, score, rank): the k nearest that the walks found among nodes that pass ``where``, by rounded cosine, then key."""
-    found = walk(graph, queries, where, max(width, k)).filter("passes").select("question_id", F.col("id").alias(key), F.round("score", digits).alias("score"))
+    found = walk(graph, queries, where, max(width, k), part).filter("passes").select("question_id", F.col("id").alias(key), F.round("score", digits).alias("score"))
     rank = F.expr(f"row_number() OVER (PARTITION BY question_id ORDER BY score DESC, `{key}`)")
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)

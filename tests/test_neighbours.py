@@ -66,3 +66,17 @@ def test_odd_vectors(spark, tmp_path):
     assert neighbours.search(none, asked, 3).count() == 0
     single = neighbours.build(rows.filter("vec_id = 6"), str(tmp_path / "single"))
     assert rows_of(neighbours.search(single, asked, 3).select("question_id", "vec_id")) == [(1, 6), (3, 6)]
+
+
+def test_a_search_of_one_value_walks_its_graph_alone(spark, tenth, tmp_path):
+    rows, _ = tenth
+    short = spark.createDataFrame([(9000 + i, [1.0, float(i)], 3) for i in range(80)], "vec_id long, embedding array<float>, label int")
+    graph = neighbours.build(rows.unionByName(short), str(tmp_path / "graph"), keep=["label"], within=["label"])
+    asked = rows.filter("vec_id % 40 = 0").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("vector"))
+    met = neighbours.walk(graph, asked, part=F.col("label") == 3)
+    own = rows.filter("label = 3")
+    assert met.join(own.withColumnRenamed("vec_id", "id"), "id", "left_anti").count() == 0
+    assert recall(neighbours.search(graph, asked, 10, part=F.col("label") == 3), knn.batch_nearest(own, asked, 10)) >= 0.95
+    labels = graph.table("nodes").select("id", "label", F.size("vector").alias("n"))
+    pairs = graph.table("edges").select("id", F.explode("near").alias("near")).join(labels, "id").join(labels.toDF("near", "other", "m"), "near")
+    assert pairs.filter("label <> other OR n <> m").count() == 0 and graph.table("edges").count() == rows.count() + 80
