@@ -1,38 +1,49 @@
 """Which customer a question means: every phrase of one to four words against the registry, banded by confidence.
 
-A question's three best customers are among the three best of each of its phrases, so a phrase brings no more than these.
-Phrases and registry are dealt into blocks; within one, a customer's score is bounded by the longest common subsequence with
-the phrase, made for all customers at once, and customers are compared from the highest bound down until no other can be among the three best, or reach ``LOW``.
+Questions with their phrases, and the registry, are dealt into blocks; within one, the score of every phrase with every customer is bounded
+by their longest common subsequence, made for all phrases at once, and a question's pairs are compared from the highest bound down until no other
+can bring a customer among its three best, or reach ``LOW``.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
 from collections import defaultdict
 from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.similarity import jaccard, windows
 from tessera.functions.text import plain_name
+from tessera.session import spread
 from tessera.sources.scratch import stored
 
 HIGH, MEDIUM, LOW = 0.80, 0.55, 0.30
 CANDIDATES, DIGITS = 3, 6
-#: About how many customers, and how many phrases, one block holds.
-BLOCK_ROWS, PHRASE_ROWS = 2_000, 5_000
+#: About how many customers, and how many phrases, one block holds; a question stays whole.
+BLOCK_ROWS, PHRASE_ROWS = 2_000, 20_000
 _LETTERS = {c: i for i, c in enumerate("abcdefghijklmnopqrstuvwxyz0123456789 ")}  # all that a plain name holds
-_FOUND = pa.schema([("plain", pa.string()), ("customer_id", pa.string()), ("name", pa.string()), ("position", pa.int64()), ("score", pa.float64())])
+_PAD = len(_LETTERS)
+_CODES = np.full(256, _PAD, np.uint8)
+_CODES[[ord(c) for c in _LETTERS]] = list(_LETTERS.values())
+#: Bounds that one array holds, and pairs that a question compares before it looks which others are worth it.
+_BOUNDS, _FIRST = 1 << 21, 32
 
 
-def phrases(questions: DataFrame) -> DataFrame:
-    """(question_id, phrase, is_hint): windows of the question and its hint, if it has one."""
+def _phrases() -> Column:
+    """An array of (phrase, is_hint) of a question."""
     own = F.transform(F.array_distinct(windows(F.col("question"))), lambda p: F.struct(p.alias("phrase"), F.lit(False).alias("is_hint")))
     hint = F.when(F.coalesce(plain_name(F.col("hint")), F.lit("")) != "", F.array(F.struct(F.col("hint").alias("phrase"), F.lit(True).alias("is_hint")))).otherwise(F.array_repeat(F.struct(F.lit("").alias("phrase"), F.lit(True).alias("is_hint")), 0))
-    return questions.select("question_id", F.inline(F.concat(hint, own)))
+    return F.concat(hint, own)
+
+
+def phrases(questions: DataFrame) -> DataFrame:
+    """(question_id, phrase, is_hint): windows of the question and its hint, if it has one."""
+    return questions.select("question_id", F.inline(_phrases()))
 
 
 def _letters(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -49,93 +60,134 @@ _SHORT = 63
 
 
 def _places(names: list[str]) -> np.ndarray:
-    """For each letter and name, a bit for each place where the letter stands in the name."""
-    masks = np.zeros((len(_LETTERS), len(names)), np.uint64)
+    """For each letter and name, a bit for each place where the letter stands in the name; none for the filling after a phrase."""
+    masks = np.zeros((len(_LETTERS) + 1, len(names)), np.uint64)
     for column, name in enumerate(names):
         for place, c in enumerate(name[:_SHORT]):
             masks[_LETTERS[c], column] |= np.uint64(1 << place)
     return masks
 
 
-def _common(masks: np.ndarray, phrase: str) -> np.ndarray:
-    """Length of the longest common subsequence of a phrase with each short name at once: no matching blocks hold more letters."""
-    row = np.full(masks.shape[1], (1 << 64) - 1, np.uint64)
-    for c in phrase:
-        own = row & masks[_LETTERS[c]]
-        row = (row + own) | (row - own)
-    return np.bitwise_count(~row).astype(np.int64)
+def _common(masks: np.ndarray, phrases: list[str]) -> np.ndarray:
+    """Length of the longest common subsequence of each phrase with each short name: no matching blocks hold more letters."""
+    sizes = np.array([len(p) for p in phrases])
+    order = np.argsort(-sizes, kind="stable")  # the longest first, so that those with a letter at a place are the first ones
+    codes = _CODES[np.array([phrases[i] for i in order], f"S{max(sizes.max(), 1)}").view(np.uint8).reshape(len(phrases), -1)]
+    row = np.full((len(phrases), masks.shape[1]), (1 << 64) - 1, np.uint64)
+    for place in range(sizes.max()):
+        now = row[: np.searchsorted(-sizes[order], -place)]
+        own = now & masks[codes[: len(now), place]]
+        now[:] = (now + own) | (now - own)
+    out = np.empty(row.shape, np.int64)
+    out[order] = np.bitwise_count(~row)
+    return out
+
+
+class _Best:
+    """The best customers of one question so far, each with its best phrase."""
+
+    def __init__(self) -> None:
+        self.found: dict[int, tuple[float, bool, str]] = {}
+        self.least = LOW - 10.0**-DIGITS  # what a score must reach to matter
+
+    def offer(self, at: int, score: float, is_hint: bool, phrase: str) -> None:
+        if score < self.least or (at in self.found and self.found[at] >= (score, is_hint, phrase)):
+            return
+        self.found[at] = (score, is_hint, phrase)
+        if len(self.found) >= CANDIDATES:
+            least = heapq.nlargest(CANDIDATES, (s for s, _, _ in self.found.values()))[-1] - 10.0**-DIGITS
+            if least > self.least:
+                self.least = least
+                self.found = {k: v for k, v in self.found.items() if v[0] >= least}
 
 
 class _Block:
-    """A block of the registry: exact scores of a phrase with the customers that may be among its best."""
+    """A block of the registry: exact scores of phrases with the customers that may be among a question's best."""
 
     def __init__(self, rows: list[dict]) -> None:
-        self.rows, self.names = rows, [[r["own_id"] for r in rows], [r["own_name"] for r in rows]]
-        self.counts = [_letters(names) for names in self.names]
+        self.rows, self.owners = rows, defaultdict(list)
         self.aliases, self.words = defaultdict(set), defaultdict(set)
-        self.matchers: dict[str, SequenceMatcher] = {}
-        self.places = [_places(names) for names in self.names]
         for at, row in enumerate(rows):
             for alias in row["own_aliases"]:
                 self.aliases[alias].add(at)
-            for names in self.names:
-                for word in names[at].split():
+            for name in {row["own_id"], row["own_name"]}:
+                self.owners[name].append(at)
+                for word in name.split():
                     self.words[word].add(at)
-
-    def ratio(self, phrase: str, name: str) -> float:
+        self.names = list(self.owners)
+        self.sets = [[set(r["own_id"].split()), set(r["own_name"].split())] for r in rows]
+        self.counts, self.sizes = _letters(self.names)
+        self.places = _places(self.names)
+        self.long = np.flatnonzero(self.sizes > _SHORT)
+        self.matchers: dict[int, SequenceMatcher] = {}
+
+    def ratio(self, phrase: str, name: int) -> float:
         if name not in self.matchers:
-            self.matchers[name] = SequenceMatcher(None, "", name)
+            self.matchers[name] = SequenceMatcher(None, "", self.names[name])
         self.matchers[name].set_seq1(phrase)
         return self.matchers[name].ratio()
 
-    def bounds(self, phrase: str) -> np.ndarray:
-        """What the matching-blocks ratio with each name (id, name) of each customer cannot exceed: twice the common subsequence,
+    def bounds(self, phrases: list[str]) -> np.ndarray:
+        """What the matching-blocks ratio of each phrase with each name cannot exceed: twice the common subsequence,
         or for long names the shared letters, over all letters."""
-        counts, size = _letters([phrase])
-        most = []
-        for places, (own, n) in zip(self.places, self.counts, strict=True):
-            shared = np.where(n <= _SHORT, _common(places, phrase), np.minimum(own, counts).sum(1))
-            most.append(2 * shared / np.maximum(n + size, 1))
-        return np.array(most)
-
-    def best(self, phrase: str) -> list[tuple[int, float]]:
-        """(row, score) of the best customers, those of equal rounded score by position and id; none under ``LOW``."""
-        own = set(phrase.split())
-        sure = dict.fromkeys(self.aliases.get(phrase, ()), 1.0)
-        for at in set().union(*(self.words.get(w, ()) for w in own)):
-            overlap = max(len(own & other) / len(own | other) for other in (set(names[at].split()) for names in self.names))
-            sure[at] = max(sure.get(at, 0.0), overlap)
-        each = self.bounds(phrase)
-        bound = each.max(axis=0)
-        for at, score in sure.items():
-            bound[at] = max(bound[at], score)
-        found: list[tuple[float, int, str, int, float]] = []  # the worst first
-        slack = 10.0**-DIGITS
-        for at in np.argsort(-bound, kind="stable"):
-            if bound[at] < LOW - slack or (len(found) == CANDIDATES and bound[at] < found[0][0] - slack):
-                break
-            row = self.rows[at]
-            score, least = sure.get(at, 0.0), max(LOW, found[0][0] if len(found) == CANDIDATES else 0.0) - slack
-            for names, own_bound in zip(self.names, each, strict=True):
-                if own_bound[at] >= max(least, score):
-                    score = max(score, self.ratio(phrase, names[at]))
-            entry = (round(score, DIGITS), -row["position"], _Last(row["customer_id"]), int(at), score)
-            if entry[0] >= LOW:
-                (heapq.heappushpop if len(found) == CANDIDATES else heapq.heappush)(found, entry)
-        return [(at, score) for _, _, _, at, score in found]
-
-
-class _Last(str):
-    """Text that sorts backwards."""
-
-    def __lt__(self, other: str) -> bool:
-        return str.__gt__(self, other)
-
-
-def _best_of_block(phrases: pa.Table, registry: pa.Table) -> pa.Table:
+        shared = _common(self.places, phrases)
+        if len(self.long):
+            own = _letters(phrases)[0]
+            for name in self.long:
+                shared[:, name] = np.minimum(own, self.counts[name]).sum(1)
+        return 2 * shared / (np.array([len(p) for p in phrases])[:, None] + self.sizes)
+
+    def sure(self, phrase: str) -> list[tuple[int, float]]:
+        """(row, score) by alias and by shared words."""
+        own = phrase.split()
+        out = [(at, 1.0) for at in self.aliases.get(phrase, ())]
+        if any(w in self.words for w in own):
+            own = set(own)
+            out += [(at, max(len(own & other) / len(own | other) for other in self.sets[at])) for at in set().union(*(self.words.get(w, ()) for w in own))]
+        return out
+
+    def compare(self, best: _Best, phrases: list[tuple[str, str, bool]], bounds: np.ndarray) -> None:
+        """Take the pairs of some phrases (phrase, plain, is_hint) of a question, by their bounds, into its best."""
+        flat = bounds.ravel()
+
+        def take(some: np.ndarray) -> None:
+            for pair in some[np.argsort(-flat[some], kind="stable")]:
+                if flat[pair] < best.least:
+                    return
+                at, name = divmod(int(pair), len(self.names))
+                phrase, plain, is_hint = phrases[at]
+                score = self.ratio(plain, name)
+                for owner in self.owners[self.names[name]]:
+                    best.offer(owner, score, is_hint, phrase)
+
+        first = np.argpartition(-flat, _FIRST)[:_FIRST] if len(flat) > _FIRST else np.arange(len(flat))
+        take(first)
+        if len(first) < len(flat):
+            worth = flat >= best.least
+            worth[first] = False
+            take(np.flatnonzero(worth))
+
+
+def _best_of_block(asked: pa.Table, registry: pa.Table) -> pa.Table:
     block = _Block(registry.to_pylist())
-    out = [(plain, block.rows[at], score) for plain in phrases.column("plain").to_pylist() for at, score in block.best(plain)]
-    return pa.table([[p for p, _, _ in out], [r["customer_id"] for _, r, _ in out], [r["name"] for _, r, _ in out], [r["position"] for _, r, _ in out], [s for _, _, s in out]], schema=_FOUND)
+    best = [_Best() for _ in range(len(asked))]
+    every = ((number, (p["phrase"], p["phrase"] if p["plain"] is None else p["plain"], p["is_hint"])) for number, own in enumerate(asked.column("phrases")) for p in own.as_py() or ())
+    for some in iter(lambda: list(itertools.islice(every, max(1, _BOUNDS // max(1, len(block.names))))), []) if block.names else ():
+        index: dict[str, int] = {}
+        for _, (_, plain, _) in some:
+            index.setdefault(plain, len(index))
+        bounds, sure = block.bounds(list(index)), [block.sure(plain) for plain in index]
+        for number, pairs in itertools.groupby(some, lambda x: x[0]):
+            own = [p for _, p in pairs]
+            for phrase, plain, is_hint in own:
+                for at, score in sure[index[plain]]:
+                    best[number].offer(at, score, is_hint, phrase)
+            block.compare(best[number], own, bounds[[index[plain] for _, plain, _ in own]])
+    out = [(number, block.rows[at], *found) for number, own in enumerate(best) for at, found in own.found.items()]
+    columns = [[r["customer_id"] for _, r, *_ in out], [r["name"] for _, r, *_ in out], [r["position"] for _, r, *_ in out], *([x[i] for x in out] for i in (2, 3, 4))]
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.float64(), pa.bool_(), pa.string()]
+    ids = asked.column("question_id").take(pa.array([x[0] for x in out], pa.int64()))
+    return pa.table([ids, *map(pa.array, columns, kinds)], names=["question_id", "customer_id", "name", "position", "score", "is_hint", "phrase"])
 
 
 def scored(questions: DataFrame, customers: DataFrame) -> DataFrame:
@@ -146,15 +198,16 @@ def scored(questions: DataFrame, customers: DataFrame) -> DataFrame:
         F.col("id").alias("customer_id"), "name", F.col("position").cast("long").alias("position"), F.coalesce(plain_name(F.replace("id", F.lit("-"), F.lit(" "))), F.lit("")).alias("own_id"),
         F.coalesce(plain_name(F.col("name")), F.lit("")).alias("own_name"), F.transform(F.filter(aliases, lambda a: a.isNotNull()), lambda a: plain_name(a)).alias("own_aliases"),
     ).filter("customer_id IS NOT NULL")
-    named = stored(phrases(questions).withColumn("plain", plain_name(F.col("phrase"))), "phrases")  # made once, read for its number, its values and the join
-    distinct = named.select("plain").distinct()  # a phrase is compared once, however many questions hold it
-    blocks, parts = max(1, -(-registry.count() // BLOCK_ROWS)), max(1, -(-distinct.count() // PHRASE_ROWS))
+    held = F.transform(_phrases(), lambda p: F.struct(p["phrase"].alias("phrase"), F.when(p["is_hint"], plain_name(p["phrase"])).alias("plain"), p["is_hint"].alias("is_hint")))  # windows are plain already
+    named = stored(spread(questions).select("question_id", held.alias("phrases")).filter(F.size("phrases") > 0), "phrases")  # made once, read for their number and the comparison
+    blocks, parts = max(1, -(-registry.count() // BLOCK_ROWS)), max(1, -(-(named.agg(F.sum(F.size("phrases"))).first()[0] or 0) // PHRASE_ROWS))
     number = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = distinct.withColumn("part", F.pmod(F.xxhash64("plain"), F.lit(parts)).cast("int")).withColumn("block", number(blocks))
+    left = named.withColumn("part", F.pmod(F.xxhash64("question_id"), F.lit(parts)).cast("int")).withColumn("block", number(blocks))
     right = registry.withColumn("block", F.pmod(F.xxhash64("customer_id", "name", "position"), F.lit(blocks)).cast("int")).withColumn("part", number(parts))
-    scores = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(_best_of_block, "plain string, customer_id string, name string, position long, score double")
+    kind = questions.schema["question_id"].dataType.simpleString()
+    found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(_best_of_block, f"question_id {kind}, customer_id string, name string, position long, score double, is_hint boolean, phrase string")
     best = F.max(F.struct("score", "is_hint", "phrase")).alias("best")
-    return named.join(scores, "plain").groupBy("question_id", "customer_id", "name", "position").agg(best).select("question_id", "customer_id", "name", "position", "best.score", "best.phrase")
+    return found.groupBy("question_id", "customer_id", "name", "position").agg(best).select("question_id", "customer_id", "name", "position", "best.score", "best.phrase")
 
 
 def resolved(questions: DataFrame, scores: DataFrame, digits: int = DIGITS) -> DataFrame:

@@ -257,3 +257,30 @@ def test_exchanged_neighbours_are_one_edit(spark):
     vocabulary = spark.createDataFrame([("word", 5), ("wrod", 1), ("lord", 9), ("sword", 2), ("swordfish", 3)], "term string, df long")
     near = {(r.query_term, r.term): r.distance for r in bm25.nearest_terms(vocabulary, ["wrod", "owrd", "to"]).collect()}
     assert near == {("wrod", "wrod"): 0, ("wrod", "word"): 1, ("owrd", "word"): 1}
+
+
+def test_a_long_question_compares_few_of_its_pairs(monkeypatch):
+    """Of all phrases and names of a question, only those are compared whose bound may bring a customer among the best; those are right."""
+    import random
+    from difflib import SequenceMatcher
+
+    import pyarrow as pa
+
+    from tessera.operators import resolve
+
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("aeinrst") for _ in range(rng.randint(2, 8)))
+    words, names = [word() for _ in range(300)], [f"{word()} {word()}" for _ in range(30)] + ["x" * 70, ""]
+    phrases = [" ".join(words[i : i + n]) for n in (1, 2, 3, 4) for i in range(len(words) - n + 1)]
+    asked = pa.table({"question_id": pa.array([5, 6], pa.int32()), "phrases": [[{"phrase": p, "plain": None, "is_hint": False} for p in phrases], []]})
+    registry = pa.Table.from_pylist([{"customer_id": f"c{i}", "name": n, "position": i, "own_id": f"c{i}", "own_name": n, "own_aliases": []} for i, n in enumerate(names)])
+    calls, ratio = [], resolve._Block.ratio
+    monkeypatch.setattr(resolve._Block, "ratio", lambda *a: calls.append(a) or ratio(*a))
+    outs = []
+    for size in (1 << 21, 4096):
+        monkeypatch.setattr(resolve, "_BOUNDS", size)
+        outs.append(sorted((-round(r["score"], 6), r["position"]) for r in resolve._best_of_block(asked, registry).to_pylist() if r["question_id"] == 5)[:3])
+    share = lambda p, n: len(set(p.split()) & set(n.split())) / len(set(p.split()) | set(n.split()))
+    exact = [max(max(SequenceMatcher(None, p, n).ratio(), share(p, n), SequenceMatcher(None, p, f"c{i}").ratio()) for p in phrases) for i, n in enumerate(names)]
+    assert outs == [sorted((-round(s, 6), i) for i, s in enumerate(exact))[:3]] * 2
+    assert len(calls) < 2 * len(phrases) * 2 * len(names) / 50
