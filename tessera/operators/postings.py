@@ -7,8 +7,8 @@
 
 Documents of about the same length share a range of some thousands, so a block's largest score (``most`` occurrences in
 the ``shortest`` text) is close to its real ones. A top-k search adds these bounds up range by range from the small columns, scores the
-best ranges, and then reads only ranges that may still hold one of the k best; what it skips can't. A hot word has a block a range,
-dealt over several files of its bucket. Scores are those of :mod:`tessera.operators.bm25`.
+best ranges, and then reads only ranges that may still hold one of the k best; what it skips can't. A hot word has a block a range.
+A build deals counted documents once, by their ranges: all blocks of a range are made, and written to their buckets, where its documents are. Scores are those of :mod:`tessera.operators.bm25`.
 """
 
 from __future__ import annotations
@@ -26,14 +26,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import tokens
-from tessera.operators.bm25 import K1, B, idf, nearest_terms
+from tessera.operators.bm25 import K1, B, batch_top, idf, nearest_terms
 from tessera.session import spread
 from tessera.sources.scratch import stored
 from tessera.sources.tables import replace_partitions, table
 
 BUCKETS, RANGE_DOCS = 32, 4096
-#: Files over which the blocks of a bucket are dealt, and ranges that a top-k search scores to find its threshold.
-FILES, SEEDS = 4, 8
+#: Words of a range at most, about; words from which on a task of the build takes its share, while there are cores for more.
+RANGE_WORDS, TASK_WORDS = 4_000_000, 500_000
+#: Ranges that a top-k search scores to find its threshold, and questions that are scored together against a range.
+SEEDS, QUESTIONS = 8, 256
 #: Ranges from which on a top-k search first looks for what it may skip: that takes two small jobs, reading few ranges whole less.
 MANY_RANGES = 64
 
@@ -101,15 +103,26 @@ def _bucket(term: Column) -> Column:
     return F.pmod(F.crc32(term.cast("binary")), F.lit(BUCKETS)).cast("int")
 
 
+def _once(rows: DataFrame) -> DataFrame:
+    """Stored rows with each id once; where none is repeated, which the ids alone tell, nothing is moved."""
+    repeated = stored(rows.groupBy(F.col("id").alias("__id")).count().filter("count > 1").select("__id"), "repeated")
+    if repeated.isEmpty():
+        return rows
+    same = F.col("id").eqNullSafe(F.col("__id"))
+    return stored(rows.join(repeated, same, "left_anti").unionByName(rows.join(repeated, same, "left_semi").dropDuplicates(["id"])), "once")
+
+
 def _write(rows: DataFrame, path: str, key: str, segment: int) -> None:
-    """A segment of counted documents (id, dl, terms, tfs), each id once; the figures come last."""
+    """A segment of counted documents (id, dl, terms, tfs); the figures come last."""
     spark = rows.sparkSession
-    rows = stored(rows.withColumn("class", F.floor(F.log2(F.col("dl") + 1) * 2)), "counted")
-    sizes = {r["class"]: r["n"] for r in rows.groupBy("class").agg(F.count("*").alias("n")).collect()}  # a class for each half power of two
-    parts = {k: -(-n // RANGE_DOCS) for k, n in sizes.items()}
+    rows = _once(stored(rows.withColumn("class", F.floor(F.log2(F.col("dl") + 1) * 2)), "counted"))
+    sizes = {r["class"]: (r["n"], r["words"]) for r in rows.groupBy("class").agg(F.count("*").alias("n"), F.sum("dl").alias("words")).collect()}  # a class for each half power of two
+    parts = {k: max(-(-n // RANGE_DOCS), -(-words // RANGE_WORDS)) for k, (n, words) in sizes.items()}
+    total = sum(words for _, words in sizes.values())
+    tasks = max(1, min(sum(parts.values()), max(-(-total // RANGE_WORDS), min(-(-total // TASK_WORDS), 2 * spark.sparkContext.defaultParallelism))))
     own = F.col("class")
     among = F.element_at(F.create_map(*(F.lit(x) for pair in parts.items() for x in pair)), own) if parts else F.lit(1)
-    ranged = rows.withColumn("range", own * (1 << 32) + F.pmod(F.xxhash64("id"), among))
+    ranged = rows.withColumn("range", own * (1 << 32) + F.pmod(F.xxhash64("id"), among)).repartition(tasks, "range")  # groups by term and range stay there
     postings = ranged.select("id", "dl", "range", F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("tfs").alias("tf"))))
     held = postings.groupBy("term", "range").agg(F.array_sort(F.collect_list(F.struct("id", "tf", "dl"))).alias("own"))  # a range's documents at most
     blocks = held.select(
@@ -120,7 +133,7 @@ def _write(rows: DataFrame, path: str, key: str, segment: int) -> None:
     live = alive(before, before.table("documents")).select("id", "dl", F.col("segment").alias("dead_in"))
     dead = stored(live.join(rows.select("id"), "id", "left_semi"), "dead")
     mark = F.lit(segment).cast("long").alias("segment")
-    replace_partitions(blocks.repartition("bucket", F.pmod(F.xxhash64("range"), F.lit(FILES))).sortWithinPartitions("bucket", "term", "range"), f"{path}/postings", "segment", "bucket")
+    replace_partitions(blocks.sortWithinPartitions("segment", "bucket", "term", "range"), f"{path}/postings", "segment", "bucket")
     replace_partitions(rows.select("id", "dl", mark), f"{path}/documents", "segment")
     replace_partitions(dead.select("id", "dead_in", mark), f"{path}/dead", "segment")
     gone = dead.agg(F.count("*").alias("dead_n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("dead_words"))
@@ -136,7 +149,7 @@ def append(docs: DataFrame, path: str, segment: int, key: str = "doc_id", text:
     kind = docs.schema[key].dataType.simpleString()
     for name, schema in _schemas(kind).items():
         table(docs.sparkSession, f"{path}/{name}", schema)
-    _write(counted(docs, key, text).dropDuplicates(["id"]), path, kind, segment)
+    _write(counted(docs, key, text), path, kind, segment)
     return opened(docs.sparkSession, path, kind)
 
 
@@ -240,11 +253,76 @@ def expansions(index: Index, query_terms: list[str]) -> DataFrame:
     return nearest_terms(vocabulary(index), query_terms)
 
 
+def _wanted(questions: DataFrame) -> DataFrame:
+    """(question_id, term, weight) of the words of questions."""
+    return questions.select("question_id", F.explode(tokens(F.col("question"))).alias("term")).groupBy("question_id", "term").agg(F.count("*").alias("weight"))
+
+
+def _asked(index: Index, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The blocks of the questions' words, and (question_id, term, weight) weighed by rarity."""
+    own = index.table("postings").join(wanted.select("term", _bucket(F.col("term")).alias("bucket")).distinct(), ["term", "bucket"], "left_semi")
+    return own, wanted.join(frequencies(index, own), "term").select("question_id", "term", (F.col("weight") * idf(F.lit(index.n), F.col("df"))).alias("weight"))
+
+
 def batch_scores(index: Index, questions: DataFrame, key: str = "doc_id") -> DataFrame:
     """(question_id, key, score) of many questions (question_id, question) in one plan: blocks meet the questions' words, then open."""
-    wanted = questions.select("question_id", F.explode(tokens(F.col("question"))).alias("term")).groupBy("question_id", "term").agg(F.count("*").alias("weight"))
-    own = index.table("postings").join(wanted.select("term", _bucket(F.col("term")).alias("bucket")).distinct(), ["term", "bucket"], "left_semi")
-    weighed = wanted.join(frequencies(index, own), "term").select("question_id", "term", (F.col("weight") * idf(F.lit(index.n), F.col("df"))).alias("weight"))
+    own, weighed = _asked(index, _wanted(questions))
     share = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(index.avgdl)))
     entries = _entries(index, own).select("term", F.col("id").alias(key), share.alias("share"))
     return entries.join(weighed, "term").groupBy("question_id", key).agg(F.sum(F.col("weight") * F.col("share")).alias("score"))
+
+
+def _best_of_range(blocks: pa.Table, weights: pa.Table, avgdl: float, k: int, slack: float, key: str) -> pa.Table:
+    """(question_id, key, score) of documents that may be among a question's k best, from all blocks of some ranges."""
+    names = weights.column("question_id").combine_chunks().dictionary_encode()
+    of, weight = names.indices.to_numpy(), weights.column("weight").to_numpy()
+    by_term: dict[str, list[int]] = {}
+    for at, term in enumerate(weights.column("term").to_pylist()):
+        by_term.setdefault(term, []).append(at)
+    segments, ranges = (blocks.column(c).to_numpy() for c in ("segment", "range"))
+    questions, ids, scores = [], [], []
+    for segment, part in sorted(set(zip(segments.tolist(), ranges.tolist(), strict=True))) if len(of) else ():
+        some = blocks.filter(pa.array((segments == segment) & (ranges == part))).sort_by("term")
+        lists = some.column("ids").combine_chunks()
+        coded = lists.flatten().dictionary_encode()
+        place, ends = coded.indices.to_numpy(), np.cumsum([0, *np.diff(lists.offsets.to_numpy())])
+        tf, dl = (some.column(c).combine_chunks().flatten().to_numpy().astype(float) for c in ("tfs", "dls"))
+        share = tf / (tf + K1 * (1 - B + B * dl / avgdl))
+        score = np.zeros((len(names.dictionary), len(coded.dictionary)))
+        for row, term in enumerate(some.column("term").to_pylist()):
+            own, at = by_term.get(term, []), slice(ends[row], ends[row + 1])
+            score[of[own][:, None], place[at]] += weight[own][:, None] * share[at]
+        values = np.array(coded.dictionary.to_pylist(), object)
+        for question, own in enumerate(score):
+            least = np.partition(own, len(own) - k)[len(own) - k] if len(own) > k else 0.0
+            near = np.flatnonzero((own > 0) & (own >= least - slack))
+            near = near[np.lexsort((np.argsort(np.argsort(values[near], kind="stable")), -own[near]))]
+            first = np.r_[True, np.diff(own[near]) != 0][: len(near)]
+            since = np.arange(len(near)) - np.maximum.accumulate(np.where(first, np.arange(len(near)), 0))
+            near = near[since < k]  # of equal scores the k smallest ids
+            questions += [question] * len(near)
+            ids.append(coded.dictionary.take(pa.array(near)))
+            scores.append(own[near])
+    found = pa.concat_arrays(ids) if ids else pa.array([], blocks.schema.field("ids").type.value_type)
+    return pa.table([names.dictionary.take(pa.array(questions, pa.int64())), found, pa.array(np.concatenate(scores) if scores else [], pa.float64())], names=["question_id", key, "score"])
+
+
+def batch_best(index: Index, questions: DataFrame, k: int, key: str = "doc_id", digits: int = 6) -> DataFrame:
+    """(question_id, key, score, rank): the k best documents of each of many questions (question_id, question).
+
+    The blocks of a range meet ``QUESTIONS`` questions at a time; only what may be among a question's k best leaves them.
+    """
+    wanted = _wanted(questions)
+    own, weighed = _asked(index, wanted)
+    if index.any_dead:
+        held = _entries(index, own).groupBy("term", "segment", "range").agg(F.collect_list(F.struct("id", "tf", "dl")).alias("own"))  # a range's documents at most
+        own = held.select("term", "segment", "range", F.col("own.id").alias("ids"), F.col("own.tf").alias("tfs"), F.col("own.dl").alias("dls"))
+    several = max(1, -(-wanted.select("question_id").distinct().count() // QUESTIONS))
+    calls = max(1, index.ranges)
+    number = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = own.select("term", "segment", "range", "ids", "tfs", "dls", F.pmod(F.xxhash64("segment", "range"), F.lit(calls)).cast("int").alias("call")).withColumn("some", number(several))
+    right = weighed.withColumn("some", F.pmod(F.xxhash64("question_id"), F.lit(several)).cast("int")).withColumn("call", number(calls))
+    kind, avgdl = questions.schema["question_id"].dataType.simpleString(), index.avgdl
+    run = lambda blocks, weights: _best_of_range(blocks, weights, avgdl, k, 2 * 10.0**-digits, key)
+    found = left.groupBy("some", "call").cogroup(right.groupBy("some", "call")).applyInArrow(run, f"question_id {kind}, `{key}` {index.key}, score double")
+    return batch_top(found, k, key, digits)

@@ -122,3 +122,36 @@ def test_top_is_the_head_of_all_scores(spark, terms):
     index = keyword_index(spark, DATA)
     own = postings.scores(index, terms).withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "doc_id")
     assert [tuple(r) for r in postings.top(index, terms, 30).collect()] == [tuple(r) for r in own.limit(30).collect()]
+
+
+def test_a_build_moves_its_documents_once(spark, tmp_path, monkeypatch):
+    """Counted documents are dealt by range, blocks are made and written there; repeated keys, null ones too, count once."""
+    plans, write = {}, postings.replace_partitions
+
+    def kept(rows, path, *by):
+        plans[path.rsplit("/", 1)[1]] = rows._jdf.queryExecution().executedPlan().toString()
+        write(rows, path, *by)
+
+    monkeypatch.setattr(postings, "replace_partitions", kept)
+    monkeypatch.setattr(postings, "RANGE_WORDS", 50)
+    rows = [(i % 40, f"a b{i % 40} c") for i in range(60)] + [(None, "a"), (None, "a"), (50, "a " * 400)]
+    index = postings.append(table(spark, rows), str(tmp_path / "index"), 0)
+    assert plans["postings"].split("Initial Plan")[-1].count("Exchange ") == 1
+    assert index.n == 42 and index.words == 40 * 3 + 1 + 400 and index.ranges >= 10
+    assert [r["df"] for r in postings.corpus_figures(index, ["a"]).collect()] == [42]
+
+
+@pytest.mark.parametrize("dead", [False, True])
+def test_best_of_many_questions(spark, tmp_path, monkeypatch, dead):
+    """The same documents and scores as all scores ranked, whatever the number of ranges and of questions at a time."""
+    monkeypatch.setattr(postings, "RANGE_DOCS", 16)
+    monkeypatch.setattr(postings, "QUESTIONS", 2)
+    rows = [(i, " ".join(f"w{(i * j) % 23}" for j in range(1, 4 + i % 9))) for i in range(200)] + [(1000 + i, "same words w1 w2") for i in range(60)]
+    index = postings.append(table(spark, rows), str(tmp_path / "index"), 0)
+    if dead:
+        index = postings.append(table(spark, [(3, "w1 w5 w5"), (1000, None)]), str(tmp_path / "index"), 1)
+    asked = spark.createDataFrame([(1, "w1 w2 same"), (2, "w5 w5 w7 none"), (3, "nowhere"), (4, None), (5, "w0"), (6, "w3 w4 w8 w9")], "question_id int, question string")
+    expected = bm25.batch_top(postings.batch_scores(index, asked), 7)
+    found = postings.batch_best(index, asked, 7)
+    assert found.columns == ["question_id", "doc_id", "score", "rank"] and rows_of(found) == rows_of(expected) and found.count() == 28
+    assert postings.batch_best(index, asked.filter("question_id = 4"), 7).count() == 0
