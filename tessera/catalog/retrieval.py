@@ -133,7 +133,7 @@ def facet_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def bm25_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
-    return bm25.batch_top(postings.batch_scores(keyword_index(spark, sf_dir), questions), 10)
+    return postings.batch_best(keyword_index(spark, sf_dir), questions, 10)
 
 
 @query("bm25_text_scores", f"WITH {BM25} SELECT doc_id, score FROM scored")
