@@ -103,6 +103,24 @@ def _bucket(term: Column) -> Column:
     return F.pmod(F.crc32(term.cast("binary")), F.lit(BUCKETS)).cast("int")
 
 
+def _blocks_of_range(docs: pa.Table) -> pa.Table:
+    """The blocks of the counted documents (id, dl, terms, tfs, range) of one range, which RANGE_DOCS and RANGE_WORDS bound."""
+    docs = docs.sort_by("id")
+    lists = docs.column("terms").combine_chunks()
+    coded = lists.flatten().dictionary_encode()
+    codes, wide = coded.indices.to_numpy(), len(coded.dictionary)
+    order = np.argsort(codes, kind="stable")  # by term, then id
+    of = np.repeat(np.arange(len(docs)), np.diff(lists.offsets.to_numpy()))[order]
+    tf, dl = docs.column("tfs").combine_chunks().flatten().to_numpy()[order], docs.column("dl").to_numpy()[of]
+    n = np.bincount(codes, minlength=wide)
+    ends = np.cumsum([0, *n])
+    most, shortest = (np.maximum.reduceat(tf, ends[:-1]), np.minimum.reduceat(dl, ends[:-1])) if wide else (tf, dl)
+    offsets = pa.array(ends, pa.int32())
+    held = [pa.ListArray.from_arrays(offsets, x) for x in (docs.column("id").combine_chunks().take(pa.array(of)), pa.array(tf, pa.int32()), pa.array(dl, pa.int32()))]
+    small = [pa.array(x, pa.int32()) for x in (n, most, shortest)]
+    return pa.table([coded.dictionary, pa.repeat(docs.column("range")[0], wide), *small, *held], names=["term", "range", "n", "most", "shortest", "ids", "tfs", "dls"])
+
+
 def _once(rows: DataFrame) -> DataFrame:
     """Stored rows with each id once; where none is repeated, which the ids alone tell, nothing is moved."""
     repeated = stored(rows.groupBy(F.col("id").alias("__id")).count().filter("count > 1").select("__id"), "repeated")
@@ -122,12 +140,9 @@ def _write(rows: DataFrame, path: str, key: str, segment: int) -> None:
     tasks = max(1, min(sum(parts.values()), max(-(-total // RANGE_WORDS), min(-(-total // TASK_WORDS), 2 * spark.sparkContext.defaultParallelism))))
     own = F.col("class")
     among = F.element_at(F.create_map(*(F.lit(x) for pair in parts.items() for x in pair)), own) if parts else F.lit(1)
-    ranged = rows.withColumn("range", own * (1 << 32) + F.pmod(F.xxhash64("id"), among)).repartition(tasks, "range")  # groups by term and range stay there
-    postings = ranged.select("id", "dl", "range", F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("tfs").alias("tf"))))
-    held = postings.groupBy("term", "range").agg(F.array_sort(F.collect_list(F.struct("id", "tf", "dl"))).alias("own"))  # a range's documents at most
-    blocks = held.select(
-        "term", "range", F.size("own").alias("n"), F.array_max("own.tf").alias("most"), F.array_min("own.dl").alias("shortest"), F.col("own.id").alias("ids"), F.col("own.tf").alias("tfs"), F.col("own.dl").alias("dls"), F.lit(segment).cast("long").alias("segment"), _bucket(F.col("term")).alias("bucket")
-    )
+    ranged = rows.withColumn("range", own * (1 << 32) + F.pmod(F.xxhash64("id"), among)).repartition(tasks, "range")
+    own = ranged.select("id", "dl", "terms", "tfs", "range").groupBy("range").applyInArrow(_blocks_of_range, f"term string, range long, n int, most int, shortest int, ids array<{key}>, tfs array<int>, dls array<int>")
+    blocks = own.withColumns({"segment": F.lit(segment).cast("long"), "bucket": _bucket(F.col("term"))})
     before = opened(spark, path, key)
     before = replace(before, segments=tuple(s for s in before.segments if s < segment))  # a repeated segment does not see itself
     live = alive(before, before.table("documents")).select("id", "dl", F.col("segment").alias("dead_in"))
