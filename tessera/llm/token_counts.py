@@ -43,7 +43,7 @@ class TokenCounter:
     def __init__(self, path: str, pattern: str, cache_bytes: int = CACHE_BYTES):
         self.replay = MergeReplay(read_ranks(path))
         self.pattern = regex.compile(pattern)
-        self.words = WordCache(lambda words: map(len, self.replay.encode([w.encode() for w in words])), cache_bytes)
+        self.words = WordCache(lambda words: self.replay.count([w.encode() for w in words]), cache_bytes)
 
     @property
     def cache(self) -> dict[str, int]:
@@ -55,6 +55,13 @@ class TokenCounter:
             self.words.turn()
         self.words.hold(pieces)
 
+    def total(self, pieces: Sequence[str]) -> int:
+        """Tokens of these pieces; those that are not held are counted first."""
+        try:
+            return sum(map(self.words.young.__getitem__, pieces))
+        except KeyError:
+            return sum(map(self.words.hold([pieces]).__getitem__, pieces))
+
     def split(self, text: str) -> list[str]:
         return [p for part in segments(text) for p in self.pattern.findall(part)]
 
@@ -88,9 +95,9 @@ class CountedText:
         self.leaves = [pieces[i : i + LEAF] for i in range(0, len(pieces), LEAF)] or [[]]
         self.base = 1 << (len(self.leaves) - 1).bit_length()
         self.chars, self.tokens = [0] * (2 * self.base), [0] * (2 * self.base)
-        of = self.counter.cache.__getitem__
+        of = self.counter.total
         for k, leaf in enumerate(self.leaves):
-            self.chars[self.base + k], self.tokens[self.base + k] = sum(map(len, leaf)), sum(map(of, leaf))
+            self.chars[self.base + k], self.tokens[self.base + k] = len("".join(leaf)), of(leaf)
         for node in range(self.base - 1, 0, -1):
             self.chars[node] = self.chars[2 * node] + self.chars[2 * node + 1]
             self.tokens[node] = self.tokens[2 * node] + self.tokens[2 * node + 1]
@@ -108,8 +115,8 @@ class CountedText:
 
     def _refresh(self, leaf: int) -> None:
         node = self.base + leaf
-        chars = sum(map(len, self.leaves[leaf])) - self.chars[node]
-        tokens = sum(map(self.counter.cache.__getitem__, self.leaves[leaf])) - self.tokens[node]
+        chars = len("".join(self.leaves[leaf])) - self.chars[node]
+        tokens = self.counter.total(self.leaves[leaf]) - self.tokens[node]
         while node:
             self.chars[node] += chars
             self.tokens[node] += tokens
@@ -163,7 +170,7 @@ class CountedText:
                 ends.append((at_leaf, at_piece))
                 old_size += len(text)
                 at_piece += 1
-            complete = not any(self.leaves[at_leaf][at_piece:] if k == at_leaf else self.leaves[k] for k in range(at_leaf, min(at_leaf + 2, len(self.leaves)))) and begin + old_size == self.n_chars
+            complete = begin + old_size == self.n_chars and not any(self.leaves[at_leaf][at_piece:] if k == at_leaf else self.leaves[k] for k in range(at_leaf, min(at_leaf + 2, len(self.leaves))))
             joined = "".join(old)
             fresh = joined[: start - begin] + replacement + joined[stop - begin :]
             shift = len(replacement) - (stop - start)
@@ -183,7 +190,6 @@ class CountedText:
             wanted *= 4
         if synced is None:
             synced = len(old) - 1
-        self.counter.learn([new])
         self.recounted += sum(map(len, new))
         last_leaf, last_piece = ends[synced] if old else (first, -1)
         tail = self.leaves[last_leaf][last_piece + 1 :]
@@ -194,10 +200,8 @@ class CountedText:
         else:
             self.leaves[first], self.leaves[last_leaf] = head + new, tail
         if max(len(self.leaves[first]), len(self.leaves[last_leaf])) > 4 * LEAF:
-            self.counter.learn(self.leaves)
             self._deal([p for own in self.leaves for p in own])
             return
-        self.counter.learn([self.leaves[first], self.leaves[last_leaf]])
         for k in range(first, last_leaf + 1):
             self._refresh(k)
 

@@ -273,6 +273,38 @@ def test_replay_goes_back_for_lower_ranks():
     assert own.encode([b"abcbcd", b"aaa", b""]) == [[256, 300, ranks[b"d"]], [97, 97, 97], []]
 
 
+def test_counts_in_waves_are_those_of_the_replay(monkeypatch):
+    """Many short words are merged in step: only those too long to lie side by side are replayed one merge after another."""
+    own = token_counts.TokenCounter(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    draw, tokens = np.random.default_rng(5), list(own.replay.ranks)
+    words = [b"".join(tokens[i] for i in draw.integers(0, len(tokens), n)) for n in draw.integers(0, 9, 2000)]
+    words += [draw.choice(np.frombuffer("aaethé🙂 ".encode(), np.uint8), n).tobytes() for n in draw.integers(0, 60, 2000)] + [b"a" * n for n in range(80)]
+    expected = list(map(len, own.replay.encode(words)))
+    replayed, encode = [], own.replay.encode
+    monkeypatch.setattr(own.replay, "encode", lambda some: replayed.extend(some) or encode(some))
+    assert own.replay.count(words) == expected
+    assert all(len(word) > byte_bpe.WIDTHS[-1] for word in replayed)
+    back = byte_bpe.MergeReplay({bytes([b]): b for b in range(256)} | {b"bc": 300, b"abc": 256, b"cd": 301})
+    assert back.count([b"abcbcd", b"aaa", b"", b"bc"] * byte_bpe.WAVE_WORDS) == [3, 3, 0, 1] * byte_bpe.WAVE_WORDS
+    spelled = {f"Wort{i}x{i * i}" for i in range(5 * byte_bpe.WAVE_WORDS)}
+    replayed.clear()
+    own.learn([spelled])
+    assert not replayed and [own.cache[w] for w in sorted(spelled)] == [len(ids) for ids in encode([w.encode() for w in sorted(spelled)])]
+
+
+def test_a_tree_counts_pieces_that_left_the_cache():
+    """Edits look a leaf's pieces up where they are held and count only those that are not."""
+    own = token_counts.TokenCounter(P.path("byte_bpe_50k.tiktoken"), P.PATTERN, cache_bytes=1)
+    text = " ".join(f"word{i}" for i in range(300))
+    pieces = own.split(text)
+    tree = token_counts.CountedText(pieces, own)  # none of them was learned before
+    for k in range(3):
+        own.learn([["other", f"new{k}"]], may_turn=True)
+    tree.edit(700, 705, "x y")
+    text = text[:700] + "x y" + text[705:]
+    assert tree.text() == text and tree.n_tokens == sum(map(len, own.replay.encode([p.encode() for p in own.pattern.findall(text)])))
+
+
 def test_codec_query(spark, reference, odd, empty):
     text = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     for r in byte_bpe.op5_byte_bpe(spark, SMALL).collect():
