@@ -132,33 +132,31 @@ class MergeReplay:
 
     def encode(self, words: list[bytes]) -> list[list[int]]:
         """Ids of each word; a word that is a token itself is that token."""
-        out: list[list[int] | None] = []
-        ids: list[int] = []
-        after: list[int] = []
-        before: list[int] = []
-        begins: list[tuple[int, int]] = []
-        positions: dict[int, list[int]] = defaultdict(list)  # the index: rank of a pair to where its left part stands
-        merged, of_byte = self.merges.get, self.of_byte
-        for k, word in enumerate(words):
-            whole = self.ranks.get(word)
-            if whole is not None or not word:
-                out.append([] if whole is None else [whole])
-                continue
-            out.append(None)
-            at = len(ids)
-            begins.append((k, at))
-            symbols = [of_byte[b] for b in word]
-            ids += symbols
-            after += range(at + 1, at + len(symbols))
-            after.append(-1)
-            before.append(-1)
-            before += range(at, at + len(symbols) - 1)
-            left = symbols[0]
-            for right in symbols[1:]:
-                if (rank := merged(left << 32 | right)) is not None:
-                    positions[rank].append(at)
-                at += 1
-                left = right
+        return [np.frombuffer(ids, "<u4").tolist() for ids in self.encode_bytes(words)]
+
+    def _indexed(self, words: list[bytes]) -> tuple[list[int], list[int], list[int], np.ndarray, dict[int, list[int]]]:
+        """Symbols of words that are not empty, their links, the bounds of words, and the index: rank of a pair to where its left part stands."""
+        bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))])
+        data = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+        after, before = np.arange(1, len(data) + 1), np.arange(-1, len(data) - 1)
+        after[bounds[1:] - 1] = before[bounds[:-1]] = -1
+        found = self._tables[2][data[:-1] << 8 | data[1:]]
+        found[bounds[1:-1] - 1] = _NONE >> _PLACE
+        left = np.flatnonzero(found != _NONE >> _PLACE)
+        left = left[np.argsort(found[left], kind="stable")]
+        firsts = np.flatnonzero(np.diff(found[left], prepend=-1))
+        ranks, begins, listed = found[left[firsts]].tolist(), firsts.tolist(), left.tolist()
+        positions = defaultdict(list, zip(ranks, (listed[a:b] for a, b in zip(begins, [*begins[1:], len(listed)]))))
+        return np.array(self.of_byte)[data].tolist(), after.tolist(), before.tolist(), bounds, positions
+
+    def encode_bytes(self, words: list[bytes]) -> list[bytes]:
+        """As :meth:`encode`, the ids as little-endian unsigned 32-bit integers."""
+        out = [b"" if whole is None else whole.to_bytes(4, "little") for whole in map(self.ranks.get, words)]
+        rest = [k for k, word in enumerate(words) if word and not out[k]]
+        if not rest:
+            return out
+        ids, after, before, bounds, positions = self._indexed([words[k] for k in rest])
+        merged = self.merges.get
         queue = list(positions)
         heapify(queue)
         while queue:
@@ -190,12 +188,11 @@ class MergeReplay:
                     positions[rank] = todo[done + 1 :]
                     heappush(queue, rank)
                     break
-        for k, at in begins:
-            word_ids = []
-            while at >= 0:
-                word_ids.append(ids[at])
-                at = after[at]
-            out[k] = word_ids
+        flat = np.array(ids)  # what was merged into its left neighbour is -1
+        ends = np.concatenate([[0], np.cumsum(flat >= 0)])[bounds].tolist()
+        blob = flat[flat >= 0].astype("<u4").tobytes()
+        for k, begin, end in zip(rest, ends, ends[1:]):
+            out[k] = blob[4 * begin : 4 * end]
         return out
 
 
@@ -205,10 +202,7 @@ class Codec:
     def __init__(self, path: str, pattern: str, cache_bytes: int = CACHE_BYTES):
         self.replay = MergeReplay(read_ranks(path))
         self.pattern = regex.compile(pattern)
-        self.cache = WordCache(self._learn, cache_bytes, len)
-
-    def _learn(self, words: list[str]) -> list[bytes]:
-        return [np.array(ids, "<u4").tobytes() for ids in self.replay.encode([w.encode() for w in words])]
+        self.cache = WordCache(lambda words: self.replay.encode_bytes([w.encode() for w in words]), cache_bytes, len)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text as little-endian unsigned 32-bit integers."""

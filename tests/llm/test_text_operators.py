@@ -273,6 +273,27 @@ def test_replay_goes_back_for_lower_ranks():
     assert own.encode([b"abcbcd", b"aaa", b""]) == [[256, 300, ranks[b"d"]], [97, 97, 97], []]
 
 
+def test_replayed_bytes_are_plain_merges():
+    """Empty words, tokens, single bytes, no words at all and words beside each other that would merge if they met."""
+    ranks = byte_bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
+    own = byte_bpe.MergeReplay(ranks)
+
+    def plain(word):
+        parts = [bytes([b]) for b in word]
+        while len(parts) > 1:
+            rank, k = min((ranks.get(a + b, len(ranks)), k) for k, (a, b) in enumerate(zip(parts, parts[1:])))
+            if rank == len(ranks):
+                break
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        return b"".join(ranks[p].to_bytes(4, "little") for p in parts)
+
+    draw = np.random.default_rng(7)
+    some = [draw.choice(np.frombuffer("aaethé🙂 ".encode(), np.uint8), n).tobytes() for n in draw.integers(0, 40, 400)]
+    for words in ([], [b""], [b"a"], [b"", b"the", b"", b"t", b"h"], [b"\xff\xfe", b"\xff", b"thethethe" * 30, b"x" * 99], [b"q\x00", b"\x00q"], some):
+        assert own.encode_bytes(words) == list(map(plain, words))
+        assert own.encode(words) == [np.frombuffer(plain(w), "<u4").tolist() for w in words]
+
+
 def test_counts_in_waves_are_those_of_the_replay(monkeypatch):
     """Many short words are merged in step: only those too long to lie side by side are replayed one merge after another."""
     own = token_counts.TokenCounter(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
