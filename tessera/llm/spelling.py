@@ -8,6 +8,9 @@ of the shorter word, and all but one of ``SEGMENTS`` parts of it. The split lose
 meets in a bucket is verified by its edit distance. A word has at most a few thousand near words (its length times the
 letters), so no group of the result is hot.
 
+Tables of words grow with the texts, and Spark sizes them too low: an explode counts as one row, a stored table as its compressed
+file. Their joins are therefore hinted to shuffle both sides (``merge``), so none of them reaches the driver as a broadcast.
+
 Null and empty texts have no words; an id that is null is spelled as an empty one. Texts and single runs of any length
 are read in pieces of about ``PIECE`` letters. Repeated rows each count. Extra columns, whatever their names, are ignored;
 an empty table has no words and gives no rows.
@@ -118,7 +121,7 @@ def near_words(words: DataFrame) -> DataFrame:
     first = _keyed(banded, 0)
     second = first.unionByName(_keyed(banded, 1)).select("key", F.col("word").alias("near"), F.col("n").alias("near_n"))
     longer = F.length("near") > F.col("short")
-    pairs = first.join(second, "key").filter((longer | (F.col("word") < F.col("near"))) & (F.levenshtein("word", "near", 1) == 1))
+    pairs = first.join(second.hint("merge"), "key").filter((longer | (F.col("word") < F.col("near"))) & (F.levenshtein("word", "near", 1) == 1))
     ways = F.array(F.struct("word", "near", "near_n"), F.struct(F.col("near").alias("word"), F.col("word").alias("near"), F.col("n").alias("near_n")))
     return pairs.select(F.inline(ways)).repartition("word").distinct()  # dealt by word: the sums over a word need no shuffle of their own
 
@@ -132,7 +135,7 @@ def roots(links: DataFrame) -> DataFrame:
     links = stored(links.select("word", F.col("form").alias("root")), "forms")
     while True:
         ahead = links.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        step = stored(links.join(ahead, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "forms")
+        step = stored(links.join(ahead.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "forms")
         links = step.select("word", "root")
         if step.filter("moved").isEmpty():
             return links
@@ -146,10 +149,10 @@ def variants(words: DataFrame) -> DataFrame:
     words = stored(words, "vocabulary")
     best = near_words(words).groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("best"))
     form = F.when(-F.col("best.less") >= 2 * F.col("n"), F.col("best.near"))
-    formed = words.join(best, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), form.alias("form"), F.when(form.isNotNull(), -F.col("best.less")).alias("form_n"))
+    formed = words.join(best.hint("merge"), "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), form.alias("form"), F.when(form.isNotNull(), -F.col("best.less")).alias("form_n"))
     formed = stored(formed, "formed")
     led = roots(formed.filter("form IS NOT NULL"))
-    return formed.join(led, "word", "left").withColumn("root", F.coalesce("root", "word"))
+    return formed.join(led.hint("merge"), "word", "left").withColumn("root", F.coalesce("root", "word"))
 
 
 def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:

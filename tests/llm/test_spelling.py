@@ -90,6 +90,18 @@ def test_forms_lead_to_the_last_root(spark):
     assert S.roots(links.limit(0)).count() == 0
 
 
+def test_no_table_of_words_is_broadcast(spark, monkeypatch):
+    """Even where Spark takes every table for a small one."""
+    plans, store = [], S.stored
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(S, "stored", lambda df, name: (plans.append(plan(df)), store(df, name))[1])
+    table = spark.createDataFrame([("kitten", 40), ("kittens", 20), ("kittensx", 3), ("other", 3)], "word string, n long")
+    result = S.variants(table)
+    plans.append(plan(result))
+    assert {r.word: r.root for r in result.collect()} == {"kitten": "kitten", "kittens": "kitten", "kittensx": "kitten", "other": "other"}
+    assert sum("SortMergeJoin" in p for p in plans) >= 4 and not any("Broadcast" in p for p in plans)
+
+
 def test_no_words(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert found(S.variants(S.vocabulary(docs))) == []
