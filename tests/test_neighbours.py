@@ -1,6 +1,7 @@
 """The neighbour graph against exact search: recall, filters inside the walk, the share of rows a walk meets, odd vectors."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
@@ -80,3 +81,41 @@ def test_a_search_of_one_value_walks_its_graph_alone(spark, tenth, tmp_path):
     labels = graph.table("nodes").select("id", "label", F.size("vector").alias("n"))
     pairs = graph.table("edges").select("id", F.explode("near").alias("near")).join(labels, "id").join(labels.toDF("near", "other", "m"), "near")
     assert pairs.filter("label <> other OR n <> m").count() == 0 and graph.table("edges").count() == rows.count() + 80
+
+
+def test_a_search_keeps_the_best_and_no_more(spark, tenth, monkeypatch):
+    rows, graph = tenth
+    asked = rows.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("vector"))
+    met = neighbours.walk(graph, asked, width=32)
+    tables, store = [], neighbours.stored
+    monkeypatch.setattr(neighbours, "stored", lambda df, name: (tables.append((name, store(df, name))), tables[-1][1])[1])
+    found = neighbours.search(graph, asked, 10, width=32)
+    best = met.selectExpr("question_id", "id AS vec_id", "round(score, 6) AS score").selectExpr("*", "row_number() OVER (PARTITION BY question_id ORDER BY score DESC, vec_id) AS rank").filter("rank <= 10")
+    assert rows_of(found) == rows_of(best)
+    kept = [t.groupBy("question_id").count().agg(F.max("count")).first()[0] for name, t in tables if name == "seen"]
+    assert len(kept) > 2 and max(kept) <= 32 < met.groupBy("question_id").count().agg(F.min("count")).first()[0]
+
+
+def test_blocks_of_nodes_and_queries_change_nothing(spark, tenth, monkeypatch):
+    rows, graph = tenth
+    asked = rows.filter("vec_id % 50 = 0").select(F.concat(F.lit("q"), "vec_id").alias("question_id"), F.col("embedding").alias("vector"))
+    few = F.col("label") == 3
+    whole = rows_of(neighbours.search(graph, asked, 5, few, width=16))
+    monkeypatch.setattr(neighbours, "NODES", 300)
+    monkeypatch.setattr(neighbours, "QUERIES", 7)
+    monkeypatch.setattr(neighbours, "PRODUCTS", 100)
+    assert rows_of(neighbours.search(graph, asked, 5, few, width=16)) == whole and len(whole) == 200
+
+
+def test_what_has_met_does_not_meet_again():
+    own = np.random.default_rng(3).normal(size=(9, 4)).astype(np.float32)
+    own /= np.linalg.norm(own, axis=1, keepdims=True)
+    fresh, floor, group = [True] + [False] * 8, [-2.0] * 9, [1] * 5 + [2] * 4
+    out = pa.schema([("id", pa.int64()), ("near", pa.int64()), ("score", pa.float32())])
+    met = lambda: {(r["id"], r["near"]): r["score"] for r in neighbours._nearest_within(table(), 4, out).to_pylist()}
+    table = lambda: pa.table({"id": range(9), "vector": own.tolist(), "__centre": group, "fresh": fresh, "floor": pa.array(floor, pa.float32())})
+    pairs = met()
+    assert set(pairs) == {p for i in range(1, 5) for p in ((0, i), (i, 0))}
+    assert all(abs(s - own[a] @ own[b]) < 1e-6 for (a, b), s in pairs.items())
+    floor[0] = sorted(s for (a, _), s in pairs.items() if a == 0)[1] + 1e-4
+    assert sum(a == 0 for a, _ in met()) == 2 and sum(b == 0 for _, b in met()) == 4
